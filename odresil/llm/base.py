@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +65,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once for each application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_odresil_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="odresil-")) / "odresil.zip"  # served to executors by the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._odresil_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of the Arrow batches that Python workers get."""
+    """Ships the package and bounds the rows of the Arrow batches that Python workers get."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
