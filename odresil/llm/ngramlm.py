@@ -83,25 +83,29 @@ class EliasFano:
         upper = (ones - np.arange(self.count)).astype(np.uint64)
         return self._lows(np.arange(self.count)) | (upper << np.uint64(8 * self.low_bytes) if self.low_bytes < 8 else np.uint64(0))
 
-    def search(self, wanted: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """The place of the first value not below each wanted one, within [lo, hi)."""
+    def find(self, wanted: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """The place of each wanted value within [lo, hi), found as its successor; -1 where the successor is another value."""
         starts = self._bounds()
         upper = (wanted >> np.uint64(8 * self.low_bytes)).astype(np.int64) if self.low_bytes < 8 else np.zeros(len(wanted), np.int64)
         last = len(starts) - 1
         a, b = starts[np.minimum(upper, last)], starts[np.minimum(upper + 1, last)]
+        if self.low_bytes == 8:
+            b = np.full(len(wanted), self.count)
         if lo is not None:
             a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
-        mask = np.uint64((1 << (8 * self.low_bytes)) - 1) if self.low_bytes < 8 else np.uint64(2**64 - 1)
-        rest = wanted & mask
-        a, b = a.copy(), b.copy()
-        while True:
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                return a
+        rest = wanted & np.uint64((1 << (8 * self.low_bytes)) - 1)
+        a, end = a.copy(), b.copy()
+        b = b.copy()
+        while len(open_ := np.flatnonzero(a < b)):
             mid = (a[open_] + b[open_]) >> 1
             less = self._lows(mid) < rest[open_]
             a[open_[less]] = mid[less] + 1
             b[open_[~less]] = mid[~less]
+        out = np.full(len(wanted), -1, np.int64)
+        inside = np.flatnonzero(a < end)
+        same = inside[self._lows(a[inside]) == rest[inside]]
+        out[same] = a[same]
+        return out
 
 
 # ---------------------------------------------------------------- trie
@@ -140,24 +144,16 @@ class TrieLevel:
         if not n:
             return np.zeros(len(successors), np.uint8), np.zeros(len(contexts), np.float32), np.zeros(len(contexts), np.uint32)
         if self.ends is None:
-            self.ends, self.names = self.pointers.values().astype(np.int64), self.contexts.values()
-        at = np.minimum(self.contexts.search(contexts), n - 1)
-        found = self.names[at] == contexts
-        rank = np.repeat(np.where(found, at, 0), sizes)
-        value = (rank.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64)
-        lo, hi = self.ends[rank], self.ends[rank + 1]
-        place = self.successors.search(value, lo, hi)
-        ok = np.repeat(found, sizes) & (place < hi)
-        place = np.where(ok, place, 0)
-        ok &= self.successors._lows(place) == self.successors._lows_of(value)
-        return np.where(ok, self.codes[place], 0).astype(np.uint8), np.where(found, self.total[at], 0).astype(np.float32), np.where(found, self.kinds[at], 0).astype(np.uint32)
-
-
-def _lows_of(self, values: np.ndarray) -> np.ndarray:
-    return values & np.uint64((1 << (8 * self.low_bytes)) - 1) if self.low_bytes < 8 else values
-
-
-EliasFano._lows_of = _lows_of
+            self.ends = self.pointers.values().astype(np.int64)
+        at = self.contexts.find(contexts)
+        found = at >= 0
+        at = np.where(found, at, 0)
+        rank = np.repeat(at, sizes)
+        wanted = (rank.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64)
+        place = self.successors.find(wanted, self.ends[rank], self.ends[rank + 1])
+        ok = np.repeat(found, sizes) & (place >= 0)
+        codes = np.where(ok, self.codes[np.where(ok, place, 0)], 0).astype(np.uint8)
+        return codes, np.where(found, self.total[at], 0).astype(np.float32), np.where(found, self.kinds[at], 0).astype(np.uint32)
 
 
 # ---------------------------------------------------------------- blocks
@@ -215,11 +211,23 @@ class Block:
             prior = mixed(prior * np.uint64(0xC2B2AE3D27D4EB4F) + shifted)
             self.contexts.append(prior)
 
-    def grams(self, k: int):
-        """Order k + 2: (contexts ascending, context of each pair, successor of each pair, pair of each token)."""
+    def grams(self, k: int, parts: dict[int, int]):
+        """Order k + 2: (contexts ascending, context of each pair, successor of each pair, pair of each token).
+
+        For a split context a pair that no token has is added for each part, so that every part tells its total."""
         names, context = np.unique(self.contexts[k], return_inverse=True)
-        pairs, pair = np.unique(context * len(self.keys) + self.token, return_inverse=True)
-        return names, pairs // max(len(self.keys), 1), (self.keys >> np.uint64(32)).astype(np.uint32)[pairs % max(len(self.keys), 1)], pair
+        kinds = len(self.keys)
+        pairs, pair = np.unique(context * kinds + self.token, return_inverse=True)
+        context, successor = pairs // kinds, (self.keys >> np.uint64(32)).astype(np.uint32)[pairs % kinds]
+        split = [(i, parts[h]) for i, h in enumerate(names.tolist()) if h in parts] if parts else []
+        if split:
+            context = np.concatenate([context, *(np.full(n, i) for i, n in split)])
+            successor = np.concatenate([successor, *(np.arange(n, dtype=np.uint32) for _, n in split)])
+            order = np.argsort(context, kind="stable")
+            to = np.empty(len(order), np.int64)
+            to[order] = np.arange(len(order))
+            context, successor, pair = context[order], successor[order], to[pair]
+        return names, context, successor, pair
 
 
 def _deal(contexts: np.ndarray, successors: np.ndarray, shards: int, parts: dict[int, int]) -> np.ndarray:
@@ -239,7 +247,7 @@ def _by_shard(block: Block, shards: int, parts: dict[int, int]):
     out = [(np.argsort(home, kind="stable"), np.searchsorted(np.sort(home), np.arange(shards + 1)))]
     grams = []
     for k in range(len(block.contexts)):
-        names, context, successor, pair = block.grams(k)
+        names, context, successor, pair = block.grams(k, parts)
         home = _deal(names[context], successor, shards, parts)
         out.append((np.argsort(home, kind="stable"), np.searchsorted(np.sort(home), np.arange(shards + 1))))
         grams.append((names, context, successor, pair))
@@ -320,11 +328,66 @@ def _scores(texts: pa.Array, answers: dict[int, list[np.ndarray]], order: int, s
             share[rows] = np.where(codes > 0, 10 ** (least + (codes.astype(np.float64) - 1) * step), 0) * np.repeat(part, sizes)
             total[group] += part
             sorts[group] += kinds_of
-        split = _split_parts(names, parts)
-        if split is not None:
-            total, sorts = _whole_totals(names, context, successor, total, sorts, split)
         seen = total > 0
         rest = np.where(seen, DISCOUNT * sorts / np.where(seen, total, 1), 1)
         own = np.where(seen[context], share / np.where(seen, total, 1)[context], 0)
         p = own[pair] + rest[context][pair] * p
     return block.sizes, known, plain, np.bincount(block.doc, np.log10(p), n_docs)
+
+
+# ---------------------------------------------------------------- Spark
+
+
+def heavy_contexts(rows: DataFrame, order: int, shards: int) -> dict[int, int]:
+    """Contexts with more than a quarter of a shard's share of all tokens, and in how many parts each is dealt.
+
+    A context that heavy overall is as heavy in some batch; there are at most 4 * shards of them for each order."""
+
+    def run(batches):
+        for batch in batches:
+            block = Block(batch.column(0), order)
+            names, counts = [np.zeros(1, np.uint64)], [np.array([len(block.token)])]
+            for c in block.contexts:
+                name, n = np.unique(c, return_counts=True)
+                some = n * 4 * shards >= len(block.token)
+                names.append(name[some])
+                counts.append(n[some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], names=["context", "n"])
+
+    found = base.written(rows.select("text").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")), "heavy")
+    total = found.where("context = 0").agg(F.sum("n")).first()[0] or 0
+    heavy = found.where((F.col("context") != 0) & (F.col("n") * 4 * shards >= total)).collect()
+    return {r.context % (1 << 64): min(shards, -(-r.n * 4 * shards // total)) for r in heavy if shards > 1}
+
+
+def score(docs: DataFrame, learn: Column, order: int = ORDER, blocks: int | None = None) -> DataFrame:
+    """One row for each document, columns as in ``SCHEMA``; rows for which ``learn`` holds train the model."""
+    base.small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("train"))
+    n = blocks or max(1, rows.rdd.getNumPartitions())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"))
+    parts = heavy_contexts(rows, order, n)  # at most 4 * n for each order
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        out = list(_questions(table["text"], table["train"].to_numpy().astype(bool), order, n, parts))
+        return pa.table({"shard": pa.array([s for s, _ in out], pa.int64()), "block": pa.array([block] * len(out), pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = list(zip(table["block"].to_pylist(), table["data"].to_pylist()))
+        out, tokens, kinds = _answers(asked, order)
+        keys = list(out)
+        return pa.table({"block": pa.array(keys, pa.int64()), "shard": pa.array([table["shard"][0].as_py()] * len(keys), pa.int64()), "data": pa.array([_pack(*out[k]) for k in keys], pa.binary()), "tokens": pa.array([tokens] * len(keys), pa.int64()), "kinds": pa.array([kinds] * len(keys), pa.int64())})
+
+    asked = rows.groupBy("block").applyInArrow(ask, "shard long, block long, data binary")
+    answered = base.written(asked.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary, tokens long, kinds long"), "answers")
+    sums = answered.groupBy("shard").agg(F.max("tokens").alias("t"), F.max("kinds").alias("k")).agg(F.sum("t"), F.sum("k")).first()
+    tokens, kinds = sums[0] or 0, sums[1] or 0
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = {s: _unpack(d) for s, d in zip(right["shard"].to_pylist(), right["data"].to_pylist())}
+        sizes, known, plain, own = _scores(left["text"], got, order, n, parts, tokens, kinds)
+        train = left["train"].to_numpy().astype(bool)
+        return pa.table({"doc_id": left["doc_id"], "held_out": pa.array(~train), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(plain), "score": pa.array(own)})
+
+    return rows.groupBy("block").cogroup(answered.select("block", "shard", "data").groupBy("block")).applyInArrow(finish, SCHEMA)

@@ -67,7 +67,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minmax.link(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
