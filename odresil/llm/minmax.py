@@ -4,12 +4,12 @@ A document's set holds its distinct word shingles as 64-bit hashes.  Each permut
 signature values, the least and the greatest image, so ``BANDS * ROWS`` values need half as many evaluations.  Bands
 of ``ROWS`` values make candidates: at similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 
-Whole groups of copies never meet in one task.  Rows with equal sets are one class (a fingerprint of the set); each
-bucket of a band names its class of least hash the pivot, and only (class, pivot) pairs are confirmed by an ordinary
-join.  Links give components by label propagation with pointer jumping.  Buckets whose classes then still belong to
-several components get new pivots, one for each component in the bucket, as long as that shrinks; what remains is
-compared class by class between different components.  So a link between different texts is lost only if no band has
-both.
+Rows with equal sets are one class (a fingerprint of the set).  Each bucket of a band names its most central class the
+pivot, and (class, pivot) pairs are confirmed by an ordinary join, so a group of copies costs a pair for each member.
+Links give components by label propagation with pointer jumping.  Classes that buckets connect form a family; where a
+family still has several components, every class outside its largest one is compared with the whole family, in bounded
+blocks that count common shingles exactly and return links alone.  So a link between different texts is lost only if no
+band has both.
 
 Cases: null, empty or wordless texts have no shingles and stay alone; texts of fewer words than a shingle are one
 shingle; rows with the same doc_id are judged each, with one component id; a null doc_id gives a null component id
@@ -29,6 +29,7 @@ from . import base
 from .textcols import mixed, word_column, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
+ASKED, AGAINST, SMALL = 2000, 10_000, 200
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -145,46 +146,95 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame
     return both.where(F.col("common") * 100 >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
 
 
-def link(docs: DataFrame, width: int = SHINGLE, percent: int = 80, pivots: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (confirmed links of its set, before they are closed) per row."""
+def block_links(a_ids, a_labels, a_sets, b_ids, b_labels, b_sets, percent: int):
+    """For each set of ``a`` and each other label, one set of ``b`` with that label that it links to, if there is one.
+
+    All sets are taken relative to one of them, p: |x ^ y| = |(x ^ p) ^ (y ^ p)|, and copies of one text differ from p in
+    few shingles, so the inverted index over the differences has short lists where the sets themselves share all."""
+    p = b_sets[0]
+    differ = [np.setxor1d(x, p, assume_unique=True) for x in b_sets]
+    sizes = np.array([len(d) for d in differ])
+    flat, owner = np.concatenate(differ), np.repeat(np.arange(len(differ)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    n_b = np.array([len(x) for x in b_sets])
+    b_labels, out = np.asarray(b_labels), []
+    for ident, label, x in zip(a_ids, a_labels, a_sets):
+        d = np.setxor1d(x, p, assume_unique=True)
+        lo, hi = np.searchsorted(flat, d, "left"), np.searchsorted(flat, d, "right")
+        spans = [owner[i:j] for i, j in zip(lo.tolist(), hi.tolist()) if j > i]
+        shared = np.bincount(np.concatenate(spans), minlength=len(b_sets)) if spans else np.zeros(len(b_sets), np.int64)
+        common = (len(x) + n_b - (len(d) + sizes - 2 * shared)) // 2
+        for k in np.flatnonzero((100 * common >= percent * (len(x) + n_b - common)) & (b_labels != label)).tolist():
+            out.append((ident, b_ids[k], int(b_labels[k])))
+    return list({(i, lab): (i, j) for i, j, lab in reversed(out)}.values())
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a family (the classes that buckets connect).
+
+    Every class outside its family's largest component is compared with all of the family, in blocks of ``ASKED`` by
+    ``AGAINST`` classes, so no task grows with a family; small families share a block."""
+    star = members.select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    family = components(members.select("id").distinct(), star.where("a <> b")).withColumnRenamed("label", "family")
+    placed = base.written(family.join(labels, "id"), "families")
+    by = Window.partitionBy("family")
+    parts = placed.groupBy("family", "label").agg(F.count("*").alias("c"))
+    parts = parts.withColumn("m", F.sum("c").over(by)).withColumn("top", F.max(F.struct("c", "label")).over(by))
+    mixed_ = parts.where("m > c").groupBy("family").agg(F.first("m").alias("m"), F.first("top.label").alias("top"), (F.first("m") - F.first("top.c")).alias("rest"))
+    placed = placed.join(mixed_, "family")
+    n_i, n_j = F.ceil(F.col("rest") / ASKED).cast("int"), F.ceil(F.col("m") / AGAINST).cast("int")
+    placed = placed.withColumn("box", F.when(F.col("m") > SMALL, F.xxhash64("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(1021)))).join(sets, "id")
+    placed = base.written(placed.select("box", "family", "id", "label", "items", "top", n_i.alias("n_i"), n_j.alias("n_j")), "blocks")
+    again = placed.sparkSession.read.schema(placed.schema).parquet(placed.scratch)  # the other side of the cogroup
+    asked = placed.where("label <> top").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n_i")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
+    against = again.withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_j")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
+    columns = ["box", "i", "j", "family", "id", "label", "items"]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            sides = []
+            for t in (left, right):
+                by_family: dict = {}
+                t = t.sort_by([("family", "ascending"), ("id", "ascending")])
+                items = [np.asarray(x.values).view(np.uint64) for x in t["items"].combine_chunks()]
+                for k, f in enumerate(t["family"].to_pylist()):
+                    by_family.setdefault(f, []).append(k)
+                sides.append((by_family, t["id"].to_pylist(), t["label"].to_pylist(), [np.sort(x) for x in items]))
+            for f, rows in sides[0][0].items():
+                others = sides[1][0].get(f)
+                if others:
+                    found += block_links(*([side[c][k] for k in at] for side, at in ((sides[0], rows), (sides[1], others)) for c in (1, 2, 3)), percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    keys = ["box", "i", "j"]
+    return asked.select(*columns).groupBy(*keys).cogroup(against.select(*columns).groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+
+
+def link(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id per row."""
     rows = base.written(fingerprinted(docs, width), "prints")
     some = rows.where("print is not null and doc_id is not null")
     classes = base.written(some.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     # classes share an id where rows of one doc_id have different texts: those are one node, and any of their sets may link it
     nodes = classes.select("id").distinct()
     bucket = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id", "n")).alias("pivot")).where("m > 1")
-    members = base.written(bucket.join(crowd.select("band", "key", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), ["band", "key"]), "buckets")
-    near = F.col("n") * 100 >= percent * F.col("pn"), F.col("pn") * 100 >= percent * F.col("n")
+    crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    crowded = base.written(bucket.join(crowd, ["band", "key"]), "buckets")
+    # the class that meets most others is the pivot: of edited copies, the text they were made from
+    central = crowded.groupBy("id").agg(F.sum("m").alias("met"))
+    crowded = crowded.join(central, "id")
+    pivot = crowded.groupBy("band", "key").agg(F.max(F.struct("met", "id", "n")).alias("p")).select("band", "key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
+    members = base.written(crowded.join(pivot, ["band", "key"]).select("id", "n", "p", "pn").distinct(), "pivots")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = base.written(sets_of(texts.join(members.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id", "print"]).drop("print"), "sets")
-    pairs = members.where((F.col("id") != F.col("p")) & near[0] & near[1]).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    pairs = members.where(f"id <> p and n * 100 >= {percent} * pn and pn * 100 >= {percent} * n").select(F.col("id").alias("a"), F.col("p").alias("b"))
     links = base.written(confirmed(pairs, sets, percent), "links")
     labels = components(nodes, links)
-    for turn in range(pivots + 1):
-        placed = members.select("band", "key", "id", "n").join(labels, "id")
-        mixed_up = placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-        placed = base.written(placed.join(mixed_up, ["band", "key"]), "mixed")
-        if turn < pivots:
-            # a pivot for each component in the bucket; everyone meets the pivots of the other components
-            heads = placed.groupBy("band", "key", "label").agg(F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), "id", "n")).alias("head"))
-            other = heads.select("band", "key", F.col("label").alias("label2"), F.col("head.id").alias("p"), F.col("head.n").alias("pn"))
-            # with many components in a bucket the pivots of the least and the next labels stand for the others
-            first = Window.partitionBy("band", "key").orderBy("label2")
-            other = other.withColumn("r", F.row_number().over(first)).where("r <= 2")
-        else:
-            other = placed.select("band", "key", F.col("label").alias("label2"), F.col("id").alias("p"), F.col("n").alias("pn"))
-        meet = placed.join(other, ["band", "key"]).where((F.col("label") != F.col("label2")) & near[0] & near[1])
-        fresh = meet.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        fresh = base.written(fresh, "pairs")
-        if fresh.limit(1).count():
-            found = base.written(confirmed(fresh, sets, percent), "links")
-            pairs = pairs.unionByName(fresh)
-            if found.limit(1).count():
-                links = base.written(links.unionByName(found), "links")
-                labels = components(nodes, links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = classes.select("print", "id").join(labels, "id").join(degree, "id", "left").select("print", F.col("label").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    more = base.written(remaining_links(members, labels, sets, percent), "links")
+    if more.limit(1).count():
+        labels = components(nodes, links.unionByName(more))
+    named = classes.select("print", "id").join(labels, "id").select("print", F.col("label").alias("component_id"))
     out = rows.drop("bands").join(named, "print", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
