@@ -139,6 +139,7 @@ def differing_ranges(a: tuple[DataFrame, int], b: tuple[DataFrame, int], fan: in
             above = front.select("volume", F.col("node").alias("above"))
             left, right = (s.withColumn("above", F.floor(F.col("node") / fan).cast("long")).join(above, ["volume", "above"], "left_semi").drop("above") for s in (left, right))
         front = left.join(right, ["volume", "node"], "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("volume", "node")
+        front = base.written(front, "front")  # each level reads the one above it twice
     return front
 
 
@@ -153,7 +154,7 @@ def _raised(tree: DataFrame, have: int, depth: int, fan: int) -> DataFrame:
 def audit(a: DataFrame, b: DataFrame, span: int = RANGE, fan: int = FAN) -> DataFrame:
     """Records in which replica ``b`` departs from ``a`` (manifests as in ``MANIFEST``): volume, offset, record_id,
     length, digest_a, digest_b and kind (corrupt, missing, extra)."""
-    bad = base.written(differing_ranges(merkle_tree(a, span, fan), merkle_tree(b, span, fan), fan), "ranges")
+    bad = differing_ranges(merkle_tree(a, span, fan), merkle_tree(b, span, fan), fan)
     within = [m.withColumn("node", F.floor(F.col("offset") / span).cast("long")).join(bad, ["volume", "node"], "left_semi") for m in (a, b)]
     left = within[0].select("volume", "offset", F.col("record_id").alias("ra"), F.col("length").alias("la"), F.col("digest").alias("digest_a"))
     right = within[1].select("volume", "offset", F.col("record_id").alias("rb"), F.col("length").alias("lb"), F.col("digest").alias("digest_b"))
