@@ -165,9 +165,9 @@ def block_links(a_ids, a_labels, a_sets, b_ids, b_labels, b_sets, percent: int):
         spans = [owner[i:j] for i, j in zip(lo.tolist(), hi.tolist()) if j > i]
         shared = np.bincount(np.concatenate(spans), minlength=len(b_sets)) if spans else np.zeros(len(b_sets), np.int64)
         common = (len(x) + n_b - (len(d) + sizes - 2 * shared)) // 2
-        for k in np.flatnonzero((100 * common >= percent * (len(x) + n_b - common)) & (b_labels != label)).tolist():
-            out.append((ident, b_ids[k], int(b_labels[k])))
-    return list({(i, lab): (i, j) for i, j, lab in reversed(out)}.values())
+        linked = np.flatnonzero((100 * common >= percent * (len(x) + n_b - common)) & (b_labels != label))
+        out += [(ident, b_ids[k]) for k in linked[np.unique(b_labels[linked], return_index=True)[1]].tolist()]
+    return out
 
 
 def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
