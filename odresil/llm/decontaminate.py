@@ -26,20 +26,20 @@ from pyspark.sql import functions as F
 from . import base
 
 WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 2_000_000
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: In UTF-8 every byte of a character beyond ASCII is 0x80 or more, so words can be found in the bytes.
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words as the contract has them, after lower-casing A-Z."""
-    return WORD.findall(text.translate(LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words as the contract has them, after lower-casing A-Z, as UTF-8."""
+    return WORD.findall(text.encode().lower()) if text else []
 
 
 class WindowIndex:
     """Windows of some items, by their rarest shingle."""
 
-    def __init__(self, items: list[tuple[str | None, list[str]]], size: int = WINDOW, shingle: int = SHINGLE):
-        self.number: dict[str, int] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int = WINDOW, shingle: int = SHINGLE):
+        self.number: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set] = {}
         for name, words in items:
             ids = [self.number.setdefault(w, len(self.number)) for w in words]
@@ -62,7 +62,7 @@ class WindowIndex:
             code, known = code * self.base + part, known & (part >= 0)
         return np.where(known, code, -1)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
