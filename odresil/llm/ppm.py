@@ -7,6 +7,11 @@ byte depends on its three predecessors alone: the tree is laid out as tables fro
 length in every language, contexts of three bytes only where they were seen ``DEEP`` times or more.  A text goes to
 the language that codes it in the fewest bits; the score is that language's share of the posterior.
 
+The share says nothing of texts in no learned language: it is near 1 for any text of some words.  ``judge`` therefore
+goes by the code length itself, bits a byte under the best language.  Its limit is learned from rows the trees have not
+seen: halfway from a language's own median to what texts cost under the best of the languages that are not theirs (8
+bits where one language is learned); and the second language must cost more by ``NARROW`` of that distance.
+
 Bytes beyond the most frequent ``SYMBOLS`` share one symbol and pay for the choice among them.
 
 Training reads a sample of at most about ``ROWS`` labelled rows a language, chosen by hash (a documented bound on a
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from . import base
 
 SYMBOLS, ROWS, DEEP, UNKNOWN = 127, 3000, 6, "und"
+NARROW, RAW = 0.1, 8.0
 PAD = b"\n\n\n"
 CHUNK = 1 << 19
 
@@ -133,9 +139,8 @@ class ByteTrees:
             out += sums[np.maximum(b[1], b[0])] - sums[b[0]]
 
 
-def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> ByteTrees | None:
-    """Trees from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds."""
-    base.small_batches(docs.sparkSession)
+def labelled(docs: DataFrame, learn: Column, rows: int) -> DataFrame | None:
+    """(lang, text) of at most about ``rows`` rows a language for which ``learn`` holds; None if there are none."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("string").alias("doc_id"))
     sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
@@ -145,7 +150,16 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> ByteTrees | None:
         share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
     # a row's place between 0 and 1 is a hash of its id, so the sample is the same at every run
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    table = count_grams(usable.where(place < share).select("lang", "text")).toArrow()
+    return usable.where(place < share).select("lang", "text")
+
+
+def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> ByteTrees | None:
+    """Trees from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds."""
+    base.small_batches(docs.sparkSession)
+    sample = labelled(docs, learn, rows)
+    if sample is None:
+        return None
+    table = count_grams(sample).toArrow()
     langs = table["lang"].to_numpy(zero_copy_only=False)
     grams, n = table["gram"].to_numpy(), table["n"].to_numpy()
     order = np.lexsort((grams, langs)) if len(langs) else []
@@ -154,11 +168,18 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> ByteTrees | None:
     return ByteTrees(found) if found else None
 
 
+def _two_least(bits: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits a byte under the best and the second language; without a second one a byte costs ``RAW``."""
+    rates = np.sort(bits / np.array([len(t) for t in texts])[:, None], 1)
+    return rates[:, 0], rates[:, 1] if rates.shape[1] > 1 else np.full(len(rates), RAW)
+
+
 def identify(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
-    """``docs`` with lang_pred and score; columns of those names are replaced."""
+    """``docs`` with lang_pred, score, bits_per_byte and margin (more bits a byte under the second language); columns of
+    those names are replaced, and the last two are null for ``und``."""
     spark = docs.sparkSession
     base.small_batches(spark)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "bits_per_byte", "margin")])
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
     position = [c.lower() for c in docs.columns].index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -169,14 +190,59 @@ def identify(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
             texts = batch.column(position).to_pylist()
             named = np.array([model is not None and t is not None and any(map(str.isalpha, t)) for t in texts], bool)
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            rates, margins = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             at = np.flatnonzero(named)
             if len(at):
-                bits = model.bits([texts[k].encode() for k in at])
+                data = [texts[k].encode() for k in at]
+                bits = model.bits(data)
+                rates[at], second = _two_least(bits, data)
+                margins[at] = second - rates[at]
                 best = bits.argmin(1)
                 share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                 scores[at] = share
                 for k, b in zip(at.tolist(), best.tolist()):
                     langs[k] = model.langs[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True), pa.array(margins, from_pandas=True)], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte", "margin"])
+
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double, margin double")
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+def limits(docs: DataFrame, model: ByteTrees, rows: int = ROWS) -> dict[str, tuple[float, float]]:
+    """The most bits a byte and the least margin of each learned language, from labelled rows that ``model`` has not seen."""
+    base.small_batches(docs.sparkSession)
+    sample = labelled(docs, F.col("lang").isin(model.langs) & (F.length("text") > 0), rows)
+    if sample is None:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+
+    def run(batches):
+        model = shared.value
+        place = {lang: k for k, lang in enumerate(model.langs)}
+        for batch in batches:
+            if not len(batch):
+                continue
+            data = [t.encode() for t in batch.column(1).to_pylist()]
+            bits = model.bits(data)
+            at = np.arange(len(data)), np.array([place[lang] for lang in batch.column(0).to_pylist()])
+            own = bits[at] / np.array([len(t) for t in data])
+            bits[at] = np.inf
+            other = _two_least(bits, data)[0] if len(place) > 1 else np.full(len(data), RAW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(other)], names=["lang", "own", "other"])
+
+    medians = sample.mapInArrow(run, "lang string, own double, other double").groupBy("lang").agg(F.median("own"), F.median("other"))
+    found = {lang: (own, other) for lang, own, other in medians.collect()}  # a row a language
+    foreign = float(np.mean([other for _, other in found.values()]))
+    usual = float(np.mean([own for own, _ in found.values()]))
+    out = {}
+    for lang in model.langs:
+        own, other = found.get(lang, (usual, foreign))
+        out[lang] = (own + max(foreign, other)) / 2, NARROW * (other - own)
+    return out
+
+
+def judge(docs: DataFrame, model: ByteTrees | None, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """``identify`` with ``accepted``: some language is known for the text and codes it within its ``limits``."""
+    accepted = F.lit(False)
+    for lang, (most, least) in bounds.items():
+        accepted = F.when(F.col("lang_pred") == lang, (F.col("bits_per_byte") <= most) & (F.col("margin") >= least)).otherwise(accepted)
+    return identify(docs, model).withColumn("accepted", accepted)
