@@ -2,18 +2,20 @@
 
 The model is an interpolated, absolutely discounted n-gram model over words and an end token; below the pairs stands
 the add-one word distribution.  It learns from every training row, so its size follows the input: n-grams are dealt
-by context to as many shards as there are blocks of documents.  A shard merges the counts of all blocks, builds one
-trie level for each order, and answers each block's questions; nothing of the model passes through the driver but
-the number of tokens and of distinct words.
+by first word to as many shards as there are blocks of documents.  A shard merges the counts of all blocks, builds a
+trie with one level for each order, and answers each block's questions; nothing of the model passes through the driver
+but the number of tokens and of distinct words.
 
-A level holds its contexts and, for each, the successors in order.  Contexts, pointers and successors are monotone
-sequences in Elias-Fano code (a successor is stored with its context's rank in front, so the sequence rises), next to
-one byte for each smoothed probability on a logarithmic scale.  Levels lie in a memory-mapped file that has no name, so
-nothing stays behind when a task is lost.  A query finds the context's rank and searches its successors alone.
+The root level holds the first words; a node of a further level is a successor of a node of the level above, whose
+pointers give its range.  Words, pointers and successors are monotone sequences in Elias-Fano code (a successor is
+stored with its parent's rank in front, so the sequence rises), next to one byte for each smoothed probability on a
+logarithmic scale.  Levels lie in a memory-mapped file that has no name, so nothing stays behind when a task is lost.
+A query goes down from the first word and searches in each level the range its parent's pointers give; blocks and
+shards send n-grams the same way, each as its parent's place and one word.
 
 A context with more than its share of all n-grams would fill a shard by itself, so its successors are split over
-several; each part answers with its own total, and a block adds the parts up.  Which contexts are split changes the
-work's spread only, never a score.
+several; each part holds the nodes on the way to it without their counts and answers with its own total, and a block
+adds the parts up.  Which contexts are split changes the work's spread only, never a score.
 
 Cases: null and empty texts have the end token alone; without training rows every token has probability 1 / 1;
 repeated rows count and are scored each; null doc_ids are scored too; columns other than the named ones are ignored.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import base
 from .textcols import mixed, word_column, word_hashes
 
-ORDER, DISCOUNT = 2, 0.75
+ORDER, DISCOUNT = 3, 0.75
 END, START = np.uint64(0xE2D0000000000001), np.uint64(0x57A0000000000003)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -86,7 +88,7 @@ class EliasFano:
     def find(self, wanted: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The place of each wanted value within [lo, hi), found as its successor; -1 where the successor is another value."""
         starts = self._bounds()
-        upper = (wanted >> np.uint64(8 * self.low_bytes)).astype(np.int64) if self.low_bytes < 8 else np.zeros(len(wanted), np.int64)
+        upper = np.minimum(wanted >> np.uint64(8 * self.low_bytes), np.uint64(1 << 62)).astype(np.int64) if self.low_bytes < 8 else np.zeros(len(wanted), np.int64)
         last = len(starts) - 1
         a, b = starts[np.minimum(upper, last)], starts[np.minimum(upper + 1, last)]
         if self.low_bytes == 8:
@@ -112,19 +114,20 @@ class EliasFano:
 
 
 class TrieLevel:
-    """One order's contexts, their successors and quantised probabilities in a memory-mapped file."""
-
-    def __init__(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray, counts: np.ndarray):
-        """contexts: ascending; sizes: successors of each; successors: 32-bit keys, ascending in a context; counts > 0."""
-        ends = np.cumsum(sizes)
-        self.total = np.add.reduceat(counts, ends - sizes).astype(np.float64) if len(sizes) else np.empty(0)
-        self.kinds = sizes.astype(np.int64)
-        rank = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        logs = np.log10((counts - DISCOUNT) / np.repeat(self.total, sizes))
-        self.least, top = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
+    """The successors of the level above's nodes: pointers, words and quantised probabilities in a memory-mapped file."""
+
+    def __init__(self, parents: int, nodes: np.ndarray, counts: np.ndarray):
+        """parents: nodes of the level above; nodes: parent's rank and 32-bit word, ascending; counts: 0 for nodes that only lead on."""
+        parent = (nodes >> np.uint64(32)).astype(np.int64)
+        self.total = np.bincount(parent, counts, parents)
+        self.kinds = np.bincount(parent, counts > 0, parents).astype(np.int64)
+        logs = np.log10(np.maximum(counts - DISCOUNT, 1 - DISCOUNT) / np.maximum(self.total[parent], 1))
+        seen = logs[counts > 0]
+        self.least, top = (float(seen.min()), float(seen.max())) if len(seen) else (0.0, 0.0)
         self.step = max((top - self.least) / 254, 1e-12)
-        codes = (np.rint((logs - self.least) / self.step) + 1).astype(np.uint8)
-        parts = [EliasFano.encode(contexts), EliasFano.encode(np.concatenate([[0], ends])), EliasFano.encode((rank << np.uint64(32)) | successors.astype(np.uint64))]
+        codes = np.where(counts > 0, np.rint((logs - self.least) / self.step) + 1, 0).astype(np.uint8)
+        starts = np.searchsorted(parent, np.arange(parents + 1))
+        parts = [EliasFano.encode(starts), EliasFano.encode(nodes)]
         with tempfile.TemporaryFile() as f:
             places = []
             for data in [x for p in parts for x in (p.low, p.high)] + [codes]:
@@ -134,26 +137,27 @@ class TrieLevel:
             f.flush()
             self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         views = [np.frombuffer(self.file, np.uint8, n, at) for at, n in places]
-        self.contexts, self.pointers, self.successors = (EliasFano(p.count, p.low_bytes, views[2 * k], views[2 * k + 1]) for k, p in enumerate(parts))
+        self.pointers, self.nodes = (EliasFano(p.count, p.low_bytes, views[2 * k], views[2 * k + 1]) for k, p in enumerate(parts))
         self.codes = views[-1]
-        self.ends = None
-
-    def query(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray):
-        """For ascending contexts with some successors each: codes (0: not found), totals and kinds of the contexts."""
-        n = self.contexts.count
-        if not n:
-            return np.zeros(len(successors), np.uint8), np.zeros(len(contexts), np.float32), np.zeros(len(contexts), np.uint32)
-        if self.ends is None:
-            self.ends = self.pointers.values().astype(np.int64)
-        at = self.contexts.find(contexts)
-        found = at >= 0
-        at = np.where(found, at, 0)
-        rank = np.repeat(at, sizes)
-        wanted = (rank.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64)
-        place = self.successors.find(wanted, self.ends[rank], self.ends[rank + 1])
-        ok = np.repeat(found, sizes) & (place >= 0)
-        codes = np.where(ok, self.codes[np.where(ok, place, 0)], 0).astype(np.uint8)
-        return codes, np.where(found, self.total[at], 0).astype(np.float32), np.where(found, self.kinds[at], 0).astype(np.uint32)
+        self.starts = None
+
+    def query(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The ranks of the parents' successors, searched in each parent's own range; -1: not found, or no parent."""
+        if not self.nodes.count:
+            return np.full(len(words), -1, np.int64)
+        if self.starts is None:
+            self.starts = self.pointers.values().astype(np.int64)
+        at = np.maximum(parents, 0)
+        place = self.nodes.find((at.astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64), self.starts[at], self.starts[at + 1])
+        return np.where(parents >= 0, place, -1)
+
+    def answer(self, places: np.ndarray, contexts: np.ndarray):
+        """Codes at places (0: not found), totals and kinds of contexts of the level above."""
+        codes = np.where(places >= 0, self.codes[np.maximum(places, 0)], 0).astype(np.uint8) if self.nodes.count else np.zeros(len(places), np.uint8)
+        some = contexts >= 0
+        total, kinds = np.zeros(len(contexts), np.float32), np.zeros(len(contexts), np.uint32)
+        total[some], kinds[some] = self.total[contexts[some]], self.kinds[contexts[some]]
+        return codes, total, kinds
 
 
 # ---------------------------------------------------------------- blocks
@@ -211,127 +215,149 @@ class Block:
             prior = mixed(prior * np.uint64(0xC2B2AE3D27D4EB4F) + shifted)
             self.contexts.append(prior)
 
-    def grams(self, k: int, parts: dict[int, int]):
-        """Order k + 2: (contexts ascending, context of each pair, successor of each pair, pair of each token).
-
-        For a split context a pair that no token has is added for each part, so that every part tells its total."""
-        names, context = np.unique(self.contexts[k], return_inverse=True)
-        kinds = len(self.keys)
-        pairs, pair = np.unique(context * kinds + self.token, return_inverse=True)
-        context, successor = pairs // kinds, (self.keys >> np.uint64(32)).astype(np.uint32)[pairs % kinds]
-        split = [(i, parts[h]) for i, h in enumerate(names.tolist()) if h in parts] if parts else []
-        if split:
-            context = np.concatenate([context, *(np.full(n, i) for i, n in split)])
-            successor = np.concatenate([successor, *(np.arange(n, dtype=np.uint32) for _, n in split)])
-            order = np.argsort(context, kind="stable")
+    def levels(self, shards: int, parts: dict[int, int]):
+        """The root words, and of each order from 2 on: parent, word, home shard of each n-gram and n-gram of each token.
+
+        A parent is a place in the order below.  For a split context an n-gram that no token has is added for each part,
+        so that every part tells its total; one of start tokens alone is added where the next order's begin with it."""
+        roots = np.unique(np.append(self.keys, START))
+        home = (mixed(roots) % np.uint64(shards)).astype(np.int64)
+        node, begin = np.searchsorted(roots, self.keys)[self.token], int(np.searchsorted(roots, START))
+        hot = np.array(sorted(parts), np.uint64)
+        times = np.array([parts[int(h)] for h in hot], np.int64)
+        words, kinds, out = (self.keys >> np.uint64(32)).astype(np.uint32), len(self.keys), []
+        for k, hashes in enumerate(self.contexts):
+            above = np.full(len(node), begin, np.int64)
+            inside = np.ones(len(node), bool)
+            inside[self.first] = False
+            above[inside] = node[np.flatnonzero(inside) - 1]
+            pairs, pair = np.unique(above * kinds + self.token, return_inverse=True)
+            parent, word = [pairs // kinds], [words[pairs % kinds]]
+            split = np.ones(len(home), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+                some = np.flatnonzero(hot[at] == hashes)
+                split[above[some]] = times[at[some]]
+                wide = np.flatnonzero(split > 1)
+                parent += [np.full(split[i], i) for i in wide]
+                word += [np.arange(split[i], dtype=np.uint32) for i in wide]
+            parent.append(np.array([begin] if k + 1 < len(self.contexts) else [], np.int64))
+            word.append(np.array([START >> np.uint64(32)] * len(parent[-1]), np.uint32))
+            parent, word = np.concatenate(parent), np.concatenate(word)
+            order = np.argsort(parent, kind="stable")
             to = np.empty(len(order), np.int64)
             to[order] = np.arange(len(order))
-            context, successor, pair = context[order], successor[order], to[pair]
-        return names, context, successor, pair
+            parent, word, pair = parent[order], word[order], to[pair]
+            begin = int(to[-1]) if len(to) else 0
+            home = (home[parent] + word.astype(np.int64) % split[parent]) % shards
+            node = pair
+            out.append((parent, word, home, pair))
+        return roots, out
 
 
-def _deal(contexts: np.ndarray, successors: np.ndarray, shards: int, parts: dict[int, int]) -> np.ndarray:
-    """The shard of each (context hash, successor)."""
-    home = (mixed(contexts) % np.uint64(shards)).astype(np.int64)
-    if parts:
-        hot = np.array(sorted(parts), np.uint64)
-        at = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
-        n = np.where(hot[at] == contexts, np.array([parts[int(h)] for h in hot])[at], 1)
-        home = (home + successors.astype(np.int64) % n) % shards
-    return home
+def _dealt(home: np.ndarray, shards: int) -> list[np.ndarray]:
+    """The places that go to each shard, ascending."""
+    return np.split(np.argsort(home, kind="stable"), np.searchsorted(np.sort(home), np.arange(1, shards)))
 
 
 def _by_shard(block: Block, shards: int, parts: dict[int, int]):
-    """Which words and which pairs of each order go to which shard: lists of index arrays, in a fixed order."""
-    home = (mixed(block.keys) % np.uint64(shards)).astype(np.int64)
-    out = [(np.argsort(home, kind="stable"), np.searchsorted(np.sort(home), np.arange(shards + 1)))]
-    grams = []
-    for k in range(len(block.contexts)):
-        names, context, successor, pair = block.grams(k, parts)
-        home = _deal(names[context], successor, shards, parts)
-        out.append((np.argsort(home, kind="stable"), np.searchsorted(np.sort(home), np.arange(shards + 1))))
-        grams.append((names, context, successor, pair))
-    return out, grams
-
+    """Root words, levels, and for each shard its words, its root words and of each order the n-grams it gets.
 
-def _asked(names, context, successor, rows):
-    """The pairs ``rows`` grouped by context: context hashes, successors of each, successors, and each row's group."""
-    c = context[rows]
-    new = np.flatnonzero(np.diff(c, prepend=-1))
-    return names[c[new]], np.diff(np.append(new, len(c))), successor[rows], c[new]
+    With an n-gram go all on the way to it, also those that are at home in another shard."""
+    roots, levels = block.levels(shards, parts)
+    words = _dealt((mixed(block.keys) % np.uint64(shards)).astype(np.int64), shards)
+    own = [_dealt(home, shards) for _, _, home, _ in levels]
+    out = []
+    for s in range(shards):
+        lists, needed = [], np.empty(0, np.int64)
+        for (parent, _, _, _), mine in zip(reversed(levels), reversed(own)):
+            rows = np.union1d(mine[s], needed)
+            lists.append(rows)
+            needed = np.unique(parent[rows])
+        out.append((words[s], needed, lists[::-1]))
+    return roots, levels, out
 
 
 def _questions(texts: pa.Array, train: np.ndarray, order: int, shards: int, parts: dict[int, int]):
     """For each shard, the packed words and n-grams of a block with their counts in training rows."""
     block = Block(texts, order)
-    dealt, grams = _by_shard(block, shards, parts)
+    roots, levels, dealt = _by_shard(block, shards, parts)
     learn = train[block.doc]
-    counts = [np.bincount(block.token[learn], minlength=len(block.keys))] + [np.bincount(g[3][learn], minlength=len(g[1])) for g in grams]
-    for s in range(shards):
-        rows = dealt[0][0][dealt[0][1][s] : dealt[0][1][s + 1]]
-        arrays = [_rises(block.keys[rows]), counts[0][rows].astype(np.uint32)]
-        for (order_, bounds), g, n in zip(dealt[1:], grams, counts[1:]):
-            rows = order_[bounds[s] : bounds[s + 1]]
-            names, sizes, successors, _ = _asked(g[0], g[1], g[2], rows)
-            arrays += [_rises(names), sizes.astype(np.uint32), successors, n[rows].astype(np.uint32)]
+    count = np.bincount(block.token[learn], minlength=len(block.keys))
+    counts = [np.bincount(pair[learn], minlength=len(parent)) for parent, _, _, pair in levels]
+    for s, (rows, above, lists) in enumerate(dealt):
+        arrays = [_rises(block.keys[rows]), count[rows].astype(np.uint32), _rises(roots[above])]
+        for (parent, word, home, _), n, rows in zip(levels, counts, lists):
+            arrays += [_rises(np.searchsorted(above, parent[rows]).astype(np.uint32)), word[rows], np.where(home[rows] == s, n[rows], 0).astype(np.uint32)]
+            above = rows
         yield s, _pack(*arrays)
 
 
 def _answers(asked: list[tuple[int, bytes]], order: int):
-    """A shard: merges the blocks' counts, builds its trie levels and answers every block."""
+    """A shard: merges the blocks' counts, builds its trie level by level and answers every block."""
     got = [(block, _unpack(data)) for block, data in asked]
     keys = [np.cumsum(x[0], dtype=np.uint64) for _, x in got]
     words, at = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(at, np.concatenate([x[1] for _, x in got])).astype(np.int64)
     tokens, kinds = int(count.sum()), int((count > 0).sum())
     out = {block: [count[np.searchsorted(words, k)].astype(np.uint32)] for (block, _), k in zip(got, keys)}
+    # n-grams of training rows and those on the way to one are the trie's nodes
+    parents, kept = [], []
+    for _, x in got:
+        parents.append([np.cumsum(x[3 + 3 * k], dtype=np.int64) for k in range(order - 1)])
+        keep = [x[5 + 3 * k] > 0 for k in range(order - 1)]
+        for k in range(order - 2, 0, -1):
+            keep[k - 1][parents[-1][k][keep[k]]] = True
+        kept.append(keep)
+    first = [np.cumsum(x[2], dtype=np.uint64) for _, x in got]
+    if order > 1:
+        roots = np.unique(np.concatenate([f[np.unique(p[0][keep[0]])] for f, p, keep in zip(first, parents, kept)]))
+        root = EliasFano.encode(roots)
+        ranks, above = [root.find(f) for f in first], len(roots)
     for k in range(order - 1):
-        names = [np.cumsum(x[2 + 4 * k], dtype=np.uint64) for _, x in got]
-        whole = np.concatenate([np.repeat(n, x[3 + 4 * k]) for n, (_, x) in zip(names, got)])
-        successor = np.concatenate([x[4 + 4 * k] for _, x in got])
-        n = np.concatenate([x[5 + 4 * k] for _, x in got]).astype(np.int64)
-        seen = n > 0
-        whole, successor, n = whole[seen], successor[seen], n[seen]
-        order_ = np.lexsort((successor, whole))
-        whole, successor, n = whole[order_], successor[order_], n[order_]
-        new = np.flatnonzero((np.diff(whole, prepend=np.uint64(0)) != 0) | (np.diff(successor.astype(np.int64), prepend=-1) != 0)) if len(whole) else np.empty(0, np.int64)
-        if len(new) and new[0] != 0:
-            new = np.append(0, new)
-        n = np.add.reduceat(n, new) if len(new) else n
-        whole, successor = whole[new], successor[new]
-        contexts, first = np.unique(whole, return_index=True)
-        level = TrieLevel(contexts, np.diff(np.append(first, len(whole))), successor, n)
-        for name, (block, x) in zip(names, got):
-            codes, total, kinds_of = level.query(name, x[3 + 4 * k].astype(np.int64), x[4 + 4 * k])
+        over = [r[p[k]] for r, p in zip(ranks, parents)]
+        nodes = np.concatenate([(o[keep[k]].astype(np.uint64) << np.uint64(32)) | x[4 + 3 * k][keep[k]].astype(np.uint64) for o, keep, (_, x) in zip(over, kept, got)])
+        n = np.concatenate([x[5 + 3 * k][keep[k]] for keep, (_, x) in zip(kept, got)])
+        nodes, at = np.unique(nodes, return_inverse=True)
+        level = TrieLevel(above, nodes, np.bincount(at, n, len(nodes)).astype(np.int64))
+        above = len(nodes)
+        del nodes, at, n
+        for i, (block, x) in enumerate(got):
+            places = level.query(over[i], x[4 + 3 * k])
+            codes, total, kinds_of = level.answer(places, ranks[i][np.unique(parents[i][k])])
             out[block] += [codes, total, kinds_of, np.array([level.least, level.step])]
+            ranks[i] = places
     return out, tokens, kinds
 
 
 def _scores(texts: pa.Array, answers: dict[int, list[np.ndarray]], order: int, shards: int, parts: dict[int, int], tokens: int, kinds: int):
     """n_tokens, n_known, base score and score of each text of a block."""
     block = Block(texts, order)
-    dealt, grams = _by_shard(block, shards, parts)
+    roots, levels, dealt = _by_shard(block, shards, parts)
     count = np.zeros(len(block.keys), np.int64)
-    for s in range(shards):
-        count[dealt[0][0][dealt[0][1][s] : dealt[0][1][s + 1]]] = answers[s][0]
+    for s, (rows, _, _) in enumerate(dealt):
+        count[rows] = answers[s][0]
     p = (count + 1) / (tokens + kinds + 1)
     n_docs = len(block.sizes)
     known = np.bincount(block.doc, (count > 0)[block.token], n_docs).astype(np.int64)
     plain = np.bincount(block.doc, np.log10(p)[block.token], n_docs)
     p = p[block.token]
-    for k, (names, context, successor, pair) in enumerate(grams):
-        share, total, sorts = np.zeros(len(context)), np.zeros(len(names)), np.zeros(len(names))
-        for s in range(shards):
-            rows = dealt[k + 1][0][dealt[k + 1][1][s] : dealt[k + 1][1][s + 1]]
-            _, sizes, _, group = _asked(names, context, successor, rows)
+    above = len(roots)
+    for k, (parent, _, home, pair) in enumerate(levels):
+        share, total, sorts = np.zeros(len(parent)), np.zeros(above), np.zeros(above)
+        for s, (_, _, lists) in enumerate(dealt):
+            rows = lists[k]
             codes, part, kinds_of, (least, step) = answers[s][1 + 4 * k : 5 + 4 * k]
-            share[rows] = np.where(codes > 0, 10 ** (least + (codes.astype(np.float64) - 1) * step), 0) * np.repeat(part, sizes)
-            total[group] += part
-            sorts[group] += kinds_of
+            context, group = np.unique(parent[rows], return_inverse=True)
+            mine = home[rows] == s
+            share[rows[mine]] = (np.where(codes > 0, 10 ** (least + (codes.astype(np.float64) - 1) * step), 0) * part[group])[mine]
+            total[context] += part
+            sorts[context] += kinds_of
         seen = total > 0
         rest = np.where(seen, DISCOUNT * sorts / np.where(seen, total, 1), 1)
-        own = np.where(seen[context], share / np.where(seen, total, 1)[context], 0)
-        p = own[pair] + rest[context][pair] * p
+        own = np.where(seen[parent], share / np.where(seen, total, 1)[parent], 0)
+        p = own[pair] + rest[parent][pair] * p
+        above = len(parent)
     return block.sizes, known, plain, np.bincount(block.doc, np.log10(p), n_docs)
 
 
