@@ -99,11 +99,15 @@ def ks_mean(x: np.ndarray, w: np.ndarray, h: np.ndarray) -> float:
     return float(np.mean(out))
 
 
-def masked_error(x: np.ndarray, k: int, seed: int, share: float = 0.1, rounds: int = 6) -> float:
-    """Held-out-entry error: hides ``share`` of the cells, fills them in rounds, relative error on them."""
+def masked_error(x: np.ndarray, k: int, seed: int, share: float = 0.1, rounds: int = 12, l1: float = 0.0, sweeps: int = 120) -> float:
+    """Held-out-entry error: hides ``share`` of the cells, fills them in rounds, relative error on them.
+
+    NaN where no cell or every cell is hidden, or the hidden ones are all zero."""
     hidden = np.random.default_rng(seed).random(x.shape) < share
-    filled = np.where(hidden, x[~hidden].mean() if (~hidden).any() else 0.0, x)
+    if not hidden.any() or hidden.all() or not x[hidden].any():
+        return float("nan")
+    filled = np.where(hidden, x[~hidden].mean(), x)
     for _ in range(rounds):
-        w, h = nmf(filled, k, sweeps=60)
+        w, h = nmf(filled, k, l1, sweeps=sweeps)
         filled = np.where(hidden, w @ h, x)
-    return float(np.linalg.norm((x - filled)[hidden]) / max(np.linalg.norm(x[hidden]), TINY))
+    return float(np.linalg.norm((x - filled)[hidden]) / np.linalg.norm(x[hidden]))

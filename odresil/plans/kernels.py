@@ -20,6 +20,8 @@ from odresil.sources.testdata import nation_flows, zone_values
 
 PERIOD, PERIODS, FIT = 42, 60, 45
 NAMES = [*CATEGORIES, "income", "r0"]
+#: Candidate ranks of cross-validation, bounded by a unit's matrix, and its independent masks.
+RANKS, REPEATS = (*range(1, 13), 15, 18, 21, 25, 30, 35, 40), 5
 PENALTIES = np.logspace(-3, 3, 13)
 
 
@@ -85,15 +87,23 @@ def nmf_quality(spark, sf_dir):
     return matrices(spark, sf_dir).groupBy("unit").applyInPandas(run, "unit long, error double, fit_error double, held_error double, ks double, near_zero int")
 
 
+def rank_grid(x: DataFrame) -> DataFrame:
+    """The matrices once for each rank that the unit's allows and each repeat."""
+    bound = x.groupBy("unit").agg(F.least(F.count("*"), F.lit(PERIODS)).alias("bound"))
+    ranks = bound.select("unit", "bound", F.explode(F.array(*map(F.lit, RANKS))).alias("k")).where("k <= bound").select("unit", "k")
+    return x.join(ranks, "unit").withColumn("rep", F.explode(F.array(*map(F.lit, range(REPEATS)))))
+
+
 @query()
 def rank_cv(spark, sf_dir):
     """Every (unit, k, repeat) is a task of its own; the same seeds serve every k."""
-    grid = matrices(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).withColumn("rep", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    # dealt out by number, so that small rows of long tasks are not put together again
+    grid = rank_grid(matrices(spark, sf_dir)).repartition(4 * spark.sparkContext.defaultParallelism, "unit", "k", "rep")
 
     def run(pdf):
         k, rep = int(pdf.k.iloc[0]), int(pdf.rep.iloc[0])
         pdf, x = dense(pdf)
-        return pd.DataFrame([(int(pdf.unit[0]), k, rep, factor.masked_error(x, k, 42 + rep, rounds=3))], columns=["unit", "k", "rep", "error"])
+        return pd.DataFrame([(int(pdf.unit[0]), k, rep, factor.masked_error(x, k, 42 + rep, l1=0.1))], columns=["unit", "k", "rep", "error"])
 
     cv = grid.groupBy("unit", "k", "rep").applyInPandas(run, "unit long, k int, rep int, error double")
     return cv.groupBy("unit", "k").agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"))
