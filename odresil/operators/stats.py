@@ -47,6 +47,39 @@ def cosine_knn(train: DataFrame, test: DataFrame, leave_one_out: bool = False) -
     return rows.withColumn("w", w).groupBy("id").agg(F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")), F.avg("y")).alias("pred"))
 
 
+def cosine_knn_blocks(train: DataFrame, test: DataFrame, leave_one_out: bool = False, size: int = 2000) -> DataFrame:
+    """``cosine_knn`` for a training side of any size: unit vectors in blocks of about ``size`` rows, partial sums a block pair.
+
+    Training rows without a label or a vector are left out; a test row without a vector gets the plain mean."""
+    import numpy as np
+    import pandas as pd
+
+    train = train.where(F.col("y").isNotNull() & F.col("v").isNotNull()).select("id", "v", "y")
+    parts = lambda rows: max(1, -(-rows.count() // size))
+    na, nb = parts(test), parts(train)
+    a = test.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(na)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"))
+    b = train.select("id", "v", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("b"))
+
+    def run(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "w": [], "wy": [], "n": [], "y": []})
+        width = len(right.v.iloc[0])
+
+        def unit(vectors):
+            x = np.array([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors])
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+        w, y = np.maximum(unit(left.v) @ unit(right.v).T, 0), right.y.to_numpy(float)
+        use = left.id.to_numpy()[:, None] != right.id.to_numpy()[None] if leave_one_out else np.ones(w.shape, bool)
+        w = w * use
+        return pd.DataFrame({"id": left.id, "w": w.sum(1), "wy": w @ y, "n": use.sum(1), "y": use @ y})
+
+    sums = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(run, "id long, w double, wy double, n long, y double")
+    total = sums.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("w", "wy", "n", "y")])
+    return total.select("id", F.coalesce(F.try_divide("wy", "w"), F.try_divide("y", "n")).alias("pred"))
+
+
 def ks_distance(rows: DataFrame, by: list[str], value: str, first: str) -> DataFrame:
     """Largest gap between the right-continuous ECDFs of the rows with and without ``first``, within each group."""
     w = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ from odresil.operators import stats
 from odresil.plans.curves import KEYS, SMOOTH, rounded, smoothed
 from odresil.plans.flows import ACTIVE, SEGMENT, active
 from odresil.plans.registry import query
+from odresil.shipping import ship
 from odresil.sources.testdata import TRANSITIONS, table
 
 CUSTOMERS = "cu AS (SELECT c_custkey AS id, c_nationkey AS unit, round(c_acctbal / 100) AS x, (c_custkey * 7919 % 101)::DOUBLE AS y, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE abs(c_acctbal) % 50 END AS z FROM customer)"
@@ -74,6 +75,22 @@ def cosine_knn_loo(spark, sf_dir):
     return rounded(stats.cosine_knn(v, v, leave_one_out=True), "pred")
 
 
+@query()
+def cosine_knn_all(spark, sf_dir):
+    """``cosine_knn`` learning from every labelled vector; the first one's SQL fixes 50 of them."""
+    ship(spark)
+    v = vectors(spark, sf_dir)
+    return rounded(stats.cosine_knn_blocks(v, v), "pred")
+
+
+@query()
+def cosine_knn_loo_all(spark, sf_dir):
+    """``cosine_knn_loo`` over every labelled vector."""
+    ship(spark)
+    v = vectors(spark, sf_dir)
+    return rounded(stats.cosine_knn_blocks(v, v, leave_one_out=True), "pred")
+
+
 @query(f"""WITH {TRANSITIONS}, {ACTIVE}, g AS (SELECT slot_of_day, flow, {SEGMENT} = 'normal' AS a FROM act),
 c AS (SELECT slot_of_day, abs(sum(a::INT) OVER w / sum(a::INT) OVER (PARTITION BY slot_of_day) - sum((NOT a)::INT) OVER w / sum((NOT a)::INT) OVER (PARTITION BY slot_of_day)) AS gap FROM g
   WINDOW w AS (PARTITION BY slot_of_day ORDER BY flow RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT slot_of_day, round(max(gap), 6) AS ks FROM c GROUP BY 1""")
