@@ -20,6 +20,7 @@ from odresil.sources.testdata import nation_flows, zone_values
 
 PERIOD, PERIODS, FIT = 42, 60, 45
 NAMES = [*CATEGORIES, "income", "r0"]
+PERMUTATIONS, SWEEPS = 10_000, 5_000
 #: Candidate ranks of cross-validation, bounded by a unit's matrix, and its independent masks.
 RANKS, REPEATS = (*range(1, 13), 15, 18, 21, 25, 30, 35, 40), 5
 PENALTIES = np.logspace(-3, 3, 13)
@@ -43,7 +44,7 @@ def dense(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
 def nmf_cd(spark, sf_dir):
     def run(pdf):
         pdf, x = dense(pdf)
-        w, h = factor.nmf(x, 3, l1=0.1)
+        w, h = factor.nmf(x, 3, l1=0.1, sweeps=SWEEPS)
         return pd.DataFrame([(int(pdf.unit[0]), j, float(w[:, j].sum()), float(h[j].sum()), factor.relative_error(x, w, h)) for j in range(3)], columns=["unit", "component", "w_sum", "h_sum", "error"])
 
     return matrices(spark, sf_dir).groupBy("unit").applyInPandas(run, "unit long, component int, w_sum double, h_sum double, error double")
@@ -462,9 +463,9 @@ def coef_heatmap(spark, sf_dir):
 
 @query()
 def permutation_p(spark, sf_dir):
-    """Two-sided p of the pooled rank correlation of income and loss under 500 permutations within units."""
+    """Two-sided p of the pooled rank correlation of income and loss under ``PERMUTATIONS`` permutations within units."""
     rows = component_table(spark, sf_dir).select("unit", "component", F.col("income").alias("x"), F.col("target").alias("y"))
-    perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(500))))
+    perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS))))
     order = Window.partitionBy("perm", "unit").orderBy(F.when(F.col("perm") == 0, F.col("component")).otherwise(F.xxhash64("perm", "component")))
     left = perms.withColumn("k", F.row_number().over(order)).select("perm", "unit", "k", "x")
     right = rows.withColumn("k", F.row_number().over(Window.partitionBy("unit").orderBy("component"))).select("unit", "k", "y")
