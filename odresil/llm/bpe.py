@@ -12,10 +12,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import base
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -36,48 +41,86 @@ def _byte_table() -> dict[int, str]:
 
 
 class ColumnEncoder:
-    """Encodes string columns; ``spaced`` vocabularies mark a word's leading space, the others drop white space."""
+    """Encodes string columns; ``spaced`` vocabularies mark a word's leading space, the others drop white space.
+
+    The tokenizer stays as its file has it.  A text that holds the literal of an added token goes through the library
+    as a whole, for such a literal is cut out before any other splitting.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.bytes = self.tokenizer.model, _byte_table()
         self.spaced = self.tokenizer.normalizer is None
-        self.known: dict[str, bytes] = {}
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = "|".join(re.escape(t.content) for t in added)
+        self.all_whole = any(t.normalized for t in added)  # literals that are looked for after normalising
+        self.pieces: dict[str, bytes] = {}
+        #: Row in the pool of each remembered chunk: those at a text's start, and those after a space.
+        self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.sizes, self.ends, self.pool, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _piece(self, piece: str) -> bytes:
         """The ids of what the pre-tokeniser leaves in one piece."""
-        ids = self.known.get(piece)
+        ids = self.pieces.get(piece)
         if ids is None:
             mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.bytes)
             ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             if len(piece) <= LONGEST:
-                self.known[piece] = ids
-        return ids
-
-    def _whole(self, text: str) -> bytes:
-        """The ids of a chunk that needs the library's own splitting."""
-        ids = self.known.get(text)
-        if ids is None:
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            if len(text) <= LONGEST:
-                self.known[text] = ids
+                self.pieces[piece] = ids
         return ids
 
-    def _look_up(self, chunks: list[str], space: str) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out, plain, piece, spaced = [], PLAIN.match, self._piece, self.spaced
-        for chunk in chunks:
-            if m := plain(chunk):
-                word, tail = m.groups()  # an apostrophe starts a contraction only before letters, and none follow here
-                ids = piece(space + (word if spaced else word.lower()))
-                out.append(ids + piece(tail) if tail else ids)
-            else:
-                out.append(self._whole(space + chunk) if chunk else b"")
-        return out
+    def _library(self, text: str) -> bytes:
+        """The ids of a text by the library's own splitting."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str, space: str) -> bytes:
+        if not chunk:
+            return b""
+        if m := PLAIN.match(chunk):
+            word, tail = m.groups()  # an apostrophe starts a contraction only before letters, and none follow here
+            ids = self._piece(space + (word if self.spaced else word.lower()))
+            return ids + self._piece(tail) if tail else ids
+        return self._library(space + chunk)
+
+    def _added_rows(self, found: list[bytes]) -> np.ndarray:
+        """New rows of the pool, one for each entry."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, at = self.count, int(self.ends[self.count - 1]) if self.count else 0
+        self.count += len(found)
+        if self.count > len(self.sizes):
+            self.sizes, self.ends = (np.concatenate([x, np.zeros(self.count, np.int64)]) for x in (self.sizes, self.ends))
+        total = at + int(sizes.sum())
+        if total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(total, np.uint32)])
+        self.sizes[first : self.count] = sizes
+        self.ends[first : self.count] = at + np.cumsum(sizes)
+        self.pool[at:total] = np.frombuffer(b"".join(found), "<u4")
+        return np.arange(first, self.count)
+
+    def _look_up(self, chunks: list[str], spaced: bool) -> np.ndarray:
+        """The pool's row of each chunk."""
+        known, space = self.rows[spaced], " " if spaced else ""
+        rows = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            new = self._added_rows([self._chunk(chunks[k], space) for k in missing])
+            rows[missing] = new
+            known.update((chunks[k], r) for k, r in zip(missing, new.tolist()) if len(chunks[k]) <= LONGEST)
+        return rows
+
+    def _forget(self) -> None:
+        """Drops the older half where much is remembered, so that memory stays bounded and common chunks come back soon."""
+        while self.count > REMEMBERED or self.count > 1 and self.ends[self.count - 1] > 8 * REMEMBERED:
+            half = self.count // 2
+            at = int(self.ends[half - 1])
+            self.rows = tuple({k: r - half for k, r in known.items() if r >= half} for known in self.rows)
+            self.sizes, self.ends = self.sizes[half : self.count].copy(), self.ends[half : self.count] - at
+            self.pool, self.count = self.pool[at:].copy(), self.count - half
+        if len(self.pieces) > REMEMBERED:
+            for piece in list(self.pieces)[: REMEMBERED // 2]:
+                del self.pieces[piece]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end as unsigned 32-bit integers, and the offsets of each text in them (one more than texts).
@@ -86,35 +129,41 @@ class ColumnEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        n = len(texts)
+        n, uneven, whole = len(texts), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        if self.all_whole:
+            whole[:] = True
+        elif self.added:
+            whole = np.asarray(pc.match_substring_regex(texts, self.added, ignore_case=True)).astype(bool)
         if self.spaced:
-            uneven = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, UNEVEN)))
-            even = pc.split_pattern(texts, " ")
-        else:
-            uneven = np.empty(0, np.int64)
-            even = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        flat, bounds = even.flatten(), np.asarray(even.offsets).astype(np.int64)
+            uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN)).astype(bool) & ~whole
+        odd, plain = np.flatnonzero(uneven | whole), texts
+        if len(odd):
+            plain = pc.if_else(pa.array(uneven | whole), "", texts)
+        if not self.spaced:
+            plain = pc.replace_substring(plain, "\n", " ")
+        split = pc.split_pattern(plain, " ")
+        bounds = np.asarray(split.offsets).astype(np.int64)
         bounds = bounds - bounds[0]
-        coded = flat.dictionary_encode()
+        coded = split.flatten().dictionary_encode()
         index = np.asarray(coded.indices).astype(np.int64)
         words = coded.dictionary.to_pylist()
-        ids = self._look_up(words, " " if self.spaced else "")
+        rows = self._look_up(words, self.spaced)[index] if words else np.empty(0, np.int64)
         if self.spaced and n:
             first = bounds[:-1][np.diff(bounds) > 0]  # a text's first chunk has no space before it
-            ids += self._look_up([words[k] for k in index[first]], "")
-            index[first] = len(words) + np.arange(len(first))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        out, offsets = _gather(pool, starts, sizes, index, bounds)
-        if len(uneven):
-            parts = [out[offsets[i] : offsets[i + 1]] for i in range(n)]
-            for i in uneven:
-                chunks = BETWEEN.split(texts[int(i)].as_py())
-                found = self._look_up(chunks[:1], "") + self._look_up(chunks[1:], " ")
-                parts[i] = np.frombuffer(b"".join(found), "<u4")
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-            out = np.concatenate(parts)
-        return out, offsets
+            rows[first] = self._look_up([words[k] for k in index[first]], False)
+        if len(odd):
+            parts = np.split(rows, bounds[1:-1])
+            for i in odd.tolist():
+                text = texts[i].as_py()
+                if whole[i]:
+                    parts[i] = self._added_rows([self._library(text)])
+                else:
+                    chunks = BETWEEN.split(text)
+                    parts[i] = np.concatenate([self._look_up(chunks[:1], False), self._look_up(chunks[1:], True)])
+            rows, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        out = _gather(self.pool, self.ends - self.sizes, self.sizes, rows, bounds)
+        self._forget()
+        return out
 
 
 def _gather(pool, starts, sizes, index, bounds):
@@ -133,3 +182,67 @@ def encoder(path: str) -> ColumnEncoder:
     if path not in _encoders:
         _encoders[path] = ColumnEncoder(path)
     return _encoders[path]
+
+
+#: Rows of ``token_table``: a document's ids with the end id (``width`` bytes each, little-endian), or a task's counts.
+TOKENS = "doc_id long, tie long, ids binary, counts binary"
+
+
+def id_width(coder: ColumnEncoder) -> np.dtype:
+    """Two bytes hold the ids of a vocabulary of at most 65,536 entries."""
+    return np.dtype("<u2" if coder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def token_table(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """Encodes every text where it lies and writes ``TOKENS``, so that only ids move later on.
+
+    The last row of each task holds how often it met each id, instead of ids."""
+    base.small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+
+    def run(batches):
+        coder, total = encoder(tokenizer), np.zeros(0, np.int64)
+        kind = id_width(coder)
+        for batch in batches:
+            flat, bounds = coder.encode(batch.column(1))
+            flat = np.insert(flat, bounds[1:], end)
+            found = np.bincount(flat, minlength=len(total))
+            found[: len(total)] += total
+            total = found
+            at = (bounds + np.arange(len(bounds))) * kind.itemsize
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat.astype(kind))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids, pa.nulls(len(batch), pa.binary())], names=["doc_id", "tie", "ids", "counts"])
+        last = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, names=["doc_id", "tie", "ids", "counts"])
+
+    return base.written(rows.mapInArrow(run, TOKENS), "tokens")
+
+
+def in_order(tokens: DataFrame, partitions: int) -> DataFrame:
+    """The documents of a token table as (doc_id, ids), in ascending order over range partitions.
+
+    Rows of one doc_id follow each other by a hash of their text, within a partition and over their boundaries."""
+    rows = tokens.where("ids is not null").select("doc_id", "tie", "ids")
+    return rows.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+
+
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs in a token table; as long as the vocabulary."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                found = np.zeros(max(len(total), len(x) // 8), np.int64)
+                found[: len(total)] = total
+                found[: len(x) // 8] += np.frombuffer(x, "<i8")
+                total = found
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+
+    part = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long")
+    rows = part.groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
+    counts = np.zeros(max(rows["id"].to_pylist(), default=0) + 1, np.int64)
+    counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
+    return counts

@@ -4,15 +4,15 @@ Format (two Parquet tables, so that any store Spark reaches can hold them):
 
 * ``codebook``: one row ``lengths binary``, the code length of every id (one byte each, 0 for ids never seen).
   Codes are canonical: ascending by (length, id).
-* ``blocks``: ``part, block, first`` (range partition, block in it, tokens of the partition before the block),
+* ``blocks``: ``part, block, first`` (range partition, number of the block in it, tokens of the partition before the block),
   ``keys``/``sizes`` (ids and token counts of the documents, whole documents only), ``bits`` (big-endian bit stream)
   and ``marks`` (bit offset of every ``EVERY``-th token).  Partitions, blocks and documents ascend by doc_id.
 
 Decoding looks up the next ``LIMIT`` bits in one table and runs over all marks of a block in step, so a block is
 decoded in ``EVERY`` vector steps and any mark can be entered alone.
 
-Cases: a null text is empty (the end id alone); rows with the same doc_id are kept each, ordered by text; null
-doc_ids come first; an empty table gives a codebook without codes and no rows; other columns are ignored.
+Cases: a null text is empty (the end id alone); rows with the same doc_id are kept each, ordered by a hash of their
+text; null doc_ids come first; a very long text is one document of one block; an empty table gives a codebook without codes and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
-from .bpe import encoder
+from .bpe import encoder, id_counts, id_width, in_order, token_table
 
 LIMIT, EVERY, BLOCK, END = 20, 128, 1 << 18, 1
 BLOCKS = "part long, block long, first long, keys array<long>, sizes array<long>, bits binary, marks binary"
@@ -72,12 +72,23 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
-    """The bit stream of ``ids`` and its marks."""
+    """The bit stream of ``ids`` and its marks.
+
+    Codes that start in the same 32 bits are put together in 64 bits, the later half of which goes to the next 32."""
     n = lengths[ids].astype(np.int64)
     ends = np.cumsum(n)
-    back = np.repeat(ends, n) - np.arange(ends[-1] if len(ends) else 0) - 1
-    bits = (np.repeat(codes[ids], n) >> back.astype(np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes(), (ends - n)[::EVERY].astype("<u4").tobytes()
+    starts = ends - n
+    marks = starts[::EVERY].astype("<u4").tobytes()
+    if not len(ids):
+        return b"", marks
+    place = starts >> 5
+    code = codes[ids].astype(np.uint64) << (64 - (starts & 31) - n).astype(np.uint64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    sums, at = np.add.reduceat(code, first), place[first]
+    words = np.zeros(int(at[-1]) + 2, np.uint32)
+    words[at] = (sums >> np.uint64(32)).astype(np.uint32)
+    words[at + 1] |= (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return words.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], marks
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,80 +116,43 @@ def decode_block(bits: bytes, marks: bytes, count: int, table, steps) -> np.ndar
     return out.T.reshape(-1)[:count]
 
 
-def token_rows(docs: DataFrame, tokenizer: str, partitions: int | None = None) -> DataFrame:
-    """The documents in ascending order as (part, nth, doc_id, first, ids binary); ``first``: tokens of the partition before."""
-    base.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        coder, part, nth, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            flat, bounds = coder.encode(batch.column(1))
-            n = batch.num_rows
-            ids = [np.append(flat[bounds[k] : bounds[k + 1]], np.uint32(END)).astype("<u4").tobytes() for k in range(n)]
-            sizes = np.diff(bounds) + 1
-            before = first + np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(nth, nth + n)), batch.column(0), pa.array(before), pa.array(ids, pa.binary())], names=["part", "nth", "doc_id", "first", "ids"])
-            nth, first = nth + n, first + int(sizes.sum())
-
-    ordered = rows.repartitionByRange(partitions or max(1, rows.rdd.getNumPartitions()), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part long, nth long, doc_id long, first long, ids binary")
-
-
-def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs: summed by task, then over tasks; as long as the vocabulary."""
-
-    def run(batches):
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, "<u4"))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(max(rows["id"].to_pylist(), default=0) + 1, np.int64)
-    counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
-    return counts
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = None) -> None:
     """Tokenises the documents once, counts ids over all of them, and writes codebook and blocks under ``path``."""
     spark = docs.sparkSession
-    tokens = base.written(token_rows(docs, tokenizer), "ids")
+    tokens = token_table(docs, tokenizer, END)
     lengths = limited_lengths(id_counts(tokens))
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # as long as the vocabulary
 
     def run(batches):
+        from pyspark import TaskContext
+
         lengths, codes = shared.value
-        held, size = [], 0
+        kind, part = id_width(encoder(tokenizer)), TaskContext.get().partitionId()
+        keys, parts, size, first, serial = [], [], 0, 0, 0
 
         def flush():
-            nonlocal held, size
-            ids = np.frombuffer(b"".join(x[3] for x in held), "<u4")
+            nonlocal keys, parts, size, first, serial
+            ids = np.frombuffer(b"".join(parts), kind)
             bits, marks = encode_block(ids, lengths, codes)
-            row = [held[0][0], held[0][4], held[0][2], [x[1] for x in held], [len(x[3]) // 4 for x in held], bits, marks]
-            held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            row = [part, serial, first, keys, [len(x) // kind.itemsize for x in parts], bits, marks]
+            first, serial = first + size, serial + 1
+            keys, parts, size = [], [], 0
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for part, nth, key, first, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][0] != part or size >= BLOCK):
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys.append(key)
+                parts.append(ids)
+                size += len(ids) // kind.itemsize
+                if size >= BLOCK:
                     yield flush()
-                held.append((part, key, first, ids, nth))
-                size += len(ids) // 4
-        if held:
+        if keys:
             yield flush()
 
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/codebook")
-    tokens.select("part", "nth", "doc_id", "first", "ids").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered = in_order(tokens, partitions or max(1, docs.rdd.getNumPartitions()))
+    ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     base.remove_path(spark, tokens.scratch)
 
 

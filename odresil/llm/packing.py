@@ -10,8 +10,9 @@ of two tokens are tried besides.
 Documents are dealt in ascending doc_id to range partitions, and the programme runs over groups of about ``group``
 tokens of a partition, so memory is bounded and a lost task gives the same sequences again.
 
-Cases: a null text is empty and has the end id alone; rows with the same doc_id are packed each for itself, ordered
-by their text; null doc_ids come first; an empty table gives no rows; other columns of the table are ignored.
+Cases: a null text is empty and has the end id alone; a very long text is cut like any other and its group is as long
+as it; of equally cheap predecessors the nearest is taken; rows with the same doc_id are packed each for itself, ordered by a hash of
+their text; null doc_ids come first; an empty table gives no rows; other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import base
-from .bpe import encoder
+from .bpe import encoder, id_width, in_order, token_table
 
 LENGTH, END = 2048, 1
 #: Penalties in tokens of padding: a cut after a sentence, one inside a sentence, and each short window that needs no padding.
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, ids: bool = True, partitions: int | No
         from pyspark import TaskContext
 
         coder, part, serial = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        stop = sentence_ends(coder)
+        stop, kind = sentence_ends(coder), id_width(coder)
         keys, parts, held = [], [], 0
 
         def flush():
@@ -124,16 +124,14 @@ def pack(docs: DataFrame, tokenizer: str, ids: bool = True, partitions: int | No
             return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
-            flat, bounds = coder.encode(batch.column(1))
-            for k, key in enumerate(batch.column(0).to_pylist()):
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
-                parts.append(np.append(flat[bounds[k] : bounds[k + 1]], np.uint32(END)))
+                parts.append(np.frombuffer(data, kind).astype(np.uint32))
                 held += len(parts[-1])
                 if held >= GROUP:
                     yield flush()
         if keys:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions or max(1, rows.rdd.getNumPartitions()), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, schema)
+    tokens = token_table(docs, tokenizer, END)
+    return in_order(tokens, partitions or max(1, docs.rdd.getNumPartitions())).mapInArrow(run, schema)

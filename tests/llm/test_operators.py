@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from odresil.llm import base, decontaminate, extract, fixity, huffman, packing, ppm, quality, toxicity
 
 LONG = "word " * 5000
-TEXTS = [(1, None), (2, ""), (3, " \n"), (4, "One two, three. Four!"), (5, "Ünï cödé 日本語 &&& $$$"), (6, LONG), (7, "One two, three. Four!"), (7, "again and again"), (None, "no id here")]
+TEXTS = [(1, None), (2, ""), (3, " \n"), (4, "One two, three. Four!"), (5, "Ünï cödé 日本語 &&& $$$"), (6, LONG), (7, "One two, three. Four!"), (7, "again and again"), (None, "no id here"), (8, "a <|endoftext|> b")]
 
 
 @pytest.fixture()
@@ -139,7 +139,6 @@ def test_block_round_trip():
 
 def expected(path, rows):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [(k, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for k, x in rows]
 
 
@@ -149,11 +148,14 @@ def test_token_files(spark, docs, none, monkeypatch):
     where = base.scratch_path(spark, "test")
     huffman.write_tokens(docs, where, path)
     got = huffman.read_tokens(spark, where).collect()
-    want, at = [], 0
-    for k, ids in expected(path, sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))):
-        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
-        at += len(ids)
-    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, list(r.ids)) for r in got), key=lambda r: r[1]) == want
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, list(r.ids)) for r in got), key=lambda r: r[1])
+    want, at = expected(path, TEXTS), 0
+    assert [r[0] for r in got] == sorted((k for k, _ in want), key=lambda k: (k is not None, k))
+    for k, start, n, crc, ids in got:
+        want.remove((k, ids))
+        assert (start, n, crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += n
+    assert not want
     where = base.scratch_path(spark, "test")
     huffman.write_tokens(none, where, path)
     assert huffman.read_tokens(spark, where).count() == 0
@@ -278,6 +280,9 @@ def test_packing(spark, docs, none):
     assert sum(r.length for r in got) == sum(len(ids) for _, ids in want)
     for r in got:
         rebuilt[(r.doc_id, r.start, tuple(r.ids))] += 1
+    # a repeated doc_id has two documents: the multiset of its pieces' ids is theirs
+    twice = sorted(t for k, ids in want if k == 7 for t in ids)
+    assert sorted(t for r in got if r.doc_id == 7 for t in r.ids) == twice
     once = {k: ids for k, ids in want if k not in (7,)}
     for k, ids in once.items():
         parts = sorted((s, x) for (d, s, x) in rebuilt if d == k)
@@ -285,6 +290,24 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 30_000)
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta,", "gamma.", "delta"]) for _ in range(rng.choice([0, 5, 60, 700, 9000])))) for k in range(60)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, partitions=1).collect()
+    ids = dict(expected(path, rows))
+    filled = Counter()
+    for k, want in ids.items():
+        parts = sorted((r.start, list(r.ids)) for r in got if r.doc_id == k)
+        assert [t for _, x in parts for t in x] == want
+    for r in got:
+        filled[r.sequence_id] += r.length
+    n = sum(map(len, ids.values()))
+    padded = sum(packing.LENGTH - v for v in filled.values() if v & (v - 1))
+    # each group of about GROUP tokens may end in a sequence that is not full
+    assert n > 2 * packing.GROUP and padded < 0.02 * n + packing.LENGTH * (n / packing.GROUP + 1)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 6), st.sampled_from([0.0, 2.0, 7.0])), min_size=1, max_size=14))
 def test_cuts_are_optimal(steps):
