@@ -6,11 +6,15 @@ letters behind digits or symbols.  The lexicon is learned from the labelled rows
 occur almost only in toxic ones.  Lexicon features of a training row come from a lexicon learned without its fold,
 and the calibration from predictions made without it.
 
-Fitting uses at most about ``MOST`` labelled rows, chosen by hash (a documented bound); scoring is a map over all rows.
-
-Cases: null and empty texts score as texts without words; rows of several labels of one doc_id are toxic if any is;
-null labels and null doc_ids are not learned; without any label, or with one class only, every score is the share of
-toxic labels; repeated rows are scored each for itself; other columns are kept.
+Fitting uses at most ``MOST`` labelled rows, chosen by hash (a documented bound); their terms are counted and their
+features made on the executors, so the driver gets the lexicon and ``MOST`` rows of numbers.  Scoring is a map over all
+rows and whole texts.
+
+Cases: null and empty texts score as texts without words; very long texts are read whole, one at a time; rows of several
+labels of one doc_id are toxic if any is; null labels and null doc_ids are not learned, and exact repeats of a row are
+learned once; equal splits of a tree: the first feature and least bin; without any label, or with one class only, every
+score is the share of toxic labels; an empty table gives no rows; repeated rows are scored each for itself; other
+columns are kept (those named score or predicted are replaced).
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import base
 
-MOST, FOLDS = 6000, 4
+MOST, FOLDS, PARTS = 6000, 4, 24
+LEAST, RATIO = 3, 12.0
 WORD = re.compile(r"[^\W_]+(?:['’*@$!0-9._-]*[^\W_]+)*")
 PREFIXES = (4, 5, 6, 7, 8)
 #: Second-person pronouns of the common languages (fixed values).
@@ -53,14 +58,9 @@ def terms_of(words: list[str]) -> set[str]:
     return out
 
 
-def learn_lexicon(terms: list[set[str]], toxic: np.ndarray, least: int = 3, ratio: float = 12.0) -> dict[str, float]:
-    """Terms at least ``least`` toxic texts hold and that are ``ratio`` times likelier in toxic ones, with ln of that."""
-    bad, good = Counter(), Counter()
-    for t, y in zip(terms, toxic):
-        (bad if y else good).update(t)
-    n1, n0 = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    rated = {t: np.log((n + 0.5) / (n1 + 1)) - np.log((good[t] + 0.5) / (n0 + 1)) for t, n in bad.items() if n >= least}
-    return {t: float(v) for t, v in rated.items() if v >= np.log(ratio)}
+def weight(bad: float, good: float, n1: float, n0: float) -> float:
+    """How much likelier, in ln, a toxic text holds a term than another text does."""
+    return float(np.log((bad + 0.5) / (max(n1, 1) + 1)) - np.log((good + 0.5) / (max(n0, 1) + 1)))
 
 
 class Features:
@@ -173,30 +173,21 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
-    """Lexicon, trees and calibration."""
+    """Lexicon, trees and calibration, fitted on feature rows ``x`` that come from lexicons without their own fold."""
 
-    def __init__(self, texts: list[str | None], toxic: list[int]):
-        y = np.array(toxic, float)
+    def __init__(self, x: np.ndarray, toxic: np.ndarray, fold: np.ndarray, lexicon: dict[str, float]):
+        y = np.asarray(toxic, float)
         self.constant = float(y.mean()) if len(y) else 0.0
-        self.fitted = len(y) >= 20 and 0 < y.sum() < len(y)
+        self.fitted = usable(y)
         if not self.fitted:
             return
-        words = [words_of(t) for t in texts]
-        terms = [terms_of(w) for w in words]
-        fold = np.arange(len(y)) % FOLDS
-        x = np.zeros((len(y), len(NAMES)))
-        for k in range(FOLDS):
-            inside = np.flatnonzero(fold != k)
-            features = Features(learn_lexicon([terms[i] for i in inside], y[inside]))
-            for i in np.flatnonzero(fold == k):
-                x[i] = features.row(texts[i], words[i])
         margin = np.zeros(len(y))
-        for k in range(FOLDS):
+        for k in np.unique(fold):
             if 0 < y[fold != k].sum() < (fold != k).sum():
                 margin[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
         self.knots, self.values = isotonic(margin, y)
         self.trees = BoostedTrees().fit(x, y)
-        self.lexicon = learn_lexicon(terms, y)
+        self.lexicon = lexicon
 
     def score(self, texts: list[str | None], features: Features) -> np.ndarray:
         if not self.fitted or not texts:
@@ -205,12 +196,95 @@ class ToxicityModel:
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
+def usable(toxic: np.ndarray) -> bool:
+    """Whether there are rows of both classes, and enough of them."""
+    return len(toxic) >= 20 and 0 < toxic.sum() < len(toxic)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, learn: Column, most: int) -> DataFrame:
+    """(doc_id, tie, fold, toxic, text): at most ``most`` rows with a label, those of least hash; written to the shared folder.
+
+    Keys are chosen first, so that the texts stay on the executors.  Rows of one doc_id fall into one fold."""
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn)
+    marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tie"))
+    keys = rows.select("doc_id", "tie").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))  # at most ``most`` ids
+    keys = keys.select("_id", F.col("tie").alias("_tie"), "toxic").distinct().orderBy(F.xxhash64("_id"), "_id", "_tie").limit(most)
+    found = rows.join(F.broadcast(keys), (rows.doc_id == F.col("_id")) & (rows.tie == F.col("_tie")))  # at most ``most`` rows
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    found = found.select("doc_id", "tie", fold.alias("fold"), "toxic", "text").dropDuplicates(["doc_id", "tie"])
+    return base.written(found.repartition(PARTS, "doc_id", "tie"), "labelled")
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, b0.., g0..): how many toxic and other texts of each fold hold a term; texts stay on the executors."""
+
+    def run(batches):
+        counts: dict[tuple[int, int], Counter] = {}
+        for batch in batches:
+            for fold, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
+                counts.setdefault((fold, toxic > 0), Counter()).update(terms_of(words_of(text)))
+        for (fold, toxic), found in counts.items():
+            n = len(found)
+            columns = [list(found), [fold] * n, [toxic] * n, list(found.values())]
+            types = [pa.string(), pa.int32(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["term", "fold", "bad", "n"])
+
+    found = rows.select("fold", "toxic", "text").mapInArrow(run, "term string, fold int, bad boolean, n long")
+    some = lambda k, bad: F.sum(F.when((F.col("fold") == k) & (F.col("bad") == bad), F.col("n")).otherwise(0))
+    return found.groupBy("term").agg(
+        *(some(k, True).alias(f"b{k}") for k in range(FOLDS)), *(some(k, False).alias(f"g{k}") for k in range(FOLDS))
+    )
+
+
+def learn_lexicons(rows: DataFrame, n1: list[int], n0: list[int], least: int = LEAST, ratio: float = RATIO) -> list[dict[str, float]]:
+    """A lexicon without each fold, and one of all rows: terms that at least ``least`` toxic texts hold and that are
+    ``ratio`` times likelier in toxic ones, with ln of that.  Only terms of some lexicon reach the driver."""
+    counts, passed = term_counts(rows), F.lit(False)
+    parts = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    for part in parts:
+        bad, good = sum(F.col(f"b{j}") for j in part), sum(F.col(f"g{j}") for j in part)
+        share = (bad + 0.5) / (max(sum(n1[j] for j in part), 1) + 1) * (max(sum(n0[j] for j in part), 1) + 1) / (good + 0.5)
+        passed = passed | ((bad >= least) & (share >= ratio * 0.999))
+    lexicons: list[dict[str, float]] = [{} for _ in parts]
+    for term, *n in sorted(map(tuple, counts.where(passed).collect())):
+        for part, lexicon in zip(parts, lexicons):
+            bad, good = sum(n[j] for j in part), sum(n[FOLDS + j] for j in part)
+            if bad >= least and (w := weight(bad, good, sum(n1[j] for j in part), sum(n0[j] for j in part))) >= np.log(ratio):
+                lexicon[term] = w
+    return lexicons
+
+
+def feature_rows(rows: DataFrame, lexicons: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and folds of the labelled rows, in a fixed order; only these numbers reach the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons)
+
+    def run(batches):
+        makers = [Features(x) for x in shared.value]
+        for batch in batches:
+            texts, folds = batch.column(4).to_pylist(), batch.column(2).to_pylist()
+            x = pa.array([makers[k].row(t) for k, t in zip(folds, texts)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], x], names=["doc_id", "tie", "fold", "toxic", "x"])
+
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, tie long, fold int, toxic int, x array<double>"
+    found = rows.mapInArrow(run, schema).toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")])
+    x = np.array(found["x"].combine_chunks().values if len(found) else []).reshape(-1, len(NAMES))
+    return x, (found["toxic"].to_numpy() > 0).astype(float), found["fold"].to_numpy()
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST) -> ToxicityModel:
-    """Fits on documents with a label for which ``learn`` (over doc_id) holds, the ``most`` ids of least hash."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()  # at most ``most`` ids
-    return ToxicityModel(rows["text"].to_pylist(), rows["_toxic"].to_pylist())
+    """Fits on at most ``most`` rows with a label for which ``learn`` (over doc_id) holds."""
+    base.small_batches(docs.sparkSession)
+    rows = labelled(docs, labels, learn, most)
+    n1, n0 = [0] * FOLDS, [0] * FOLDS
+    for fold, bad, n in rows.groupBy("fold").agg(F.sum(F.expr("int(toxic > 0)")), F.count("*")).collect():
+        n1[fold], n0[fold] = bad, n - bad
+    lexicons = learn_lexicons(rows, n1, n0)
+    model = ToxicityModel(*feature_rows(rows, lexicons), lexicons[-1])
+    base.remove_path(docs.sparkSession, rows.scratch)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -244,14 +244,40 @@ def test_language(spark, docs, none):
 
 
 def test_toxicity(spark, docs, none):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(d, labels, F.lit(True))
-    out = toxicity.score(d, model).join(labels, "doc_id").selectExpr("avg(cast(predicted = toxic as int))", "min(score)", "max(score)").first()
-    assert out[0] > 0.9 and 0 <= out[1] <= out[2] <= 1
-    assert toxicity.score(docs, model).count() == len(TEXTS)
-    empty = toxicity.train(docs, labels.limit(0), F.lit(True))
-    assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0} and toxicity.score(none, empty).count() == 0
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    held = base.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(d, labels, ~held)
+    rows = toxicity.score(d.where(held), model).join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    bad, good = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert len(rows) > 500 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    above = sum((b.score > g.score) + 0.5 * (b.score == g.score) for b in bad for g in good)
+    assert above > 0.98 * len(bad) * len(good)
+    assert sum(r.predicted for r in bad) > 0.9 * len(bad) and sum(r.predicted for r in good) < 0.01 * len(good)
+    out = toxicity.score(docs, model)
+    assert out.count() == len(TEXTS) and out.columns.count("score") == 1
+
+
+def test_toxicity_without_labels(spark, docs, none):
+    few = spark.createDataFrame([(4, 1), (5, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    for labels, constant in ((few.limit(0), 0.0), (few, 1.0)):
+        model = toxicity.train(docs, labels, F.lit(True))
+        assert {r.score for r in toxicity.score(docs, model).collect()} == {constant}
+    assert toxicity.score(none, model).count() == 0 and not toxicity.train(none, few, F.lit(True)).fitted
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 40}") for k in range(80)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, F.lit(True), 10).collect()
+    assert len(rows) == 10 == len({(r.doc_id, r.text) for r in rows}) and {(r.doc_id, r.toxic) for r in rows} <= {(1, 1), (2, 0)}
+
+
+def test_toxicity_lexicon_counts_texts():
+    rng = random.Random(3)
+    words = [toxicity.words_of(" ".join(rng.choices(["You", "fool5", "sh1ny", "car", "tree"], k=6))) for _ in range(5)]
+    assert {"fool5", "fools", "fool*"} & toxicity.terms_of(words[0]) or "fool5" not in words[0]
+    assert toxicity.weight(9, 0, 10, 100) > toxicity.weight(3, 0, 10, 100) > toxicity.weight(3, 30, 10, 100)
 
 
 def test_isotonic():
