@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def gathered(batches, column: int, size: int):
+    """Arrow batches joined until their texts in ``column`` have about ``size`` bytes: per-batch work is done less often."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.column(column).nbytes
+        if held_bytes >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, held_bytes = [], 0
+    if held and (whole := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield whole[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,18 +1,17 @@
 """Whole columns of text to token ids with the ``tokenizers`` library, one model call per distinct chunk.
 
-A BPE pre-tokeniser never lets a piece reach across a single space between two other characters, so a text
-is a sequence of chunks whose ids do not depend on their neighbours.  Arrow splits the column and numbers the
-distinct chunks; only chunks that this worker has not seen go through the library.  Plain words (letters below
-U+0100 with closing ASCII punctuation) go straight to the library's model, all other chunks through its whole
-normaliser and pre-tokeniser.
+A BPE pre-tokeniser never lets a piece reach across a single space between two other characters, nor from a letter or
+digit over to closing punctuation, so a text is a sequence of chunks whose ids do not depend on their neighbours.  The
+column's bytes are cut into chunks with array operations and Arrow numbers the distinct ones; only chunks that this
+worker has not seen go through the library: plain words, numbers and punctuation straight to its model, all other
+chunks through its whole normaliser and pre-tokeniser.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,19 @@ from . import base
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: Texts for which splitting at every space would cut inside a run of white space or at an end.
-UNEVEN = rf"^[{WHITE}]|[{WHITE}]$|[{WHITE}][{WHITE}]"
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
-#: Chunks remembered by a worker, and the longest chunk it remembers.
-REMEMBERED, LONGEST = 800_000, 48
+#: White space beyond ASCII: texts with it are cut by a regular expression.
+WIDE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+MARKS = re.compile(r"[!-/:-@\[-`{-~]+\Z")
+#: Chunks remembered by a worker, the longest chunk it remembers, and the bytes of text it takes at once.
+REMEMBERED, LONGEST, AT_ONCE = 400_000, 48, 8_000_000
+_BYTES = np.arange(256)
+_SPACES = ((_BYTES >= 9) & (_BYTES <= 13)) | ((_BYTES >= 28) & (_BYTES <= 32))
+_ALNUM = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+#: Second bytes of the letters from U+00C0 to U+00FF in UTF-8.
+_LATIN_TAIL = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & (_BYTES != 0x97) & (_BYTES != 0xB7)
+_MARKS = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM
 
 
 def _byte_table() -> dict[int, str]:
@@ -53,40 +58,41 @@ class ColumnEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.bytes = self.tokenizer.model, _byte_table()
         self.spaced = self.tokenizer.normalizer is None
+        self.space = self.bytes[32] if self.spaced else ""
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.added = "|".join(re.escape(t.content) for t in added)
         self.all_whole = any(t.normalized for t in added)  # literals that are looked for after normalising
-        self.pieces: dict[str, bytes] = {}
-        #: Row in the pool of each remembered chunk: those at a text's start, and those after a space.
-        self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        #: Row in the pool of each remembered chunk, the space before it included.
+        self.rows: dict[str, int] = {}
         self.sizes, self.ends, self.pool, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
-    def _piece(self, piece: str) -> bytes:
+    def _model(self, piece: str) -> list[int]:
         """The ids of what the pre-tokeniser leaves in one piece."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.bytes)
-            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(piece) <= LONGEST:
-                self.pieces[piece] = ids
-        return ids
-
-    def _library(self, text: str) -> bytes:
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _library(self, text: str) -> list[int]:
         """The ids of a text by the library's own splitting."""
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _chunk(self, chunk: str, space: str) -> bytes:
-        if not chunk:
-            return b""
-        if m := PLAIN.match(chunk):
-            word, tail = m.groups()  # an apostrophe starts a contraction only before letters, and none follow here
-            ids = self._piece(space + (word if self.spaced else word.lower()))
-            return ids + self._piece(tail) if tail else ids
-        return self._library(space + chunk)
-
-    def _added_rows(self, found: list[bytes]) -> np.ndarray:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _chunk(self, chunk: str) -> list[int]:
+        body, space = (chunk[1:], self.space) if chunk[:1] == " " else (chunk, "")
+        if body.isascii():
+            if body.isalpha():
+                return self._model(space + (body if self.spaced else body.lower()))
+            if body.isdigit():
+                return self._model(space + body) if self.spaced else [i for d in body for i in self._model(d)]
+            if MARKS.match(body) and (not space or not self.spaced):
+                return self._model(body)
+            if not body and not self.spaced:
+                return []
+        elif LATIN.match(body):
+            mapped = (body if self.spaced else body.lower()).encode().decode("latin-1").translate(self.bytes)
+            return self._model(space + mapped)
+        return self._library(chunk)
+
+    def _added_rows(self, found: list[list[int]]) -> np.ndarray:
         """New rows of the pool, one for each entry."""
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, at = self.count, int(self.ends[self.count - 1]) if self.count else 0
         self.count += len(found)
         if self.count > len(self.sizes):
@@ -96,18 +102,17 @@ class ColumnEncoder:
             self.pool = np.concatenate([self.pool, np.zeros(total, np.uint32)])
         self.sizes[first : self.count] = sizes
         self.ends[first : self.count] = at + np.cumsum(sizes)
-        self.pool[at:total] = np.frombuffer(b"".join(found), "<u4")
+        self.pool[at:total] = np.fromiter(chain.from_iterable(found), np.uint32, total - at)
         return np.arange(first, self.count)
 
-    def _look_up(self, chunks: list[str], spaced: bool) -> np.ndarray:
+    def _look_up(self, chunks: list[str]) -> np.ndarray:
         """The pool's row of each chunk."""
-        known, space = self.rows[spaced], " " if spaced else ""
-        rows = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        rows = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(rows < 0).tolist()
         if missing:
-            new = self._added_rows([self._chunk(chunks[k], space) for k in missing])
+            new = self._added_rows([self._chunk(chunks[k]) for k in missing])
             rows[missing] = new
-            known.update((chunks[k], r) for k, r in zip(missing, new.tolist()) if len(chunks[k]) <= LONGEST)
+            self.rows.update((chunks[k], r) for k, r in zip(missing, new.tolist()) if len(chunks[k]) <= LONGEST)
         return rows
 
     def _forget(self) -> None:
@@ -115,12 +120,44 @@ class ColumnEncoder:
         while self.count > REMEMBERED or self.count > 1 and self.ends[self.count - 1] > 8 * REMEMBERED:
             half = self.count // 2
             at = int(self.ends[half - 1])
-            self.rows = tuple({k: r - half for k, r in known.items() if r >= half} for known in self.rows)
+            self.rows = {k: r - half for k, r in self.rows.items() if r >= half}
             self.sizes, self.ends = self.sizes[half : self.count].copy(), self.ends[half : self.count] - at
             self.pool, self.count = self.pool[at:].copy(), self.count - half
-        if len(self.pieces) > REMEMBERED:
-            for piece in list(self.pieces)[: REMEMBERED // 2]:
-                del self.pieces[piece]
+
+    def _cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where a chunk starts in the bytes of several texts that end at ``ends``: at a text, at a space, at closing marks."""
+        if not len(data):
+            return np.empty(0, np.int64)
+        edge = np.zeros(len(data) + 1, bool)  # a text starts here
+        edge[0] = True
+        edge[ends] = True
+        space = data == 32
+        if self.spaced:  # only between two characters that are no white space
+            white = _SPACES[data]
+            space[1:] &= ~white[:-1]
+            space[:-1] &= ~white[1:]
+            space[edge[:-1] | edge[1:]] = False
+        line = np.zeros(len(data) + 1, bool)  # a line feed that stands alone is a chunk
+        if self.spaced:
+            line[:-1] = data == 10
+            line[1:-1] &= ~white[:-1]
+            line[:-2] &= ~white[1:]
+            line[edge] = False
+            line[:-1] &= ~edge[1:]
+        marks = _MARKS[data]
+        letter = _ALNUM[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _LATIN_TAIL[data[1:]]
+        tail = np.zeros(len(data), bool)
+        tail[1:] = marks[1:] & letter[:-1]
+        at = np.flatnonzero(tail & ~edge[:-1])
+        if len(at):  # the marks must reach up to white space or the text's end
+            stop = np.flatnonzero(~marks | edge[:-1])
+            stop = np.append(stop, len(data))[np.searchsorted(stop, at, "right")]
+            at = at[edge[stop] | _SPACES[np.append(data, 32)[stop]]]
+        cut = space | edge[:-1] | line[:-1]
+        cut[1:] |= line[:-2]
+        cut[at] = True
+        return np.flatnonzero(cut)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end as unsigned 32-bit integers, and the offsets of each text in them (one more than texts).
@@ -129,37 +166,31 @@ class ColumnEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        n, uneven, whole = len(texts), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        n, wide, whole = len(texts), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         if self.all_whole:
             whole[:] = True
         elif self.added:
             whole = np.asarray(pc.match_substring_regex(texts, self.added, ignore_case=True)).astype(bool)
         if self.spaced:
-            uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN)).astype(bool) & ~whole
-        odd, plain = np.flatnonzero(uneven | whole), texts
+            wide = np.asarray(pc.match_substring_regex(texts, WIDE)).astype(bool) & ~whole
+        odd, plain = np.flatnonzero(wide | whole), texts
         if len(odd):
-            plain = pc.if_else(pa.array(uneven | whole), "", texts)
+            plain = pc.if_else(pa.array(wide | whole), "", texts)
+        at = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + n + 1] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
         if not self.spaced:
-            plain = pc.replace_substring(plain, "\n", " ")
-        split = pc.split_pattern(plain, " ")
-        bounds = np.asarray(split.offsets).astype(np.int64)
-        bounds = bounds - bounds[0]
-        coded = split.flatten().dictionary_encode()
-        index = np.asarray(coded.indices).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        rows = self._look_up(words, self.spaced)[index] if words else np.empty(0, np.int64)
-        if self.spaced and n:
-            first = bounds[:-1][np.diff(bounds) > 0]  # a text's first chunk has no space before it
-            rows[first] = self._look_up([words[k] for k in index[first]], False)
+            data = np.where(data == 10, np.uint8(32), data)
+        cuts = self._cuts(data, at[1:])
+        chunks = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = chunks.dictionary_encode()
+        rows = self._look_up(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if len(cuts) else np.empty(0, np.int64)
+        bounds = np.searchsorted(cuts, at)
         if len(odd):
             parts = np.split(rows, bounds[1:-1])
             for i in odd.tolist():
                 text = texts[i].as_py()
-                if whole[i]:
-                    parts[i] = self._added_rows([self._library(text)])
-                else:
-                    chunks = BETWEEN.split(text)
-                    parts[i] = np.concatenate([self._look_up(chunks[:1], False), self._look_up(chunks[1:], True)])
+                parts[i] = self._added_rows([self._library(text)]) if whole[i] else self._look_up(BETWEEN.split(text))
             rows, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         out = _gather(self.pool, self.ends - self.sizes, self.sizes, rows, bounds)
         self._forget()
@@ -204,7 +235,7 @@ def token_table(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def run(batches):
         coder, total = encoder(tokenizer), np.zeros(0, np.int64)
         kind = id_width(coder)
-        for batch in batches:
+        for batch in base.gathered(batches, 1, AT_ONCE):
             flat, bounds = coder.encode(batch.column(1))
             flat = np.insert(flat, bounds[1:], end)
             found = np.bincount(flat, minlength=len(total))
