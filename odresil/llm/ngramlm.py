@@ -1,30 +1,40 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
 The model is an interpolated, absolutely discounted n-gram model over words and an end token; below the pairs stands
-the add-one word distribution.  It learns from every training row, so its size follows the input: n-grams are dealt
-by first word to as many shards as there are blocks of documents.  A shard merges the counts of all blocks, builds a
-trie with one level for each order, and answers each block's questions; nothing of the model passes through the driver
-but the number of tokens and of distinct words.
+the add-one word distribution.  It learns from every training row, so its size follows the input.
+
+Texts become blocks of about ``BLOCK`` bytes: numbered words, written once.  A block's distinct n-grams with their
+training counts go to shards by their first word; there are as many shards as keep about ``SHARD`` tokens each.  A shard
+merges the counts of all blocks, builds a trie with one level for each order, and answers each block's questions;
+nothing of the model passes through the driver but the number of tokens and of distinct words.  A block sends a shard
+one packed message and none where it has no n-gram for it, so there are never more messages than n-grams.
 
 The root level holds the first words; a node of a further level is a successor of a node of the level above, whose
 pointers give its range.  Words, pointers and successors are monotone sequences in Elias-Fano code (a successor is
-stored with its parent's rank in front, so the sequence rises), next to one byte for each smoothed probability on a
-logarithmic scale.  Levels lie in a memory-mapped file that has no name, so nothing stays behind when a task is lost.
-A query goes down from the first word and searches in each level the range its parent's pointers give; blocks and
-shards send n-grams the same way, each as its parent's place and one word.
-
-A context with more than its share of all n-grams would fill a shard by itself, so its successors are split over
-several; each part holds the nodes on the way to it without their counts and answers with its own total, and a block
-adds the parts up.  Which contexts are split changes the work's spread only, never a score.
-
-Cases: null and empty texts have the end token alone; without training rows every token has probability 1 / 1;
-repeated rows count and are scored each; null doc_ids are scored too; columns other than the named ones are ignored.
+stored with its parent's rank in front, so the sequence rises).  A node's smoothed probability has its context's total
+as denominator, kept once for each context, and a discounted count as numerator, kept in two bytes on one fixed grid:
+exact up to ``EXACT``, then ``STEPS`` steps to each doubling (an error below 0.04 percent).  Levels lie in a
+memory-mapped file that has no name, so nothing stays behind when a task is lost.  A query goes down from the first word
+and searches in each level the range its parent's pointers give.
+
+A context with more than its share of all n-grams would fill a shard by itself, so its successors are dealt over
+several.  Each holds the nodes on the way to it without their counts and answers with its own total; a block adds the
+totals up.  Counts are whole numbers and the grid is fixed, so the numbers of blocks, shards and parts change the work's
+spread only, never a score.
+
+Words are told apart by 64 bits of their hash, successors of one context by ``WORD_BITS`` bits: among a million
+different successors of one context less than one pair is expected to be taken for the same word.
+
+Cases: null and empty texts have the end token alone; a very long text is one block; without training rows every token
+has probability 1 / 1; an empty table gives no rows; repeated rows count and are scored each; null doc_ids are scored
+too; a null ``learn`` counts as false; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
 import mmap
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +46,13 @@ from . import base
 from .textcols import mixed, word_column, word_hashes
 
 ORDER, DISCOUNT = 3, 0.75
+#: Bytes of text of a block; tokens of a shard; words that messages name by two bytes; contexts that are split at most.
+BLOCK, SHARD, COMMON, SPLIT = 12_000_000, 2_000_000, 65_535, 1_000_000
+#: Counts of a block below which a word or context is no candidate for the last two.
+LEAST_SEEN = 8
+WORD_BITS, EXACT, STEPS = 40, 4096, 1024
 END, START = np.uint64(0xE2D0000000000001), np.uint64(0x57A0000000000003)
+ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -113,32 +129,41 @@ class EliasFano:
 # ---------------------------------------------------------------- trie
 
 
+def to_grid(counts: np.ndarray) -> np.ndarray:
+    """The grid's number of each count; 0 for none."""
+    high = EXACT + np.rint(STEPS * np.log2(np.maximum(counts, EXACT) / EXACT))
+    return np.where(counts <= EXACT, counts, np.minimum(high, 65_535)).astype(np.uint16)
+
+
+def from_grid(codes: np.ndarray) -> np.ndarray:
+    """The discounted count that a number of the grid stands for."""
+    codes = codes.astype(np.float64)
+    counts = np.where(codes <= EXACT, codes, EXACT * np.exp2((codes - EXACT) / STEPS))
+    return np.where(codes > 0, counts - DISCOUNT, 0.0)
+
+
 class TrieLevel:
     """The successors of the level above's nodes: pointers, words and quantised probabilities in a memory-mapped file."""
 
     def __init__(self, parents: int, nodes: np.ndarray, counts: np.ndarray):
-        """parents: nodes of the level above; nodes: parent's rank and 32-bit word, ascending; counts: 0 for nodes that only lead on."""
-        parent = (nodes >> np.uint64(32)).astype(np.int64)
-        self.total = np.bincount(parent, counts, parents)
+        """parents: nodes of the level above; nodes: parent's rank and word, ascending; counts: 0 for nodes that only lead on."""
+        parent = (nodes >> np.uint64(WORD_BITS)).astype(np.int64)
+        self.total = np.bincount(parent, counts, parents).astype(np.int64)
         self.kinds = np.bincount(parent, counts > 0, parents).astype(np.int64)
-        logs = np.log10(np.maximum(counts - DISCOUNT, 1 - DISCOUNT) / np.maximum(self.total[parent], 1))
-        seen = logs[counts > 0]
-        self.least, top = (float(seen.min()), float(seen.max())) if len(seen) else (0.0, 0.0)
-        self.step = max((top - self.least) / 254, 1e-12)
-        codes = np.where(counts > 0, np.rint((logs - self.least) / self.step) + 1, 0).astype(np.uint8)
         starts = np.searchsorted(parent, np.arange(parents + 1))
         parts = [EliasFano.encode(starts), EliasFano.encode(nodes)]
         with tempfile.TemporaryFile() as f:
             places = []
-            for data in [x for p in parts for x in (p.low, p.high)] + [codes]:
+            for data in [x for p in parts for x in (p.low, p.high)] + [to_grid(counts)]:
+                f.write(b"\0" * (-f.tell() % 8))
                 places.append((f.tell(), len(data)))
                 f.write(memoryview(np.ascontiguousarray(data)))
             f.write(b"\0")
             f.flush()
             self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        views = [np.frombuffer(self.file, np.uint8, n, at) for at, n in places]
+        views = [np.frombuffer(self.file, np.uint8, n, at) for at, n in places[:4]]
         self.pointers, self.nodes = (EliasFano(p.count, p.low_bytes, views[2 * k], views[2 * k + 1]) for k, p in enumerate(parts))
-        self.codes = views[-1]
+        self.codes = np.frombuffer(self.file, np.uint16, places[4][1], places[4][0])
         self.starts = None
 
     def query(self, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -148,40 +173,49 @@ class TrieLevel:
         if self.starts is None:
             self.starts = self.pointers.values().astype(np.int64)
         at = np.maximum(parents, 0)
-        place = self.nodes.find((at.astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64), self.starts[at], self.starts[at + 1])
-        return np.where(parents >= 0, place, -1)
+        wanted = (at.astype(np.uint64) << np.uint64(WORD_BITS)) | words.astype(np.uint64)
+        return np.where(parents >= 0, self.nodes.find(wanted, self.starts[at], self.starts[at + 1]), -1)
+
+    def answer(self, places: np.ndarray) -> np.ndarray:
+        """The grid's numbers at places; 0: not found."""
+        if not self.nodes.count:
+            return np.zeros(len(places), np.uint16)
+        return np.where(places >= 0, self.codes[np.maximum(places, 0)], 0).astype(np.uint16)
 
-    def answer(self, places: np.ndarray, contexts: np.ndarray):
-        """Codes at places (0: not found), totals and kinds of contexts of the level above."""
-        codes = np.where(places >= 0, self.codes[np.maximum(places, 0)], 0).astype(np.uint8) if self.nodes.count else np.zeros(len(places), np.uint8)
-        some = contexts >= 0
-        total, kinds = np.zeros(len(contexts), np.float32), np.zeros(len(contexts), np.uint32)
-        total[some], kinds[some] = self.total[contexts[some]], self.kinds[contexts[some]]
-        return codes, total, kinds
+    def context(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and kinds of successors of nodes of the level above; 0 for -1."""
+        some = places >= 0
+        at = np.where(some, places, 0)
+        if not len(self.total):
+            return np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint32)
+        return np.where(some, self.total[at], 0).astype(np.uint64), np.where(some, self.kinds[at], 0).astype(np.uint32)
 
 
 # ---------------------------------------------------------------- blocks
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as zstd-compressed byte planes; keys that ascend are packed as differences by the caller."""
-    out = []
+    """Arrays as byte planes in one zstd frame; what ascends is handed over as differences."""
+    head, planes = [], []
     for x in arrays:
         x = np.ascontiguousarray(x)
-        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if len(x) else b""
-        data = zstandard.ZstdCompressor(level=1).compress(planes)
-        out.append(np.array([len(x), len(data)], "<u8").tobytes() + x.dtype.str.encode().ljust(4) + data)
-    return b"".join(out)
+        head.append(np.array([len(x)], "<u8").tobytes() + x.dtype.str.encode().ljust(4))
+        if len(x):
+            planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    data = zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return np.array([len(head)], "<u8").tobytes() + b"".join(head) + data
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    heads = [(int(np.frombuffer(data, "<u8", 1, 8 + 12 * k)[0]), np.dtype(data[16 + 12 * k : 20 + 12 * k].decode().strip())) for k in range(n)]
+    size = sum(count * kind.itemsize for count, kind in heads)
+    planes = zstandard.ZstdDecompressor().decompress(data[8 + 12 * n :], max_output_size=size) if size else b""
     out, at = [], 0
-    while at < len(data):
-        n, size = np.frombuffer(data, "<u8", 2, at).tolist()
-        kind = np.dtype(data[at + 16 : at + 20].decode().strip())
-        planes = zstandard.ZstdDecompressor().decompress(data[at + 20 : at + 20 + size], max_output_size=n * kind.itemsize)
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).reshape(-1).view(kind))
-        at += 20 + size
+    for count, kind in heads:
+        part = np.frombuffer(planes, np.uint8, count * kind.itemsize, at).reshape(kind.itemsize, count)
+        out.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
+        at += count * kind.itemsize
     return out
 
 
@@ -192,171 +226,184 @@ def _rises(x: np.ndarray) -> np.ndarray:
 class Block:
     """The tokens of some texts, numbered by the order of their hashes, and their n-grams."""
 
-    def __init__(self, texts: pa.Array, order: int):
+    def __init__(self, keys: np.ndarray, token: np.ndarray, sizes: np.ndarray):
+        """keys: hashes of the distinct words, ascending, with the end token; token: places in them; sizes: tokens of each text."""
+        self.keys, self.token, self.sizes = keys, token, sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Block:
         words, index, at = word_column(texts)
         n_words = np.diff(at)
-        self.sizes = n_words + 1  # with the end token
-        hashes = mixed(word_hashes(words))
-        self.keys, back = np.unique(np.append(hashes, END), return_inverse=True)
-        ends = np.cumsum(self.sizes)
-        self.token = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        last = np.zeros(len(self.token), bool)
+        keys, back = np.unique(np.append(mixed(word_hashes(words)), END), return_inverse=True)
+        ends = np.cumsum(n_words + 1)
+        token = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        last = np.zeros(len(token), bool)
         last[ends - 1] = True
-        self.token[last], self.token[~last] = back[-1], back[index]
-        self.doc = np.repeat(np.arange(len(n_words)), self.sizes)
-        self.first = ends - self.sizes
-        # the context hash of each token, for every order from 2 on
-        self.contexts, prior = [], np.zeros(len(self.token), np.uint64)
-        place = np.arange(len(self.token)) - self.first[self.doc]
-        for back_by in range(1, order):
-            shifted = np.full(len(self.token), START, np.uint64)
-            inside = np.flatnonzero(place >= back_by)
-            shifted[inside] = self.keys[self.token[inside - back_by]]
-            prior = mixed(prior * np.uint64(0xC2B2AE3D27D4EB4F) + shifted)
-            self.contexts.append(prior)
-
-    def levels(self, shards: int, parts: dict[int, int]):
-        """The root words, and of each order from 2 on: parent, word, home shard of each n-gram and n-gram of each token.
-
-        A parent is a place in the order below.  For a split context an n-gram that no token has is added for each part,
-        so that every part tells its total; one of start tokens alone is added where the next order's begin with it."""
-        roots = np.unique(np.append(self.keys, START))
-        home = (mixed(roots) % np.uint64(shards)).astype(np.int64)
-        node, begin = np.searchsorted(roots, self.keys)[self.token], int(np.searchsorted(roots, START))
-        hot = np.array(sorted(parts), np.uint64)
-        times = np.array([parts[int(h)] for h in hot], np.int64)
-        words, kinds, out = (self.keys >> np.uint64(32)).astype(np.uint32), len(self.keys), []
-        for k, hashes in enumerate(self.contexts):
-            above = np.full(len(node), begin, np.int64)
-            inside = np.ones(len(node), bool)
-            inside[self.first] = False
-            above[inside] = node[np.flatnonzero(inside) - 1]
-            pairs, pair = np.unique(above * kinds + self.token, return_inverse=True)
-            parent, word = [pairs // kinds], [words[pairs % kinds]]
-            split = np.ones(len(home), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-                some = np.flatnonzero(hot[at] == hashes)
-                split[above[some]] = times[at[some]]
-                wide = np.flatnonzero(split > 1)
-                parent += [np.full(split[i], i) for i in wide]
-                word += [np.arange(split[i], dtype=np.uint32) for i in wide]
-            parent.append(np.array([begin] if k + 1 < len(self.contexts) else [], np.int64))
-            word.append(np.array([START >> np.uint64(32)] * len(parent[-1]), np.uint32))
-            parent, word = np.concatenate(parent), np.concatenate(word)
-            order = np.argsort(parent, kind="stable")
-            to = np.empty(len(order), np.int64)
-            to[order] = np.arange(len(order))
-            parent, word, pair = parent[order], word[order], to[pair]
-            begin = int(to[-1]) if len(to) else 0
-            home = (home[parent] + word.astype(np.int64) % split[parent]) % shards
-            node = pair
-            out.append((parent, word, home, pair))
-        return roots, out
-
+        token[last], token[~last] = back[-1], back[index]
+        return cls(keys, token, n_words + 1)
 
-def _dealt(home: np.ndarray, shards: int) -> list[np.ndarray]:
-    """The places that go to each shard, ascending."""
-    return np.split(np.argsort(home, kind="stable"), np.searchsorted(np.sort(home), np.arange(1, shards)))
+    def levels(self, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The root words, and of each order from 2 on (parent, word, pair): the place in the level above and among the root
+        words of each distinct n-gram, ascending, and the n-gram of each token.
 
+        An n-gram of start tokens alone is added where those of the next order begin with it."""
+        roots = np.unique(np.append(self.keys, START))
+        token, begin = np.searchsorted(roots, self.keys)[self.token], int(np.searchsorted(roots, START))
+        start, node, out = begin, token, []
+        for _ in range(order - 1):
+            above = np.empty(len(token), np.int64)
+            above[1:] = node[:-1]
+            above[self.first] = begin
+            codes, pair = np.unique(np.append(above * len(roots) + token, begin * len(roots) + start), return_inverse=True)
+            begin, node = int(pair[-1]), pair[:-1]
+            out.append((codes // len(roots), codes % len(roots), node))
+        return roots, out
 
-def _by_shard(block: Block, shards: int, parts: dict[int, int]):
-    """Root words, levels, and for each shard its words, its root words and of each order the n-grams it gets.
-
-    With an n-gram go all on the way to it, also those that are at home in another shard."""
-    roots, levels = block.levels(shards, parts)
-    words = _dealt((mixed(block.keys) % np.uint64(shards)).astype(np.int64), shards)
-    own = [_dealt(home, shards) for _, _, home, _ in levels]
-    out = []
-    for s in range(shards):
-        lists, needed = [], np.empty(0, np.int64)
-        for (parent, _, _, _), mine in zip(reversed(levels), reversed(own)):
-            rows = np.union1d(mine[s], needed)
-            lists.append(rows)
-            needed = np.unique(parent[rows])
-        out.append((words[s], needed, lists[::-1]))
-    return roots, levels, out
 
+class Dealing:
+    """Which n-grams of a block go to which shard: its own and those on the way to them, all shards at once."""
 
-def _questions(texts: pa.Array, train: np.ndarray, order: int, shards: int, parts: dict[int, int]):
+    def __init__(self, block: Block, order: int, shards: int, parts: dict[int, int]):
+        self.roots, self.levels = block.levels(order)
+        self.words = self.roots >> np.uint64(64 - WORD_BITS)
+        sizes = [len(self.roots), *(len(parent) for parent, _, _ in self.levels)]
+        hashes = mixed(self.roots)
+        homes = [(hashes % np.uint64(shards)).astype(np.int64)]
+        wanted = [[homes[0] * sizes[0] + np.arange(sizes[0])]]
+        hot = np.array(sorted(parts), np.uint64)
+        times = np.array([parts[int(h)] for h in hot], np.int64)
+        for k, (parent, word, _) in enumerate(self.levels):
+            split = np.ones(sizes[k], np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+                split = np.where(hot[at] == hashes, times[at], 1)
+                for row in np.flatnonzero(split > 1).tolist():  # every part tells its total
+                    wanted[k].append((homes[k][row] + np.arange(min(split[row], shards))) % shards * sizes[k] + row)
+                hashes = mixed(hashes[parent] * ODD + self.roots[word])
+            share = (self.words[word] % split[parent].astype(np.uint64)).astype(np.int64)
+            homes.append((homes[k][parent] + share) % shards)
+            wanted.append([homes[-1] * sizes[k + 1] + np.arange(sizes[k + 1])])
+        #: Of each level: shard and row of every entry, by shard; where a shard's entries start; whether a shard is the row's own.
+        self.entries: list[tuple[np.ndarray, np.ndarray]] = [None] * len(sizes)
+        self.starts: list[np.ndarray] = [None] * len(sizes)
+        self.own: list[np.ndarray] = [None] * len(sizes)
+        self.above: list[np.ndarray] = [None] * len(sizes)
+        codes = [None] * len(sizes)
+        for k in range(len(sizes) - 1, -1, -1):
+            codes[k] = np.unique(np.concatenate(wanted[k])) if len(wanted[k]) > 1 else np.sort(wanted[k][0])
+            shard, row = codes[k] // sizes[k], codes[k] % sizes[k]
+            self.entries[k], self.own[k] = (shard, row), homes[k][row] == shard
+            self.starts[k] = np.searchsorted(shard, np.arange(shards + 1))
+            if k:
+                self.above[k] = shard * sizes[k - 1] + self.levels[k - 1][0][row]
+                wanted[k - 1].append(self.above[k])
+        for k in range(1, len(sizes)):
+            self.above[k] = np.searchsorted(codes[k - 1], self.above[k]) - self.starts[k - 1][self.entries[k][0]]
+
+    def shards(self) -> list[int]:
+        """The shards that get something: each entry has its root there."""
+        return np.flatnonzero(np.diff(self.starts[0])).tolist()
+
+
+def frequent(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each word, 1 + its place in ``common``, or 0."""
+    if not len(common):
+        return np.zeros(len(words), np.uint16)
+    order = np.argsort(common)
+    at = np.minimum(np.searchsorted(common, words, sorter=order), len(common) - 1)
+    return np.where(common[order[at]] == words, order[at] + 1, 0).astype(np.uint16)
+
+
+def questions(block: Block, train: np.ndarray, order: int, shards: int, parts: dict[int, int], common: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """For each shard, the packed words and n-grams of a block with their counts in training rows."""
-    block = Block(texts, order)
-    roots, levels, dealt = _by_shard(block, shards, parts)
-    learn = train[block.doc]
-    count = np.bincount(block.token[learn], minlength=len(block.keys))
-    counts = [np.bincount(pair[learn], minlength=len(parent)) for parent, _, _, pair in levels]
-    for s, (rows, above, lists) in enumerate(dealt):
-        arrays = [_rises(block.keys[rows]), count[rows].astype(np.uint32), _rises(roots[above])]
-        for (parent, word, home, _), n, rows in zip(levels, counts, lists):
-            arrays += [_rises(np.searchsorted(above, parent[rows]).astype(np.uint32)), word[rows], np.where(home[rows] == s, n[rows], 0).astype(np.uint32)]
-            above = rows
+    dealt, learn = Dealing(block, order, shards, parts), train[block.doc]
+    short = frequent(dealt.words, common)
+    count = np.zeros(len(dealt.roots), np.int64)
+    count[np.searchsorted(dealt.roots, block.keys)] = np.bincount(block.token[learn], minlength=len(block.keys))
+    rows = dealt.entries[0][1]
+    root, counts = dealt.roots[rows], [np.where(dealt.own[0], count[rows], 0).astype(np.uint32)]
+    words = [None]
+    for k, (parent, word, pair) in enumerate(dealt.levels, 1):
+        rows = dealt.entries[k][1]
+        words.append(word[rows])
+        counts.append(np.where(dealt.own[k], np.bincount(pair[learn], minlength=len(parent))[rows], 0).astype(np.uint32))
+    for s in dealt.shards():
+        at = slice(dealt.starts[0][s], dealt.starts[0][s + 1])
+        arrays = [_rises(root[at]), counts[0][at]]
+        for k in range(1, order):
+            at = slice(dealt.starts[k][s], dealt.starts[k][s + 1])
+            code = short[words[k][at]]
+            arrays += [_rises(dealt.above[k][at].astype(np.uint32)), code, dealt.words[words[k][at][code == 0]], counts[k][at]]
         yield s, _pack(*arrays)
 
 
-def _answers(asked: list[tuple[int, bytes]], order: int):
+def answers(asked: list[tuple[int, bytes]], order: int, common: np.ndarray) -> tuple[dict[int, list[np.ndarray]], int, int]:
     """A shard: merges the blocks' counts, builds its trie level by level and answers every block."""
     got = [(block, _unpack(data)) for block, data in asked]
-    keys = [np.cumsum(x[0], dtype=np.uint64) for _, x in got]
-    words, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, np.concatenate([x[1] for _, x in got])).astype(np.int64)
+    first = [np.cumsum(x[0], dtype=np.uint64) for _, x in got]
+    roots, at = np.unique(np.concatenate(first), return_inverse=True)
+    if len(roots) >> (64 - WORD_BITS):
+        raise ValueError("too many words in one shard: SHARD must be smaller")
+    count = np.rint(np.bincount(at, np.concatenate([x[1] for _, x in got]))).astype(np.int64)
     tokens, kinds = int(count.sum()), int((count > 0).sum())
-    out = {block: [count[np.searchsorted(words, k)].astype(np.uint32)] for (block, _), k in zip(got, keys)}
+    root, above = EliasFano.encode(roots), len(roots)
+    ranks = [root.find(f) for f in first]
+    out = {block: [count[r].astype(np.uint64)] for (block, _), r in zip(got, ranks)}
     # n-grams of training rows and those on the way to one are the trie's nodes
     parents, kept = [], []
     for _, x in got:
-        parents.append([np.cumsum(x[3 + 3 * k], dtype=np.int64) for k in range(order - 1)])
-        keep = [x[5 + 3 * k] > 0 for k in range(order - 1)]
+        parents.append([np.cumsum(x[2 + 4 * k], dtype=np.int64) for k in range(order - 1)])
+        keep = [x[5 + 4 * k] > 0 for k in range(order - 1)]
         for k in range(order - 2, 0, -1):
             keep[k - 1][parents[-1][k][keep[k]]] = True
         kept.append(keep)
-    first = [np.cumsum(x[2], dtype=np.uint64) for _, x in got]
-    if order > 1:
-        roots = np.unique(np.concatenate([f[np.unique(p[0][keep[0]])] for f, p, keep in zip(first, parents, kept)]))
-        root = EliasFano.encode(roots)
-        ranks, above = [root.find(f) for f in first], len(roots)
     for k in range(order - 1):
         over = [r[p[k]] for r, p in zip(ranks, parents)]
-        nodes = np.concatenate([(o[keep[k]].astype(np.uint64) << np.uint64(32)) | x[4 + 3 * k][keep[k]].astype(np.uint64) for o, keep, (_, x) in zip(over, kept, got)])
-        n = np.concatenate([x[5 + 3 * k][keep[k]] for keep, (_, x) in zip(kept, got)])
-        nodes, at = np.unique(nodes, return_inverse=True)
-        level = TrieLevel(above, nodes, np.bincount(at, n, len(nodes)).astype(np.int64))
+        words = []
+        for _, x in got:
+            code, word = x[3 + 4 * k], np.empty(len(x[3 + 4 * k]), np.uint64)
+            word[code == 0] = x[4 + 4 * k]
+            word[code > 0] = common[code[code > 0].astype(np.int64) - 1]
+            words.append(word)
+        nodes = [(o[keep[k]].astype(np.uint64) << np.uint64(WORD_BITS)) | w[keep[k]] for o, w, keep in zip(over, words, kept)]
+        nodes, at = np.unique(np.concatenate(nodes), return_inverse=True)
+        n = np.bincount(at, np.concatenate([x[5 + 4 * k][keep[k]] for keep, (_, x) in zip(kept, got)]), len(nodes))
+        level = TrieLevel(above, nodes, np.rint(n).astype(np.int64))
         above = len(nodes)
+        if above >> (64 - WORD_BITS):
+            raise ValueError("too many n-grams in one shard: SHARD must be smaller")
         del nodes, at, n
-        for i, (block, x) in enumerate(got):
-            places = level.query(over[i], x[4 + 3 * k])
-            codes, total, kinds_of = level.answer(places, ranks[i][np.unique(parents[i][k])])
-            out[block] += [codes, total, kinds_of, np.array([level.least, level.step])]
+        for i, (block, _) in enumerate(got):
+            places = level.query(over[i], words[i])
+            out[block] += [*level.context(ranks[i]), level.answer(places)]
             ranks[i] = places
     return out, tokens, kinds
 
 
-def _scores(texts: pa.Array, answers: dict[int, list[np.ndarray]], order: int, shards: int, parts: dict[int, int], tokens: int, kinds: int):
-    """n_tokens, n_known, base score and score of each text of a block."""
-    block = Block(texts, order)
-    roots, levels, dealt = _by_shard(block, shards, parts)
-    count = np.zeros(len(block.keys), np.int64)
-    for s, (rows, _, _) in enumerate(dealt):
-        count[rows] = answers[s][0]
+def scores(block: Block, found: list[tuple[int, list[np.ndarray]]], order: int, shards: int, parts: dict[int, int], tokens: int, kinds: int):
+    """n_tokens, n_known, base score and score of each text of a block, from the answers of all its shards."""
+    dealt = Dealing(block, order, shards, parts)
+    found = [x for _, x in sorted(found, key=lambda r: r[0])]  # as the entries are ordered
+    joined = [np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in range(1 + 3 * (order - 1))]
+    count = np.zeros(len(dealt.roots), np.int64)
+    count[dealt.entries[0][1][dealt.own[0]]] = joined[0][dealt.own[0]]
+    count = count[np.searchsorted(dealt.roots, block.keys)]
     p = (count + 1) / (tokens + kinds + 1)
     n_docs = len(block.sizes)
     known = np.bincount(block.doc, (count > 0)[block.token], n_docs).astype(np.int64)
     plain = np.bincount(block.doc, np.log10(p)[block.token], n_docs)
-    p = p[block.token]
-    above = len(roots)
-    for k, (parent, _, home, pair) in enumerate(levels):
-        share, total, sorts = np.zeros(len(parent)), np.zeros(above), np.zeros(above)
-        for s, (_, _, lists) in enumerate(dealt):
-            rows = lists[k]
-            codes, part, kinds_of, (least, step) = answers[s][1 + 4 * k : 5 + 4 * k]
-            context, group = np.unique(parent[rows], return_inverse=True)
-            mine = home[rows] == s
-            share[rows[mine]] = (np.where(codes > 0, 10 ** (least + (codes.astype(np.float64) - 1) * step), 0) * part[group])[mine]
-            total[context] += part
-            sorts[context] += kinds_of
-        seen = total > 0
-        rest = np.where(seen, DISCOUNT * sorts / np.where(seen, total, 1), 1)
-        own = np.where(seen[parent], share / np.where(seen, total, 1)[parent], 0)
-        p = own[pair] + rest[parent][pair] * p
+    p, above = p[block.token], len(dealt.roots)
+    for k, (parent, _, pair) in enumerate(dealt.levels, 1):
+        rows, own = dealt.entries[k][1], dealt.own[k]
+        share = np.zeros(len(parent))
+        share[rows[own]] = from_grid(joined[3 * k][own])
+        context = dealt.entries[k - 1][1]
+        total, sorts = (np.bincount(context, joined[3 * k - 2 + j], above) for j in (0, 1))
+        seen, total = total > 0, np.maximum(total, 1)
+        rest = np.where(seen, DISCOUNT * sorts / total, 1)
+        p = (share / total[parent])[pair] + rest[parent][pair] * p
         above = len(parent)
     return block.sizes, known, plain, np.bincount(block.doc, np.log10(p), n_docs)
 
@@ -364,56 +411,104 @@ def _scores(texts: pa.Array, answers: dict[int, list[np.ndarray]], order: int, s
 # ---------------------------------------------------------------- Spark
 
 
-def heavy_contexts(rows: DataFrame, order: int, shards: int) -> dict[int, int]:
-    """Contexts with more than a quarter of a shard's share of all tokens, and in how many parts each is dealt.
+def blocks_of(docs: DataFrame, learn: Column, size: int) -> DataFrame:
+    """(block, tokens, data): the texts where they lie, as numbered words in packed blocks; written to the shared folder."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        for batch in base.gathered(batches, 1, size):
+            b = Block.of(batch.column(1))
+            ids = batch.column(0)
+            columns = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), np.asarray(batch.column(2)).astype(bool)]
+            data = _pack(_rises(b.keys), b.token.astype(np.uint32), b.sizes.astype(np.uint32), *columns)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(b.token)]), pa.array([data], pa.binary())], names=["block", "tokens", "data"])
+            part += 1
+
+    return base.written(rows.mapInArrow(run, "block long, tokens long, data binary"), "blocks")
+
+
+def _opened(data: bytes) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
+    """A block with the ids of its texts, whether they are not null, and whether they train."""
+    keys, token, sizes, ids, named, train = _unpack(data)
+    return Block(np.cumsum(keys, dtype=np.uint64), token.astype(np.int64), sizes.astype(np.int64)), ids, named, train
+
 
-    A context that heavy overall is as heavy in some batch; there are at most 4 * shards of them for each order."""
+def survey(blocks: DataFrame, order: int, shards: int, tokens: int) -> tuple[dict[int, int], np.ndarray]:
+    """Contexts with more than a quarter of a shard's share of all tokens and in how many parts each is dealt, and the most
+    frequent words.
+
+    What is that frequent overall is as frequent in some block.  Both are bounded (``SPLIT``, ``COMMON``) and shape
+    messages and the work's spread only."""
 
     def run(batches):
         for batch in batches:
-            block = Block(batch.column(0), order)
-            names, counts = [np.zeros(1, np.uint64)], [np.array([len(block.token)])]
-            for c in block.contexts:
-                name, n = np.unique(c, return_counts=True)
-                some = n * 4 * shards >= len(block.token)
-                names.append(name[some])
-                counts.append(n[some])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], names=["context", "n"])
-
-    found = base.written(rows.select("text").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")), "heavy")
-    total = found.where("context = 0").agg(F.sum("n")).first()[0] or 0
-    heavy = found.where((F.col("context") != 0) & (F.col("n") * 4 * shards >= total)).collect()
-    return {r.context % (1 << 64): min(shards, -(-r.n * 4 * shards // total)) for r in heavy if shards > 1}
-
-
-def score(docs: DataFrame, learn: Column, order: int = ORDER, blocks: int | None = None) -> DataFrame:
+            for data in batch.column(0).to_pylist():
+                block = _opened(data)[0]
+                roots, levels = block.levels(order - 1)
+                n, hashes = np.bincount(np.searchsorted(roots, block.keys)[block.token], minlength=len(roots)), mixed(roots)
+                some = n >= LEAST_SEEN
+                names, counts, word = [(roots >> np.uint64(64 - WORD_BITS))[some]], [n[some]], [np.ones(int(some.sum()), bool)]
+                least = max(LEAST_SEEN, len(block.token) // (4 * shards))
+                for k in range(order - 1):
+                    some = n >= least
+                    names.append(hashes[some])
+                    counts.append(n[some])
+                    word.append(np.zeros(int(some.sum()), bool))
+                    if k < len(levels):
+                        parent, last, pair = levels[k]
+                        n, hashes = np.bincount(pair, minlength=len(parent)), mixed(hashes[parent] * ODD + roots[last])
+                arrays = [np.concatenate(names).astype(np.int64), np.concatenate(counts).astype(np.int64), np.concatenate(word)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["name", "n", "word"])
+
+    seen = blocks.select("data").mapInArrow(run, "name long, n long, word boolean").groupBy("word", "name").agg(F.sum("n").alias("n"))
+    seen = base.written(seen, "survey")
+    common = seen.where("word").orderBy(F.desc("n"), "name").limit(COMMON).collect()
+    heavy = seen.where(~F.col("word") & (F.col("n") * 4 * shards >= tokens)).orderBy(F.desc("n"), "name").limit(SPLIT).collect() if shards > 1 else []
+    base.remove_path(blocks.sparkSession, seen.scratch)
+    parts = {r.name % (1 << 64): min(shards, -(-r.n * 4 * shards // max(tokens, 1))) for r in heavy}
+    return {h: n for h, n in parts.items() if n > 1}, np.array([r.name % (1 << 64) for r in common], np.uint64)
+
+
+def score(docs: DataFrame, learn: Column, order: int = ORDER, shards: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row for each document, columns as in ``SCHEMA``; rows for which ``learn`` holds train the model."""
-    base.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("train"))
-    n = blocks or max(1, rows.rdd.getNumPartitions())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"))
-    parts = heavy_contexts(rows, order, n)  # at most 4 * n for each order
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        out = list(_questions(table["text"], table["train"].to_numpy().astype(bool), order, n, parts))
-        return pa.table({"shard": pa.array([s for s, _ in out], pa.int64()), "block": pa.array([block] * len(out), pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
+    spark = docs.sparkSession
+    base.small_batches(spark)
+    blocks = blocks_of(docs, learn, block)
+    size = blocks.agg(F.sum("tokens")).first()[0] or 0
+    n = shards or max(1, -(-size // SHARD))
+    shared = spark.sparkContext.broadcast(survey(blocks, order, n, size))  # bounded by SPLIT and COMMON
+
+    def ask(batches):
+        parts, common = shared.value
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                b, _, _, train = _opened(data)
+                out = list(questions(b, train, order, n, parts, common))
+                columns = [pa.array([s for s, _ in out], pa.int64()), pa.array([name] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "data"])
 
     def answer(table: pa.Table) -> pa.Table:
         asked = list(zip(table["block"].to_pylist(), table["data"].to_pylist()))
-        out, tokens, kinds = _answers(asked, order)
-        keys = list(out)
-        return pa.table({"block": pa.array(keys, pa.int64()), "shard": pa.array([table["shard"][0].as_py()] * len(keys), pa.int64()), "data": pa.array([_pack(*out[k]) for k in keys], pa.binary()), "tokens": pa.array([tokens] * len(keys), pa.int64()), "kinds": pa.array([kinds] * len(keys), pa.int64())})
-
-    asked = rows.groupBy("block").applyInArrow(ask, "shard long, block long, data binary")
-    answered = base.written(asked.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary, tokens long, kinds long"), "answers")
+        out, tokens, kinds = answers(asked, order, shared.value[1])
+        names, k = list(out), len(out)
+        columns = {"block": names, "shard": [table["shard"][0].as_py()] * k, "data": [_pack(*out.pop(b)) for b in names], "tokens": [tokens] * k, "kinds": [kinds] * k}
+        return pa.table({c: pa.array(v, pa.binary() if c == "data" else pa.int64()) for c, v in columns.items()})
+
+    asked = blocks.select("block", "data").mapInArrow(ask, "shard long, block long, data binary")
+    answered = asked.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary, tokens long, kinds long")
+    answered = base.written(answered, "answers")
     sums = answered.groupBy("shard").agg(F.max("tokens").alias("t"), F.max("kinds").alias("k")).agg(F.sum("t"), F.sum("k")).first()
     tokens, kinds = sums[0] or 0, sums[1] or 0
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = {s: _unpack(d) for s, d in zip(right["shard"].to_pylist(), right["data"].to_pylist())}
-        sizes, known, plain, own = _scores(left["text"], got, order, n, parts, tokens, kinds)
-        train = left["train"].to_numpy().astype(bool)
-        return pa.table({"doc_id": left["doc_id"], "held_out": pa.array(~train), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(sizes), tokens)), "base_score": pa.array(plain), "score": pa.array(own)})
+        b, ids, named, train = _opened(left["data"][0].as_py())
+        found = [(s, _unpack(d)) for s, d in zip(right["shard"].to_pylist(), right["data"].to_pylist())]
+        sizes, known, plain, own = scores(b, found, order, n, shared.value[0], tokens, kinds)
+        columns = [pa.array(ids, mask=~named), ~train, sizes.astype(np.int64), known, np.full(len(sizes), tokens), plain, own]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.groupBy("block").cogroup(answered.select("block", "shard", "data").groupBy("block")).applyInArrow(finish, SCHEMA)
+    return blocks.select("block", "data").groupBy("block").cogroup(answered.select("block", "shard", "data").groupBy("block")).applyInArrow(finish, SCHEMA)

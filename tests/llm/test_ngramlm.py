@@ -61,20 +61,22 @@ def brute(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order,blocks", [(2, 3), (3, 4), (2, 1)])
-def test_scores(spark, order, blocks):
+@pytest.mark.parametrize("order,shards,size", [(2, 3, 400), (3, 4, 300), (2, 1, 10**9), (4, 7, 1000)])
+def test_scores(spark, order, shards, size):
     rng = random.Random(5)
     words = ["The", "the", "of", "a", "b", "c", "é", "x y", "z"]
     rows = [(i, " ".join(rng.choices(words, [9, 9, 5, 3, 2, 1, 1, 1, 1], k=rng.randint(0, 40))), i % 4 != 0) for i in range(60)]
     rows += [(100, None, True), (101, "", False), (102, "  \n", False), (103, "unseen words only", False), (3, rows[3][1], True), (104, "the " * 500, True)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    got = ngramlm.score(df, F.col("train"), order, blocks).collect()
-    want = sorted(zip([r[0] for r in rows], brute(rows, order)))
+    rows.append((None, "the of a", True))
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").selectExpr("*", "1 as block", "'x' as data", "2 as score")
+    got = ngramlm.score(df, F.col("train"), order, shards, size).collect()
+    want = sorted(zip([-1 if r[0] is None else r[0] for r in rows], brute(rows, order)))
     assert len(got) == len(rows)
-    for r, (doc_id, (n, known, total, plain, own)) in zip(sorted(got, key=lambda r: (r.doc_id, r.n_tokens)), want):
-        assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (doc_id, n, known, total)
+    got = [(r, -1 if r.doc_id is None else r.doc_id) for r in got]
+    for (r, key), (doc_id, (n, known, total, plain, own)) in zip(sorted(got, key=lambda x: (x[1], x[0].n_tokens)), want):
+        assert (key, r.n_tokens, r.n_known, r.train_tokens) == (doc_id, n, known, total)
         assert r.base_score == pytest.approx(plain)
-        assert r.score == pytest.approx(own, rel=0.02, abs=0.02)
+        assert r.score == pytest.approx(own, rel=1e-6, abs=1e-6)
 
 
 def test_no_rows(spark):
