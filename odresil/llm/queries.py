@@ -50,8 +50,8 @@ def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.fit_weights(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return quality.judge(docs, weights).drop("text")
+    weights, threshold = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, weights, threshold, quality.FOLDS).drop("text")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,31 @@ def test_quality(spark, docs, none):
     fitted = quality.fit_weights(docs, quality.trusted_ids(labels), 128)
     assert len(fitted) == 128 and any(fitted)
     assert set(quality.fit_weights(docs, quality.trusted_ids(labels.limit(0)), 16)) == {0.0}
-    assert quality.judge(none, [0.0] * 4).count() == 0
+    assert quality.judge(none, [0.0] * 4, 0.0).count() == 0
+    assert quality.fit(none, labels) == ([0.0] * quality.BUCKETS * quality.FOLDS, 0.0)
+    own = quality.judge(docs.withColumn("_w", F.lit(1)).withColumn("_h", F.lit(2)), [0.0] * 4, 0.0)
+    assert {(r._w, r._h) for r in own.select("_w", "_h").collect()} == {(1, 2)}
+
+
+def test_quality_folds(spark):
+    """A document's weights come from the trusted documents of the other folds alone."""
+    docs = spark.createDataFrame([(k, f"word{k} common") for k in range(40)], "doc_id long, text string")
+    trusted, folds, buckets = docs.select("doc_id"), 3, 64
+    weights = quality.fit_weights(docs, trusted, buckets, folds)
+    of = {r.doc_id: r.k for r in docs.selectExpr("doc_id", f"{quality.fold_of(folds)} as k").collect()}
+    for k in range(folds):
+        without = docs.where(F.col("doc_id").isin([i for i, f in of.items() if f != k])).select("doc_id")
+        assert weights[k * buckets : (k + 1) * buckets] == quality.fit_weights(docs, without, buckets)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_quality_does_not_know_the_trusted(spark, sf):
+    """Unlabelled documents are kept about as often as trusted ones; what is labelled bad is mostly rejected."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judge(d.select("doc_id", "text"), *quality.fit(d, labels), quality.FOLDS).join(labels, "doc_id", "left")
+    kept = {r.quality: (r.share, r.bad) for r in out.groupBy("quality").agg(F.expr("avg(int(kept)) filter (where not base_failed) as share"), F.expr("avg(int(not kept)) as bad")).collect()}
+    # one in twelve of the unlabelled that pass the base rules is junk, as among the labelled ones
+    assert kept[1][0] > 0.98 and kept[None][0] > 0.88 and kept[0][1] > 0.7
 
 
 # ---------------------------------------------------------------- 6
