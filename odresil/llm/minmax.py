@@ -4,16 +4,19 @@ A document's set holds its distinct word shingles as 64-bit hashes.  Each permut
 signature values, the least and the greatest image, so ``BANDS * ROWS`` values need half as many evaluations.  Bands
 of ``ROWS`` values make candidates: at similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 
-Rows with equal sets are one class (a fingerprint of the set).  Each bucket of a band names its most central class the
-pivot, and (class, pivot) pairs are confirmed by an ordinary join, so a group of copies costs a pair for each member.
-Links give components by label propagation with pointer jumping.  Classes that buckets connect form a family; where a
+Rows with equal sets are one class (a fingerprint of the set), and classes that share a doc_id are one node.  Each bucket
+of a band names its most central class the pivot, so a group of copies costs a (class, pivot) pair for each member.  The
+pairs are dealt by pivot, a pivot with many members over several parts, and sorted, so that a task holds one pivot's set
+while the members' sets stream by.  Links give components by label propagation with pointer jumping.  Classes that buckets connect form a family; where a
 family still has several components, every class outside its largest one is compared with the whole family, in bounded
 blocks that count common shingles exactly and return links alone.  So a link between different texts is lost only if no
 band has both.
 
-Cases: null, empty or wordless texts have no shingles and stay alone; texts of fewer words than a shingle are one
-shingle; rows with the same doc_id are judged each, with one component id; a null doc_id gives a null component id
-and is kept; an empty table gives no rows; columns other than doc_id and text are ignored.
+Cases: null, empty or wordless texts have no shingles and link with nothing; texts of fewer words than a shingle are one
+shingle; very long texts are one set each; rows with the same doc_id keep their own n_shingles and have one component id,
+to which each of their texts may link others; of equally central classes the one of the greatest id is the pivot; a null
+doc_id gives a null component id and is kept; an empty table gives no rows; columns other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from . import base
 from .textcols import mixed, word_column, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
-ASKED, AGAINST, SMALL = 2000, 10_000, 200
+#: Shingles of the two sides of a block of family comparisons, classes of families that share a box, members of a pivot's part.
+ASKED, AGAINST, SMALL, PART = 100_000, 400_000, 200, 500
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -121,29 +125,75 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, print binary, items array<long>")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): the least id that links (a, b) reach from each node.  Labels only fall; each round takes the least
-    label of the neighbours and then the label's label, so chains halve."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of the nodes of some links (a, b): the least id that they reach from each node.
+
+    Labels only fall; each round takes the least label of the neighbours and then the label's label, so chains halve."""
+    spark = links.sparkSession
     both = base.written(links.select(F.col("a").alias("s"), F.col("b").alias("t")).unionAll(links.select("b", "a")).distinct(), "links")
-    labels = base.written(nodes.select("id", F.col("id").alias("label")), "labels")
+    labels = base.written(both.select(F.col("s").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     while True:
         near = both.join(labels, both.t == labels.id).groupBy("s").agg(F.min("label").alias("near"))
-        hop = labels.join(near, labels.id == near.s, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        hop = labels.join(near, labels.id == near.s).select("id", "label", F.least("label", "near").alias("new"))
         hop = base.written(hop, "hop")
         up = hop.select(F.col("id").alias("up"), F.col("new").alias("jump"))
-        new = hop.join(up, hop.new == up.up, "left").select("id", "label", F.least("new", F.coalesce("jump", "new")).alias("new"))
+        new = hop.join(up, hop.new == up.up).select("id", "label", F.least("new", "jump").alias("new"))
         new = base.written(new, "labels")
         changed = new.where("new <> label").limit(1).count()
+        for old in (labels, hop):
+            base.remove_path(spark, old.scratch)
         labels = new.select("id", F.col("new").alias("label"))
+        labels.scratch = new.scratch
         if not changed:
+            base.remove_path(spark, both.scratch)
             return labels
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) whose whole sets satisfy 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") * 100 >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
+    """The pairs (a, b) whose whole sets satisfy 100 * intersection >= percent * union.
+
+    Pairs are dealt by b in parts of about ``PART``; a part's rows are sorted, the set of b first, so a task holds that set
+    and one batch of others."""
+    crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    asked = pairs.join(crowd, "b").select("b", part.alias("part"), F.lit(1).alias("kind"), F.col("a").alias("id"))
+    asked = asked.join(sets.select("id", "items"), "id").select("b", "part", "kind", "id", "items")
+    held = crowd.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = held.join(sets.select(F.col("id").alias("b"), "items"), "b").select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("id"), "items")
+    rows = asked.unionAll(held).repartition("b", "part").sortWithinPartitions("b", "part", "kind", "id")
+
+    def run(batches):
+        pivot, pivots = None, []
+        for batch in batches:
+            b, kinds, ids = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            bounds = np.asarray(batch.column(4).offsets)
+            flat = np.asarray(batch.column(4).values)
+            found = []
+            for k in range(len(b)):
+                x = flat[bounds[k] : bounds[k + 1]]  # ascending as unsigned numbers
+                if kinds[k] == 0:
+                    if b[k] != pivot:
+                        pivot, pivots = b[k], []
+                    pivots.append(x.copy())
+                    continue
+                for y in pivots:
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    common = _common(x.view(np.uint64), y.view(np.uint64))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append((ids[k], pivot))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two ascending arrays share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
 
 
 def block_links(a_ids, a_labels, a_sets, b_ids, b_labels, b_sets, percent: int):
@@ -175,15 +225,18 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
 
     Every class outside its family's largest component is compared with all of the family, in blocks of ``ASKED`` by
     ``AGAINST`` classes, so no task grows with a family; small families share a block."""
-    star = members.select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
-    family = components(members.select("id").distinct(), star.where("a <> b")).withColumnRenamed("label", "family")
-    placed = base.written(family.join(labels, "id"), "families")
-    by = Window.partitionBy("family")
-    parts = placed.groupBy("family", "label").agg(F.count("*").alias("c"))
-    parts = parts.withColumn("m", F.sum("c").over(by)).withColumn("top", F.max(F.struct("c", "label")).over(by))
-    mixed_ = parts.where("m > c").groupBy("family").agg(F.first("m").alias("m"), F.first("top.label").alias("top"), (F.first("m") - F.first("top.c")).alias("rest"))
-    placed = placed.join(mixed_, "family")
-    n_i, n_j = F.ceil(F.col("rest") / ASKED).cast("int"), F.ceil(F.col("m") / AGAINST).cast("int")
+    star = members.select(F.col("id").alias("a"), F.col("p").alias("b")).where("a <> b").distinct()
+    found = components(star)
+    family = found.withColumnRenamed("label", "family")
+    sizes = members.groupBy("id").agg(F.max("n").alias("n"))
+    placed = base.written(family.join(labels, "id", "left").join(sizes, "id").select("id", "n", "family", F.coalesce("label", "id").alias("label")), "families")
+    base.remove_path(members.sparkSession, found.scratch)
+    by = Window.partitionBy("family")  # over a row for each component of a family
+    parts = placed.groupBy("family", "label").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    parts = parts.withColumn("m", F.sum("c").over(by)).withColumn("all", F.sum("n").over(by)).withColumn("top", F.max(F.struct("c", "label", "n")).over(by))
+    several = parts.where("m > c").groupBy("family").agg(F.first("m").alias("m"), F.first("all").alias("all"), F.first("top.label").alias("top"), (F.first("all") - F.first("top.n")).alias("rest"))
+    placed = placed.join(several, "family")
+    n_i, n_j = F.ceil(F.col("rest") / ASKED).cast("int"), F.ceil(F.col("all") / AGAINST).cast("int")
     placed = placed.withColumn("box", F.when(F.col("m") > SMALL, F.xxhash64("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(1021)))).join(sets, "id")
     placed = base.written(placed.select("box", "family", "id", "label", "items", "top", n_i.alias("n_i"), n_j.alias("n_j")), "blocks")
     again = placed.sparkSession.read.schema(placed.schema).parquet(placed.scratch)  # the other side of the cogroup
@@ -212,13 +265,20 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
     return asked.select(*columns).groupBy(*keys).cogroup(against.select(*columns).groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
+def shared_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a doc_id, for rows of one doc_id with different sets."""
+    several = some.groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p <> q").select("doc_id")
+    of = some.join(several, "doc_id").select("doc_id", "print").distinct().join(classes.select("print", "id"), "print").select("doc_id", "id").distinct()
+    least = of.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return of.join(least, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def link(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id per row."""
     rows = base.written(fingerprinted(docs, width), "prints")
     some = rows.where("print is not null and doc_id is not null")
-    classes = base.written(some.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    # classes share an id where rows of one doc_id have different texts: those are one node, and any of their sets may link it
-    nodes = classes.select("id").distinct()
+    classes = some.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = base.written(classes, "classes")
     bucket = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     crowded = base.written(bucket.join(crowd, ["band", "key"]), "buckets")
@@ -230,11 +290,18 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = base.written(sets_of(texts.join(members.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id", "print"]).drop("print"), "sets")
     pairs = members.where(f"id <> p and n * 100 >= {percent} * pn and pn * 100 >= {percent} * n").select(F.col("id").alias("a"), F.col("p").alias("b"))
-    links = base.written(confirmed(pairs, sets, percent), "links")
-    labels = components(nodes, links)
+    links = base.written(confirmed(pairs.distinct(), sets, percent).unionAll(shared_ids(some, classes)), "links")
+    labels = components(links)
     more = base.written(remaining_links(members, labels, sets, percent), "links")
     if more.limit(1).count():
-        labels = components(nodes, links.unionByName(more))
-    named = classes.select("print", "id").join(labels, "id").select("print", F.col("label").alias("component_id"))
+        labels = components(links.unionByName(more))
+    named = classes.select("print", "id").join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component_id"))
+    named = base.written(named, "named")
     out = rows.drop("bands").join(named, "print", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # a row without shingles has the component of the other rows of its doc_id
+    bare = rows.where("print is null and doc_id is not null").select("doc_id").distinct()
+    other = some.join(bare, "doc_id", "left_semi").join(named, "print").groupBy("doc_id").agg(F.min("component_id").alias("other"))
+    full, empty = out.where("print is not null"), out.where("print is null").drop("component_id").join(other, "doc_id", "left")
+    columns = ["doc_id", "n_shingles"]
+    full = full.select(*columns, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return full.unionAll(empty.select(*columns, F.coalesce("other", "doc_id").alias("component_id")))

@@ -43,6 +43,7 @@ def corpus(seed=3):
             pool.append(text)
         rows += [(n + k, " ".join(t)) for k, t in enumerate(pool)]
         n += len(pool) + 5
+    rows += [(990, None), (990, rows[40][1]), (2, "a text of its own"), (991, "a text of its own"), (991, "and one more text"), (992, "AND one more text")]
     rows += [(900, None), (901, ""), (902, " \n"), (903, rows[-1][1].upper()), (None, rows[0][1]), (None, "x"), (904, "one two"), (904, "one two"), (905, "One  two")]
     rng.shuffle(rows)
     return rows
@@ -55,14 +56,30 @@ def test_components(spark):
 
 
 def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minmax, "ASKED", 3)
-    monkeypatch.setattr(minmax, "AGAINST", 5)
+    monkeypatch.setattr(minmax, "ASKED", 40)
+    monkeypatch.setattr(minmax, "AGAINST", 90)
     monkeypatch.setattr(minmax, "SMALL", 4)
+    monkeypatch.setattr(minmax, "PART", 3)
     rows = corpus(8)
     got = minmax.link(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+def test_shared_doc_id(spark):
+    p, q = "one text of several words that stands here", "another text with quite different words in it"
+    rows = [(1, p), (5, p), (2, q), (5, q)]
+    got = minmax.link(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert {r.component_id for r in got.collect()} == {1} and got.count() == 4
+
+
+def test_chain_of_one_family(spark):
+    """Each text links to its neighbours only; the whole chain is one component."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(100)]
+    got = minmax.link(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
 def test_empty(spark):
     assert minmax.link(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
