@@ -3,22 +3,23 @@
 Every language gets a context tree of up to three bytes.  A context that has been seen gives a byte n times of t the
 probability n / (t + d) and escapes to the next shorter context with d / (t + d), d being its distinct bytes; below
 the empty context all 256 bytes are equally likely.  Statistics are frozen after training, so the code length of each
-byte depends on its three predecessors alone: the tree is laid out as tables from (context, byte) to the exact code
-length in every language, contexts of three bytes only where they were seen ``DEEP`` times or more.  A text goes to
-the language that codes it in the fewest bits; the score is that language's share of the posterior.
+byte depends on its three predecessors alone.  The trees of all languages lie in one hashed table for each order, with an
+entry for every (context, byte) that any language has seen: its exact code length in every language; and one for every
+context: what its escape costs.  So memory follows what was seen, for any number of byte values and languages.  A text
+goes to the language that codes it in the fewest bits; the score is that language's share of the posterior.
 
 The share says nothing of texts in no learned language: it is near 1 for any text of some words.  ``judge`` therefore
 goes by the code length itself, bits a byte under the best language.  Its limit is learned from rows the trees have not
 seen: halfway from a language's own median to what texts cost under the best of the languages that are not theirs (8
 bits where one language is learned); and the second language must cost more by ``NARROW`` of that distance.
 
-Bytes beyond the most frequent ``SYMBOLS`` share one symbol and pay for the choice among them.
-
 Training reads a sample of at most about ``ROWS`` labelled rows a language, chosen by hash (a documented bound on a
 fitted classifier); n-grams are counted on the executors and summed before they are collected.
 
-Cases: a null text or one without a letter gets ``und`` and score 0; a null language is not learned; without any
-labelled row every text gets ``und``; repeated rows are judged each for itself; other columns are kept.
+Cases: a null text or one without a letter gets ``und`` and score 0; very long texts are coded whole, in chunks; of
+languages with equal code lengths the first by name is predicted; a null language is not learned; without any labelled
+row, or on an empty table, every text gets ``und``; repeated rows are judged each for itself; other columns are kept
+(those named like a result are replaced).
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from . import base
 
-SYMBOLS, ROWS, DEEP, UNKNOWN = 127, 3000, 6, "und"
+ROWS, UNKNOWN = 3000, "und"
 NARROW, RAW = 0.1, 8.0
 PAD = b"\n\n\n"
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
@@ -63,54 +64,96 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Places:
+    """The places of ascending 32-bit keys, found by hashing: a key whose slot is taken goes to the next, smaller table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys.astype(np.uint32), []
+        rest = np.arange(len(keys))
+        while len(rest):
+            bits = max(4, int(4 * len(rest) - 1).bit_length())
+            table, times = np.full(1 << bits, -1, np.int32), np.uint32((2654435761 + 2 * 1013904223 * len(self.tables)) % (1 << 32) | 1)
+            slots = self._slots(self.keys[rest], times, bits)
+            first = np.unique(slots, return_index=True)[1]
+            table[slots[first]] = rest[first]
+            self.tables.append((times, bits, table))
+            rest = np.delete(rest, first)
+
+    @staticmethod
+    def _slots(keys: np.ndarray, times: np.uint32, bits: int) -> np.ndarray:
+        return (keys * times) >> np.uint32(32 - bits)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is none."""
+        out, open_ = np.full(len(wanted), -1, np.int32), None
+        for times, bits, table in self.tables:
+            keys = wanted if open_ is None else wanted[open_]
+            at = table[self._slots(keys, times, bits)]
+            same = (self.keys[at] == keys) & (at >= 0)  # an empty slot: the key is in no table
+            if open_ is None:
+                out = np.where(same, at, -1)
+                open_ = np.flatnonzero(~same & (at >= 0))
+            else:
+                out[open_[same]] = at[same]
+                open_ = open_[~same & (at >= 0)]
+            if not len(open_):
+                break
+        return out
+
+
 class ByteTrees:
     """The frozen context trees of all languages as tables of code lengths in bits."""
 
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], symbols: int = SYMBOLS, deep: int = DEEP):
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """grams: for each language, the windows of four bytes as numbers, and how often each was seen."""
         self.langs = sorted(grams)
-        seen = np.zeros(256, np.int64)
-        for g, n in grams.values():
-            seen += np.bincount(g & 255, n, 256).astype(np.int64)
-        common = np.sort(np.argsort(-seen, kind="stable")[: min(symbols, int((seen > 0).sum()))])
-        self.lut = np.full(256, len(common), np.int32)
-        self.lut[common] = np.arange(len(common))
-        a = self.a = len(common) + 1
-        choice = np.zeros(a)
-        choice[-1] = np.log2(max(256 - len(common), 1))
-        coded = []
-        for lang in self.langs:
-            g, n = grams[lang]
-            s = [self.lut[(g >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-            coded.append((s, n))
-        total3 = np.zeros(a**3, np.int64)
-        for s, n in coded:
-            total3 += np.bincount((s[0] * a + s[1]) * a + s[2], n, a**3).astype(np.int64)
-        rows = np.flatnonzero(total3 >= deep)
-        self.row3 = np.full(a**3, -1, np.int32)
-        self.row3[rows] = np.arange(len(rows))
-        self.two = np.empty((a**3, len(self.langs)), np.float32)
-        self.three = np.empty((len(rows) * a, len(self.langs)), np.float32)
-        for k, (s, n) in enumerate(coded):
-            p = np.zeros(a)
-            p[:-1], p[-1] = 1 / 256, (256 - a + 1) / 256
-            for order in range(3):
-                size = a**order
-                context = np.zeros(len(n), np.int64)
-                for q in range(3 - order, 3):
-                    context = context * a + s[q]
-                counts = np.bincount(context * a + s[3], n, size * a).reshape(size, a)
-                p = self._mix(counts, np.tile(p, (a if order else 1, 1)).reshape(size, a))
-            self.two[:, k] = (-np.log2(p) + choice).reshape(-1)
-            row = self.row3[(s[0] * a + s[1]) * a + s[2]]
-            ok = row >= 0
-            counts = np.bincount(row[ok] * a + s[3][ok], n[ok], len(rows) * a).reshape(-1, a)
-            self.three[:, k] = (-np.log2(self._mix(counts, p[rows % a**2])) + choice).reshape(-1)
+        keys = np.unique(np.concatenate([grams[lang][0] for lang in self.langs]))
+        seen = np.zeros((len(keys), len(self.langs)))
+        for k, lang in enumerate(self.langs):
+            seen[np.searchsorted(keys, grams[lang][0]), k] = grams[lang][1]
+        self.single, below = None, np.full((1, len(self.langs)), 1 / 256)
+        self.entries: dict[int, tuple[Places, np.ndarray]] = {}
+        self.escapes: dict[int, tuple[Places, np.ndarray]] = {}
+        for order in (1, 2, 3, 4):  # bytes of the window: the context and the byte itself
+            own, at = np.unique(keys & ((1 << 8 * order) - 1), return_inverse=True)
+            counts = np.zeros((len(own), len(self.langs)))
+            np.add.at(counts, at, seen)
+            contexts, of = np.unique(own >> 8, return_inverse=True)
+            total, kinds = np.zeros((2, len(contexts), len(self.langs)))
+            np.add.at(total, of, counts)
+            np.add.at(kinds, of, counts > 0)
+            lower = below if order == 1 else below[np.searchsorted(shorter, own & ((1 << 8 * (order - 1)) - 1))]
+            p = self._mixed(counts, total[of], kinds[of], lower)
+            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
+            if order == 1:
+                self.single = np.tile(self._mixed(np.zeros(1), total, kinds, 1 / 256), (256, 1))
+                self.single[own] = p
+                self.single = -np.log2(self.single).astype(np.float32)
+            else:
+                self.entries[order] = Places(own), -np.log2(p).astype(np.float32)
+                self.escapes[order] = Places(contexts), -np.log2(escape).astype(np.float32)
+            shorter, below = own, p
 
     @staticmethod
-    def _mix(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    def _mixed(counts, total, kinds, lower):
         return np.where(total > 0, (counts + kinds * lower) / np.maximum(total + kinds, 1), lower)
 
+    def _costs(self, windows: np.ndarray, order: int = 4) -> np.ndarray:
+        """Code lengths [window, language] of the last byte of each window of ``order`` bytes."""
+        if order == 1:
+            return self.single[windows]
+        places, costs = self.entries[order]
+        at = places.find(windows)
+        out = costs[at] if len(costs) else np.zeros((len(windows), len(self.langs)), np.float32)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            some = windows[missing]
+            contexts, escapes = self.escapes[order]
+            where = contexts.find(some >> np.uint32(8))
+            escape = np.where((where >= 0)[:, None], escapes[where], np.float32(0))
+            out[missing] = escape + self._costs(some & np.uint32((1 << 8 * (order - 1)) - 1), order - 1)
+        return out
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths [text, language]."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -124,16 +167,13 @@ class ByteTrees:
         return out
 
     def _add(self, texts: list[bytes], out: np.ndarray) -> None:
-        a, s = self.a, self.lut[np.frombuffer(PAD + PAD.join(texts) + PAD, np.uint8)].astype(np.int64)
+        s = np.frombuffer(PAD + PAD.join(texts) + PAD, np.uint8)
         ends = np.cumsum([len(t) + 3 for t in texts])
         starts = np.concatenate([[0], ends[:-1]]) + 3  # of the texts' own bytes
         for lo in range(3, len(s) - 3, CHUNK):
             hi = min(lo + CHUNK, len(s) - 3)
-            context = s[lo - 2 : hi - 2] * a + s[lo - 1 : hi - 1]
-            row = self.row3[s[lo - 3 : hi - 3] * a * a + context]
-            cost = self.two[context * a + s[lo:hi]]
-            deep = np.flatnonzero(row >= 0)
-            cost[deep] = self.three[row[deep].astype(np.int64) * a + s[lo + deep]]
+            part = s[lo - 3 : hi].astype(np.uint32)
+            cost = self._costs((part[:-3] << 24) | (part[1:-2] << 16) | (part[2:-1] << 8) | part[3:])
             sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(cost, 0, dtype=np.float64)])
             b = np.clip(np.stack([starts, ends]), lo, hi) - lo
             out += sums[np.maximum(b[1], b[0])] - sums[b[0]]

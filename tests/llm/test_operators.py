@@ -237,18 +237,43 @@ def test_quality_does_not_know_the_trusted(spark, sf):
 # ---------------------------------------------------------------- 6
 
 
+def windows(text: bytes):
+    b = np.frombuffer(ppm.PAD + text, np.uint8).astype(np.int64)
+    return np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
+
+
+def brute_ppm(training: bytes, text: bytes) -> float:
+    """Code length by plain counting: escapes from three bytes of context down to none, then 256 equal bytes."""
+    data, bits = ppm.PAD + training, 0.0
+    for i in range(len(text)):
+        past, p = (ppm.PAD + text[:i])[-3:], 1 / 256
+        for n in range(4):
+            context = past[3 - n :]
+            after = Counter(data[j] for j in range(3, len(data)) if data[j - n : j] == context)
+            total, kinds = sum(after.values()), len(after)
+            if total:
+                p = (after[text[i]] + kinds * p) / (total + kinds)
+        bits -= np.log2(p)
+    return bits
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=30), min_size=1, max_size=3), st.lists(st.binary(max_size=12), min_size=1, max_size=3))
+def test_code_lengths_against_counting(training, texts):
+    trees = ppm.ByteTrees({f"l{k}": windows(t) for k, t in enumerate(training)})
+    want = [[brute_ppm(t, x) for t in training] for x in texts]
+    assert trees.bits(texts) == pytest.approx(np.array(want), rel=1e-4, abs=1e-3)
+
+
 def test_code_is_a_distribution():
     rng = random.Random(1)
-    texts = {"x": "abra cadabra " * 20, "y": "".join(rng.choice("xyz é") for _ in range(300))}
-    grams = {}
-    for lang, t in texts.items():
-        b = np.frombuffer(ppm.PAD + t.encode(), np.uint8).astype(np.int64)
-        grams[lang] = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
-    trees = ppm.ByteTrees(grams, symbols=9, deep=2)
-    for context in (b"", b"a", b"ab", b"abr", b"\xff\xfe"):
+    texts = {"x": "abra cadabra " * 20, "y": "".join(rng.choice("xyz é") for _ in range(300)), "z": "日本語 и русский " * 9}
+    trees = ppm.ByteTrees({lang: windows(t.encode()) for lang, t in texts.items()})
+    for context in (b"", b"a", b"ab", b"abr", b"\xff\xfe", "本".encode()):
         bits = trees.bits([context + bytes([c]) for c in range(256)]) - trees.bits([context])
-        assert np.exp2(-bits).sum(0) == pytest.approx([1, 1], rel=1e-4)
+        assert np.exp2(-bits).sum(0) == pytest.approx([1, 1, 1], rel=1e-4)
     assert trees.langs[trees.bits([b"abra cadabra"]).argmin()] == "x"
+    assert trees.langs[trees.bits(["русский".encode()]).argmin()] == "z"
     long = ("abra cadabra " * 60000).encode()
     assert trees.bits([long, b"abra"])[0] == pytest.approx(trees.bits([long])[0])
 
