@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python: whole texts can be long, so batches stay short.
 ARROW_ROWS = 512
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -57,10 +58,17 @@ def _clean() -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table into the shared folder and reads it back."""
+    """Cuts the lineage: writes ``df`` as a table into the shared folder and reads it back.
+
+    What was shuffled for it is dropped once it is written, so that disk holds a table or its shuffles but not both."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back

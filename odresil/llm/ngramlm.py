@@ -47,7 +47,7 @@ from .textcols import mixed, word_column, word_hashes
 
 ORDER, DISCOUNT = 3, 0.75
 #: Bytes of text of a block; tokens of a shard; words that messages name by two bytes; contexts that are split at most.
-BLOCK, SHARD, COMMON, SPLIT = 12_000_000, 2_000_000, 65_535, 1_000_000
+BLOCK, SHARD, COMMON, SPLIT = 8_000_000, 1_200_000, 65_535, 1_000_000
 #: Counts of a block below which a word or context is no candidate for the last two.
 LEAST_SEEN = 8
 WORD_BITS, EXACT, STEPS = 40, 4096, 1024
@@ -263,44 +263,60 @@ class Block:
 
 
 class Dealing:
-    """Which n-grams of a block go to which shard: its own and those on the way to them, all shards at once."""
+    """Which n-grams of a block go to which shard: its own and those on the way to them, all shards at once.
+
+    An n-gram's own shard is that of its first word, but for successors of split contexts.  So most n-grams find all that
+    leads to them among their shard's own, and only the others need further entries."""
 
     def __init__(self, block: Block, order: int, shards: int, parts: dict[int, int]):
         self.roots, self.levels = block.levels(order)
         self.words = self.roots >> np.uint64(64 - WORD_BITS)
-        sizes = [len(self.roots), *(len(parent) for parent, _, _ in self.levels)]
         hashes = mixed(self.roots)
         homes = [(hashes % np.uint64(shards)).astype(np.int64)]
-        wanted = [[homes[0] * sizes[0] + np.arange(sizes[0])]]
+        more: list[list[np.ndarray]] = [[] for _ in range(order)]  # entries at shards that are not the row's own
         hot = np.array(sorted(parts), np.uint64)
         times = np.array([parts[int(h)] for h in hot], np.int64)
         for k, (parent, word, _) in enumerate(self.levels):
-            split = np.ones(sizes[k], np.int64)
+            home, n = homes[k][parent], len(homes[k])
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-                split = np.where(hot[at] == hashes, times[at], 1)
+                split = np.where(hot[at] == hashes, np.minimum(times[at], shards), 1)
                 for row in np.flatnonzero(split > 1).tolist():  # every part tells its total
-                    wanted[k].append((homes[k][row] + np.arange(min(split[row], shards))) % shards * sizes[k] + row)
+                    more[k].append((homes[k][row] + np.arange(1, split[row])) % shards * n + row)
+                some = np.flatnonzero(split[parent] > 1)
+                share = (self.words[word[some]] % split[parent[some]].astype(np.uint64)).astype(np.int64)
+                home[some] = (home[some] + share) % shards
                 hashes = mixed(hashes[parent] * ODD + self.roots[word])
-            share = (self.words[word] % split[parent].astype(np.uint64)).astype(np.int64)
-            homes.append((homes[k][parent] + share) % shards)
-            wanted.append([homes[-1] * sizes[k + 1] + np.arange(sizes[k + 1])])
-        #: Of each level: shard and row of every entry, by shard; where a shard's entries start; whether a shard is the row's own.
-        self.entries: list[tuple[np.ndarray, np.ndarray]] = [None] * len(sizes)
-        self.starts: list[np.ndarray] = [None] * len(sizes)
-        self.own: list[np.ndarray] = [None] * len(sizes)
-        self.above: list[np.ndarray] = [None] * len(sizes)
-        codes = [None] * len(sizes)
-        for k in range(len(sizes) - 1, -1, -1):
-            codes[k] = np.unique(np.concatenate(wanted[k])) if len(wanted[k]) > 1 else np.sort(wanted[k][0])
-            shard, row = codes[k] // sizes[k], codes[k] % sizes[k]
-            self.entries[k], self.own[k] = (shard, row), homes[k][row] == shard
-            self.starts[k] = np.searchsorted(shard, np.arange(shards + 1))
+            homes.append(home)
+        #: Of each level: row of every entry, by shard; where a shard's entries start; whether a shard is the row's own;
+        #: the place of an entry's parent among its shard's entries.
+        self.rows: list[np.ndarray] = [np.empty(0, np.int64)] * order
+        self.starts, self.own, self.above = list(self.rows), list(self.rows), list(self.rows)
+        codes, place = list(self.rows), list(self.rows)
+        for k in range(order - 1, -1, -1):
+            n = len(homes[k])
+            row = np.argsort(homes[k].astype(np.uint16) if shards <= 1 << 16 else homes[k], kind="stable")
+            codes[k], self.own[k] = homes[k][row] * n + row, np.ones(n, bool)
+            if more[k]:
+                codes[k] = np.concatenate([codes[k], np.unique(np.concatenate(more[k]))])
+                order_ = np.argsort(codes[k], kind="stable")
+                codes[k], self.own[k] = codes[k][order_], order_ < n
+                row = codes[k] % n
+            self.rows[k], self.starts[k] = row, np.searchsorted(codes[k], np.arange(shards + 1) * n)
+            place[k] = np.empty(n, np.int64)
+            place[k][row[self.own[k]]] = np.flatnonzero(self.own[k])
             if k:
-                self.above[k] = shard * sizes[k - 1] + self.levels[k - 1][0][row]
-                wanted[k - 1].append(self.above[k])
-        for k in range(1, len(sizes)):
-            self.above[k] = np.searchsorted(codes[k - 1], self.above[k]) - self.starts[k - 1][self.entries[k][0]]
+                shard = codes[k] // n
+                self.above[k] = self.levels[k - 1][0][row]
+                astray = np.flatnonzero(homes[k - 1][self.above[k]] != shard)
+                if len(astray):
+                    more[k - 1].append(shard[astray] * len(homes[k - 1]) + self.above[k][astray])
+        for k in range(1, order):
+            parent, shard = self.above[k], codes[k] // len(homes[k])
+            at = place[k - 1][parent]
+            astray = np.flatnonzero(homes[k - 1][parent] != shard)
+            at[astray] = np.searchsorted(codes[k - 1], shard[astray] * len(homes[k - 1]) + parent[astray])
+            self.above[k] = at - self.starts[k - 1][shard]
 
     def shards(self) -> list[int]:
         """The shards that get something: each entry has its root there."""
@@ -322,11 +338,11 @@ def questions(block: Block, train: np.ndarray, order: int, shards: int, parts: d
     short = frequent(dealt.words, common)
     count = np.zeros(len(dealt.roots), np.int64)
     count[np.searchsorted(dealt.roots, block.keys)] = np.bincount(block.token[learn], minlength=len(block.keys))
-    rows = dealt.entries[0][1]
+    rows = dealt.rows[0]
     root, counts = dealt.roots[rows], [np.where(dealt.own[0], count[rows], 0).astype(np.uint32)]
     words = [None]
     for k, (parent, word, pair) in enumerate(dealt.levels, 1):
-        rows = dealt.entries[k][1]
+        rows = dealt.rows[k]
         words.append(word[rows])
         counts.append(np.where(dealt.own[k], np.bincount(pair[learn], minlength=len(parent))[rows], 0).astype(np.uint32))
     for s in dealt.shards():
@@ -374,9 +390,14 @@ def answers(asked: list[tuple[int, bytes]], order: int, common: np.ndarray) -> t
         above = len(nodes)
         if above >> (64 - WORD_BITS):
             raise ValueError("too many n-grams in one shard: SHARD must be smaller")
-        del nodes, at, n
+        del nodes, n
+        done = 0
         for i, (block, _) in enumerate(got):
-            places = level.query(over[i], words[i])
+            places = np.empty(len(over[i]), np.int64)
+            n, mine = int(kept[i][k].sum()), kept[i][k]
+            places[mine] = at[done : done + n]  # nodes know their rank from the merge; the others are looked for
+            places[~mine] = level.query(over[i][~mine], words[i][~mine])
+            done += n
             out[block] += [*level.context(ranks[i]), level.answer(places)]
             ranks[i] = places
     return out, tokens, kinds
@@ -388,7 +409,7 @@ def scores(block: Block, found: list[tuple[int, list[np.ndarray]]], order: int,
     found = [x for _, x in sorted(found, key=lambda r: r[0])]  # as the entries are ordered
     joined = [np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in range(1 + 3 * (order - 1))]
     count = np.zeros(len(dealt.roots), np.int64)
-    count[dealt.entries[0][1][dealt.own[0]]] = joined[0][dealt.own[0]]
+    count[dealt.rows[0][dealt.own[0]]] = joined[0][dealt.own[0]]
     count = count[np.searchsorted(dealt.roots, block.keys)]
     p = (count + 1) / (tokens + kinds + 1)
     n_docs = len(block.sizes)
@@ -396,10 +417,10 @@ def scores(block: Block, found: list[tuple[int, list[np.ndarray]]], order: int,
     plain = np.bincount(block.doc, np.log10(p)[block.token], n_docs)
     p, above = p[block.token], len(dealt.roots)
     for k, (parent, _, pair) in enumerate(dealt.levels, 1):
-        rows, own = dealt.entries[k][1], dealt.own[k]
+        rows, own = dealt.rows[k], dealt.own[k]
         share = np.zeros(len(parent))
         share[rows[own]] = from_grid(joined[3 * k][own])
-        context = dealt.entries[k - 1][1]
+        context = dealt.rows[k - 1]
         total, sorts = (np.bincount(context, joined[3 * k - 2 + j], above) for j in (0, 1))
         seen, total = total > 0, np.maximum(total, 1)
         rest = np.where(seen, DISCOUNT * sorts / total, 1)
