@@ -104,6 +104,52 @@ def test_extraction(spark):
     assert extract.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+BODY = "<h1>Head</h1>" + "<p>A paragraph of the article, with some words, and some more of them, so that it counts.</p>" * 4
+WANT = "Head" + "\nA paragraph of the article, with some words, and some more of them, so that it counts." * 4
+WRAPPERS = ['div class="layout has-sidebar"', 'div class="page with-comments"', 'div class="share-page"', 'form id="aspnetForm"', 'div id="no-ads"', "div", 'div class="sidebar-layout widget-area"']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["", "article", "main", 'div class="content"'])
+def test_wrappers_hold_the_article(wrapper, inner):
+    body = f"<{inner}>{BODY}</{inner.split()[0]}>" if inner else BODY
+    name = wrapper.split()[0]
+    parts = '<nav><a href="/">Menu</a></nav><div class="ad">Buy it, now, cheap, all of it.</div>'
+    readers = '<section class="comments">' + "<article class='comment'><p>I read this, and liked it, a lot, yes, really, thanks.</p></article>" * 9 + "</section>"
+    page = f"<html><body>{parts}<{wrapper}><div class='sidebar'><p>Other, things, here.</p></div>{body}{readers}</{name}><footer>x</footer></body></html>"
+    assert extract.main_text(page) == WANT
+
+
+def test_parts_stay_cut():
+    assert extract.main_text('<div class="ad">Only an advert, with words, and commas, here.</div>') == ""
+    assert extract.main_text(f'<article>{BODY}</article><aside><article><p>One, two, three, four.</p></article></aside><div hidden>{BODY}</div>') == WANT
+
+
+def brute_page(page):
+    """For the tables' pages: the article's paragraphs and headings by plain splitting."""
+    import html
+    import re
+
+    article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|ul|li)>", article.replace("<br>", " "))
+    return "\n".join(t for t in (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in parts) if t)
+
+
+def test_pages_against_splitting(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = extract.extract_text(pages.select("page_id", "html")).collect()
+    assert len(got) > 2000 and all(r.text == brute_page(r.html) for r in got)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    deep = "<div>" * 20_000 + "<p>one, two</p>" * 20_000 + "</span>" * 20_000
+    start = time.process_time()
+    assert extract.main_text(deep).count("\n") == 19_999
+    assert time.process_time() - start < 10
+
+
 # ---------------------------------------------------------------- 4
 
 
