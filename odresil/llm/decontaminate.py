@@ -9,7 +9,8 @@ verifies the others word by word.
 The index of a benchmark is broadcast in blocks of at most ``block`` words; a larger benchmark takes one pass over the
 documents for each block, so what is broadcast never grows with the data.
 
-Cases: null or wordless texts have no words and are not contaminated; items without words have no windows; an item
+Cases: null or wordless texts have no words and are not contaminated; very long texts are searched whole, very long items
+in parts; equally rare shingles: the first of the window; items without words have no windows; an item
 with a null id marks words but is neither listed nor counted; repeated item ids count once; repeated document rows
 are judged each for itself; an empty benchmark leaves every document clean; other columns are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 2_000_000
+WINDOW, SHINGLE, BLOCK_WORDS = 13, 3, 2_000_000  # three word numbers of a block fit into 63 bits
 #: In UTF-8 every byte of a character beyond ASCII is 0x80 or more, so words can be found in the bytes.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -113,11 +114,14 @@ def _blocks(benchmark: DataFrame, size: int, block: int):
     items, held = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         words = words_of(row.t)
-        items.append((row.i, words))
-        held += len(words)
-        if held >= block:
-            yield WindowIndex(items, size)
-            items, held = [], 0
+        # a long item comes in parts that share the words of all windows but one at their borders
+        for at in range(0, max(1, len(words) - size + 1), block):
+            part = words[at : at + block + size - 1]
+            if held and held + len(part) > block:
+                yield WindowIndex(items, size)
+                items, held = [], 0
+            items.append((row.i, part))
+            held += len(part)
     if held:
         yield WindowIndex(items, size)
 

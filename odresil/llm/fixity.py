@@ -5,7 +5,7 @@ Every record of an archive has a digest and a place (volume, offset, length).  A
 hashes ``FAN`` children in order, up to one root a volume.  Two replicas are compared from the roots down: only the
 children of nodes that differ are looked at, so records are compared in the differing ranges alone.
 
-Cases: null urls or bodies count as empty; a null id comes first; rows with the same id are records each, ordered by
+Cases: null urls or bodies count as empty; a very long record is one record of one leaf; a null id comes first; rows with the same id are records each, ordered by
 their digest; a record on one side only is ``missing`` or ``extra``; an empty archive has no nodes and audits clean
 against another empty one; columns other than the named ones are ignored.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,41 +35,73 @@ def warc_record(record_id: Column, url: Column, body: Column) -> Column:
 
 
 def parse_warc(data: bytes):
-    """(offset, length, headers, body) of every record of a file; gzip members, one a record, keep their stored offsets."""
-    if data[:2] == b"\x1f\x8b":
-        import zlib
-
-        at = 0
-        while at < len(data):
-            z = zlib.decompressobj(31)
-            plain = z.decompress(data[at:])
-            size = len(data) - at - len(z.unused_data)
-            for _, _, headers, body in parse_warc(plain):
-                yield at, size, headers, body
-            at += size
-        return
+    """(offset, length, headers, body, error) of every record of a file; gzip members, one a record, keep their stored offsets.
+
+    Where a record can't be read, one row with an error covers the rest of the file, and nothing is left out in silence."""
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        plain, size, error = data, None, None
+        if data[:2] == b"\x1f\x8b":
+            plain, size, error = _member(data, at)
+        inside = 0 if size else at
+        while not error and inside < len(plain):
+            end = plain.find(b"\r\n\r\n", inside)
+            if end < 0 or not plain.startswith(b"WARC/", inside):
+                error = "no record header"
+                break
+            lines = plain[inside:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = dict(line.split(": ", 1) for line in lines if ": " in line)
+            length = headers.get("Content-Length", "")
+            stop = end + 4 + int(length) if length.isdigit() else -1
+            if stop < 0 or plain[stop : stop + 4] != b"\r\n\r\n":
+                error = "the record's length is missing or wrong"
+                break
+            yield (at, size, headers, plain[end + 4 : stop], None) if size else (inside, stop + 4 - inside, headers, plain[end + 4 : stop], None)
+            inside = stop + 4
+        if error:
+            start = at if size or error == DAMAGED else inside
+            yield start, len(data) - start, {}, b"", error
             return
-        headers = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        size = int(headers.get("Content-Length", 0))
-        yield at, end + 4 + size + 4 - at, headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        at = at + size if size else len(data)
+
+
+DAMAGED = "damaged gzip member"
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at a place holds, and its stored length; read piece by piece, so that long files cost no copies."""
+    reader, parts, here = zlib.decompressobj(31), [], at
+    try:
+        while not reader.eof and here < len(data):
+            parts.append(reader.decompress(data[here : here + (1 << 16)]))
+            here += 1 << 16
+    except zlib.error:
+        return b"", 0, DAMAGED
+    if not reader.eof:
+        return b"", 0, DAMAGED
+    return b"".join(parts), min(here, len(data)) - len(reader.unused_data) - at, None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, url, digest, body) of the records of .warc and .warc.gz files, one task a file."""
+    """(file, offset, length, url, digest, body, error) of the records of .warc and .warc.gz files, one task a file at most.
+
+    Files are handed over whole; Spark bounds the bytes of what a worker gets at once by the session's Arrow settings."""
+    base.small_batches(spark)
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
+    names = ["file", "offset", "length", "url", "digest", "body", "error"]
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(name, at, size, h.get("WARC-Target-URI"), hashlib.sha256(body).hexdigest(), body) for at, size, h, body in parse_warc(data)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))], names=["file", "offset", "length", "url", "digest", "body"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, offset long, length long, url string, digest string, body binary")
+            for k in range(batch.num_rows):
+                name, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                rows = []
+                for at, size, h, body, error in parse_warc(data):
+                    digest = None if error else hashlib.sha256(body).hexdigest()
+                    rows.append((name, at, size, h.get("WARC-Target-URI"), digest, body, error))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, offset long, length long, url string, digest string, body binary, error string")
 
 
 def compressed(record: bytes) -> bytes:

@@ -57,6 +57,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert gzip.decompress(fixity.compressed(records[0])) == records[0]
 
 
+def test_broken_warc_gives_error_rows(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"http://{k}", "<p>x</p>" * k) for k in range(3)], "id long, url string, html string")
+    one, two, three = (r[0].encode() for r in df.select(fixity.warc_record(F.col("id"), F.col("url"), F.col("html"))).orderBy("id").collect())
+    gz = list(map(fixity.compressed, (one, two, three)))
+    files = {"cut.warc": one + two[:-9], "junk.warc": one + b"junk", "cut.gz": gz[0] + gz[1][:-5], "junk.gz": gz[0] + gz[1][:20] + b"xxxxxxxxx" + gz[2]}
+    for name, data in files.items():
+        got = list(fixity.parse_warc(data))
+        start = len(gz[0]) if name.endswith("gz") else len(one)
+        assert [g[4] is None for g in got] == [True, False] and got[1][:2] == (start, len(data) - start), name
+        (tmp_path / name).write_bytes(data)
+    rows = fixity.read_warc(spark, str(tmp_path)).collect()
+    assert sum(r.error is not None for r in rows) == 4 and all(r.digest is None for r in rows if r.error)
+
+
+def test_audit_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, 3, "a", "x"), (1, 5, "b", "y"), (1, 5, "b", "y"), (2, 0, None, "z")], "record_id long, length long, digest string, other string")
+    placed = fixity.laid_out(rows.withColumn("Volume2", F.lit(1)), ["record_id", "length", "digest"])
+    got = sorted((r.offset, r.length) for r in placed.collect())
+    assert sum(n for _, n in got) == 13 and fixity.audit(placed, placed).count() == 0
+    assert {r.kind for r in fixity.audit(placed, placed.where("record_id = 1")).collect()} == {"missing"}
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -74,7 +96,7 @@ def brute_overlap(text, items, size=13):
     return len(w), len(hit), sorted(x for x in names if x is not None)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 25])
+@pytest.mark.parametrize("block", [2_000_000, 25, 7])
 def test_decontamination(spark, block):
     rng = random.Random(2)
     word = lambda: rng.choice("ab")
