@@ -7,7 +7,7 @@ of ``ROWS`` values make candidates: at similarity 0.8 a pair shares no band with
 Rows with equal sets are one class (a fingerprint of the set), and classes that share a doc_id are one node.  Each bucket
 of a band names its most central class the pivot, so a group of copies costs a (class, pivot) pair for each member.  The
 pairs are dealt by pivot, a pivot with many members over several parts, and sorted, so that a task holds one pivot's set
-while the members' sets stream by.  Links give components by label propagation with pointer jumping.  Classes that buckets connect form a family; where a
+while the members' sets stream by.  Links give components by hooking and contraction.  Classes that buckets connect form a family; where a
 family still has several components, every class outside its largest one is compared with the whole family, in bounded
 blocks that count common shingles exactly and return links alone.  So a link between different texts is lost only if no
 band has both.
@@ -128,25 +128,43 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of the nodes of some links (a, b): the least id that they reach from each node.
 
-    Labels only fall; each round takes the least label of the neighbours and then the label's label, so chains halve."""
+    Every node hooks to its least neighbour, chains of hooks are halved until they end at a root, and links are drawn anew
+    between roots; those within one tree go.  So each round has fewer links, and at most half as many nodes, as the last."""
     spark = links.sparkSession
-    both = base.written(links.select(F.col("a").alias("s"), F.col("b").alias("t")).unionAll(links.select("b", "a")).distinct(), "links")
-    labels = base.written(both.select(F.col("s").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
-    while True:
-        near = both.join(labels, both.t == labels.id).groupBy("s").agg(F.min("label").alias("near"))
-        hop = labels.join(near, labels.id == near.s).select("id", "label", F.least("label", "near").alias("new"))
-        hop = base.written(hop, "hop")
-        up = hop.select(F.col("id").alias("up"), F.col("new").alias("jump"))
-        new = hop.join(up, hop.new == up.up).select("id", "label", F.least("new", "jump").alias("new"))
-        new = base.written(new, "labels")
-        changed = new.where("new <> label").limit(1).count()
-        for old in (labels, hop):
-            base.remove_path(spark, old.scratch)
-        labels = new.select("id", F.col("new").alias("label"))
-        labels.scratch = new.scratch
-        if not changed:
-            base.remove_path(spark, both.scratch)
-            return labels
+    pair = (F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    nodes = base.written(links.select(F.col("a").alias("id")).unionAll(links.select("b")).distinct(), "nodes")
+    edges = base.written(links.select(*pair).where("x < y").distinct(), "edges")
+    place = None
+    while edges.limit(1).count():
+        hook = base.written(edges.groupBy(F.col("y").alias("id")).agg(F.min("x").alias("label")), "hook")
+        while True:
+            up = hook.select(F.col("id").alias("up"), F.col("label").alias("jump"))
+            new = hook.join(up, hook.label == up.up, "left").select("id", F.coalesce("jump", "label").alias("label"), F.col("jump").isNotNull().alias("moved"))
+            new = base.written(new, "hook")
+            moved = new.where("moved").limit(1).count()
+            base.remove_path(spark, hook.scratch)
+            hook, scratch = new.select("id", "label"), new.scratch
+            hook.scratch = scratch
+            if not moved:
+                break
+        root = hook.select(F.col("id").alias("_from"), F.col("label").alias("_to"))
+        if place is None:
+            place = hook
+        else:
+            old = place
+            moved = old.join(root, old.label == root._from, "left").select("id", F.coalesce("_to", "label").alias("label"))
+            place = base.written(moved.unionAll(hook), "labels")
+        again = edges.join(root, edges.x == root._from, "left").select(F.coalesce("_to", "x").alias("a"), "y")
+        again = again.join(root, again.y == root._from, "left").select("a", F.coalesce("_to", "y").alias("b"))
+        rest = base.written(again.select(*pair).where("x < y").distinct(), "edges")
+        for done in (edges, *([] if place is hook else [old, hook])):
+            base.remove_path(spark, done.scratch)
+        edges = rest
+    if place is None:
+        place = nodes.select("id", F.col("id").alias("label"))
+    out = base.written(nodes.join(place, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+    base.remove_path(spark, nodes.scratch)
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
