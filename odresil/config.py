@@ -30,5 +30,6 @@ class Windows:
 EVENTS = Windows()
 CATEGORIES = ("residential", "commercial", "leisure", "industrial", "health", "public")
 DOMINANT, IWF_POWER, EPSILON = 0.4, 2.0, 1e-9
-BANDS = {"06-10": (6, 10), "10-16": (10, 16), "16-20": (16, 20), "20-22": (20, 22)}
+#: Bands of the day and their hours (fixed values).
+BANDS = {"morning_peak": (6, 10), "midday": (10, 16), "evening_peak": (16, 20), "night": (20, 22)}
 EARTH_KM, NM_KM = 6371.0088, 1.852

@@ -43,15 +43,49 @@ def smooth_mean_of_ratios(curve: DataFrame, keys: list[str], n: int = 3) -> Data
     return curve.withColumn("r", F.avg("r").over(_around(keys, n)))
 
 
-def coherent(curve: DataFrame, keys: list[str], unit: list[str], n: int = 3) -> DataFrame:
+SMOOTHINGS = ("ratio_of_sums", "mean_of_ratios")
+
+
+def coherent(curve: DataFrame, keys: list[str], unit: list[str], city: DataFrame, n: int = 3, smoothing: str = "ratio_of_sums") -> DataFrame:
     """Scales every component of a day by one factor so that they add up to the smoothed city curve.
 
-    curve: (keys, day, activity, base, r smoothed, h); the city is the h-weighted sum of the components."""
+    curve: (keys, day, activity, base, r smoothed, h); city: (unit, day, city_base), the baselines of the city's own flow.
+    The target is the h-weighted activity over the city's baseline, smoothed as ``smoothing`` says.  A day on which both
+    target and components are zero keeps its values; a city without a positive baseline, a missing ratio and an undefined
+    or negative factor raise."""
+    if smoothing not in SMOOTHINGS:
+        raise ValueError(f"unknown smoothing {smoothing!r}")
     w = _around(unit, n)
-    city = curve.groupBy(*unit, "day").agg(F.sum(F.col("activity") * F.col("h")).alias("a"), F.sum(F.col("base") * F.col("h")).alias("b"), F.sum(F.col("r") * F.col("base") * F.col("h")).alias("p"))
-    city = city.withColumn("target", F.try_divide(F.sum("a").over(w), F.sum("b").over(w))).withColumn("given", F.try_divide("p", "b"))
+    sums = curve.groupBy(*unit, "day").agg(
+        F.sum(F.col("activity") * F.col("h")).alias("a"),
+        F.sum(F.col("r") * F.col("base") * F.col("h")).alias("p"),
+        F.sum(F.expr("int(r is null or isnan(r) or h is null or h < 0)")).alias("bad"),
+    )
+    days = sums.join(city, [*unit, "day"], "left")
+    ratio = F.col("a") / F.col("city_base")
+    target = F.sum("a").over(w) / F.sum("city_base").over(w) if smoothing == "ratio_of_sums" else F.avg(ratio).over(w)
+    fine = (F.col("city_base") > 0) & (F.col("bad") == 0)
+    days = days.withColumn("target", F.when(fine, target)).withColumn("given", F.when(fine, F.col("p") / F.col("city_base")))
     factor = F.when((F.col("target") == 0) & (F.col("given") == 0), 1.0).otherwise(F.try_divide("target", "given"))
-    return curve.join(city.select(*unit, "day", factor.alias("factor")), [*unit, "day"]).withColumn("r", F.col("r") * F.col("factor"))
+    checked = F.when(fine & (factor >= 0), factor).otherwise(F.raise_error(F.lit("the coherence correction is undefined")).cast("double"))
+    return curve.join(days.select(*unit, "day", checked.alias("factor")), [*unit, "day"]).withColumn("r", F.col("r") * F.col("factor"))
+
+
+def city_baselines(daily: DataFrame, unit: list[str], w: Windows) -> DataFrame:
+    """(unit, day, city_base): the baseline of the city's own flow on each disaster day; daily: (unit, day_idx, flow)."""
+    return relative_curve(daily, unit, w).select(*unit, "day", F.col("base").alias("city_base"))
+
+
+def city_curve(curve: DataFrame, unit: list[str], city: DataFrame) -> DataFrame:
+    """(unit, day, r_city): the components' activity, restored by baseline and loading, over the city's own baseline."""
+    total = curve.groupBy(*unit, "day").agg(F.sum(F.col("r") * F.col("base") * F.col("h")).alias("p"))
+    return total.join(city, [*unit, "day"]).select(*unit, "day", F.try_divide("p", "city_base").alias("r_city"))
+
+
+def comparison(rows: DataFrame, actual: str, baseline: str, upper: str, lower: str) -> DataFrame:
+    """pct_change, pct_upper (against the lower bound) and pct_lower (against the upper bound), as fractions."""
+    change = lambda to: F.try_divide(F.col(actual) - F.col(to), F.col(to))
+    return rows.withColumns({"pct_change": change(baseline), "pct_upper": change(lower), "pct_lower": change(upper)})
 
 
 def resilience(curve: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,20 +11,41 @@ from odresil.config import BANDS, CATEGORIES, DOMINANT, EPSILON, IWF_POWER, Wind
 from odresil.operators.curves import is_weekday
 
 
-def temporal_features(flows: DataFrame, keys: list[str], w: Windows) -> DataFrame:
-    """weekday_ratio, weekend, peak_slot and width-corrected band shares of the normal weekdays' slot profile."""
-    spine = flows.select(*keys).distinct().withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(w.normal - 1)))).withColumn("slot_of_day", F.explode(F.sequence(F.lit(w.first_slot), F.lit(w.last_slot))))
+def temporal_features(flows: DataFrame, keys: list[str], w: Windows, hours: int = 2, weekend_below: float = 1.0) -> DataFrame:
+    """Temporal signature of the normal days: weekday_ratio, the weekdays' slot shares and width-corrected band means, and
+    peak slot and period with their labels.
+
+    Components below ``weekend_below`` are a category of their own, after all slots and periods.  Without weekend activity
+    a component counts as weekday-dominated and has no ratio; without weekday activity its shares are 0."""
+    slots = range(w.first_slot, w.last_slot + 1)
+    spine = flows.select(*keys).distinct().withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(w.normal - 1))))
+    spine = spine.withColumn("slot_of_day", F.explode(F.sequence(F.lit(w.first_slot), F.lit(w.last_slot))))
     sums = flows.groupBy(*keys, "day_idx", "slot_of_day").agg(F.sum("flow").alias("flow"))
-    cells = spine.join(sums, [*keys, "day_idx", "slot_of_day"], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0))).withColumn("weekday", is_weekday(F.col("day_idx"), w))
+    cells = spine.join(sums, [*keys, "day_idx", "slot_of_day"], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
+    cells = cells.withColumn("weekday", is_weekday(F.col("day_idx"), w))
     days = cells.groupBy(*keys, "day_idx", "weekday").agg(F.sum("flow").alias("flow"))
-    ratio = days.groupBy(*keys).agg(F.try_divide(F.avg(F.when(F.col("weekday"), F.col("flow"))), F.avg(F.when(~F.col("weekday"), F.col("flow")))).alias("weekday_ratio"))
+    mean = lambda some: F.avg(F.when(some, F.col("flow")))
+    ratio = days.groupBy(*keys).agg(F.try_divide(mean(F.col("weekday")), mean(~F.col("weekday"))).alias("weekday_ratio"))
     profile = cells.where("weekday").groupBy(*keys, "slot_of_day").agg(F.avg("flow").alias("m"))
-    profile = profile.withColumn("share", F.try_divide("m", F.sum("m").over(Window.partitionBy(*keys))))
-    hour = F.col("slot_of_day") * 2
-    bands = [F.round(F.avg(F.when((hour >= a) & (hour + 2 <= b), F.col("share"))), 6).alias(f"band_{a}_{b}") for a, b in BANDS.values()]
-    shape = profile.groupBy(*keys).agg(F.min_by("slot_of_day", F.struct(-F.col("share"), "slot_of_day")).alias("peak_slot"), *bands)
-    out = ratio.join(shape, keys)
-    return out.withColumn("weekend", F.coalesce(F.col("weekday_ratio") < 1, F.lit(False))).withColumn("weekday_ratio", F.round("weekday_ratio", 6))
+    total = F.sum("m").over(Window.partitionBy(*keys))
+    profile = profile.withColumn("share", F.coalesce(F.try_divide("m", total), F.lit(0.0)))
+    start, end = F.col("slot_of_day") * hours, (F.col("slot_of_day") + 1) * hours
+    bands = [F.coalesce(F.avg(F.when((start >= a) & (end <= b), F.col("share"))), F.lit(0.0)).alias(n) for n, (a, b) in BANDS.items()]
+    shares = [F.sum(F.when(F.col("slot_of_day") == s, F.col("share"))).alias(f"share_{hours * s}_{hours * (s + 1)}h") for s in slots]
+    top = F.min_by("slot_of_day", F.struct(-F.col("share"), "slot_of_day")).alias("_top")
+    out = ratio.join(profile.groupBy(*keys).agg(top, *bands, *shares), keys)
+    weekend = F.coalesce(F.col("weekday_ratio") < weekend_below, F.lit(False))
+    best = F.array_position(F.array(*BANDS), F.greatest(*BANDS)) - 1
+    label = F.concat((F.col("_top") * hours).cast("string"), F.lit("-"), ((F.col("_top") + 1) * hours).cast("string"), F.lit("h"))
+    period = F.get(F.array(*map(F.lit, BANDS)), best.cast("int"))
+    return out.withColumns(
+        {
+            "peak_slot": F.when(weekend, len(slots)).otherwise(F.col("_top") - w.first_slot).cast("int"),
+            "peak_slot_label": F.when(weekend, "weekend").otherwise(label),
+            "peak_period": F.when(weekend, len(BANDS)).otherwise(best).cast("int"),
+            "peak_period_label": F.when(weekend, "weekend").otherwise(period),
+        }
+    ).drop("_top")
 
 
 def weighted_mean(weight: Column, value: Column) -> Column:

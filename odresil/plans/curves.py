@@ -10,7 +10,7 @@ from odresil.operators import curves as op
 from odresil.operators import flows
 from odresil.plans.flows import ACTIVE, active
 from odresil.plans.registry import query
-from odresil.sources.testdata import TRANSITIONS
+from odresil.sources.testdata import TRANSITIONS, transitions
 
 KEYS = ["component"]
 DAILY = f"""{TRANSITIONS}, {ACTIVE}, dd AS (SELECT component, day_idx, coalesce(flow, 0.0) AS flow FROM
@@ -22,8 +22,12 @@ rc AS (SELECT component, (day_idx - {W.disaster_start})::INT AS day, flow AS act
 SMOOTH = DAILY + """, sm AS (SELECT component, day, activity, base, sum(activity) OVER w / nullif(sum(base) OVER w, 0) AS r FROM rc
   WINDOW w AS (PARTITION BY component ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
 HS = ", hs AS (SELECT origin AS component, sum(flow) / 1000 AS h FROM act GROUP BY 1)"
-COHERENT = SMOOTH + HS + """, ct AS (SELECT day, sum(activity * h) AS a, sum(base * h) AS b, sum(r * base * h) AS p FROM sm JOIN hs USING (component) GROUP BY 1),
-cf AS (SELECT day, (sum(a) OVER w / sum(b) OVER w) / nullif(p / b, 0) AS factor FROM ct WINDOW w AS (ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+#: The city's own flow and its baselines, apart from the components'.
+CITY = f""", cd AS (SELECT d AS day_idx, coalesce(flow, 0.0) AS flow FROM (SELECT unnest(range(0, {W.days}))::INT AS d) LEFT JOIN (SELECT day_idx AS d, sum(flow) AS flow FROM od GROUP BY 1) USING (d)),
+cb AS (SELECT day_idx % 7 < 5 AS weekday, avg(flow) AS b FROM cd WHERE day_idx < {W.normal} GROUP BY 1),
+cy AS (SELECT (day_idx - {W.disaster_start})::INT AS day, b AS city_base FROM cd JOIN cb ON cb.weekday = (day_idx % 7 < 5) WHERE day_idx >= {W.disaster_start})"""
+COHERENT = SMOOTH + HS + CITY + """, ct AS (SELECT day, sum(activity * h) AS a, sum(r * base * h) AS p FROM sm JOIN hs USING (component) GROUP BY 1),
+cf AS (SELECT day, (sum(a) OVER w / sum(city_base) OVER w) / (p / city_base) AS factor FROM ct JOIN cy USING (day) WINDOW w AS (ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
 
 
 def daily(spark, sf_dir):
@@ -68,8 +72,13 @@ def loadings(spark, sf_dir):
     return active(spark, sf_dir).groupBy(F.col("origin").alias("component")).agg((F.sum("flow") / 1000).alias("h"))
 
 
+def city_base(spark, sf_dir):
+    """Baselines of all flow, night slots included: the city's own series, not the components' sum."""
+    return op.city_baselines(flows.dense_totals(transitions(spark, sf_dir), [], "day_idx", W.days), [], W)
+
+
 def coherent(spark, sf_dir):
-    return op.coherent(smoothed(spark, sf_dir).join(loadings(spark, sf_dir), "component"), KEYS, [])
+    return op.coherent(smoothed(spark, sf_dir).join(loadings(spark, sf_dir), "component"), KEYS, [], city_base(spark, sf_dir))
 
 
 @query(f"WITH {COHERENT} SELECT component, day, round(r * factor, 6) AS r FROM sm JOIN cf USING (day)")
@@ -98,21 +107,31 @@ def raw_component_loss(spark, sf_dir):
     return op.relative_curve(daily(spark, sf_dir), KEYS, W).groupBy("component").agg(F.round(F.sum(1 - F.col("r")), 6).alias("raw_loss"))
 
 
+SLOTS = range(W.first_slot, W.last_slot + 1)
+BAND_NAMES = "[" + ", ".join(f"'{n}'" for n in BANDS) + "]"
+
+
 @query(f"""WITH {TRANSITIONS}, {ACTIVE}, nd AS (SELECT component, day_idx, slot_of_day, coalesce(flow, 0.0) AS flow FROM
   (SELECT component, d AS day_idx, s AS slot_of_day FROM (SELECT DISTINCT origin AS component FROM act), (SELECT unnest(range(0, {W.normal}))::INT AS d), (SELECT unnest(range(3, 11))::INT AS s))
   LEFT JOIN (SELECT origin AS component, day_idx, slot_of_day, sum(flow) AS flow FROM act GROUP BY 1, 2, 3) USING (component, day_idx, slot_of_day)),
 dt AS (SELECT component, day_idx, sum(flow) AS flow FROM nd GROUP BY 1, 2),
 wr AS (SELECT component, avg(flow) FILTER (day_idx % 7 < 5) / nullif(avg(flow) FILTER (day_idx % 7 >= 5), 0) AS weekday_ratio FROM dt GROUP BY 1),
 pf AS (SELECT component, slot_of_day, avg(flow) AS m FROM nd WHERE day_idx % 7 < 5 GROUP BY 1, 2),
-sh AS (SELECT component, slot_of_day, m / nullif(sum(m) OVER (PARTITION BY component), 0) AS share FROM pf)
-SELECT component, round(weekday_ratio, 6) AS weekday_ratio, coalesce(weekday_ratio < 1, false) AS weekend,
-  (SELECT s2.slot_of_day FROM sh s2 WHERE s2.component = wr.component ORDER BY s2.share DESC, s2.slot_of_day LIMIT 1) AS peak_slot,
-  {", ".join(f'round((SELECT avg(share) FROM sh s2 WHERE s2.component = wr.component AND slot_of_day * 2 >= {a} AND slot_of_day * 2 + 2 <= {b}), 6) AS band_{a}_{b}' for a, b in BANDS.values())}
-FROM wr""")
+sh AS (SELECT component, slot_of_day, coalesce(m / nullif(sum(m) OVER (PARTITION BY component), 0), 0) AS share FROM pf),
+pk AS (SELECT component, slot_of_day AS top FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY share DESC, slot_of_day) AS k FROM sh) WHERE k = 1),
+bd AS (SELECT component, {", ".join(f"coalesce(avg(share) FILTER (slot_of_day * 2 >= {a} AND slot_of_day * 2 + 2 <= {b}), 0) AS {n}" for n, (a, b) in BANDS.items())},
+  {", ".join(f"sum(share) FILTER (slot_of_day = {s}) AS share_{2 * s}_{2 * s + 2}h" for s in SLOTS)} FROM sh GROUP BY 1),
+bp AS (SELECT *, list_position([{", ".join(BANDS)}], greatest({", ".join(BANDS)})) - 1 AS band FROM bd)
+SELECT component, round(weekday_ratio, 6) AS weekday_ratio, CASE WHEN weekday_ratio < 1 THEN {len(SLOTS)} ELSE top - {W.first_slot} END::INT AS peak_slot,
+  CASE WHEN weekday_ratio < 1 THEN 'weekend' ELSE (top * 2) || '-' || (top * 2 + 2) || 'h' END AS peak_slot_label,
+  CASE WHEN weekday_ratio < 1 THEN {len(BANDS)} ELSE band END::INT AS peak_period, CASE WHEN weekday_ratio < 1 THEN 'weekend' ELSE {BAND_NAMES}[band + 1] END AS peak_period_label,
+  {", ".join(f"round({n}, 6) AS {n}" for n in BANDS)}, {", ".join(f"round(share_{2 * s}_{2 * s + 2}h, 6) AS share_{2 * s}_{2 * s + 2}h" for s in SLOTS)}
+FROM wr JOIN bp USING (component) JOIN pk USING (component)""")
 def temporal_features(spark, sf_dir):
     from odresil.operators.features import temporal_features as features
 
-    return features(active(spark, sf_dir).withColumnRenamed("origin", "component"), KEYS, W)
+    out = features(active(spark, sf_dir).withColumnRenamed("origin", "component"), KEYS, W)
+    return rounded(out, "weekday_ratio", *BANDS, *[f"share_{2 * s}_{2 * s + 2}h" for s in SLOTS])
 
 
 @query(f"""WITH {SMOOTH}, tr AS (SELECT component, day, r AS truth FROM rc), gs AS (SELECT component, day, r AS guess FROM sm)
@@ -125,11 +144,10 @@ def curve_metrics(spark, sf_dir):
     return rounded(op.curve_metrics(pairs.where("day >= 1"), KEYS, "truth", "guess"), "mae", "mape", "nrmse", "r2")
 
 
-@query(f"""WITH {SMOOTH}{HS}, b AS (SELECT sum(base * h) AS total, day FROM sm JOIN hs USING (component) GROUP BY day)
-SELECT day, round(coalesce(sum(r * base * h) / nullif(any_value(total), 0), 1), 6) AS r_city FROM sm JOIN hs USING (component) JOIN b USING (day) GROUP BY 1""")
+@query(f"""WITH {SMOOTH}{HS}{CITY} SELECT day, round(sum(r * base * h) / any_value(city_base), 6) AS r_city FROM sm JOIN hs USING (component) JOIN cy USING (day) GROUP BY day""")
 def city_reconstruction(spark, sf_dir):
     rows = smoothed(spark, sf_dir).join(loadings(spark, sf_dir), "component")
-    return rows.groupBy("day").agg(F.round(F.coalesce(F.try_divide(F.sum(F.expr("r * base * h")), F.sum(F.expr("base * h"))), F.lit(1.0)), 6).alias("r_city"))
+    return rounded(op.city_curve(rows, [], city_base(spark, sf_dir)), "r_city")
 
 
 @query(f"""WITH {SMOOTH}, hh AS (SELECT origin AS component, origin, dest, sum(flow) / sum(sum(flow)) OVER (PARTITION BY origin) AS h FROM act WHERE day_idx < {W.normal} GROUP BY 1, 2, 3),
@@ -155,11 +173,11 @@ def curve_synthesis(spark, sf_dir):
     return rows.select("component", "day", F.round(op.logistic(c("day"), c("r0"), c("alpha"), c("lev")) + op.pulse(c("day"), c("strength"), c("rate")), 6).alias("r"))
 
 
-@query(f"""WITH {SMOOTH}, r0 AS (SELECT component, r AS r0 FROM sm WHERE day = 1),
+@query(f"""WITH {SMOOTH}, r0 AS (SELECT component, r AS r0 FROM sm WHERE day = 0),
 l AS (SELECT component, sum(1 - 1 / (1 + (1 / r0 - 1) * exp(-0.35 * d))) AS loss FROM r0, (SELECT unnest(range(0, 15)) AS d) WHERE r0 > 1e-6 GROUP BY 1)
 SELECT count(*) AS n, round(avg(loss), 6) AS mean_loss, round(CASE WHEN count(*) >= 2 THEN stddev_pop(loss) END, 6) AS spread FROM l""")
 def backbone_spread(spark, sf_dir):
-    r0 = smoothed(spark, sf_dir).where("day = 1 and r > 1e-6").select("component", F.col("r").alias("r0"))
+    r0 = smoothed(spark, sf_dir).where("day = 0 and r > 1e-6").select("component", F.col("r").alias("r0"))
     rows = r0.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(14))))
     loss = rows.groupBy("component").agg(F.sum(1 - op.logistic(F.col("d"), F.col("r0"), F.lit(0.35), F.lit(1.0))).alias("loss"))
     return loss.agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.round(F.when(F.count("*") >= 2, F.stddev_pop("loss")), 6).alias("spread"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from odresil.config import EVENTS as W
 from odresil.operators import stats
-from odresil.plans.curves import KEYS, SMOOTH, rounded, smoothed
+from odresil.operators.curves import comparison, is_weekday
+from odresil.operators.impact import METHODS, impact_period
+from odresil.plans.curves import DAILY, KEYS, SMOOTH, daily, rounded, smoothed
 from odresil.plans.flows import ACTIVE, SEGMENT, active
 from odresil.plans.registry import query
 from odresil.shipping import ship
@@ -163,22 +165,43 @@ def w1_skill(spark, sf_dir):
 COMPARE = f"{SMOOTH}, t AS (SELECT component, day, r FROM sm), f AS (SELECT component, day, r, avg(r) OVER (PARTITION BY component ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hat FROM t)"
 
 
-@query(f"WITH {COMPARE} SELECT component, day, round((r - hat) / nullif(hat, 0) * 100, 6) AS pct_change, round((r - hat * 0.9) / nullif(hat * 0.9, 0) * 100, 6) AS upper, round((r - hat * 1.1) / nullif(hat * 1.1, 0) * 100, 6) AS lower FROM f")
-def comparison_frame(spark, sf_dir):
-    hat = F.avg("r").over(Window.partitionBy("component").orderBy("day").rowsBetween(-2, 0))
-    rows = smoothed(spark, sf_dir).withColumn("hat", hat)
-    pct = lambda b: F.round(F.try_divide(F.col("r") - b, b) * 100, 6)
-    return rows.select("component", "day", pct(F.col("hat")).alias("pct_change"), pct(F.col("hat") * 0.9).alias("upper"), pct(F.col("hat") * 1.1).alias("lower"))
+BOUND = 1.2816
 
 
-@query(f"""WITH {SMOOTH}, n AS (SELECT component, day, r - 1 AS x FROM sm), s AS (SELECT component, min(day) FILTER (x < -0.05) AS start FROM n GROUP BY 1),
-k AS (SELECT n.component, day, x, sum((x < 0)::INT) OVER (PARTITION BY n.component ORDER BY day) AS g FROM n JOIN s ON n.component = s.component WHERE day >= start),
-ru AS (SELECT component, day, row_number() OVER (PARTITION BY component, g ORDER BY day) - (g > 0 AND first_value(x) OVER (PARTITION BY component, g ORDER BY day) < 0)::INT AS run, x FROM k)
-SELECT s.component, start::INT AS start_day, coalesce(min(day) FILTER (run >= 2 AND x >= 0), {W.disaster - 1})::INT AS end_day FROM s LEFT JOIN ru USING (component) GROUP BY 1, 2""")
+@query(f"""WITH {DAILY}, bd AS (SELECT component, day_idx % 7 < 5 AS weekday, avg(flow) AS m, coalesce(stddev_samp(flow), 0) AS sd FROM dd WHERE day_idx < {W.normal} GROUP BY 1, 2),
+j AS (SELECT rc.component, day, activity, m, m + {BOUND} * sd AS up, m - {BOUND} * sd AS low FROM rc JOIN bd ON bd.component = rc.component AND bd.weekday = ((day + {W.disaster_start}) % 7 < 5))
+SELECT component, day, round((activity - m) / nullif(m, 0), 6) AS pct_change, round((activity - low) / nullif(low, 0), 6) AS pct_upper, round((activity - up) / nullif(up, 0), 6) AS pct_lower FROM j""")
+def comparison_frame(spark, sf_dir):
+    """Activity against the day type's mean and its 80 % interval over the normal days."""
+    d = daily(spark, sf_dir).withColumn("weekday", is_weekday(F.col("day_idx"), W))
+    normal = d.where(F.col("day_idx") < W.normal).groupBy("component", "weekday")
+    bounds = normal.agg(F.avg("flow").alias("m"), (F.coalesce(F.stddev_samp("flow"), F.lit(0.0)) * BOUND).alias("s"))
+    bounds = bounds.withColumns({"up": F.col("m") + F.col("s"), "low": F.col("m") - F.col("s")})
+    rows = d.where(F.col("day_idx") >= W.disaster_start).join(bounds, ["component", "weekday"])
+    out = comparison(rows, "flow", "m", "up", "low").withColumn("day", (F.col("day_idx") - W.disaster_start).cast("int"))
+    return out.select("component", "day", *[F.round(c, 6).alias(c) for c in ("pct_change", "pct_upper", "pct_lower")])
+
+
+def _impact_sql(method: str) -> str:
+    """The detector over series x (component, day): runs at or above zero by gaps and islands."""
+    need = 2 if method == "consecutive" else 1
+    found = "NULL" if method == "end_of_series" else f"min(day - {need - 1}) FILTER (up AND run = {need})"
+    status = "'Fixed (End of Series)'" if method == "end_of_series" else "CASE WHEN back IS NOT NULL THEN 'Recovered' ELSE 'Ongoing' END"
+    return f"""SELECT component, '{method}' AS method, CASE WHEN start IS NOT NULL THEN greatest(start - 1, 0) END::INT AS last_normal, round(last_value, 6) AS last_value, start::INT AS start_index,
+  CASE WHEN start IS NOT NULL THEN coalesce(back, last) END::INT AS end_index, (CASE WHEN start IS NOT NULL THEN coalesce(back, last) END - start)::INT AS duration,
+  CASE WHEN start IS NULL THEN 'None' ELSE {status} END AS status
+FROM (SELECT component, any_value(start) AS start, max(day) AS last, max(x) FILTER (start IS NOT NULL AND day = greatest(start - 1, 0)) AS last_value, {found} AS back
+  FROM (SELECT *, sum(up::INT) OVER (PARTITION BY component, island ORDER BY day) AS run FROM
+    (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY component ORDER BY day) AS island FROM (SELECT *, coalesce(day >= start AND x >= 0, false) AS up FROM st))) GROUP BY 1)"""
+
+
+@query(f"WITH {SMOOTH}, st AS (SELECT component, day, r - 1 AS x, min(CASE WHEN r - 1 < -0.05 THEN day END) OVER (PARTITION BY component) AS start FROM sm) " + " UNION ALL ".join(map(_impact_sql, METHODS)))
 def impact_window(spark, sf_dir):
-    from odresil.operators.impact import impact_window as find
-
-    return find(smoothed(spark, sf_dir).withColumn("x", F.col("r") - 1), KEYS, "x", 0.05, 2, W.disaster - 1)
+    series, out = smoothed(spark, sf_dir).withColumn("x", F.col("r") - 1), None
+    for method in METHODS:
+        found = impact_period(series, KEYS, "x", 0.05, method, 2).withColumn("method", F.lit(method))
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("last_value", F.round("last_value", 6))
 
 
 @query(f"""WITH {CUSTOMERS}, p AS (SELECT id, unit, [x + 20, y + 1, id % 13 + 1] AS v FROM cu), l AS (SELECT id, unit, list_transform(v, lambda e: ln(e)) AS l FROM p)

@@ -30,6 +30,7 @@ ip AS (SELECT basin_id, time + to_seconds(s) AS time, lat + (lat2 - lat) * s / 2
   FROM sg, (SELECT unnest(range(0, 21600, 900)) AS s) WHERE time2 IS NOT NULL)"""
 PLACES = "pl AS (SELECT n_nationkey AS place, 'AL012024' AS basin_id, 24.0 + n_nationkey * 0.2::DOUBLE AS plat, -84.0 + (n_nationkey * 7 % 25) * 0.2::DOUBLE AS plon FROM nation)"
 KM = "(2 * 6371.0088 * asin(sqrt(power(sin((radians({b}lat) - radians(plat)) / 2), 2) + cos(radians(plat)) * cos(radians({b}lat)) * power(sin((radians({b}lon) - radians(plon)) / 2), 2))))"
+RADIUS = "((CASE q WHEN 0 THEN {r}_0 WHEN 1 THEN {r}_1 WHEN 2 THEN {r}_2 ELSE {r}_3 END) * 1.852)"
 QUAD = "CASE WHEN plat - {b}lat >= 0 THEN CASE WHEN plon - {b}lon >= 0 THEN 0 ELSE 3 END ELSE CASE WHEN plon - {b}lon >= 0 THEN 1 ELSE 2 END END"
 
 
@@ -54,22 +55,26 @@ def track_interpolate(spark, sf_dir):
 
 @query(f"""WITH {SEGS}, {PLACES}, j AS (SELECT place, plat, plon, ip.*, {KM.format(b="")} AS km FROM pl JOIN ip USING (basin_id)),
 ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, time) AS k FROM j) WHERE k = 1),
-rc AS (SELECT * FROM (SELECT ca.place, ca.plat, ca.plon, ca.km, ca.time, ca.wind_kt, tr.lat AS rlat, tr.lon AS rlon, {", ".join(f"{r}_{q}" for r in ("r34", "r50", "r64") for q in range(4))},
+rc AS (SELECT * FROM (SELECT ca.place, ca.plat, ca.plon, ca.km, ca.time, ca.wind_kt, ca.lat AS clat, ca.lon AS clon, {", ".join(f"{r}_{q}" for r in ("r34", "r50", "r64") for q in range(4))},
   row_number() OVER (PARTITION BY place ORDER BY abs(epoch(ca.time) - epoch(tr.time)), tr.time) AS k2 FROM ca JOIN tr USING (basin_id)) WHERE k2 = 1),
-qd AS (SELECT *, {QUAD.format(b="r")} AS q FROM rc)
-SELECT place, time, round(km, 6) AS km, round(wind_kt, 6) AS wind_kt, CASE {" ".join(f"WHEN (CASE q WHEN 0 THEN {r}_0 WHEN 1 THEN {r}_1 WHEN 2 THEN {r}_2 ELSE {r}_3 END) * 1.852 >= km THEN {v}" for r, v in (("r64", 64), ("r50", 50), ("r34", 34)))} ELSE 0 END::INT AS band FROM qd""")
+qd AS (SELECT *, {QUAD.format(b="c")} AS q FROM rc)
+SELECT place, time, round(km, 6) AS km, round(wind_kt, 6) AS wind_kt, CASE {" ".join(f"WHEN {RADIUS.format(r=r)} > 0 AND km <= {RADIUS.format(r=r)} THEN {v}" for r, v in (("r64", 64), ("r50", 50), ("r34", 34)))} ELSE 0 END::INT AS band FROM qd""")
 def city_exposure(spark, sf_dir):
     t = track(spark)
     near = op.nearest_record(op.closest_approach(places(spark, sf_dir), t), t)
     return rounded(op.exposure_band(near), "km", "wind_kt").select("place", "time", "km", "wind_kt", "band")
 
 
-WIND = f"""{TRACK}, {PLACES}, j AS (SELECT place, plat, plon, tr.*, {KM.format(b="")} AS km, {QUAD.format(b="")} AS q FROM pl JOIN tr USING (basin_id)),
-a AS (SELECT place, time, km, wind_kt, {", ".join(f"coalesce((CASE q WHEN 0 THEN {r}_0 WHEN 1 THEN {r}_1 WHEN 2 THEN {r}_2 ELSE {r}_3 END) * 1.852, 0) AS {r}" for r in ("r34", "r50", "r64"))} FROM j),
-wd AS (SELECT place, time, km, CASE WHEN r34 <= 0 THEN 0 WHEN km > r34 THEN 34 * power(r34 / km, 0.6)
-  WHEN r50 > 0 AND km > r50 THEN 50 - 16 * (km - r50) / (r34 - r50)
-  WHEN r64 > 0 AND km > r64 THEN 64 + (CASE WHEN r50 > 0 THEN 50 ELSE 34 END - 64) * (km - r64) / (CASE WHEN r50 > 0 THEN r50 ELSE r34 END - r64)
-  WHEN r64 > 0 THEN greatest(wind_kt, 64) WHEN r50 > 0 THEN greatest(wind_kt, 50) ELSE greatest(wind_kt, 34) END AS wind FROM a)"""
+#: The wind at a distance by the rules of the surveyed profile, one branch after the other, the last that holds.
+PROFILE = """greatest(coalesce(
+  CASE WHEN r34 > 0 AND km > r34 THEN 34.0 * power(r34 / km, 0.6) END,
+  CASE WHEN r34 > r50 AND km > r50 AND km <= r34 THEN i50 + (34.0 - i50) * (km - r50) / (r34 - r50) END,
+  CASE WHEN r50 > r64 AND km > r64 AND km <= r50 THEN i64 + (50.0 - i64) * (km - r64) / (r50 - r64) END,
+  CASE WHEN r64 > 0 AND km <= r64 THEN 64.0 + (wind_kt - 64.0) * (1.0 - km / r64) END, 0.0), 0.0)"""
+PROFILED = """rd AS (SELECT *, """ + ", ".join(RADIUS.format(r=r) + f" AS {r}" for r in ("r34", "r50", "r64")) + """ FROM j),
+an AS (SELECT *, CASE WHEN r64 > 0 THEN 64.0 ELSE wind_kt END AS i64, CASE WHEN r50 > 0 THEN 50.0 WHEN r64 > 0 THEN 64.0 ELSE wind_kt END AS i50 FROM rd),
+wd AS (SELECT *, """ + PROFILE + """ AS wind FROM an)"""
+WIND = f"""{TRACK}, {PLACES}, j AS (SELECT place, plat, plon, tr.*, {KM.format(b="")} AS km, {QUAD.format(b="")} AS q FROM pl JOIN tr USING (basin_id)), {PROFILED}"""
 
 
 @query(f"WITH {WIND} SELECT place, round(max(wind)::DOUBLE, 6) AS wind FROM wd GROUP BY 1")
@@ -82,7 +87,19 @@ def track_distance(spark, sf_dir):
     return op.at_place(places(spark, sf_dir), op.interpolate(track(spark))).groupBy("place").agg(F.round(F.min("km"), 6).alias("km"))
 
 
-@query(f"WITH {WIND} SELECT place, round(avg(wind)::DOUBLE, 6) AS wind FROM wd WHERE time::DATE = DATE '2024-01-18' GROUP BY 1")
+CITY = "place % 5"
+
+
+@query(f"""WITH {SEGS}, {PLACES}, ct AS (SELECT {CITY} AS city, basin_id, avg(plat) AS plat, avg(plon) AS plon FROM pl GROUP BY 1, 2),
+cj AS (SELECT city, ip.time, {KM.format(b="")} AS km FROM ct JOIN ip USING (basin_id)),
+ap AS (SELECT city, time AS landed FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY km, time) AS k FROM cj) WHERE k = 1),
+dr AS (SELECT ap.city, tr.*, tr.time::DATE = landed::DATE AS same, row_number() OVER (PARTITION BY ap.city ORDER BY abs(epoch(tr.time) - epoch(landed)), tr.time) AS near
+  FROM ap JOIN ct USING (city) JOIN tr USING (basin_id)),
+us AS (SELECT * FROM (SELECT *, bool_or(same) OVER (PARTITION BY city) AS found FROM dr) WHERE same OR (NOT found AND near = 1)),
+j AS (SELECT us.*, place, plat, plon, {KM.format(b="")} AS km, {QUAD.format(b="")} AS q FROM us JOIN pl ON {CITY} = city AND pl.basin_id = us.basin_id), {PROFILED}
+SELECT city, round(avg(wind), 6) AS wind FROM (SELECT city, place, max(wind) AS wind FROM wd GROUP BY 1, 2) GROUP BY 1""")
 def landfall_day_wind(spark, sf_dir):
-    rows = op.wind_at(places(spark, sf_dir), track(spark)).where(F.to_date("time") == F.lit("2024-01-18").cast("date"))
-    return rows.groupBy("place").agg(F.round(F.avg("wind"), 6).alias("wind"))
+    t, points = track(spark), places(spark, sf_dir).withColumn("city", F.col("place") % 5)
+    centres = points.groupBy(F.col("city").alias("place"), "basin_id").agg(F.avg("plat").alias("plat"), F.avg("plon").alias("plon"))
+    when = op.closest_approach(centres, t).select(F.col("place").alias("city"), "basin_id", F.col("time").alias("at"))
+    return rounded(op.landfall_day_wind(points, when, t), "wind")
