@@ -247,7 +247,7 @@ def token_table(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         last = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(last, names=["doc_id", "tie", "ids", "counts"])
 
-    return base.written(rows.mapInArrow(run, TOKENS), "tokens")
+    return base.written(rows.mapInArrow(base.lean(run), TOKENS), "tokens")
 
 
 def in_order(tokens: DataFrame, partitions: int) -> DataFrame:

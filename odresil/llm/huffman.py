@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, partitions: int | N
 
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/codebook")
     ordered = in_order(tokens, partitions or max(1, docs.rdd.getNumPartitions()))
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(base.lean(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     base.remove_path(spark, tokens.scratch)
 
 
@@ -182,4 +182,4 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     base.small_batches(spark)
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(base.lean(run), schema)

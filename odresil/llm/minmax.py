@@ -109,7 +109,7 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return rows.mapInArrow(base.lean(run), "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -122,7 +122,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
             items = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), prints, items], names=["id", "print", "items"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, print binary, items array<long>")
+    return docs.select("id", "text").mapInArrow(base.lean(run), "id long, print binary, items array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame
                         break
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(base.lean(run), "a long, b long").distinct()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -280,7 +280,7 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     keys = ["box", "i", "j"]
-    return asked.select(*columns).groupBy(*keys).cogroup(against.select(*columns).groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+    return asked.select(*columns).groupBy(*keys).cogroup(against.select(*columns).groupBy(*keys)).applyInArrow(base.lean_pair(compare), "a long, b long").distinct()
 
 
 def shared_ids(some: DataFrame, classes: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ from .textcols import mixed, word_column, word_hashes
 
 ORDER, DISCOUNT = 3, 0.75
 #: Bytes of text of a block; tokens of a shard; words that messages name by two bytes; contexts that are split at most.
-BLOCK, SHARD, COMMON, SPLIT = 8_000_000, 1_200_000, 65_535, 1_000_000
+BLOCK, SHARD, COMMON, SPLIT = 6_000_000, 1_000_000, 65_535, 1_000_000
 #: Counts of a block below which a word or context is no candidate for the last two.
 LEAST_SEEN = 8
 WORD_BITS, EXACT, STEPS = 40, 4096, 1024
@@ -229,7 +229,7 @@ class Block:
     def __init__(self, keys: np.ndarray, token: np.ndarray, sizes: np.ndarray):
         """keys: hashes of the distinct words, ascending, with the end token; token: places in them; sizes: tokens of each text."""
         self.keys, self.token, self.sizes = keys, token, sizes
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.first = np.cumsum(sizes) - sizes
 
     @classmethod
@@ -238,7 +238,7 @@ class Block:
         n_words = np.diff(at)
         keys, back = np.unique(np.append(mixed(word_hashes(words)), END), return_inverse=True)
         ends = np.cumsum(n_words + 1)
-        token = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        token = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         last = np.zeros(len(token), bool)
         last[ends - 1] = True
         token[last], token[~last] = back[-1], back[index]
@@ -250,15 +250,18 @@ class Block:
 
         An n-gram of start tokens alone is added where those of the next order begin with it."""
         roots = np.unique(np.append(self.keys, START))
-        token, begin = np.searchsorted(roots, self.keys)[self.token], int(np.searchsorted(roots, START))
+        token, begin = np.searchsorted(roots, self.keys).astype(np.int32)[self.token], int(np.searchsorted(roots, START))
         start, node, out = begin, token, []
         for _ in range(order - 1):
             above = np.empty(len(token), np.int64)
             above[1:] = node[:-1]
             above[self.first] = begin
-            codes, pair = np.unique(np.append(above * len(roots) + token, begin * len(roots) + start), return_inverse=True)
-            begin, node = int(pair[-1]), pair[:-1]
-            out.append((codes // len(roots), codes % len(roots), node))
+            above *= len(roots)
+            above += token
+            codes, pair = np.unique(np.append(above, begin * len(roots) + start), return_inverse=True)
+            begin, node = int(pair[-1]), pair[:-1].astype(np.int32)
+            del pair
+            out.append(((codes // len(roots)).astype(np.int32), (codes % len(roots)).astype(np.int32), node))
         return roots, out
 
 
@@ -272,7 +275,7 @@ class Dealing:
         self.roots, self.levels = block.levels(order)
         self.words = self.roots >> np.uint64(64 - WORD_BITS)
         hashes = mixed(self.roots)
-        homes = [(hashes % np.uint64(shards)).astype(np.int64)]
+        homes = [(hashes % np.uint64(shards)).astype(np.int32)]
         more: list[list[np.ndarray]] = [[] for _ in range(order)]  # entries at shards that are not the row's own
         hot = np.array(sorted(parts), np.uint64)
         times = np.array([parts[int(h)] for h in hot], np.int64)
@@ -282,10 +285,10 @@ class Dealing:
                 at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
                 split = np.where(hot[at] == hashes, np.minimum(times[at], shards), 1)
                 for row in np.flatnonzero(split > 1).tolist():  # every part tells its total
-                    more[k].append((homes[k][row] + np.arange(1, split[row])) % shards * n + row)
+                    more[k].append((int(homes[k][row]) + np.arange(1, split[row])) % shards * n + row)
                 some = np.flatnonzero(split[parent] > 1)
                 share = (self.words[word[some]] % split[parent[some]].astype(np.uint64)).astype(np.int64)
-                home[some] = (home[some] + share) % shards
+                home[some] = ((home[some] + share) % shards).astype(np.int32)
                 hashes = mixed(hashes[parent] * ODD + self.roots[word])
             homes.append(home)
         #: Of each level: row of every entry, by shard; where a shard's entries start; whether a shard is the row's own;
@@ -296,27 +299,27 @@ class Dealing:
         for k in range(order - 1, -1, -1):
             n = len(homes[k])
             row = np.argsort(homes[k].astype(np.uint16) if shards <= 1 << 16 else homes[k], kind="stable")
-            codes[k], self.own[k] = homes[k][row] * n + row, np.ones(n, bool)
+            codes[k], self.own[k] = homes[k][row].astype(np.int64) * n + row, np.ones(n, bool)
             if more[k]:
                 codes[k] = np.concatenate([codes[k], np.unique(np.concatenate(more[k]))])
                 order_ = np.argsort(codes[k], kind="stable")
                 codes[k], self.own[k] = codes[k][order_], order_ < n
                 row = codes[k] % n
-            self.rows[k], self.starts[k] = row, np.searchsorted(codes[k], np.arange(shards + 1) * n)
-            place[k] = np.empty(n, np.int64)
+            self.rows[k], self.starts[k] = row.astype(np.int32), np.searchsorted(codes[k], np.arange(shards + 1) * n)
+            place[k] = np.empty(n, np.int32)
             place[k][row[self.own[k]]] = np.flatnonzero(self.own[k])
             if k:
-                shard = codes[k] // n
+                shard = (codes[k] // n).astype(np.int32)
                 self.above[k] = self.levels[k - 1][0][row]
                 astray = np.flatnonzero(homes[k - 1][self.above[k]] != shard)
                 if len(astray):
-                    more[k - 1].append(shard[astray] * len(homes[k - 1]) + self.above[k][astray])
+                    more[k - 1].append(shard[astray].astype(np.int64) * len(homes[k - 1]) + self.above[k][astray])
         for k in range(1, order):
-            parent, shard = self.above[k], codes[k] // len(homes[k])
+            parent, shard = self.above[k], (codes[k] // len(homes[k])).astype(np.int32)
             at = place[k - 1][parent]
             astray = np.flatnonzero(homes[k - 1][parent] != shard)
-            at[astray] = np.searchsorted(codes[k - 1], shard[astray] * len(homes[k - 1]) + parent[astray])
-            self.above[k] = at - self.starts[k - 1][shard]
+            at[astray] = np.searchsorted(codes[k - 1], shard[astray].astype(np.int64) * len(homes[k - 1]) + parent[astray])
+            self.above[k] = at - self.starts[k - 1].astype(np.int32)[shard]
 
     def shards(self) -> list[int]:
         """The shards that get something: each entry has its root there."""
@@ -449,13 +452,13 @@ def blocks_of(docs: DataFrame, learn: Column, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(b.token)]), pa.array([data], pa.binary())], names=["block", "tokens", "data"])
             part += 1
 
-    return base.written(rows.mapInArrow(run, "block long, tokens long, data binary"), "blocks")
+    return base.written(rows.mapInArrow(base.lean(run), "block long, tokens long, data binary"), "blocks")
 
 
 def _opened(data: bytes) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
     """A block with the ids of its texts, whether they are not null, and whether they train."""
     keys, token, sizes, ids, named, train = _unpack(data)
-    return Block(np.cumsum(keys, dtype=np.uint64), token.astype(np.int64), sizes.astype(np.int64)), ids, named, train
+    return Block(np.cumsum(keys, dtype=np.uint64), token.astype(np.int32), sizes.astype(np.int64)), ids, named, train
 
 
 def survey(blocks: DataFrame, order: int, shards: int, tokens: int) -> tuple[dict[int, int], np.ndarray]:
@@ -485,7 +488,7 @@ def survey(blocks: DataFrame, order: int, shards: int, tokens: int) -> tuple[dic
                 arrays = [np.concatenate(names).astype(np.int64), np.concatenate(counts).astype(np.int64), np.concatenate(word)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["name", "n", "word"])
 
-    seen = blocks.select("data").mapInArrow(run, "name long, n long, word boolean").groupBy("word", "name").agg(F.sum("n").alias("n"))
+    seen = blocks.select("data").mapInArrow(base.lean(run), "name long, n long, word boolean").groupBy("word", "name").agg(F.sum("n").alias("n"))
     seen = base.written(seen, "survey")
     common = seen.where("word").orderBy(F.desc("n"), "name").limit(COMMON).collect()
     heavy = seen.where(~F.col("word") & (F.col("n") * 4 * shards >= tokens)).orderBy(F.desc("n"), "name").limit(SPLIT).collect() if shards > 1 else []
@@ -519,8 +522,8 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, shards: int | None
         columns = {"block": names, "shard": [table["shard"][0].as_py()] * k, "data": [_pack(*out.pop(b)) for b in names], "tokens": [tokens] * k, "kinds": [kinds] * k}
         return pa.table({c: pa.array(v, pa.binary() if c == "data" else pa.int64()) for c, v in columns.items()})
 
-    asked = blocks.select("block", "data").mapInArrow(ask, "shard long, block long, data binary")
-    answered = asked.groupBy("shard").applyInArrow(answer, "block long, shard long, data binary, tokens long, kinds long")
+    asked = blocks.select("block", "data").mapInArrow(base.lean(ask), "shard long, block long, data binary")
+    answered = asked.groupBy("shard").applyInArrow(base.lean_group(answer), "block long, shard long, data binary, tokens long, kinds long")
     answered = base.written(answered, "answers")
     sums = answered.groupBy("shard").agg(F.max("tokens").alias("t"), F.max("kinds").alias("k")).agg(F.sum("t"), F.sum("k")).first()
     tokens, kinds = sums[0] or 0, sums[1] or 0
@@ -532,4 +535,4 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, shards: int | None
         columns = [pa.array(ids, mask=~named), ~train, sizes.astype(np.int64), known, np.full(len(sizes), tokens), plain, own]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return blocks.select("block", "data").groupBy("block").cogroup(answered.select("block", "shard", "data").groupBy("block")).applyInArrow(finish, SCHEMA)
+    return blocks.select("block", "data").groupBy("block").cogroup(answered.select("block", "shard", "data").groupBy("block")).applyInArrow(base.lean_pair(finish), SCHEMA)

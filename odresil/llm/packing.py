@@ -134,4 +134,4 @@ def pack(docs: DataFrame, tokenizer: str, ids: bool = True, partitions: int | No
             yield flush()
 
     tokens = token_table(docs, tokenizer, END)
-    return in_order(tokens, partitions or max(1, docs.rdd.getNumPartitions())).mapInArrow(run, schema)
+    return in_order(tokens, partitions or max(1, docs.rdd.getNumPartitions())).mapInArrow(base.lean(run), schema)

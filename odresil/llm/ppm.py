@@ -61,7 +61,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         for lang, (grams, n) in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(base.lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Places:
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
                     langs[k] = model.langs[b]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(rates, from_pandas=True), pa.array(margins, from_pandas=True)], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte", "margin"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double, margin double")
+    return docs.mapInArrow(base.lean(run), f"{schema}, lang_pred string, score double, bits_per_byte double, margin double")
 
 
 def limits(docs: DataFrame, model: ByteTrees, rows: int = ROWS) -> dict[str, tuple[float, float]]:

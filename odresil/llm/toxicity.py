@@ -232,7 +232,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int32(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["term", "fold", "bad", "n"])
 
-    found = rows.select("fold", "toxic", "text").mapInArrow(run, "term string, fold int, bad boolean, n long")
+    found = rows.select("fold", "toxic", "text").mapInArrow(base.lean(run), "term string, fold int, bad boolean, n long")
     some = lambda k, bad: F.sum(F.when((F.col("fold") == k) & (F.col("bad") == bad), F.col("n")).otherwise(0))
     return found.groupBy("term").agg(
         *(some(k, True).alias(f"b{k}") for k in range(FOLDS)), *(some(k, False).alias(f"g{k}") for k in range(FOLDS))
@@ -303,4 +303,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             s = model.score(batch.column(position).to_pylist(), features)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(base.lean(run), f"{schema}, score double, predicted int")
