@@ -67,14 +67,29 @@ def bisect(f, low: float, high: float, steps: int = 80) -> float:
     return (low + high) / 2
 
 
+def golden(f, low: float, high: float, steps: int = 60) -> float:
+    """The least point of a function with one minimum between ``low`` and ``high``."""
+    for _ in range(steps):
+        a, b = low + (high - low) * 0.381966, low + (high - low) * 0.618034
+        low, high = (low, b) if f(a) <= f(b) else (a, high)
+    return (low + high) / 2
+
+
 def nelder_mead(f, start, steps: int = 400, xtol: float = 1e-4, ftol: float = 1e-7) -> tuple[np.ndarray, float]:
     """Simplex minimisation without slopes."""
+    return nelder_mead_checked(f, start, steps, xtol, ftol)[:2]
+
+
+def nelder_mead_checked(f, start, steps: int = 400, xtol: float = 1e-4, ftol: float = 1e-7) -> tuple[np.ndarray, float, bool]:
+    """The same with whether it ended within its tolerances."""
+    converged = False
     start = np.asarray(start, float)
     points = [start] + [start + np.eye(len(start))[i] * (0.05 * start[i] if start[i] else 0.1) for i in range(len(start))]
     simplex = sorted(((f(p), tuple(p)) for p in points))
     for _ in range(steps):
         values, corners = np.array([v for v, _ in simplex]), np.array([p for _, p in simplex])
         if np.abs(corners[1:] - corners[0]).max() <= xtol and values[-1] - values[0] <= ftol:
+            converged = True
             break
         centre, worst = corners[:-1].mean(0), corners[-1]
         tries = {t: centre + t * (centre - worst) for t in (1.0, 2.0, 0.5, -0.5)}
@@ -93,7 +108,7 @@ def nelder_mead(f, start, steps: int = 400, xtol: float = 1e-4, ftol: float = 1e
         else:
             simplex[-1] = (new[0], tuple(new[1]))
         simplex.sort()
-    return np.array(simplex[0][1]), float(simplex[0][0])
+    return np.array(simplex[0][1]), float(simplex[0][0]), converged
 
 
 def monotone(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -145,38 +160,83 @@ def curve(days: np.ndarray, r0: float, alpha: float, level: float, strength: flo
     return level / (1 + (level / r0 - 1) * np.exp(-alpha * days)) + strength * days * np.exp(-rate * days)
 
 
+#: Starts (None: the mean of the last three values) and bounds of rate, level, surge strength and surge rate (fixed values).
 STARTS = ((0.3, None, 0.0, 0.5), (0.5, 1.0, 2.0, 0.3), (0.5, 1.0, -1.0, 0.5), (1.0, None, 1.0, 1.0), (0.2, None, 0.5, 0.2))
+PLAIN = ((0.3, None), (0.5, 1.0), (1.0, None))
 LOW, HIGH = (0.0, 0.05, -10.0, 0.1), (5.0, 5.0, 10.0, 3.0)
 
 
-def fit_recovery(days: np.ndarray, r: np.ndarray):
-    """(alpha, level, strength, rate, r2) of the best of five bounded fits; all missing where the curve says too little."""
+def fit_recovery(days: np.ndarray, r: np.ndarray, surge: bool = True):
+    """(alpha, level, strength, rate, r2) of the best of several bounded fits; all missing where the curve says too little.
+
+    The curve starts from the value of the first day, which must be there.  Without ``surge`` the pulse is left out."""
     missing = (np.nan,) * 5
-    ok = np.isfinite(r)
+    order = np.argsort(days)
+    days, r = days[order], r[order]
+    if not len(r) or not np.isfinite(r[0]):
+        return missing
+    start, ok = r[0], np.isfinite(r)
     days, r = days[ok], r[ok]
-    if len(r) < 5 or r[0] <= 1e-6 or r.std() < 0.02:
+    if start <= 1e-6 or len(r) < 5 or r.std() < 0.02:
         return missing
     end = float(np.clip(r[-3:].mean(), 0.05, 5))
-    fits = [least_squares(lambda p: curve(days, r[0], *p) - r, [end if v is None else v for v in s], LOW, HIGH) for s in STARTS]
+    n = 4 if surge else 2
+    pulse = (0.0, 1.0) if not surge else ()
+    starts = [[end if v is None else v for v in s[:n]] for s in (STARTS if surge else PLAIN)]
+    fits = [least_squares(lambda p: curve(days, start, *p, *pulse) - r, s, LOW[:n], HIGH[:n]) for s in starts]
     p, cost = min(fits, key=lambda f: f[1])
     r2 = 1 - cost / ((r - r.mean()) ** 2).sum()
-    return (*map(float, p), float(r2)) if r2 >= 0 else missing
+    return (*map(float, p), *((np.nan, np.nan) if not surge else ()), float(r2)) if r2 >= 0 else missing
 
 
 def fit_decay(y: np.ndarray):
-    """(depth, alpha, beta, t0): straight fall to the first minimum, then exponential return with alpha in [0, 2]."""
-    t0 = int(np.argmin(y))
+    """(depth, alpha, beta, t0): straight fall to the first minimum, then exponential return with alpha in [0, 2].
+
+    Missing values are left out of the fit; without a value there is none."""
+    seen = np.isfinite(y)
+    if not seen.any():
+        return np.nan, np.nan, np.nan, 0
+    t0 = int(np.nanargmin(y))
     depth, t = float(y[t0]), np.arange(len(y), dtype=float)
     beta = depth / t0 if t0 else 0.0
 
     def loss(alpha):
         model = np.where(t <= t0, beta * t if t0 else depth, depth * np.exp(-alpha * (t - t0)))
-        return float(((model - y) ** 2).sum())
+        return float(((model - y)[seen] ** 2).sum())
 
     grid = np.linspace(0, 2, 41)
     k = int(np.argmin([loss(a) for a in grid]))
-    low, high = grid[max(k - 1, 0)], grid[min(k + 1, 40)]
-    for _ in range(60):
-        a, b = low + (high - low) * 0.381966, low + (high - low) * 0.618034
-        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
-    return depth, (low + high) / 2, beta, t0
+    return depth, golden(loss, grid[max(k - 1, 0)], grid[min(k + 1, 40)]), beta, t0
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    from math import exp, lgamma, log, log1p
+
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+    value, c, d = 1.0, 1.0, 0.0
+    for k in range(400):
+        m = k // 2
+        if k == 0:
+            term = 1.0
+        elif k % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / (1 + term * d or 1e-300)
+        c = 1 + term / c or 1e-300
+        value *= 1.0 if not k else c * d
+        if k and abs(c * d - 1) < 1e-15:
+            break
+    return front * value
+
+
+def student_p(r: float, n: int) -> float:
+    """Two-sided p of a correlation of n pairs."""
+    if abs(r) >= 1:
+        return 0.0
+    return incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)

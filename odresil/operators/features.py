@@ -148,3 +148,14 @@ def component_filter(h: DataFrame, weight: DataFrame, unit: list[str], least_sha
     rows = rows.withColumn("kept", ~F.coalesce((F.col("share_k") < least_share) & (F.col("top_flow") >= most_top), F.lit(False)))
     number = F.row_number().over((Window.partitionBy(*unit, "kept") if unit else Window.partitionBy("kept")).orderBy("component")) - 1
     return rows.withColumn("new_component", F.when(F.col("kept"), number).cast("int"))
+
+
+def usable(rows: DataFrame, unit: list[str], needed: list[str], target: str, least: int) -> DataFrame:
+    """Rows with every needed value and a target, of the units that keep ``least`` of them and two different targets."""
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    some = F.lit(True)
+    for c in (*needed, target):
+        some = some & number(c)
+    kept = rows.where(some)
+    units = kept.groupBy(*unit).agg(F.count("*").alias("_n"), F.countDistinct(target).alias("_d"))
+    return kept.join(units.where(f"_n >= {least} and _d >= 2").select(*unit), unit, "left_semi")

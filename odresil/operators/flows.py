@@ -25,15 +25,54 @@ def segment(day: Column, w: Windows) -> Column:
     return F.when(day < w.normal, "normal").when(day < w.disaster_start, "buffer").otherwise("disaster")
 
 
-def active_pairs(flows: DataFrame, least: float) -> DataFrame:
-    """Flows between zones whose in- plus outflow reaches ``least``; pairs without any flow go.  A self-loop counts twice."""
+def active_pairs(flows: DataFrame, least: float | DataFrame) -> DataFrame:
+    """Flows between zones whose in- plus outflow reaches ``least``, a number or a table of one; pairs without any flow go.
+
+    A self-loop counts twice."""
     ends = flows.select(F.col("origin").alias("zone"), "flow").unionAll(flows.select("dest", "flow"))
-    kept = ends.groupBy("zone").agg(F.sum("flow").alias("total")).where(F.col("total") >= least).select("zone")
+    totals = ends.groupBy("zone").agg(F.sum("flow").alias("total"))
+    if isinstance(least, DataFrame):
+        totals = totals.crossJoin(F.broadcast(least.toDF("_least")))  # one row
+    else:
+        totals = totals.withColumn("_least", F.lit(float(least)))
+    kept = totals.where(F.col("total") >= F.col("_least")).select("zone")
     some = flows.join(kept.withColumnRenamed("zone", "origin"), "origin", "left_semi").join(kept.withColumnRenamed("zone", "dest"), "dest", "left_semi")
     pairs = some.groupBy("origin", "dest").agg(F.max("flow").alias("m")).where("m > 0").select("origin", "dest")
     return some.join(pairs, ["origin", "dest"], "left_semi")
 
 
+def least_activity(days: int, factor: float, slots: int = 8) -> float:
+    """The activity that a zone must reach: ``factor`` for each of ``slots`` slots of every day."""
+    return float(slots * days * factor)
+
+
+def head_days(flows: DataFrame, meta: DataFrame, days: int | None, slots: int, label: str = "series") -> DataFrame:
+    """The first ``days`` whole days of a series, after strict checks that raise.
+
+    meta: one row (n_slots, interval_hours).  The interval must be there and be that of ``slots`` slots a day, the slots
+    must make whole days, and there must be enough of them."""
+    if days is None:
+        raise ValueError(f"{label}: the number of days must be set")
+    expected = 24 // slots
+    stop = lambda text: F.raise_error(F.lit(f"{label}: {text}")).cast("boolean")
+    fine = (
+        F.when(F.col("interval_hours").isNull(), stop("the interval is missing"))
+        .when(F.col("interval_hours") != expected, stop(f"the interval is not {expected} h"))
+        .when(F.col("n_slots") % slots != 0, stop(f"the slots do not make whole days of {slots}"))
+        .when(F.col("n_slots") < days * slots, stop(f"there are fewer than {days} days"))
+        .otherwise(True)
+    )
+    rows = flows.crossJoin(F.broadcast(meta.select(fine.alias("_fine"))))  # one row
+    return rows.where(F.col("_fine") & (F.col("slot_idx") < days * slots)).drop("_fine")
+
+
+def sequence_lags(slots: int, recent: int = 7, days: int = 6, weeks: int = 3) -> dict[str, int]:
+    """Names and distances of the recent, daily and weekly lags of a series with ``slots`` slots a day."""
+    out = {f"recent_{k}": k for k in range(1, recent + 1)}
+    out |= {f"day_{k}": k * slots for k in range(1, days + 1)}
+    return out | {f"week_{k}": k * 7 * slots for k in range(1, weeks + 1)}
+
+
 def packed_rows(flows: DataFrame, n_slots: int, at: str = "slot_idx") -> DataFrame:
     """One row a pair with its dense series as an array, absent edges zero, pairs numbered in order of (origin, dest)."""
     m = flows.groupBy("origin", "dest").agg(F.map_from_entries(F.collect_list(F.struct(F.col(at), F.col("flow")))).alias("m"))

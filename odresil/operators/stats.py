@@ -35,10 +35,43 @@ def correlations(long: DataFrame, item: list[str], name: str, value: str, ranks:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), rho.alias("rho"))
 
 
+def correlation(rows: DataFrame, by: list[str], x: str, y: str, method: str = "spearman") -> DataFrame:
+    """(by, n, rho) over the rows that have both values; null below three of them or where one is constant."""
+    if method not in ("spearman", "pearson"):
+        raise ValueError(f"method must be 'spearman' or 'pearson', got {method!r}")
+    some = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    if method == "spearman":
+        some = some.withColumns({"_x": average_rank("_x", by), "_y": average_rank("_y", by)})
+    rho = F.when((F.count("*") >= 3) & (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y"))
+    return some.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
+
+
+def with_p_values(rows: DataFrame) -> DataFrame:
+    """Adds ``p``, two-sided under a t-distribution with n - 2 degrees, to rows with n and rho; null where rho is."""
+    from odresil.kernels.solve import student_p
+    from odresil.shipping import ship
+
+    ship(rows.sparkSession)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches):
+        for pdf in batches:
+            pairs = zip(pdf["rho"].astype(float), pdf["n"])
+            yield pdf.assign(p=[student_p(r, int(n)) if r == r and n > 2 else None for r, n in pairs])
+
+    return rows.mapInPandas(run, f"{schema}, p double")
+
+
+#: Training rows up to which ``cosine_knn`` pairs every row with all of them.
+PAIRED_ROWS = 5_000
+
+
 def cosine_knn(train: DataFrame, test: DataFrame, leave_one_out: bool = False) -> DataFrame:
     """(id, pred): mean of the training labels weighted by clipped cosine; the plain mean where all weights are zero.
 
-    train: (id, v array, y); test: (id, v array).  The training side is a bounded feature table and is paired with all."""
+    train: (id, v array, y); test: (id, v array).  A training side of more than ``PAIRED_ROWS`` rows goes by blocks."""
+    if train.limit(PAIRED_ROWS + 1).count() > PAIRED_ROWS:
+        return cosine_knn_blocks(train, test, leave_one_out)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     t = train.select(F.col("id").alias("tid"), F.col("v").alias("tv"), "y")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from odresil.config import EVENTS as W
 from odresil.operators import flows as op
+from odresil.operators.curves import baselines, is_weekday
 from odresil.plans.registry import query
 from odresil.sources.testdata import TRANSITIONS, transitions
 
@@ -45,7 +46,7 @@ fl AS (SELECT * FROM kept SEMI JOIN (SELECT origin, dest FROM kept GROUP BY 1, 2
 @query(f"WITH {FILTERED} SELECT slot_idx, origin, dest, round(flow, 6) AS flow FROM fl")
 def inactive_zone_filter(spark, sf_dir):
     rows = active(spark, sf_dir)
-    least = rows.agg(F.sum("flow")).first()[0] * 0.38  # a fixed share of all flow stands for the daily threshold
+    least = rows.agg((F.sum("flow") * 0.38).alias("least"))  # a share of all flow, so that the threshold fits tables of any size
     return op.active_pairs(rows, least).select("slot_idx", "origin", "dest", F.round("flow", 6).alias("flow"))
 
 
@@ -82,13 +83,15 @@ DENSE = f"""{TRANSITIONS}, pr AS (SELECT DISTINCT origin, dest FROM od), sp AS (
 dn AS (SELECT origin, dest, slot_idx, coalesce(flow, 0.0) AS flow FROM sp LEFT JOIN (SELECT origin, dest, slot_idx, flow FROM od) USING (origin, dest, slot_idx))"""
 
 
-@query(f"""WITH {DENSE} SELECT origin, dest, slot_idx, round(flow, 6) AS flow, round(lag(flow, 1) OVER w, 6) AS recent_1, round(lag(flow, 2) OVER w, 6) AS recent_2,
-round(lag(flow, 12) OVER w, 6) AS day_1, round(lag(flow, 24) OVER w, 6) AS day_2, round(lag(flow, 84) OVER w, 6) AS week_1 FROM dn WINDOW w AS (PARTITION BY origin, dest ORDER BY slot_idx)""")
+LAGS = op.sequence_lags(W.slots)
+
+
+@query(f"""WITH {DENSE} SELECT origin, dest, slot_idx, round(flow, 6) AS flow, {", ".join(f"round(lag(flow, {n}) OVER w, 6) AS {name}" for name, n in LAGS.items())}
+FROM dn WINDOW w AS (PARTITION BY origin, dest ORDER BY slot_idx)""")
 def lag_sequences(spark, sf_dir):
     dense = op.dense_totals(transitions(spark, sf_dir), ["origin", "dest"], "slot_idx", W.days * W.slots)
-    names = {"recent_1": 1, "recent_2": 2, "day_1": 12, "day_2": 24, "week_1": 84}
-    rows = op.lagged(dense, ["origin", "dest"], "slot_idx", "flow", names)
-    return rows.withColumns({c: F.round(c, 6) for c in ("flow", *names)})
+    rows = op.lagged(dense, ["origin", "dest"], "slot_idx", "flow", LAGS)
+    return rows.withColumns({c: F.round(c, 6) for c in ("flow", *LAGS)})
 
 
 @query(f"WITH {TRANSITIONS} SELECT DISTINCT slot_idx, CASE WHEN slot_idx BETWEEN 216 AND 359 THEN slot_idx - 215 ELSE 0 END::INT AS disaster_time FROM od")
@@ -97,32 +100,37 @@ def disaster_time(spark, sf_dir):
     return slots.withColumn("disaster_time", op.disaster_clock(F.col("slot_idx"), W.disaster_start * W.slots, W.days * W.slots - 1))
 
 
-@query(f"""WITH {TRANSITIONS}, {ACTIVE} SELECT max(day_idx)::INT + 1 AS n_days, count(DISTINCT slot_idx) AS n_slots, count(DISTINCT slot_of_day) AS slots_per_day,
-(max(day_idx) + 1 >= {W.days}) AS long_enough, (count(DISTINCT day_idx) * 8 >= count(DISTINCT slot_idx)) AS divisible FROM act""")
+@query(f"""WITH {TRANSITIONS}, m AS (SELECT max(slot_idx) + 1 AS n FROM od) SELECT n::INT AS n_slots, 2 AS interval_hours, n % {W.slots} = 0 AS divisible, n >= {W.days * W.slots} AS long_enough FROM m""")
 def series_validation(spark, sf_dir):
-    return active(spark, sf_dir).agg(
-        (F.max("day_idx") + 1).cast("int").alias("n_days"),
-        F.countDistinct("slot_idx").alias("n_slots"),
-        F.countDistinct("slot_of_day").alias("slots_per_day"),
-        (F.max("day_idx") + 1 >= W.days).alias("long_enough"),
-        (F.countDistinct("day_idx") * 8 >= F.countDistinct("slot_idx")).alias("divisible"),
-    )
+    n = (F.max("slot_idx") + 1).cast("int")
+    rows = transitions(spark, sf_dir).agg(n.alias("n_slots")).withColumn("interval_hours", F.lit(2))
+    return rows.withColumns({"divisible": F.col("n_slots") % W.slots == 0, "long_enough": F.col("n_slots") >= W.days * W.slots})
+
+
+@query(f"WITH {TRANSITIONS} SELECT slot_idx, origin, dest, round(flow, 6) AS flow FROM od WHERE slot_idx < {20 * W.slots}")
+def head_days(spark, sf_dir):
+    rows = transitions(spark, sf_dir)
+    meta = spark.createDataFrame([(W.days * W.slots, 2)], "n_slots int, interval_hours int")
+    return op.head_days(rows, meta, 20, W.slots).select("slot_idx", "origin", "dest", F.round("flow", 6).alias("flow"))
 
 
 @query(f"""WITH {TRANSITIONS}, {ACTIVE}, d AS (SELECT day_idx, sum(flow) AS flow FROM act GROUP BY 1),
 b AS (SELECT day_idx % 7 < 5 AS wd, avg(flow) AS base FROM d WHERE day_idx < {W.normal} GROUP BY 1),
-r AS (SELECT day_idx - {W.disaster_start} AS day, flow / nullif(base, 0) AS r FROM d JOIN b ON (d.day_idx % 7 < 5) = b.wd WHERE day_idx >= {W.disaster_start})
-SELECT round(min(r), 6) AS least, min(day) FILTER (r = (SELECT min(r) FROM r))::INT AS least_day, round(max(CASE WHEN day = 0 THEN r END), 6) AS landfall,
-  round(max(CASE WHEN day = {W.disaster - 1} THEN r END), 6) AS last_r, round(sum(1 - r), 6) AS cum_loss FROM r""")
+r AS (SELECT day_idx - {W.disaster_start} AS day, flow / nullif(base, 0) AS r FROM d JOIN b ON (d.day_idx % 7 < 5) = b.wd WHERE day_idx >= {W.normal})
+SELECT min(day) FILTER (r = (SELECT min(r) FROM r))::INT AS min_day, round(min(r), 6) AS min_value, round(max(r) FILTER (day = 0), 6) AS landfall_value,
+  round(max(r) FILTER (day < 0), 6) AS pre_peak, round(max(r) FILTER (day = {W.disaster - 1}), 6) AS end_value, round(sum(1 - r) FILTER (day >= 0), 6) AS cum_loss FROM r""")
 def city_mobility_summary(spark, sf_dir):
-    from odresil.operators.curves import relative_curve
-
+    """A city's own relative curve over buffer and disaster: its minimum, landfall, the peak before it, and the end."""
     days = op.dense_totals(active(spark, sf_dir), [], "day_idx", W.days)
-    r = relative_curve(days, [], W).where("r is not null")
+    weekday = is_weekday(F.col("day_idx"), W)
+    r = days.withColumn("weekday", weekday).join(F.broadcast(baselines(days, [], W)), "weekday")  # two rows
+    r = r.where(F.col("day_idx") >= W.normal).select((F.col("day_idx") - W.disaster_start).alias("day"), F.try_divide("flow", "base").alias("r")).where("r is not null")
+    at = lambda some: F.round(F.max(F.when(some, F.col("r"))), 6)
     return r.agg(
-        F.round(F.min("r"), 6).alias("least"),
-        F.min_by("day", F.struct("r", "day")).cast("int").alias("least_day"),
-        F.round(F.max(F.when(F.col("day") == 0, F.col("r"))), 6).alias("landfall"),
-        F.round(F.max(F.when(F.col("day") == W.disaster - 1, F.col("r"))), 6).alias("last_r"),
-        F.round(F.sum(1 - F.col("r")), 6).alias("cum_loss"),
+        F.min_by("day", F.struct("r", "day")).cast("int").alias("min_day"),
+        F.round(F.min("r"), 6).alias("min_value"),
+        at(F.col("day") == 0).alias("landfall_value"),
+        at(F.col("day") < 0).alias("pre_peak"),
+        at(F.col("day") == W.disaster - 1).alias("end_value"),
+        F.round(F.sum(F.when(F.col("day") >= 0, 1 - F.col("r"))), 6).alias("cum_loss"),
     )

@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odresil.config import CATEGORIES, EVENTS
-from odresil.kernels import factor, solve
-from odresil.operators import curves
+from odresil.kernels import align, factor, solve, spread
+from odresil.operators import curves, stats
+from odresil.operators.features import usable
+from odresil.plans import cities
 from odresil.plans.curves import smoothed
 from odresil.plans.registry import query
 from odresil.plans.zones import shares
 from odresil.shipping import ship
-from odresil.sources.testdata import nation_flows, zone_values
+from odresil.sources.testdata import nation_flows
 
-PERIOD, PERIODS, FIT = 42, 60, 45
-NAMES = [*CATEGORIES, "income", "r0"]
+PERIOD, FIT = 42, 45
+NAMES = [*cities.MERGED, "mean_distance", "income", "r0"]
 PERMUTATIONS, SWEEPS = 10_000, 5_000
 #: Candidate ranks of cross-validation, bounded by a unit's matrix, and its independent masks.
 RANKS, REPEATS = (*range(1, 13), 15, 18, 21, 25, 30, 35, 40), 5
@@ -27,11 +29,12 @@ PENALTIES = np.logspace(-3, 3, 13)
 
 
 def matrices(spark, sf_dir) -> DataFrame:
-    """(unit, origin, dest, series): flows by periods of six weeks."""
+    """(unit, origin, dest, series): flows by periods of six weeks, from the first to the last period of the table."""
     ship(spark)
     f = nation_flows(spark, sf_dir).groupBy("unit", "origin", "dest", F.floor(F.col("day_idx") / PERIOD).cast("int").alias("t")).agg(F.sum("flow").alias("flow"))
-    m = f.where(F.col("t") < PERIODS).groupBy("unit", "origin", "dest").agg(F.map_from_entries(F.collect_list(F.struct("t", "flow"))).alias("m"))
-    return m.select("unit", "origin", "dest", F.transform(F.sequence(F.lit(0), F.lit(PERIODS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("series"))
+    last = F.broadcast(f.agg(F.max("t").alias("last")))  # one row
+    m = f.groupBy("unit", "origin", "dest").agg(F.map_from_entries(F.collect_list(F.struct("t", "flow"))).alias("m")).crossJoin(last)
+    return m.select("unit", "origin", "dest", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("series"))
 
 
 def dense(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
@@ -90,7 +93,7 @@ def nmf_quality(spark, sf_dir):
 
 def rank_grid(x: DataFrame) -> DataFrame:
     """The matrices once for each rank that the unit's allows and each repeat."""
-    bound = x.groupBy("unit").agg(F.least(F.count("*"), F.lit(PERIODS)).alias("bound"))
+    bound = x.groupBy("unit").agg(F.least(F.count("*"), F.max(F.size("series"))).alias("bound"))
     ranks = bound.select("unit", "bound", F.explode(F.array(*map(F.lit, RANKS))).alias("k")).where("k <= bound").select("unit", "k")
     return x.join(ranks, "unit").withColumn("rep", F.explode(F.array(*map(F.lit, range(REPEATS)))))
 
@@ -111,22 +114,17 @@ def rank_cv(spark, sf_dir):
 
 
 def component_table(spark, sf_dir) -> DataFrame:
-    """(unit, component, weight, target, six shares, income, r0): a nation's features and its loss in the last periods."""
+    """(unit, component, weight, target, ...): the components that pass the gate of the feature table, the loss as target."""
     ship(spark)
-    f = nation_flows(spark, sf_dir).groupBy("unit", F.col("origin").alias("component"), F.floor(F.col("day_idx") / 100).cast("int").alias("t")).agg(F.sum("flow").alias("flow"))
-    base = f.where("t < 13").groupBy("unit", "component").agg(F.avg("flow").alias("base"), F.sum("flow").alias("weight"))
-    r = f.where("t between 18 and 23").join(base, ["unit", "component"]).withColumn("r", F.try_divide("flow", "base"))
-    loss = r.groupBy("unit", "component", "weight").agg(F.sum(1 - F.col("r")).alias("target"), F.max(F.when(F.col("t") == 18, F.col("r"))).alias("r0"))
-    s = shares(spark, sf_dir).select(F.col("zone").alias("component"), *[F.get("share", F.lit(k)).alias(c) for k, c in enumerate(CATEGORIES)])
-    v = zone_values(spark, sf_dir).select(F.col("zone").alias("component"), F.col("value").alias("income"))
-    return loss.join(s, "component").join(v, "component", "left").fillna({"income": 0.0, "r0": 1.0})
+    rows = usable(cities.merged_table(spark, sf_dir), ["unit"], cities.NEEDED, "cum_loss", 3)
+    return rows.withColumnsRenamed({"cum_loss": "target", "income_combined": "income"}).select(*cities.KEYS, "weight", "target", *NAMES, *cities.SIDES)
 
 
 def folds(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
-    """The table once for each held-out unit; a unit has a handful of rows."""
+    """The table once for each held-out unit; a unit has a handful of rows.  Without a second unit there is no fold."""
     rows = component_table(spark, sf_dir) if rows is None else rows
-    held = rows.select(F.col("unit").alias("held")).distinct()
-    return rows.join(F.broadcast(held), F.lit(True))  # units are a configuration of a few dozen
+    held = rows.select(F.col("unit").alias("held")).distinct().withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return rows.join(F.broadcast(held.where("n > 1").drop("n")), F.lit(True))  # units are a configuration of a few dozen
 
 
 def standard(x: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -273,67 +271,77 @@ def city_total(spark, sf_dir):
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, total double, truth double")
 
 
-def spread_features(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Log population variances of the six shares within each unit; targets never enter."""
-    return np.log(pdf.groupby("unit")[list(CATEGORIES)].var(ddof=0) + 1e-12)
+#: Quantiles, kernel widths and penalties of the spread fit (fixed values).
+GRID = np.linspace(0.0005, 0.9995, 2000)
+WIDTHS, WEIGHTS = (0.25, 0.40), (0.0, 1.0, 10.0, 100.0)
+CURVE_DAYS = np.arange(6.0)
+
+
+def by_unit(pdf: pd.DataFrame) -> dict[int, pd.DataFrame]:
+    return {int(u): p.sort_values("component") for u, p in pdf.groupby("unit")}
 
 
-def spread_multiplier(pdf: pd.DataFrame) -> float:
-    """exp of the penalised linear effect of the held unit's share variances on its spread; 1 below four training units."""
-    x, held = spread_features(pdf), pdf.held.iloc[0]
-    sd = pdf[pdf.unit != held].groupby("unit").target.std(ddof=0)
-    sd = sd[sd > 0]
-    if len(sd) < 4:
-        return 1.0
-    m, s = x.loc[sd.index].mean(), x.loc[sd.index].std(ddof=0).replace(0, 1)
-    z, y = ((x.loc[sd.index] - m) / s).to_numpy(), np.log(sd.to_numpy())
+def pooled_alpha(frames: dict[int, pd.DataFrame], units) -> float:
+    """The rate that fits the losses of some units' components best by the plain logistic, on a fixed grid."""
+    rates = np.linspace(0.05, 2.0, 40)
+    r0 = np.concatenate([frames[u].r0 for u in units])
+    loss = np.concatenate([frames[u].target for u in units])
+    ok = r0 > 1e-6
+    return float(min(rates, key=lambda a: ((spread.backbone_loss(r0[ok], a, CURVE_DAYS) - loss[ok]) ** 2).sum()))
 
-    def loss(g):
-        e = y - y.mean() - z @ g
-        return float(e @ e + 10 * g @ g)
 
-    g, value = solve.nelder_mead(loss, np.zeros(z.shape[1]))
-    g = g if value < loss(np.zeros(len(g))) else np.zeros(len(g))
-    return float(np.exp(np.clip(((x.loc[held] - m) / s).to_numpy() @ g, -1, 1)))
+def spread_scale(pdf: pd.DataFrame) -> tuple[float, float, dict]:
+    """(base, multiplier, how): the held unit's backbone spread over the training units' mean, and the fitted correction."""
+    frames, held = by_unit(pdf), int(pdf.held.iloc[0])
+    rest = [u for u in frames if u != held]
+    alpha = pooled_alpha(frames, rest)
+    backbone = {u: spread.backbone_spread(p.r0.to_numpy(float), alpha, CURVE_DAYS) for u, p in frames.items()}
+    known = [backbone[u] for u in rest if np.isfinite(backbone[u]) and backbone[u] > 0]
+    base = backbone[held] / np.mean(known) if known and np.isfinite(backbone[held]) else 1.0
+    units = {u: spread.unit(p[cities.MERGED].to_numpy(float), p.target.to_numpy(float) if u != held else None) for u, p in frames.items()}
+    factor, how = spread.multiplier(held, {u: x for u, x in units.items() if x is not None}, backbone, GRID, WIDTHS, WEIGHTS)
+    return float(base), factor, how
 
 
 @query()
 def purpose_spread(spark, sf_dir):
     def run(pdf):
-        return pd.DataFrame([(int(pdf.held.iloc[0]), spread_multiplier(pdf))], columns=["held", "multiplier"])
-
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, multiplier double")
-
+        base, factor, how = spread_scale(pdf)
+        return pd.DataFrame([(int(pdf.held.iloc[0]), base, factor, base * factor, how.get("width"), how.get("penalty"), how.get("distance"))], columns=["held", "base", "multiplier", "scale", "width", "penalty", "distance"])
 
-GRID = (np.arange(20) + 0.5) / 20
+    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, base double, multiplier double, scale double, width double, penalty double, distance double")
 
 
-def shape(pdf: pd.DataFrame) -> np.ndarray:
-    """The training units' mean standardised quantile function plus its first mode, kept monotone and standardised."""
-    train = pdf[pdf.unit != pdf.held.iloc[0]]
-    q = np.array([np.quantile((t - t.mean()) / (t.std(ddof=0) or 1), GRID) for _, t in train.groupby("unit").target])
-    mean = q.mean(0)
-    _, s, vt = np.linalg.svd(q - mean, full_matrices=False)
-    mode = vt[0] * np.sign(vt[0][np.abs(vt[0]).argmax()])
-    out = solve.monotone(mean + 0.25 * s[0] / max(len(q), 1) * mode)
-    return (out - out.mean()) / (out.std() or 1)
+def predicted_shape(pdf: pd.DataFrame, score: np.ndarray) -> tuple[np.ndarray, str]:
+    """The held components' centred losses before scaling; the training units' mean spectrum where the modes can't be fitted."""
+    frames, held = by_unit(pdf), int(pdf.held.iloc[0])
+    losses = {u: p.target.to_numpy(float) for u, p in frames.items() if u != held}
+    r0 = {u: p.r0.to_numpy(float) for u, p in frames.items()}
+    out, why = spread.two_mode_shape(losses, r0, lambda units: pooled_alpha(frames, units), CURVE_DAYS, held, score)
+    if out is None:
+        mean = np.mean([np.quantile(v, GRID) - v.mean() for v in losses.values()], axis=0)
+        place = np.empty(len(score))
+        place[np.argsort(score, kind="stable")] = (np.arange(len(score)) + 0.5) / len(score)
+        out = np.interp(place, GRID, mean)
+    return out, why
 
 
 @query()
 def shape_modes(spark, sf_dir):
     def run(pdf):
-        return pd.DataFrame({"held": int(pdf.held.iloc[0]), "p": GRID, "value": shape(pdf)})
+        pdf, held, score = rank_scores(pdf)
+        shape, why = predicted_shape(pdf, score[held])
+        return pd.DataFrame({"held": pdf.held[held], "component": pdf.component[held], "value": shape, "fallback": why})
 
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, p double, value double")
+    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, component long, value double, fallback string")
 
 
 def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
     """Held components' losses: scores in order take the shape's quantiles, scaled, shifted to the unit's total."""
     pdf, held, score, total = city_level(pdf)
     test = pdf[held].reset_index(drop=True)
-    sd = pdf[~held].groupby("unit").target.std(ddof=0).mean() * spread_multiplier(pdf)
-    place = (pd.Series(score[held]).rank(method="first").to_numpy() - 0.5) / len(test)
-    loss = sd * np.interp(place, GRID, shape(pdf))
+    base, factor, _ = spread_scale(pdf)
+    loss = base * factor * predicted_shape(pdf, score[held])[0]
     w = test.weight.to_numpy() / test.weight.sum()
     return test.assign(loss=loss + total - (w * loss).sum(), total=total)
 
@@ -343,9 +351,6 @@ def quantile_map(spark, sf_dir):
     return folds(spark, sf_dir).groupBy("held").applyInPandas(lambda pdf: mapped(pdf)[["held", "component", "loss", "total", "target"]], "held long, component long, loss double, total double, target double")
 
 
-CURVE_DAYS = np.arange(6.0)
-
-
 def decoded(loss: float, r0: float, alpha: float = 0.35) -> np.ndarray:
     """The curve from r0 whose loss is halfway between the backbone's and the wanted one, level and rate fitted together."""
     r0 = max(r0, 1e-3)
@@ -364,29 +369,22 @@ def joint_curve(spark, sf_dir):
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, component long, day int, r double")
 
 
-def aligned(m: pd.DataFrame) -> tuple[float, float, np.ndarray]:
-    """(shift, residual, curves): one shift of all losses so that the weighted curves lose the unit's total."""
+def aligned(m: pd.DataFrame) -> align.Alignment:
+    """One shift of all losses so that the weighted curves lose the unit's total; baselines of one for every period."""
     w = m.weight.to_numpy() / m.weight.sum()
-    decode = lambda s: np.array([decoded(v + s, r) for v, r in zip(m.loss, m.r0)])
-    gap = lambda s: float((1 - w @ decode(s)).sum() - m.total.iloc[0])
-    reach = 1.0
-    for _ in range(8):
-        if (gap(-reach) > 0) != (gap(reach) > 0):
-            break
-        reach *= 2
-    s = solve.bisect(gap, -reach, reach, 50)
-    s = 0.0 if abs(gap(0.0)) <= abs(gap(s)) else s
-    return s, gap(s), decode(s)
+    decode = lambda losses: np.array([decoded(v, r) for v, r in zip(losses, m.r0)]).T
+    days = len(CURVE_DAYS)
+    return align.align(m.loss.to_numpy(float), float(m.total.iloc[0]), np.ones((days, len(m))), w, np.ones(days), decode)
 
 
 @query()
 def align_city_loss(spark, sf_dir):
     def run(pdf):
         m = mapped(pdf)
-        s, left, _ = aligned(m)
-        return pd.DataFrame([(int(m.held[0]), s, left, abs(left) <= 1e-5)], columns=["held", "shift", "residual", "ok"])
+        a = aligned(m)
+        return pd.DataFrame([(int(m.held[0]), a.shift, a.initial_gap, a.gap, a.aligned)], columns=["held", "shift", "initial_gap", "residual", "ok"])
 
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, shift double, residual double, ok boolean")
+    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, shift double, initial_gap double, residual double, ok boolean")
 
 
 @query()
@@ -395,8 +393,7 @@ def curve_forecast(spark, sf_dir):
 
     def run(pdf):
         m = mapped(pdf)
-        _, _, r = aligned(m)
-        city = (m.weight.to_numpy() / m.weight.sum()) @ r
+        city = aligned(m).curves @ (m.weight.to_numpy() / m.weight.sum())
         return pd.DataFrame({"held": int(m.held[0]), "day": np.arange(len(city), dtype=np.int32), "r_city": city})
 
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, day int, r_city double")
@@ -445,8 +442,10 @@ def mapping_pca(spark, sf_dir):
         dirs = {int(u): solve.ridge_loo(standard(p[NAMES].to_numpy(float), np.zeros(len(p))), p.target.to_numpy(), PENALTIES)[1] for u, p in pdf.sort_values("component").groupby("unit")}
         m = np.array(list(dirs.values()))
         u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
-        z = u[:, :2] * s[:2]
-        return pd.DataFrame({"unit": list(dirs), "pc1": np.abs(z[:, 0]), "pc2": np.abs(z[:, 1]), "explained": float((s[:2] ** 2).sum() / max((s**2).sum(), 1e-12))})
+        z = np.zeros((len(m), 2))
+        z[:, : min(2, len(s))] = (u * s)[:, :2]
+        explained = float((s[:2] ** 2).sum() / max((s**2).sum(), 1e-12))
+        return pd.DataFrame({"unit": list(dirs), "pc1": np.abs(z[:, 0]), "pc2": np.abs(z[:, 1]), "explained": explained})
 
     return rows.groupBy("g").applyInPandas(run, "unit long, pc1 double, pc2 double, explained double")
 
@@ -463,8 +462,12 @@ def coef_heatmap(spark, sf_dir):
 
 @query()
 def permutation_p(spark, sf_dir):
-    """Two-sided p of the pooled rank correlation of income and loss under ``PERMUTATIONS`` permutations within units."""
+    """Two-sided p of the pooled correlation of income and loss, as standard scores of their ranks within units, under
+    ``PERMUTATIONS`` permutations within units."""
     rows = component_table(spark, sf_dir).select("unit", "component", F.col("income").alias("x"), F.col("target").alias("y"))
+    for v in ("x", "y"):
+        rows = rows.withColumn(v, stats.average_rank(v, ["unit"]))
+        rows = rows.withColumn(v, stats.z_within(v, ["unit"]))
     perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS))))
     order = Window.partitionBy("perm", "unit").orderBy(F.when(F.col("perm") == 0, F.col("component")).otherwise(F.xxhash64("perm", "component")))
     left = perms.withColumn("k", F.row_number().over(order)).select("perm", "unit", "k", "x")
