@@ -219,20 +219,18 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         return 1 - incomplete_beta(b, a, 1 - x)
     front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
     value, c, d = 1.0, 1.0, 0.0
-    for k in range(400):
+    for k in range(1, 600):
         m = k // 2
-        if k == 0:
-            term = 1.0
-        elif k % 2:
+        if k % 2:
             term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         else:
             term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         d = 1 / (1 + term * d or 1e-300)
         c = 1 + term / c or 1e-300
-        value *= 1.0 if not k else c * d
-        if k and abs(c * d - 1) < 1e-15:
+        value *= c * d
+        if abs(c * d - 1) < 1e-15:
             break
-    return front * value
+    return front / value
 
 
 def student_p(r: float, n: int) -> float:
