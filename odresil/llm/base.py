@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import shutil
 import sys
 import tempfile
 import uuid
@@ -57,6 +58,8 @@ def _clean() -> None:
     for spark, path in _written:
         with contextlib.suppress(Exception):  # the session may be gone already
             remove_path(spark, path)
+        if path.startswith("file://"):  # a folder of this machine does not need the session
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
