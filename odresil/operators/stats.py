@@ -25,13 +25,18 @@ def z_within(value: str, by: list[str]) -> Column:
     return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd).otherwise(1.0)
 
 
+def rho_of(x: str, y: str) -> Column:
+    """Correlation as an aggregate; null, not an error, where one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(long: DataFrame, item: list[str], name: str, value: str, ranks: bool) -> DataFrame:
     """(a, b, n, rho) of every two named series over their common items; null below three items or for a constant one."""
     rows = long.where(F.col(value).isNotNull()).select(*item, F.col(name).alias("name"), F.col(value).alias("value"))
     pairs = rows.select(*item, F.col("name").alias("a"), F.col("value").alias("x")).join(rows.select(*item, F.col("name").alias("b"), F.col("value").alias("y")), item)
     if ranks:  # ranks are taken over the common items of each pair
         pairs = pairs.withColumn("x", average_rank("x", ["a", "b"])).withColumn("y", average_rank("y", ["a", "b"]))
-    rho = F.when((F.count("*") >= 3) & (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y"))
+    rho = F.when(F.count("*") >= 3, rho_of("x", "y"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), rho.alias("rho"))
 
 
@@ -42,7 +47,7 @@ def correlation(rows: DataFrame, by: list[str], x: str, y: str, method: str = "s
     some = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     if method == "spearman":
         some = some.withColumns({"_x": average_rank("_x", by), "_y": average_rank("_y", by)})
-    rho = F.when((F.count("*") >= 3) & (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y"))
+    rho = F.when(F.count("*") >= 3, rho_of("_x", "_y"))
     return some.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
 
 

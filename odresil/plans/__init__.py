@@ -1,4 +1,4 @@
 """The engine's queries; importing the package registers them."""
 
-from odresil.plans import cities, curves, flows, kernels, stats, storm, zones  # noqa: F401
+from odresil.plans import cities, curves, flows, kernels, stats, storm, tables, zones  # noqa: F401
 from odresil.plans.registry import ORACLES, QUERIES  # noqa: F401

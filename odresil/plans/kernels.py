@@ -472,7 +472,7 @@ def permutation_p(spark, sf_dir):
     order = Window.partitionBy("perm", "unit").orderBy(F.when(F.col("perm") == 0, F.col("component")).otherwise(F.xxhash64("perm", "component")))
     left = perms.withColumn("k", F.row_number().over(order)).select("perm", "unit", "k", "x")
     right = rows.withColumn("k", F.row_number().over(Window.partitionBy("unit").orderBy("component"))).select("unit", "k", "y")
-    r = left.join(right, ["unit", "k"]).groupBy("perm").agg(F.corr("x", "y").alias("r"))
+    r = left.join(right, ["unit", "k"]).groupBy("perm").agg(stats.rho_of("x", "y").alias("r"))
     seen = r.where("perm = 0").select(F.col("r").alias("observed"))
     return r.where("perm > 0").join(F.broadcast(seen)).agg(F.first("observed").alias("observed"), ((1 + F.sum((F.abs("r") >= F.abs("observed")).cast("int"))) / (1 + F.count("*"))).alias("p"))  # one row
 
