@@ -62,6 +62,21 @@ def project(x: np.ndarray, h: np.ndarray, l1: float = 0.0, sweeps: int = 200) ->
     return w
 
 
+def project_multiplicative(x: np.ndarray, h: np.ndarray, l1: float = 0.0, steps: int = 5000, tol: float = 1e-6, seed: int = 42) -> np.ndarray:
+    """The rows' weights under fixed ``h`` by multiplicative updates; the objective, with its L1 part, is checked every ten."""
+    rng = np.random.default_rng(seed)
+    w = np.abs(rng.standard_normal((len(x), len(h)))) * (np.sqrt(np.abs(x).mean() / max(len(h), 1)) + TINY)
+    gram, cross, last = h @ h.T, x @ h.T, None
+    for step in range(steps):
+        w *= cross / (w @ gram + l1 + TINY)
+        if step % 10 == 0:
+            loss = 0.5 * ((x - w @ h) ** 2).sum() + l1 * w.sum()
+            if last is not None and abs(last - loss) < tol * (last + TINY):
+                break
+            last = loss
+    return w
+
+
 def nmf_context(x: np.ndarray, y: np.ndarray, mask: np.ndarray, k: int, strength: float = 1.0, l1: float = 0.0, steps: int = 300, seed: int = 42):
     """Multiplicative updates of G, H, W for x ~ WH and, on the masked pairs, y ~ (G'H)'; y: [pairs, context].
 
@@ -79,7 +94,7 @@ def nmf_context(x: np.ndarray, y: np.ndarray, mask: np.ndarray, k: int, strength
         h *= (w.T @ x + weight * g @ y.T) / (w.T @ w @ h + weight * (g @ g.T) @ hm + l1 + TINY)
         w *= (x @ h.T) / (w @ (h @ h.T) + l1 + TINY)
         if step % 10 == 0:
-            loss = ((x - w @ h) ** 2).sum() + weight * ((y - (h * mask).T @ g) ** 2).sum()
+            loss = ((x - w @ h) ** 2).sum() + weight * ((y - (h * mask).T @ g) ** 2).sum() + 2 * l1 * (w.sum() + h.sum())
             if last - loss <= 1e-6 * max(last, TINY) and np.isfinite(last):
                 break
             last = loss

@@ -28,6 +28,19 @@ def ridge_loo(x: np.ndarray, y: np.ndarray, penalties) -> tuple[float, np.ndarra
     return best[1], best[2], float(my - mx @ best[2])
 
 
+def ridge_refit(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Leave-one-out predictions; scaler, means and coefficients come from the other rows each time."""
+    out = np.full(len(y), np.nan)
+    for k in range(len(y) if len(y) > 1 else 0):
+        rest = np.arange(len(y)) != k
+        mean, sd = x[rest].mean(0), x[rest].std(0)
+        sd = np.where(sd > 0, sd, 1.0)
+        z, t = (x[rest] - mean) / sd, y[rest] - y[rest].mean()
+        beta = np.linalg.solve(z.T @ z + penalty * np.eye(x.shape[1]), z.T @ t)
+        out[k] = y[rest].mean() + (x[k] - mean) / sd @ beta
+    return out
+
+
 def least_squares(residual, start, low, high, steps: int = 80) -> tuple[np.ndarray, float]:
     """Levenberg-Marquardt with numeric slopes, clipped to the bounds: (parameters, sum of squares)."""
     low, high = np.asarray(low, float), np.asarray(high, float)

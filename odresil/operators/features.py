@@ -159,3 +159,22 @@ def usable(rows: DataFrame, unit: list[str], needed: list[str], target: str, lea
     kept = rows.where(some)
     units = kept.groupBy(*unit).agg(F.count("*").alias("_n"), F.countDistinct(target).alias("_d"))
     return kept.join(units.where(f"_n >= {least} and _d >= 2").select(*unit), unit, "left_semi")
+
+
+def flow_context(pairs: DataFrame, shares: DataFrame, mode: str, scale: str) -> DataFrame:
+    """``context`` and ``constrained`` of each pair (origin, dest, scale): the shares of both ends, as their outer product or
+    sum, at unit length times the pair's scale; zeros and not constrained where an end has no shares."""
+    if mode not in ("outer", "sum"):
+        raise ValueError(f"mode must be 'outer' or 'sum', got {mode!r}")
+    some = shares.where(F.aggregate("share", F.lit(0.0), lambda a, x: a + x) > 0)
+    o = some.select(F.col("zone").alias("origin"), F.col("share").alias("_a"))
+    d = some.select(F.col("zone").alias("dest"), F.col("share").alias("_b"))
+    rows = pairs.join(o, "origin", "left").join(d, "dest", "left")
+    outer = F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: x * y)))
+    rows = rows.withColumn("_v", outer if mode == "outer" else F.zip_with("_a", "_b", lambda x, y: x + y))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = rows.withColumn("_n", norm).withColumn("constrained", F.coalesce(F.col("_n") > 0, F.lit(False)))
+    n = len(CATEGORIES) ** 2 if mode == "outer" else len(CATEGORIES)
+    zero = F.array_repeat(F.lit(0.0), n)
+    context = F.when(F.col("constrained"), F.transform("_v", lambda x: x * F.col(scale) / F.col("_n"))).otherwise(zero)
+    return rows.withColumn("context", context).drop("_a", "_b", "_v", "_n")

@@ -41,6 +41,14 @@ def resilience(flows):
     )
 
 
+def disaster_curves(spark, sf_dir):
+    """(unit, component, day, r): relative flow of each period from landfall on."""
+    sums = periods(spark, sf_dir).groupBy(*KEYS, "t").agg(F.sum("flow").alias("flow"))
+    base = sums.where(F.col("t") < NORMAL).groupBy(*KEYS).agg(F.avg("flow").alias("base"))
+    rows = sums.where(F.col("t") >= LANDFALL).join(base, KEYS).withColumn("r", F.try_divide("flow", "base")).where("r is not null")
+    return rows.select(*KEYS, (F.col("t") - LANDFALL).cast("int").alias("day"), "r")
+
+
 def feature_table(spark, sf_dir):
     """(unit, component, measures, shares at both ends): every component of every unit, with nulls where something is missing."""
     flows = periods(spark, sf_dir)

@@ -150,9 +150,12 @@ def city_reconstruction(spark, sf_dir):
     return rounded(op.city_curve(rows, [], city_base(spark, sf_dir)), "r_city")
 
 
+ARCS = 600
+
+
 @query(f"""WITH {SMOOTH}, hh AS (SELECT origin AS component, origin, dest, sum(flow) / sum(sum(flow)) OVER (PARTITION BY origin) AS h FROM act WHERE day_idx < {W.normal} GROUP BY 1, 2, 3),
 fc AS (SELECT day, origin, dest, sum(r * base * h) AS flow FROM sm JOIN hh USING (component) GROUP BY 1, 2, 3)
-SELECT day, origin, dest, round(flow, 6) AS flow, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY abs(flow) DESC, origin, dest) AS k FROM fc WHERE abs(flow) > 1e-9) WHERE k <= 10""")
+SELECT day, origin, dest, round(flow, 6) AS flow, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY abs(flow) DESC, origin, dest) AS k FROM fc WHERE abs(flow) > 1e-9) WHERE k <= {ARCS}""")
 def od_forecast_topk(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -161,7 +164,7 @@ def od_forecast_topk(spark, sf_dir):
     h = pairs.withColumn("h", F.col("f") / F.sum("f").over(Window.partitionBy("component")))
     flow = smoothed(spark, sf_dir).join(h, "component").groupBy("day", "origin", "dest").agg(F.sum(F.expr("r * base * h")).alias("flow")).where("abs(flow) > 1e-9")
     rank = F.row_number().over(Window.partitionBy("day").orderBy(F.abs("flow").desc(), "origin", "dest"))
-    return rounded(flow.withColumn("k", rank).where("k <= 10"), "flow").select("day", "origin", "dest", "flow", "k")
+    return rounded(flow.withColumn("k", rank).where(f"k <= {ARCS}"), "flow").select("day", "origin", "dest", "flow", "k")
 
 
 @query("""WITH p(component, r0, alpha, lev, strength, rate) AS (VALUES (0, 0.4, 0.3, 1.0, 0.1, 0.5), (1, 0.9, 0.8, 1.1, -0.2, 0.7), (2, 0.2, 0.1, 0.8, 0.0, 0.1)), d AS (SELECT unnest(range(0, 15))::INT AS day)

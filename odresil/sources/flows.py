@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odresil.config import Windows
+from odresil.operators.tables import outlines
 
 SCHEMAS = {
     "od_flow": "unit string, slot_idx int, origin string, dest string, flow double, distance double",
@@ -22,6 +22,18 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     return reader.parquet(path) if fmt == "parquet" else reader.option("header", True).csv(path)
 
 
+def read_zones(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Zones from a CSV file with a header: columns renamed as ``names`` says, and the centroid (cx, cy) of their WKT outline."""
+    rows = spark.read.option("header", True).option("escape", '"').csv(path).withColumnsRenamed(names)
+    return outlines(rows, "wkt")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows as CSV files with a header; arrays and structs as JSON."""
+    plain = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
+    df.select(*plain).write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_income(spark: SparkSession, path: str) -> DataFrame:
     """Incomes with suppressed (negative) values as null, one row a geoid: the first by zone id."""
     rows = read_table(spark, "zone_income", path, "csv")
@@ -35,16 +47,6 @@ def land_use_masses(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("zone_id").alias("zone"), *[F.expr(e).alias(c) for c, e in sums.items()])
 
 
-def validated(flows: DataFrame, w: Windows, days: int | None) -> DataFrame:
-    """The first ``days`` days of a series; raises without a number of days, or where the series is shorter."""
-    if days is None:
-        raise ValueError("the number of days must be given")
-    have = flows.agg(F.max("slot_idx")).first()[0]
-    if have is None or have + 1 < days * w.slots - w.slots + 1:
-        raise ValueError(f"the series has fewer than {days} days")
-    return flows.where(F.col("slot_idx") < days * w.slots)
-
-
 def write_audit(df: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
     df.write.mode("overwrite").json(path)

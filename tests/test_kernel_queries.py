@@ -93,6 +93,20 @@ def test_chain(spark, table):
     assert np.isfinite(run(spark, "direct_city_curves").level).all() and np.isfinite(run(spark, "city_total").total).all()
 
 
+def test_carriers(spark, table):
+    city = run(spark, "city_alpha_knn")
+    assert city.alpha.between(0.05, 2).all() and city.groupby("held").r.apply(lambda r: r.is_monotonic_increasing or r.is_monotonic_decreasing).all()
+    parameter = run(spark, "parameter_transfer")
+    assert np.isfinite(parameter.guess).all() and parameter[parameter.fallback].groupby("held").guess.nunique().le(1).all()
+    refit = run(spark, "ridge_loo_refit")
+    assert len(refit) == len(table) and np.isfinite(refit.guess).all()
+    nearest = run(spark, "nearest_cluster")
+    assert set(nearest.cluster) <= {0, 1} and nearest.distance.dropna().between(0, 2).all()
+    assert (run(spark, "nmf_project_multiplicative").value >= 0).all()
+    decay = run(spark, "decay_pipeline")
+    assert set(decay.status) <= {"None", "Ongoing", "Recovered"} and (decay.dropna().end >= decay.dropna().start).all()
+
+
 def test_p_values(spark):
     out = run(spark, "loss_correlation_p")
     assert set(out.name) == set(cities.PAIRED) and out.p.between(0, 1).all() and out.rho.between(-1, 1).all()

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from odresil.kernels import align, solve, spread
+from odresil.kernels import align, baseline, factor, solve, spread
 
 
 def units(n=6, seed=17, size=(5, 11)):
@@ -179,3 +179,58 @@ def test_decay_fit_skips_missing_days():
     depth, alpha, beta, t0 = solve.fit_decay(y)
     assert (t0, depth) == (2, pytest.approx(-0.4)) and alpha == pytest.approx(0.3, abs=1e-3) and beta == pytest.approx(-0.2)
     assert math.isnan(solve.fit_decay(np.full(3, np.nan))[0])
+
+
+def test_refitted_folds_never_see_their_row():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(3, 2, (7, 2)), rng.normal(0, 1, 7)
+    guess = solve.ridge_refit(x, y, 1.0)
+    for k in range(7):
+        rest = np.arange(7) != k
+        z = (x[rest] - x[rest].mean(0)) / x[rest].std(0)
+        beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y[rest] - y[rest].mean()))
+        assert guess[k] == pytest.approx(y[rest].mean() + (x[k] - x[rest].mean(0)) / x[rest].std(0) @ beta)
+    moved = y.copy()
+    moved[4] = 50
+    assert solve.ridge_refit(x, moved, 1.0)[4] == pytest.approx(guess[4])
+    assert np.isnan(solve.ridge_refit(x[:1], y[:1], 1.0)).all()
+
+
+def test_multiplicative_projection_is_a_least_squares_fit():
+    rng = np.random.default_rng(2)
+    h, w = rng.uniform(0, 1, (3, 40)), rng.uniform(0, 1, (12, 3))
+    got = factor.project_multiplicative(w @ h, h, tol=1e-12)
+    assert (got >= 0).all() and np.abs(got - w).max() < 0.02
+    assert factor.project_multiplicative(w @ h, h, l1=5.0).sum() < got.sum()
+
+
+def test_baseline_follows_trend_and_waves():
+    t = np.arange(24 * 12)
+    y = 50 + 0.02 * t + 8 * np.sin(2 * np.pi * t / 12) + 3 * np.cos(2 * np.pi * t / 84)
+    base = baseline.forecast(y[:-24], 24, 12)
+    assert np.abs(base["forecast"] - y[-24:]).max() < 1 and np.allclose(base["fit"] + base["noise"], y[:-24])
+    assert (base["lower"] <= base["forecast"]).all() and (base["upper"] >= base["forecast"]).all()
+    fallen = y.copy()
+    fallen[-20:-8] *= 0.5
+    change, smooth, found = baseline.decay(fallen, 24, 12, 2, buffer=0.05, method="consecutive", run=2)
+    assert found["status"] == "Recovered" and found["start"] in (4, 5) and 14 <= found["end"] <= 18
+    assert np.isnan(smooth[0]) and change[6] == pytest.approx(-0.5, abs=0.03)
+    quiet = baseline.decay(y, 24, 12, 2, buffer=0.2)[2]
+    assert quiet is None
+
+
+@pytest.mark.parametrize("values", [[0, -0.2, -0.3, -0.1, 0.1, 0.2, 0.3], [-1, 1, -1, 1, 1], [0.1, -0.5, -0.4], [1, 1]])
+@pytest.mark.parametrize("method", ["first_return", "consecutive", "end_of_series"])
+def test_impact_of_an_array(values, method):
+    found = baseline.impact(np.array(values, float), 0.05, method, 2)
+    if min(values) >= -0.05:
+        assert found is None
+        return
+    start = next(i for i, v in enumerate(values) if v < -0.05)
+    end, status = len(values) - 1, "Ongoing" if method != "end_of_series" else "Fixed (End of Series)"
+    need = 2 if method == "consecutive" else 1
+    for i in range(start, len(values) - need + 1):
+        if method != "end_of_series" and all(v >= 0 for v in values[i : i + need]):
+            end, status = i, "Recovered"
+            break
+    assert found == {"last_normal": max(start - 1, 0), "start": start, "end": end, "status": status}
