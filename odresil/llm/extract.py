@@ -240,15 +240,16 @@ def _scored(nodes: list[Node], blocks: list[tuple[Node, str, int]], readers: boo
 
 def _spare(nodes: list[Node], root: Node) -> None:
     """Takes the cut off elements that hold the page's main part."""
-    if not any(WEAK <= n.cut <= FIRM for n in nodes):
-        return
-    _scored(nodes, _blocks(root, ALWAYS), readers=False)
     holds = set()
     for n in reversed(nodes):
         if n.parent and not n.readers and (n.tag in ("article", "main") or id(n) in holds):
             holds.add(id(n.parent))
-    for n in nodes:
-        if WEAK <= n.cut <= FIRM and not n.readers and root.all and n.all >= root.all / 2 and (n.cut == WEAK or id(n) in holds):
+    doubtful = [n for n in nodes if not n.readers and (n.cut == WEAK or n.cut == FIRM and id(n) in holds)]
+    if not doubtful:
+        return
+    _scored(nodes, _blocks(root, ALWAYS), readers=False)
+    for n in doubtful:
+        if root.all and n.all >= root.all / 2:
             n.cut = OPEN
 
 
