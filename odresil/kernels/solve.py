@@ -251,3 +251,25 @@ def student_p(r: float, n: int) -> float:
     if abs(r) >= 1:
         return 0.0
     return incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
+
+
+def classical_scaling(distance: np.ndarray, k: int = 2) -> np.ndarray:
+    """Points in ``k`` dimensions whose distances are nearest to the given ones, each axis with its largest entry positive."""
+    n = len(distance)
+    centre = np.eye(n) - 1 / n
+    values, vectors = np.linalg.eigh(-centre @ distance**2 @ centre / 2)
+    top = np.argsort(-values, kind="stable")[:k]
+    points = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+    signs = np.sign(points[np.abs(points).argmax(0), np.arange(points.shape[1])])
+    return points * np.where(signs == 0, 1, signs)
+
+
+def procrustes(points: np.ndarray, onto: np.ndarray) -> tuple[np.ndarray, float]:
+    """The points moved, turned, mirrored and scaled onto others, and the share of squared distance left."""
+    a, b = points - points.mean(0), onto - onto.mean(0)
+    if not (a**2).sum() or not (b**2).sum():
+        return np.tile(onto.mean(0), (len(points), 1)), 1.0
+    u, s, vt = np.linalg.svd(a.T @ b)
+    scale = s.sum() / (a**2).sum()
+    fitted = scale * a @ u @ vt
+    return fitted + onto.mean(0), float(((fitted - b) ** 2).sum() / (b**2).sum())

@@ -25,6 +25,17 @@ def segment(day: Column, w: Windows) -> Column:
     return F.when(day < w.normal, "normal").when(day < w.disaster_start, "buffer").otherwise("disaster")
 
 
+SEGMENTS = ("normal", "buffer", "disaster")
+
+
+def select_segments(rows: DataFrame, names: list[str], w: Windows) -> DataFrame:
+    """The rows of the named segments with their ``segment``; an unknown name raises."""
+    unknown = set(names) - set(SEGMENTS)
+    if unknown or not names:
+        raise ValueError(f"unknown segments: {sorted(unknown)}")
+    return rows.withColumn("segment", segment(F.col("day_idx"), w)).where(F.col("segment").isin(*names))
+
+
 def active_pairs(flows: DataFrame, least: float | DataFrame) -> DataFrame:
     """Flows between zones whose in- plus outflow reaches ``least``, a number or a table of one; pairs without any flow go.
 

@@ -33,8 +33,7 @@ def trailing_window(spark, sf_dir):
 
 @query(f"WITH {TRANSITIONS}, {ACTIVE} SELECT DISTINCT slot_idx, {SEGMENT} AS segment FROM act WHERE {SEGMENT} IN ('normal', 'disaster')")
 def segment_select(spark, sf_dir):
-    rows = active(spark, sf_dir).withColumn("segment", op.segment(F.col("day_idx"), W))
-    return rows.where(F.col("segment").isin("normal", "disaster")).select("slot_idx", "segment").distinct()
+    return op.select_segments(active(spark, sf_dir), ["normal", "disaster"], W).select("slot_idx", "segment").distinct()
 
 
 FILTERED = f"""{TRANSITIONS}, {ACTIVE}, lim AS (SELECT sum(flow) * 0.38 AS least FROM act),

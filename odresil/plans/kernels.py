@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from odresil.config import CATEGORIES, EVENTS
 from odresil.kernels import align, factor, solve, spread
 from odresil.operators import curves, stats
-from odresil.operators.features import usable
+from odresil.operators.features import flow_context, usable
 from odresil.plans import cities
 from odresil.plans.curves import smoothed
 from odresil.plans.registry import query
@@ -66,13 +66,14 @@ def nmf_project(spark, sf_dir):
 
 @query()
 def nmf_context(spark, sf_dir):
-    s = shares(spark, sf_dir).select("zone", "share")
-    rows = matrices(spark, sf_dir).join(s.select(F.col("zone").alias("origin"), F.col("share").alias("a")), "origin", "left").join(s.select(F.col("zone").alias("dest"), F.col("share").alias("b")), "dest", "left")
+    """Factors under a context: the sum of both ends' shares, at unit length times the length of the pair's series."""
+    x = matrices(spark, sf_dir)
+    x = x.withColumn("scale", F.sqrt(F.aggregate("series", F.lit(0.0), lambda a, v: a + v * v)))
+    rows = flow_context(x, shares(spark, sf_dir), "sum", "scale")
 
     def run(pdf):
         pdf, x = dense(pdf)
-        known = np.array([a is not None and b is not None for a, b in zip(pdf.a, pdf.b)])
-        y = np.array([np.add(a, b) if k else np.zeros(6) for a, b, k in zip(pdf.a, pdf.b, known)])
+        known, y = pdf.constrained.to_numpy(bool), np.array(pdf.context.tolist(), float)
         w, h, g = factor.nmf_context(x, y, known.astype(float), 3)
         return pd.DataFrame([(int(pdf.unit[0]), j, CATEGORIES[c], float(g[j, c]), factor.relative_error(x, w, h)) for j in range(3) for c in range(6)], columns=["unit", "component", "cat", "value", "error"])
 
@@ -422,16 +423,22 @@ def direct_city_curves(spark, sf_dir):
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, width double, level double, truth double")
 
 
+#: Resolutions at which communities are looked for.
+RESOLUTIONS = (0.8, 1.0, 1.2, 1.5)
+
+
 @query()
 def louvain_blocks(spark, sf_dir):
+    """Communities of units by how well they predict each other, at several resolutions."""
     pairs = pair_matrix(spark, sf_dir).withColumn("g", F.lit(1))
 
     def run(pdf):
         units = sorted(pdf.source.unique())
-        a = pdf.pivot(index="source", columns="held", values="spearman").reindex(index=units, columns=units).fillna(0).to_numpy().copy()
-        return pd.DataFrame({"unit": units, "block": solve.communities(a, 1.2).astype(np.int32)})
+        a = pdf.pivot(index="source", columns="held", values="spearman").reindex(index=units, columns=units).fillna(0).to_numpy()
+        blocks = [(u, g, int(k)) for g in RESOLUTIONS for u, k in zip(units, solve.communities(a.copy(), g))]
+        return pd.DataFrame(blocks, columns=["unit", "gamma", "block"])
 
-    return pairs.groupBy("g").applyInPandas(run, "unit long, block int")
+    return pairs.groupBy("g").applyInPandas(run, "unit long, gamma double, block int")
 
 
 @query()

@@ -111,6 +111,21 @@ def nearest_cluster(spark, sf_dir):
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, cluster int, distance double")
 
 
+@query()
+def coriding_map(spark, sf_dir):
+    """The six categories of each unit in a plane, near where they ride together, laid onto the map of all other units."""
+
+    def run(pdf):
+        frames, held = by_unit(pdf), int(pdf.held.iloc[0])
+        z = {u: ridden(p[cities.MERGED].to_numpy(float)) for u, p in frames.items()}
+        apart = lambda m: 1 - m.T @ m / len(m)
+        template = solve.classical_scaling(apart(np.concatenate([v for u, v in z.items() if u != held])))
+        points, left = solve.procrustes(solve.classical_scaling(apart(z[held])), template)
+        return pd.DataFrame({"held": held, "category": cities.MERGED, "x": points[:, 0], "y": points[:, 1], "left": left})
+
+    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, category string, x double, y double, left double")
+
+
 @query()
 def nmf_project_multiplicative(spark, sf_dir):
     """Weights of all periods under the first periods' components, by multiplicative updates."""

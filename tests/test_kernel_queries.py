@@ -51,7 +51,8 @@ def test_ranks_and_pairs(spark, table):
     assert run(spark, "rank_channel").spearman.between(-1, 1).all()
     pairs = run(spark, "pair_matrix")
     assert len(pairs) == table.unit.nunique() ** 2 and pairs.spearman.dropna().between(-1.001, 1.001).all()
-    assert len(run(spark, "louvain_blocks")) == table.unit.nunique()
+    blocks = run(spark, "louvain_blocks")
+    assert blocks.groupby("gamma").unit.nunique().eq(table.unit.nunique()).all() and set(blocks.gamma) == set(kernels.RESOLUTIONS)
     ridge = run(spark, "ridge_loo")
     assert set(ridge.feature) == set(kernels.NAMES) and ridge.penalty.nunique() == 1 and ridge.penalty[0] in kernels.PENALTIES
     assert run(spark, "coef_heatmap").rho.between(-1, 1).all()
@@ -103,6 +104,8 @@ def test_carriers(spark, table):
     nearest = run(spark, "nearest_cluster")
     assert set(nearest.cluster) <= {0, 1} and nearest.distance.dropna().between(0, 2).all()
     assert (run(spark, "nmf_project_multiplicative").value >= 0).all()
+    plane = run(spark, "coriding_map")
+    assert plane.groupby("held").category.nunique().eq(6).all() and plane.left.between(0, 1.0001).all() and np.isfinite(plane.x).all()
     decay = run(spark, "decay_pipeline")
     assert set(decay.status) <= {"None", "Ongoing", "Recovered"} and (decay.dropna().end >= decay.dropna().start).all()
 

@@ -5,7 +5,7 @@ import inspect
 import numpy as np
 
 from odresil.kernels import factor
-from odresil.plans.kernels import PERIODS, RANKS, REPEATS, matrices, rank_grid
+from odresil.plans.kernels import RANKS, REPEATS, matrices, rank_grid
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 def test_grid(spark):
     assert REPEATS == 5 and RANKS == (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 18, 21, 25, 30, 35, 40)
     x = matrices(spark, SF)
-    bound = {r["unit"]: min(PERIODS, r["count"]) for r in x.groupBy("unit").count().collect()}
+    periods = len(x.first().series)
+    bound = {r["unit"]: min(periods, r["count"]) for r in x.groupBy("unit").count().collect()}
     rows = rank_grid(x).select("unit", "k", "rep").distinct().collect()
     assert sorted((r.unit, r.k, r.rep) for r in rows) == sorted((u, k, i) for u, b in bound.items() for k in RANKS if k <= b for i in range(5))
 

@@ -5,7 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from odresil.config import EVENTS
 from odresil.operators import features
+from odresil.operators.flows import select_segments
 from odresil.sources import flows
 from odresil.streaming import slot_totals
 
@@ -32,6 +34,21 @@ def test_csv_and_json_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().v == [1.0, 2.0]
 
 
+def test_land_use_masses(spark):
+    names = "zone_id counthu e8_ret e8_off e8_svc e8_ent e8_hlth e8_ed e8_pub e8_ind".split()
+    row = spark.createDataFrame([("z", *map(float, range(1, 10)))], "zone_id string, " + ", ".join(f"{n} double" for n in names[1:]))
+    assert tuple(flows.land_use_masses(row).first()) == ("z", 1.0, 9.0, 5.0, 9.0, 6.0, 15.0)
+
+
+def test_segments_are_checked(spark):
+    days = spark.range(30).select(F.col("id").cast("int").alias("day_idx"))
+    kept = select_segments(days, ["buffer"], EVENTS)
+    assert [r.day_idx for r in kept.orderBy("day_idx").collect()] == list(range(13, 18))
+    for names in (["after"], []):
+        with pytest.raises(ValueError):
+            select_segments(days, names, EVENTS)
+
+
 def test_context_modes(spark):
     pairs = spark.createDataFrame([(1, 2, 10.0), (1, 3, 10.0), (1, 9, 10.0)], "origin int, dest int, scale double")
     s = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (2, [0.0, 0.6, 0.8, 0.0, 0.0, 0.0]), (3, [0.0] * 6)], "zone int, share array<double>")

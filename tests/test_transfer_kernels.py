@@ -234,3 +234,15 @@ def test_impact_of_an_array(values, method):
             end, status = i, "Recovered"
             break
     assert found == {"last_normal": max(start - 1, 0), "start": start, "end": end, "status": status}
+
+
+def test_scaling_and_procrustes():
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (6, 2))
+    distance = np.linalg.norm(points[:, None] - points[None], axis=2)
+    found = solve.classical_scaling(distance)
+    assert np.allclose(np.linalg.norm(found[:, None] - found[None], axis=2), distance)
+    turned = 3 * found @ np.array([[0.6, -0.8], [0.8, 0.6]]) * [1, -1] + [5, -2]
+    fitted, left = solve.procrustes(found, turned)
+    assert np.allclose(fitted, turned) and left == pytest.approx(0, abs=1e-12)
+    assert solve.procrustes(np.zeros((4, 2)), points[:4])[1] == 1.0
