@@ -159,6 +159,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bloc
     for index in _blocks(benchmark, size, block):
         counted = spark.sparkContext.broadcast(index)
         index.order(_rarity(docs, counted))
+        counted.destroy()
         shared, again = spark.sparkContext.broadcast(index), not first
 
         def run(batches, shared=shared, again=again):

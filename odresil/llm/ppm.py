@@ -200,11 +200,12 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> ByteTrees | None:
     if sample is None:
         return None
     table = count_grams(sample).toArrow()
-    langs = table["lang"].to_numpy(zero_copy_only=False)
+    coded = table["lang"].combine_chunks().dictionary_encode()
+    of, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
     grams, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    order = np.lexsort((grams, langs)) if len(langs) else []
-    langs, grams, n = langs[order], grams[order], n[order]
-    found = {lang: (grams[langs == lang], n[langs == lang]) for lang in sorted(set(langs))}
+    order = np.lexsort((grams, of))
+    of, grams, n = of[order], grams[order], n[order]
+    found = {lang: (grams[of == k], n[of == k]) for k, lang in enumerate(names)}
     return ByteTrees(found) if found else None
 
 
@@ -271,6 +272,7 @@ def limits(docs: DataFrame, model: ByteTrees, rows: int = ROWS) -> dict[str, tup
 
     medians = sample.mapInArrow(run, "lang string, own double, other double").groupBy("lang").agg(F.median("own"), F.median("other"))
     found = {lang: (own, other) for lang, own, other in medians.collect()}  # a row a language
+    shared.destroy()
     foreign = float(np.mean([other for _, other in found.values()]))
     usual = float(np.mean([own for own, _ in found.values()]))
     out = {}
