@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their DuckDB texts where SQL can say it."""
+"""The registered queries of the numbered operators, each over its whole table, and their DuckDB texts where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, fixity, huffman, minmax, ngramlm, packing, ppm, quality, toxicity
+from . import decontaminate, extract, fixity, huffman, manifest, minmax, ngramlm, packing, ppm, pqcodes, quality, simhash, toxicity
 from .base import fold, scratch_path, table
 
 
@@ -80,13 +80,69 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = pqcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(pqcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, checked against a copy whose texts are lower-cased where 5 divides the crc32 of the id."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered, lowered)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_fixity, op2_decontaminate, op3_extract_html, op4_huffman_tokens, op5_quality_rules, op6_language_id, op7_lm_score, op8_minmax_dedup, op9_toxicity, op10_pack, pipeline)}
+_ALL = (
+    op1_warc_fixity,
+    op2_decontaminate,
+    op3_extract_html,
+    op4_huffman_tokens,
+    op5_quality_rules,
+    op6_language_id,
+    op7_lm_score,
+    op8_minmax_dedup,
+    op9_toxicity,
+    op10_pack,
+    op11_vector_codes,
+    op12_simhash_dedup,
+    op13_merkle_manifest,
+    pipeline,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _codes_sql(rounds: int = pqcodes.ROUNDS) -> str:
+    """The DuckDB text of operator 11: a pair of steps a round, assignment and new entries."""
+    nearest = """
+a{k} AS (SELECT r, part, least_of % 64 AS e, least_of // 64 AS far FROM (
+  SELECT r, p.part, min((list_inner_product(p.w, p.w) - 2 * list_inner_product(p.w, b.w) + list_inner_product(b.w, b.w))::BIGINT * 64 + b.e) AS least_of
+  FROM p JOIN b{k} b USING (part) GROUP BY r, p.part))"""
+    entries = """
+m{k} AS (SELECT part, e, list(m ORDER BY i) AS w FROM (
+  SELECT part, e, i, floor(sum(x::BIGINT)::DOUBLE / count(*)) AS m
+  FROM (SELECT a.part, a.e, unnest(p.w) AS x, unnest(range(len(p.w))) AS i FROM a{k} a JOIN p USING (r, part)) GROUP BY part, e, i) GROUP BY part, e),
+b{n} AS (SELECT part, e, coalesce(m.w, b.w) AS w FROM b{k} b LEFT JOIN m{k} m USING (part, e))"""
+    steps = [nearest.format(k=k) + ("," + entries.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1)]
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS w FROM v, range(16) t(part)),
+b0 AS (SELECT part, r - 1 AS e, w FROM p WHERE r <= 64),{",".join(steps)},
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: x::BIGINT), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (r), s"""
+
 
 ORACLES = {
     "op1_warc_fixity": """
@@ -132,4 +188,43 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE f AS (SELECT doc_id, source, lang, n_chars, text,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+g AS (SELECT * REPLACE (coalesce(xor(crc, 4294967295::BIGINT) % 5 = 0, false) AS crc) FROM f),
+h AS (SELECT doc_id, source, crc AS hurt, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head FROM g),
+d AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hurt THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS other FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t AS (
+  SELECT 0 AS lvl, source, pos, leaf AS node, count(*) OVER (PARTITION BY source) AS many FROM n
+  UNION ALL
+  SELECT lvl + 1, source, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (many + 15) // 16 FROM t WHERE many > 1 GROUP BY lvl, source, pos // 16, many),
+q AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM t WHERE many = 1),
+u AS (
+  SELECT 0 AS lvl, pos, subroot AS node, count(*) OVER () AS many FROM q
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (many + 15) // 16 FROM u WHERE many > 1 GROUP BY lvl, pos // 16, many),
+ts AS (SELECT lvl, source, pos, many,
+    coalesce(string_agg(node, '') OVER (PARTITION BY lvl, source, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(node, '') OVER (PARTITION BY lvl, source, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM t),
+us AS (SELECT lvl, pos, many,
+    coalesce(string_agg(node, '') OVER (PARTITION BY lvl, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(node, '') OVER (PARTITION BY lvl, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM u),
+w AS (
+  SELECT n.source, n.pos AS home, 0 AS lvl, n.pos, n.other AS node, '' AS proof FROM n
+  UNION ALL
+  SELECT w.source, home, w.lvl + 1, w.pos // 16, sha256(l || node || r), proof || l || r
+  FROM w JOIN ts ON ts.source IS NOT DISTINCT FROM w.source AND ts.lvl = w.lvl AND ts.pos = w.pos AND ts.many > 1),
+z AS (
+  SELECT w.source, w.home, 0 AS lvl, q.pos, w.node, w.proof FROM w JOIN t ON t.source IS NOT DISTINCT FROM w.source AND t.lvl = w.lvl AND t.many = 1 JOIN q ON q.source IS NOT DISTINCT FROM w.source
+  UNION ALL
+  SELECT z.source, home, z.lvl + 1, z.pos // 16, sha256(l || node || r), proof || l || r FROM z JOIN us ON us.lvl = z.lvl AND us.pos = z.pos AND us.many > 1)
+SELECT n.doc_id, n.leaf, q.subroot, u.node AS root, sha256(z.proof) AS proof_sha256, z.node AS folded_root, z.node = u.node AS verified
+FROM n JOIN q ON q.source IS NOT DISTINCT FROM n.source JOIN u ON u.many = 1
+JOIN z ON z.source IS NOT DISTINCT FROM n.source AND z.home = n.pos AND z.lvl = u.lvl""",
 }

@@ -13,9 +13,8 @@ _white = _lower.copy()
 _white[9:14] = 32
 
 
-def word_column(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words as bytes, number of each word in turn, offsets of the texts in them); words are runs of
-    characters other than U+0020 and U+0009-U+000D, A-Z lower-cased if asked for.  Null counts as empty."""
+def _cut(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with blanks as spaces, starts and stops of the words in them, offsets of the texts among the words)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -34,11 +33,27 @@ def word_column(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.nd
     shut = ends[1:][ends[1:] > 0] - 1
     last[shut] |= ~blank[shut]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return data, starts, stops, np.searchsorted(starts, ends)
+
+
+def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, stops, offsets of the texts among the words): lower-cased words with one space between those of a text."""
+    data, starts, stops, at = _cut(texts, True)
+    kept = data != 32
+    kept[stops[stops < len(data)]] = True  # the first byte behind a word: a blank, or the next text
+    place = np.cumsum(kept) - 1
+    return np.ascontiguousarray(data[kept]), place[starts], place[stops - 1] + 1, at
+
+
+def word_column(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words as bytes, number of each word in turn, offsets of the texts in them); words are runs of
+    characters other than U+0020 and U+0009-U+000D, A-Z lower-cased if asked for.  Null counts as empty."""
+    data, starts, stops, at = _cut(texts, lower)
     # words end to end without the blanks between them
     bounds = np.concatenate([[0], np.cumsum(stops - starts)])
-    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[~blank]))])
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[data != 32]))])
     coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64), np.searchsorted(starts, ends)
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64), at
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
