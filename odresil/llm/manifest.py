@@ -5,14 +5,14 @@ ascend by doc_id; every ``FAN`` consecutive nodes become one until one is left,
 source, become the root in the same way.
 
 Sources are spread over ranges of (source, doc_id), each range numbers its own leaves, and the driver adds one count a
-range.  Trees are cut into aligned blocks of ``FAN ** DEPTH`` nodes; a task reduces a block to its top node, and tops are the
+range.  Trees are cut into aligned blocks of ``FAN ** depth`` nodes; a task reduces a block to its top node, and tops are the
 nodes of the next tier, until every source has one node.  Proofs go down the same tiers: a block's own proof is appended to
 those of its nodes.
 
 Within a block, authentication paths come out leaf by leaf by fractal traversal: each level keeps one existing run, the
 ``FAN`` nodes around the path, and one desired run, the next one of that level, which grows by one node whenever the leaf
 has moved on so far that a node of the level below is passed.  When the path leaves a run, the desired run takes its place.
-So a path costs a bounded number of hashes and ``2 * FAN * DEPTH`` digests of memory, and no level is held whole.
+So a path costs a bounded number of hashes and ``2 * FAN * depth`` digests of memory, and no level is held whole.
 
 Cases: a null source is a source of its own and comes first; a null doc_id comes first in its source and is never tampered
 with; rows with the same doc_id are leaves each, ordered by their digest, and identical rows have neighbouring places; null
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import base
 
+#: Children of a node, levels of a block.
 FAN, DEPTH = 16, 3
-BLOCK = FAN**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -108,27 +108,30 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn("pos", place).drop("_part", "_run", "_place", "_offset")
 
 
-def climbed(digests: list[str], whole: bool) -> list[str]:
-    """Levels are joined run by run: ``DEPTH`` times if other blocks stand beside this one, else until one node is left."""
+def climbed(digests: list[str], whole: bool, depth: int = DEPTH) -> list[str]:
+    """Levels are joined run by run: ``depth`` times if other blocks stand beside this one, else until one node is left."""
     level = 0
-    while len(digests) > 1 or whole and level < DEPTH:
+    while len(digests) > 1 or whole and level < depth:
         digests = [combined(digests[k : k + FAN]) for k in range(0, len(digests), FAN)]
         level += 1
     return digests
 
 
-def tops(nodes: DataFrame) -> DataFrame:
-    """(grp, pos, digest) of the next tier: the top node of each block of (grp, pos, digest).
+def _whole(block: int, size: int, depth: int) -> bool:
+    """A group's first block can be its only one; all others, and a full first one, have all their levels."""
+    return block > 0 or size == FAN**depth
 
-    Only a group's first block can be its only one; all others, and a full first one, have ``DEPTH`` levels."""
+
+def tops(nodes: DataFrame, depth: int) -> DataFrame:
+    """(grp, pos, digest) of the next tier: the top node of each block of (grp, pos, digest)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         block = table["block"][0].as_py()
-        top = climbed(table["digest"].to_pylist(), block > 0 or table.num_rows == BLOCK)
+        top = climbed(table["digest"].to_pylist(), _whole(block, table.num_rows, depth), depth)
         return pa.table({"grp": table["grp"][:1], "pos": pa.array([block], pa.int64()), "digest": pa.array(top, pa.string())})
 
-    blocks = nodes.select("grp", "pos", "digest", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"))
+    blocks = nodes.select("grp", "pos", "digest", F.floor(F.col("pos") / FAN**depth).cast("long").alias("block"))
     return blocks.groupBy("grp", "block").applyInArrow(base.lean_group(run), "grp string, pos long, digest string")
 
 
@@ -152,21 +155,21 @@ class Level:
             self.desired.append(self.below(ahead))
 
 
-def paths(digests: list[str], whole: bool):
+def paths(digests: list[str], whole: bool, depth: int = DEPTH):
     """For each leaf of a block in turn, its path as a list of (digests to the left, digests to the right), from the leaf up.
 
     A node is hashed as the desired run of its level grows, and once more for each level above it."""
     sizes = [len(digests)]
-    while sizes[-1] > 1 or whole and len(sizes) <= DEPTH:
+    while sizes[-1] > 1 or whole and len(sizes) <= depth:
         sizes.append(-(-sizes[-1] // FAN))
     makers = [lambda k: digests[k]]
-    for depth in range(1, len(sizes) - 1):
-        makers.append(_maker(makers[depth - 1], sizes[depth - 1]))
+    for k in range(len(sizes) - 2):
+        makers.append(_maker(makers[k], sizes[k]))
     levels = [Level(make, size) for make, size in zip(makers, sizes[:-1])]
     for leaf_at in range(len(digests)):
         path, index = [], leaf_at
-        for depth, level in enumerate(levels):
-            if leaf_at and leaf_at % FAN**depth == 0:
+        for up, level in enumerate(levels):
+            if leaf_at and leaf_at % FAN**up == 0:
                 level.move(index)
             here = index - level.at * FAN
             path.append((level.existing[:here], level.existing[here + 1 :]))
@@ -188,7 +191,7 @@ def folded(digest: str, path) -> str:
 STEPS = "array<struct<left:array<string>,right:array<string>>>"
 
 
-def descended(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
+def descended(nodes: DataFrame, above: DataFrame | None, depth: int) -> DataFrame:
     """(grp, pos, digest, steps): each node's path through its block, followed by its block's own path."""
     kind = pa.list_(pa.struct([("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))]))
 
@@ -196,13 +199,13 @@ def descended(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
         table = table.sort_by("pos")
         digests = table["digest"].to_pylist()
         rest = upper["steps"][0].as_py() if upper is not None and upper.num_rows else []
-        steps = [[{"left": a, "right": b} for a, b in p] + rest for p in paths(digests, key[1] > 0 or len(digests) == BLOCK)]
+        steps = [[{"left": a, "right": b} for a, b in p] + rest for p in paths(digests, _whole(key[1], len(digests), depth), depth)]
         return pa.table({"grp": table["grp"], "pos": table["pos"], "digest": table["digest"], "steps": pa.array(steps, kind)})
 
-    return _by_block(nodes, above, run, f"grp string, pos long, digest string, steps {STEPS}")
+    return _by_block(nodes, above, depth, run, f"grp string, pos long, digest string, steps {STEPS}")
 
 
-def proven(rows: DataFrame, above: DataFrame | None) -> DataFrame:
+def proven(rows: DataFrame, above: DataFrame | None, depth: int) -> DataFrame:
     """(doc_id, leaf, grp, proof_sha256, folded_root) of the lowest tier (doc_id, grp, pos, digest, other).
 
     The path of each leaf is hashed and folded as it comes out, and not kept."""
@@ -213,19 +216,19 @@ def proven(rows: DataFrame, above: DataFrame | None) -> DataFrame:
         rest = [(s["left"], s["right"]) for s in upper["steps"][0].as_py()] if upper is not None and upper.num_rows else []
         tail = "".join(x for left, right in rest for x in (*left, *right)).encode()
         proofs, roots = [], []
-        for k, path in enumerate(paths(digests, key[1] > 0 or len(digests) == BLOCK)):
+        for k, path in enumerate(paths(digests, _whole(key[1], len(digests), depth), depth)):
             proof = hashlib.sha256("".join(x for left, right in path for x in (*left, *right)).encode())
             proof.update(tail)
             proofs.append(proof.hexdigest())
             roots.append(folded(others[k] or digests[k], [*path, *rest]))
         return pa.table({"doc_id": table["doc_id"], "leaf": table["digest"], "grp": table["grp"], "proof_sha256": pa.array(proofs, pa.string()), "folded_root": pa.array(roots, pa.string())})
 
-    return _by_block(rows, above, run, "doc_id long, leaf string, grp string, proof_sha256 string, folded_root string")
+    return _by_block(rows, above, depth, run, "doc_id long, leaf string, grp string, proof_sha256 string, folded_root string")
 
 
-def _by_block(nodes: DataFrame, above: DataFrame | None, run, schema: str) -> DataFrame:
+def _by_block(nodes: DataFrame, above: DataFrame | None, depth: int, run, schema: str) -> DataFrame:
     """Applies ``run`` to each block and the path of its top node, if there is a tier above."""
-    blocks = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
+    blocks = nodes.withColumn("block", F.floor(F.col("pos") / FAN**depth).cast("long"))
     keys = ["grp", "block"]
     if above is None:
         return blocks.groupBy(*keys).applyInArrow(lambda key, table: base.lean_group(lambda t: run(_values(key), t, None))(table), schema)
@@ -241,40 +244,40 @@ def _values(key) -> tuple:
     return tuple(k.as_py() for k in key)
 
 
-def tree(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def tree(nodes: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
     """((grp, digest) of each group's last node, the tiers above ``nodes``)."""
     tiers = []
     while True:
-        nodes = base.written(tops(nodes), "tops")
+        nodes = base.written(tops(nodes, depth), "tops")
         if not nodes.where("pos > 0").limit(1).count():
             return nodes.select("grp", "digest"), tiers
         tiers.append(nodes)
 
 
-def proofs_of(tiers: list[DataFrame], above: DataFrame | None = None) -> DataFrame | None:
+def proofs_of(tiers: list[DataFrame], above: DataFrame | None, depth: int) -> DataFrame | None:
     """The paths of the lowest of some tiers' nodes; ``above`` has those of what the highest tier's blocks lead to."""
     for nodes in reversed(tiers):
-        above = base.written(descended(nodes, above), "paths")
+        above = base.written(descended(nodes, above, depth), "paths")
     return above
 
 
-def manifest(docs: DataFrame, tampered: Column, damage: Column) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column, damage: Column, depth: int = DEPTH) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) per row."""
     rows = base.written(leaves(docs, tampered, damage), "leaves")
     lowest = numbered(rows.select("doc_id", group_of(F.col("source")).alias("grp"), F.col("leaf").alias("digest"), "other"), "grp", "doc_id", "digest")
     lowest = base.written(lowest, "places")
-    subroots, tiers = tree(lowest)
+    subroots, tiers = tree(lowest, depth)
     # subroots are the lowest nodes of the tree above, in the order of their sources
     named = subroots.select(F.col("grp").alias("source"), "digest", F.lit("").alias("grp"))
     ranked = base.written(numbered(named, "grp", "source"), "subroots")
     upper = ranked.select("grp", "pos", "digest")
-    last, upper_tiers = tree(upper)
+    last, upper_tiers = tree(upper, depth)
     root = next((r.digest for r in last.collect()), "")  # one group
-    of_subroots = proofs_of([upper, *upper_tiers])
+    of_subroots = proofs_of([upper, *upper_tiers], None, depth)
     # the path above a source's last node is that of its subroot
     above = of_subroots.select("pos", "steps").join(ranked.select("pos", "source"), "pos")
     above = base.written(above.select(F.col("source").alias("grp"), F.lit(0).cast("long").alias("pos"), "steps"), "paths")
-    out = base.written(proven(lowest, proofs_of(tiers, above)), "proofs")
+    out = base.written(proven(lowest, proofs_of(tiers, above, depth), depth), "proofs")
     ends = base.written(subroots.withColumnRenamed("digest", "subroot"), "ends")
     columns = ["doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root"]
     return out.join(ends, "grp").select(*columns, (F.col("folded_root") == F.lit(root)).alias("verified"))

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, rel = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     names = sorted(df.columns)
