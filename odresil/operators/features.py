@@ -156,9 +156,9 @@ def usable(rows: DataFrame, unit: list[str], needed: list[str], target: str, lea
     some = F.lit(True)
     for c in (*needed, target):
         some = some & number(c)
-    kept = rows.where(some)
-    units = kept.groupBy(*unit).agg(F.count("*").alias("_n"), F.countDistinct(target).alias("_d"))
-    return kept.join(units.where(f"_n >= {least} and _d >= 2").select(*unit), unit, "left_semi")
+    whole = Window.partitionBy(*unit)
+    kept = rows.where(some).withColumn("_n", F.count("*").over(whole)).withColumn("_d", F.max(target).over(whole) > F.min(target).over(whole))
+    return kept.where((F.col("_n") >= least) & F.col("_d")).drop("_n", "_d")
 
 
 def flow_context(pairs: DataFrame, shares: DataFrame, mode: str, scale: str) -> DataFrame:

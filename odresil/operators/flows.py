@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odresil.config import Windows
+from odresil.operators.ordering import numbered
 
 
 def trim_slots(flows: DataFrame, w: Windows) -> DataFrame:
@@ -89,7 +90,7 @@ def packed_rows(flows: DataFrame, n_slots: int, at: str = "slot_idx") -> DataFra
     m = flows.groupBy("origin", "dest").agg(F.map_from_entries(F.collect_list(F.struct(F.col(at), F.col("flow")))).alias("m"))
     series = F.transform(F.sequence(F.lit(0), F.lit(n_slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     rows = m.select("origin", "dest", series.alias("series"))
-    return rows.withColumn("od_idx", (F.row_number().over(Window.orderBy("origin", "dest")) - 1).cast("int"))
+    return numbered(rows, ["origin", "dest"], "od_idx").withColumn("od_idx", F.col("od_idx").cast("int"))
 
 
 def matrix_diagnostics(flows: DataFrame, n_slots: int) -> DataFrame:

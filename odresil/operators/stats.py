@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from odresil.operators.ordering import ranged
+
 
 def average_rank(value: str, by: list[str]) -> Column:
     """1-based rank within ``by``, ties sharing their mean rank; null values have none."""
@@ -128,13 +130,24 @@ def ks_distance(rows: DataFrame, by: list[str], value: str, first: str) -> DataF
 
 
 def bh_adjust(rows: DataFrame, p: str) -> DataFrame:
-    """``q``: Benjamini-Hochberg step-up values; missing p-values stay out."""
-    some = rows.where(F.col(p).isNotNull() & ~F.isnan(p))
-    m = F.count("*").over(Window.partitionBy(F.lit(0)))
-    r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(p))
-    scaled = some.withColumn("_s", F.col(p) * m / r)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col(p).desc())
-    return scaled.withColumn("q", F.least(F.lit(1.0), F.min("_s").over(down))).drop("_s")
+    """``q``: Benjamini-Hochberg step-up values; missing p-values stay out.
+
+    Rows are sorted in ranges; each range has its own running least value from above, and the driver carries one number a
+    range to those below it."""
+    some, starts = ranged(rows.where(F.col(p).isNotNull() & ~F.isnan(p)), p)
+    start = rows.sparkSession.createDataFrame(starts, "_part int, _start long")
+    total = some.agg(F.count("*").alias("_m"))  # one row
+    scaled = some.join(F.broadcast(start), "_part").crossJoin(F.broadcast(total))
+    scaled = scaled.withColumn("_s", F.col(p) * F.col("_m") / (F.col("_start") + F.col("_place") + 1))
+    above, least = [], None
+    for r in sorted(scaled.groupBy("_part").agg(F.min("_s").alias("_s")).collect(), key=lambda r: -r["_part"]):
+        above.append((r["_part"], least))
+        least = r["_s"] if least is None else min(least, r["_s"])
+    later = rows.sparkSession.createDataFrame(above, "_part int, _above double")
+    down = Window.partitionBy("_part").orderBy(F.desc("_place"))  # one range
+    out = scaled.withColumn("_own", F.min("_s").over(down)).join(F.broadcast(later), "_part")
+    q = F.least(F.lit(1.0), F.col("_own"), F.col("_above"))
+    return out.withColumn("q", q).drop("_part", "_place", "_start", "_m", "_s", "_own", "_above")
 
 
 def weighted_spearman(rows: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:

@@ -12,19 +12,32 @@ from odresil.operators import features as op
 from odresil.operators import stats
 from odresil.plans.curves import rounded
 from odresil.plans.registry import query
+from odresil.plans import storm
 from odresil.plans.zones import KM, SHARES, centres, shares
 from odresil.functions import geo
+from odresil.operators import storm as tracks
+from odresil.scratch import written
 from odresil.sources.testdata import NATIONS, ZONE_VALUES, nation_flows, zone_values
 
 PERIOD, NORMAL, LANDFALL = 100, 13, 18
 KEYS = ["unit", "component"]
 SIDES = [f"share_{side}_{c}" for side in ("from", "to") for c in C]
-MEASURES = ["weight", "weight_normal", "mean_distance", "std_distance", "income_combined", "income_origin", "r0", "cum_loss", "drop_depth", "pre_cumloss"]
+MEASURES = ["weight", "weight_normal", "mean_distance", "std_distance", "income_combined", "income_origin", "r0", "cum_loss", "drop_depth", "pre_cumloss", "track_km", "wind"]
 
 
 def periods(spark, sf_dir):
+    """(unit, component, origin, dest, t, flow): flows by period; a component is the nation its goods leave from."""
     t = F.floor(F.col("day_idx") / PERIOD).cast("int")
-    return nation_flows(spark, sf_dir).withColumn("t", t).withColumn("component", F.col("origin"))
+    flows = nation_flows(spark, sf_dir).groupBy("unit", F.col("origin").alias("component"), "origin", "dest", t.alias("t"))
+    return flows.agg(F.sum("flow").alias("flow"))
+
+
+def exposures(spark, sf_dir):
+    """(component, track_km, wind): how near the storm's centre came, and the strongest wind, at each nation."""
+    places, track = storm.places(spark, sf_dir), storm.track(spark)
+    near = tracks.at_place(places, tracks.interpolate(track)).groupBy(F.col("place").alias("component")).agg(F.min("km").alias("track_km"))
+    wind = tracks.wind_at(places, track).groupBy(F.col("place").alias("component")).agg(F.max("wind").alias("wind"))
+    return near.join(wind, "component", "full")
 
 
 def resilience(flows):
@@ -50,8 +63,10 @@ def disaster_curves(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    """(unit, component, measures, shares at both ends): every component of every unit, with nulls where something is missing."""
-    flows = periods(spark, sf_dir)
+    """(unit, component, measures, shares at both ends): every component of every unit, with nulls where something is missing.
+
+    Nine steps read the flows by period, so these are written first: the large tables are read and joined once."""
+    flows = written(periods(spark, sf_dir), "periods")
     normal = flows.where(F.col("t") < NORMAL)
     loads = normal.groupBy(*KEYS, "origin", "dest").agg(F.sum("flow").alias("value"))
     km = geo.od_distance(loads.select("origin", "dest").distinct(), centres(spark, sf_dir))
@@ -67,7 +82,8 @@ def feature_table(spark, sf_dir):
     sides = op.functional_shares(op.od_function_matrix(loads, shares(spark, sf_dir), KEYS), KEYS)
     side = lambda name, c: F.sum(F.when(F.col("cat") == c, F.col(name))).alias(f"{name}_{c}")
     wide = sides.groupBy(*KEYS).agg(*[side(f"share_{s}", c) for s in ("from", "to") for c in C])
-    return out.join(wide, KEYS, "left").select(*KEYS, *MEASURES, *SIDES)
+    out = out.join(wide, KEYS, "left").join(exposures(spark, sf_dir), "component", "left")
+    return out.select(*KEYS, *MEASURES, *SIDES)
 
 
 PERIODS = f"{NATIONS}, pf AS (SELECT unit, origin AS component, origin, dest, day_idx // {PERIOD} AS t, flow FROM nf)"
@@ -76,7 +92,10 @@ pb AS (SELECT unit, component, avg(flow) AS base, sum(flow) AS weight FROM ps WH
 pr AS (SELECT unit, component, t, weight, flow / nullif(base, 0) AS r FROM ps JOIN pb USING (unit, component)),
 rs AS (SELECT unit, component, weight, max(r) FILTER (t = {LANDFALL}) AS r0, sum(1 - r) FILTER (t >= {LANDFALL}) AS cum_loss, 1 - min(r) FILTER (t >= {LANDFALL}) AS drop_depth,
   sum(1 - r) FILTER (t BETWEEN {NORMAL} AND {LANDFALL - 1}) AS pre_cumloss FROM pr GROUP BY 1, 2, 3)"""
-TABLE = f"""{RESILIENCE}, {SHARES}, {KM}, {ZONE_VALUES},
+EXPOSED = f"""{storm.SEGS}, {storm.PLACES}, tk AS (SELECT place AS component, min({storm.KM.format(b="")}) AS track_km FROM pl JOIN ip USING (basin_id) GROUP BY 1),
+j AS (SELECT place, plat, plon, tr.*, {storm.KM.format(b="")} AS km, {storm.QUAD.format(b="")} AS q FROM pl JOIN tr USING (basin_id)), {storm.PROFILED},
+wn AS (SELECT place AS component, max(wind)::DOUBLE AS wind FROM wd GROUP BY 1)"""
+TABLE = f"""{RESILIENCE}, {SHARES}, {KM}, {ZONE_VALUES}, {EXPOSED},
 ld AS (SELECT unit, component, origin, dest, sum(flow) AS h FROM pf WHERE t < {NORMAL} GROUP BY 1, 2, 3, 4),
 sd0 AS (SELECT unit, component, sum(h * km) / sum(h) AS mean_distance FROM ld JOIN km USING (origin, dest) GROUP BY 1, 2),
 sd1 AS (SELECT unit, component, mean_distance, sqrt(sum(h * (km - mean_distance) ** 2) / sum(h)) AS std_distance FROM ld JOIN km USING (origin, dest) JOIN sd0 USING (unit, component) GROUP BY 1, 2, 3),
@@ -85,8 +104,9 @@ ic AS (SELECT unit, component, sum(h * vc) / sum(h) FILTER (vc IS NOT NULL) AS i
 ft AS (SELECT unit, component, sum(h) AS mass, {", ".join(f"sum(h * o.{c}) AS f_{c}" for c in C)}, {", ".join(f"sum(h * d.{c}) AS t_{c}" for c in C)}
   FROM ld JOIN sh o ON o.zone = origin AND o.total > 0 JOIN sh d ON d.zone = dest AND d.total > 0 GROUP BY 1, 2),
 tb AS (SELECT rs.*, weight / sum(weight) OVER (PARTITION BY unit) AS weight_normal, mean_distance, std_distance, income_combined, income_origin,
-  {", ".join(f"f_{c} / mass AS share_from_{c}" for c in C)}, {", ".join(f"t_{c} / mass AS share_to_{c}" for c in C)}
-  FROM rs LEFT JOIN sd1 USING (unit, component) LEFT JOIN ic USING (unit, component) LEFT JOIN ft USING (unit, component))"""
+  track_km, wind, {", ".join(f"f_{c} / mass AS share_from_{c}" for c in C)}, {", ".join(f"t_{c} / mass AS share_to_{c}" for c in C)}
+  FROM rs LEFT JOIN sd1 USING (unit, component) LEFT JOIN ic USING (unit, component) LEFT JOIN ft USING (unit, component)
+  LEFT JOIN tk USING (component) LEFT JOIN wn USING (component))"""
 
 
 @query(f"WITH {TABLE} SELECT unit, component, {', '.join(f'round({c}, 6) AS {c}' for c in MEASURES + SIDES)} FROM tb")
@@ -112,11 +132,16 @@ def rank_channel_features(spark, sf_dir):
     return rounded(merged_table(spark, sf_dir), *names).select(*KEYS, *names)
 
 
+#: The 24 features of the rank channel: merged shares, three scalars, products of the shares.
+RANK = [*MERGED, "mean_distance", "track_km", "pre_cumloss", *(f"{a}_x_{b}" for a, b in PRODUCTS)]
+#: Of these, the one that keeps its scale between units.
+LEVEL = "pre_cumloss"
+
 #: Columns a component must have to enter the transfer stages.
-NEEDED = ["mean_distance", "income_combined", "r0", *MERGED]
+NEEDED = ["mean_distance", "income_combined", "r0", "pre_cumloss", "track_km", *MERGED]
 
 
-@query(f"""WITH {TABLE}, kept AS (SELECT * FROM tb WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ["cum_loss", "mean_distance", "income_combined", "r0", *SIDES])})
+@query(f"""WITH {TABLE}, kept AS (SELECT * FROM tb WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ["cum_loss", "mean_distance", "income_combined", "r0", "pre_cumloss", "track_km", *SIDES])})
 SELECT unit, component, round(cum_loss, 6) AS cum_loss FROM kept WHERE unit IN (SELECT unit FROM kept GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT cum_loss) >= 2)""")
 def listwise_gate(spark, sf_dir):
     rows = op.usable(merged_table(spark, sf_dir), ["unit"], NEEDED, "cum_loss", 3)

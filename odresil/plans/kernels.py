@@ -6,23 +6,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odresil.config import CATEGORIES, EVENTS
 from odresil.kernels import align, factor, solve, spread
-from odresil.operators import curves, stats
+from odresil.operators import curves, moments
 from odresil.operators.features import flow_context, usable
 from odresil.plans import cities
 from odresil.plans.curves import smoothed
 from odresil.plans.registry import query
 from odresil.plans.zones import shares
+from odresil.scratch import written
 from odresil.shipping import ship
 from odresil.sources.testdata import nation_flows
 
 PERIOD, FIT = 42, 45
 NAMES = [*cities.MERGED, "mean_distance", "income", "r0"]
-PERMUTATIONS, SWEEPS = 10_000, 5_000
+SWEEPS = 5_000
 #: Candidate ranks of cross-validation, bounded by a unit's matrix, and its independent masks.
 RANKS, REPEATS = (*range(1, 13), 15, 18, 21, 25, 30, 35, 40), 5
 PENALTIES = np.logspace(-3, 3, 13)
@@ -115,17 +116,21 @@ def rank_cv(spark, sf_dir):
 
 
 def component_table(spark, sf_dir) -> DataFrame:
-    """(unit, component, weight, target, ...): the components that pass the gate of the feature table, the loss as target."""
+    """(unit, component, weight, target, ...): the components that pass the gate of the feature table, the loss as target.
+
+    It is written, a row a component: what is learned from it reads it many times."""
     ship(spark)
     rows = usable(cities.merged_table(spark, sf_dir), ["unit"], cities.NEEDED, "cum_loss", 3)
-    return rows.withColumnsRenamed({"cum_loss": "target", "income_combined": "income"}).select(*cities.KEYS, "weight", "target", *NAMES, *cities.SIDES)
+    rows = rows.withColumnsRenamed({"cum_loss": "target", "income_combined": "income"})
+    columns = dict.fromkeys([*cities.KEYS, "weight", "weight_normal", "target", *NAMES, *cities.RANK, *cities.SIDES, "wind"])
+    return written(rows.select(*columns), "components")
 
 
 def folds(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     """The table once for each held-out unit; a unit has a handful of rows.  Without a second unit there is no fold."""
     rows = component_table(spark, sf_dir) if rows is None else rows
-    held = rows.select(F.col("unit").alias("held")).distinct().withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return rows.join(F.broadcast(held.where("n > 1").drop("n")), F.lit(True))  # units are a configuration of a few dozen
+    held = [r["unit"] for r in rows.select("unit").distinct().collect()]  # units are a configuration of a few dozen
+    return rows.withColumn("held", F.explode(F.array(*(F.lit(u).cast("long") for u in sorted(held))) if len(held) > 1 else F.array().cast("array<bigint>")))
 
 
 def standard(x: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -133,7 +138,7 @@ def standard(x: np.ndarray, unit: np.ndarray) -> np.ndarray:
     for u in np.unique(unit):
         part = x[unit == u]
         sd = part.std(0)
-        out[unit == u] = (part - part.mean(0)) / np.where(sd > 0, sd, 1)
+        out[unit == u] = (part - part.mean(0)) / (sd + moments.TINY)
     return out
 
 
@@ -145,7 +150,10 @@ def rank_scores(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray
     """The fold in order, whether each row is held, and predicted standard ranks; the held target is never read."""
     pdf = pdf.sort_values(["unit", "component"]).reset_index(drop=True)
     unit, held = pdf.unit.to_numpy(), (pdf.unit == pdf.held).to_numpy()
-    x = standard(pdf[NAMES].to_numpy(float), unit)
+    x = standard(pdf[cities.RANK].to_numpy(float), unit)
+    level = pdf[cities.LEVEL].to_numpy(float)  # keeps its scale between units
+    deviation = level[~held].std()
+    x[:, cities.RANK.index(cities.LEVEL)] = (level - level[~held].mean()) / (deviation if deviation > 1e-12 else 1.0)
     y = standard(ranked(pdf.target.where(~held, np.arange(len(pdf))), pdf.unit)[:, None], unit)[:, 0]
     _, beta, start = solve.ridge_loo(x[~held], y[~held], PENALTIES)
     return pdf, held, x @ beta + start
@@ -156,16 +164,6 @@ def rho(a, b) -> float:
     return float(a.corr(b)) if len(a) >= 3 and a.std() > 0 and b.std() > 0 else float("nan")
 
 
-@query()
-def ridge_loo(spark, sf_dir):
-    def run(pdf):
-        pdf = pdf.sort_values(["unit", "component"])
-        a, beta, start = solve.ridge_loo(standard(pdf[NAMES].to_numpy(float), pdf.unit.to_numpy()), pdf.target.to_numpy(), PENALTIES)
-        return pd.DataFrame([(n, float(b), float(a), start) for n, b in zip(NAMES, beta)], columns=["feature", "beta", "penalty", "intercept"])
-
-    return component_table(spark, sf_dir).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "feature string, beta double, penalty double, intercept double")  # a row a component
-
-
 @query()
 def recovery_fit(spark, sf_dir):
     ship(spark)
@@ -205,43 +203,6 @@ def plateau_inversion(spark, sf_dir):
     return loss.withColumn("level", F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2))
 
 
-@query()
-def cross_unit_transfer(spark, sf_dir):
-    def run(pdf):
-        pdf, held, score = rank_scores(pdf)
-        return pd.DataFrame({"held": pdf.held[held], "component": pdf.component[held], "score": score[held], "target": pdf.target[held]})
-
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, component long, score double, target double")
-
-
-@query()
-def rank_channel(spark, sf_dir):
-    def run(pdf):
-        pdf, held, score = rank_scores(pdf)
-        return pd.DataFrame([(int(pdf.held[0]), int(held.sum()), rho(score[held], pdf.target[held]))], columns=["held", "n", "spearman"])
-
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, n int, spearman double")
-
-
-@query()
-def pair_matrix(spark, sf_dir):
-    """Every ordered pair of units: learned on one, ranked in the other."""
-    rows = component_table(spark, sf_dir)
-    units = rows.select("unit").distinct()
-    pairs = units.select(F.col("unit").alias("source")).join(units.select(F.col("unit").alias("held")), F.lit(True))  # a few dozen units
-    both = rows.join(F.broadcast(pairs), F.col("unit").isin(F.col("source"), F.col("held")))
-
-    def run(pdf):
-        source, held_unit = int(pdf.source.iloc[0]), int(pdf.held.iloc[0])
-        train, test = (pdf[pdf.unit == u].sort_values("component") for u in (source, held_unit))
-        x = standard(train[NAMES].to_numpy(float), np.zeros(len(train)))
-        _, beta, _ = solve.ridge_loo(x, train.target.rank().to_numpy(), PENALTIES)
-        score = standard(test[NAMES].to_numpy(float), np.zeros(len(test))) @ beta
-        return pd.DataFrame([(source, held_unit, rho(score, test.target))], columns=["source", "held", "spearman"])
-
-    return both.groupBy("source", "held").applyInPandas(run, "source long, held long, spearman double")
-
-
 def unit_totals(pdf: pd.DataFrame, score: np.ndarray) -> pd.DataFrame:
     g = pdf.assign(s=score * pdf.weight, t=pdf.target * pdf.weight, r=pdf.r0 * pdf.weight).groupby("unit")[["s", "t", "r", "weight"]].sum()
     return pd.DataFrame({"s": g.s / g.weight, "truth": g.t / g.weight, "r0": g.r / g.weight})
@@ -421,66 +382,3 @@ def direct_city_curves(spark, sf_dir):
         return pd.DataFrame([(int(held), float(best), guess(held, train, best), float(level[held]))], columns=["held", "width", "level", "truth"])
 
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, width double, level double, truth double")
-
-
-#: Resolutions at which communities are looked for.
-RESOLUTIONS = (0.8, 1.0, 1.2, 1.5)
-
-
-@query()
-def louvain_blocks(spark, sf_dir):
-    """Communities of units by how well they predict each other, at several resolutions."""
-    pairs = pair_matrix(spark, sf_dir).withColumn("g", F.lit(1))
-
-    def run(pdf):
-        units = sorted(pdf.source.unique())
-        a = pdf.pivot(index="source", columns="held", values="spearman").reindex(index=units, columns=units).fillna(0).to_numpy()
-        blocks = [(u, g, int(k)) for g in RESOLUTIONS for u, k in zip(units, solve.communities(a.copy(), g))]
-        return pd.DataFrame(blocks, columns=["unit", "gamma", "block"])
-
-    return pairs.groupBy("g").applyInPandas(run, "unit long, gamma double, block int")
-
-
-@query()
-def mapping_pca(spark, sf_dir):
-    rows = component_table(spark, sf_dir).withColumn("g", F.lit(1))
-
-    def run(pdf):
-        dirs = {int(u): solve.ridge_loo(standard(p[NAMES].to_numpy(float), np.zeros(len(p))), p.target.to_numpy(), PENALTIES)[1] for u, p in pdf.sort_values("component").groupby("unit")}
-        m = np.array(list(dirs.values()))
-        u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
-        z = np.zeros((len(m), 2))
-        z[:, : min(2, len(s))] = (u * s)[:, :2]
-        explained = float((s[:2] ** 2).sum() / max((s**2).sum(), 1e-12))
-        return pd.DataFrame({"unit": list(dirs), "pc1": np.abs(z[:, 0]), "pc2": np.abs(z[:, 1]), "explained": explained})
-
-    return rows.groupBy("g").applyInPandas(run, "unit long, pc1 double, pc2 double, explained double")
-
-
-@query()
-def coef_heatmap(spark, sf_dir):
-    rows = component_table(spark, sf_dir)
-
-    def run(pdf):
-        return pd.DataFrame([(int(pdf.unit.iloc[0]), n, rho(pdf[n], pdf.target)) for n in NAMES], columns=["unit", "feature", "rho"])
-
-    return rows.groupBy("unit").applyInPandas(run, "unit long, feature string, rho double").fillna(0.0, ["rho"])
-
-
-@query()
-def permutation_p(spark, sf_dir):
-    """Two-sided p of the pooled correlation of income and loss, as standard scores of their ranks within units, under
-    ``PERMUTATIONS`` permutations within units."""
-    rows = component_table(spark, sf_dir).select("unit", "component", F.col("income").alias("x"), F.col("target").alias("y"))
-    for v in ("x", "y"):
-        rows = rows.withColumn(v, stats.average_rank(v, ["unit"]))
-        rows = rows.withColumn(v, stats.z_within(v, ["unit"]))
-    perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS))))
-    order = Window.partitionBy("perm", "unit").orderBy(F.when(F.col("perm") == 0, F.col("component")).otherwise(F.xxhash64("perm", "component")))
-    left = perms.withColumn("k", F.row_number().over(order)).select("perm", "unit", "k", "x")
-    right = rows.withColumn("k", F.row_number().over(Window.partitionBy("unit").orderBy("component"))).select("unit", "k", "y")
-    r = left.join(right, ["unit", "k"]).groupBy("perm").agg(stats.rho_of("x", "y").alias("r"))
-    seen = r.where("perm = 0").select(F.col("r").alias("observed"))
-    return r.where("perm > 0").join(F.broadcast(seen)).agg(F.first("observed").alias("observed"), ((1 + F.sum((F.abs("r") >= F.abs("observed")).cast("int"))) / (1 + F.count("*"))).alias("p"))  # one row
-
-

@@ -11,6 +11,7 @@ from odresil.kernels import baseline, factor, solve, spread
 from odresil.operators.flows import dense_totals
 from odresil.plans import cities
 from odresil.plans.kernels import CURVE_DAYS, NAMES, by_unit, component_table, dense, folds, matrices, pooled_alpha, rho
+from odresil.plans.ranking import clusters
 from odresil.plans.registry import query
 from odresil.shipping import ship
 from odresil.sources.testdata import transitions
@@ -95,20 +96,21 @@ def cells(z: np.ndarray) -> np.ndarray:
 
 @query()
 def nearest_cluster(spark, sf_dir):
-    """The group of units (even or odd numbers stand for known clusters) whose co-riding matrix is nearest to a unit's own."""
+    """The community of other units whose co-riding matrix is nearest to a unit's own; ties go to the first community."""
+    rows = component_table(spark, sf_dir)
+    rows = rows.join(F.broadcast(clusters(rows)), "unit")  # a row a unit
 
     def run(pdf):
         frames, held = by_unit(pdf), int(pdf.held.iloc[0])
         z = {u: ridden(p[cities.MERGED].to_numpy(float)) for u, p in frames.items()}
         distance = {}
-        for k in (0, 1):
-            members = [z[u] for u in frames if u % 2 == k and u != held]
-            if members:
-                distance[k] = 1 - rho(cells(z[held]), cells(np.concatenate(members)))
+        for k in sorted({int(p.cluster.iloc[0]) for u, p in frames.items() if u != held}):
+            members = [z[u] for u, p in frames.items() if u != held and int(p.cluster.iloc[0]) == k]
+            distance[k] = 1 - rho(cells(z[held]), cells(np.concatenate(members)))
         best = min(distance, key=lambda k: (np.nan_to_num(distance[k], nan=np.inf), k))
         return pd.DataFrame([(held, best, float(distance[best]))], columns=["held", "cluster", "distance"])
 
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, cluster int, distance double")
+    return folds(spark, sf_dir, rows).groupBy("held").applyInPandas(run, "held long, cluster int, distance double")
 
 
 @query()
