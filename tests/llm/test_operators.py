@@ -251,6 +251,10 @@ def brute_llr(text, weights):
     return total / (2 * len(h) - 1) if h else None
 
 
+def listed(weights):
+    return [r.weight for r in weights.orderBy("place").collect()]
+
+
 def quality_words(text):
     import re
 
@@ -263,7 +267,7 @@ def test_quality(spark, docs, none):
     rows = TEXTS + more
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("KEPT", F.lit(1))
     weights = [rng.uniform(-1, 1) for _ in range(64)]
-    got = quality.judge(df, weights, 0.0).collect()
+    got = quality.judge(df, quality.as_table(spark, weights), 0.0, buckets=64).collect()
     for r in got:
         base_row = brute_quality(r.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_row, r.text[:80]
@@ -272,12 +276,14 @@ def test_quality(spark, docs, none):
         assert r.base_failed == failed and (r.llr is None if score is None else r.llr == pytest.approx(score))
         assert r.kept == (not failed and score >= 0)
     labels = spark.createDataFrame([(4, 1), (4, 1), (5, 0), (None, 1), (7, None)], "doc_id long, quality int")
-    fitted = quality.fit_weights(docs, quality.trusted_ids(labels), 128)
-    assert len(fitted) == 128 and any(fitted)
-    assert set(quality.fit_weights(docs, quality.trusted_ids(labels.limit(0)), 16)) == {0.0}
-    assert quality.judge(none, [0.0] * 4, 0.0).count() == 0
-    assert quality.fit(none, labels) == ([0.0] * quality.BUCKETS * quality.FOLDS, 0.0)
-    own = quality.judge(docs.withColumn("_w", F.lit(1)).withColumn("_h", F.lit(2)), [0.0] * 4, 0.0)
+    fitted = listed(quality.fit_weights(docs, quality.trusted_ids(labels), 128))
+    assert len(fitted) == 128 and any(fitted) and any(w != round(w, 6) for w in fitted)
+    assert set(listed(quality.fit_weights(docs, quality.trusted_ids(labels.limit(0)), 16))) == {0.0}
+    zeros = quality.as_table(spark, [0.0] * 4)
+    assert quality.judge(none, zeros, 0.0, buckets=4).count() == 0
+    nothing, threshold = quality.fit(none, labels)
+    assert listed(nothing) == [0.0] * quality.BUCKETS * quality.FOLDS and threshold == 0.0
+    own = quality.judge(docs.withColumn("_w", F.lit(1)).withColumn("_h", F.lit(2)), zeros, 0.0, buckets=4)
     assert {(r._w, r._h) for r in own.select("_w", "_h").collect()} == {(1, 2)}
 
 
@@ -285,11 +291,11 @@ def test_quality_folds(spark):
     """A document's weights come from the trusted documents of the other folds alone."""
     docs = spark.createDataFrame([(k, f"word{k} common") for k in range(40)], "doc_id long, text string")
     trusted, folds, buckets = docs.select("doc_id"), 3, 64
-    weights = quality.fit_weights(docs, trusted, buckets, folds)
+    weights = listed(quality.fit_weights(docs, trusted, buckets, folds))
     of = {r.doc_id: r.k for r in docs.selectExpr("doc_id", f"{quality.fold_of(folds)} as k").collect()}
     for k in range(folds):
         without = docs.where(F.col("doc_id").isin([i for i, f in of.items() if f != k])).select("doc_id")
-        assert weights[k * buckets : (k + 1) * buckets] == quality.fit_weights(docs, without, buckets)
+        assert weights[k * buckets : (k + 1) * buckets] == listed(quality.fit_weights(docs, without, buckets))
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
