@@ -2,13 +2,14 @@
 
 A page becomes a tree of elements.  Each paragraph-like block gives points for its length and commas to its parent
 (whole), grandparent (half) and further ancestors (less); an element's points are discounted by its link density.
-The element with the most points is the container (its enclosing ``article`` if it has one); siblings that score
-near it, or are long plain paragraphs, are kept with it.
+The element with the most points is the container (its enclosing ``article`` if it has one, or else its enclosing
+``main``); siblings that score near it, plain paragraphs, and headings and leads before it are kept with it.
 
 Menus, headers, footers, side bars, notices, adverts, forms, reader comments, scripts and styles are cut by element,
 role and class.  An element is no such part if the page's main part lies in it: one whose name only contains a listed
 word (``share-page``), or a form, stays if it holds at least half of the page's paragraph points (reader comments
-apart), any other one if it also holds an ``article`` or ``main``.  Words after ``has-``, ``with-`` and the like say how
+apart); any other one if it also holds an ``article`` or ``main``, or if it has ``MAIN_BLOCKS`` paragraphs and nearly all
+points; one named after reader comments if no paragraph lies outside such elements.  Words after ``has-``, ``with-`` and the like say how
 a page is laid out, not what an element is.  Scripts, styles, controls and hidden elements are always cut.
 
 Cases: null or empty html gives the empty text; very long and very deep pages are read whole, in time linear in their
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 
 from . import base
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|(\Z))|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|(\Z))", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: An attribute: its name, and a value in quotes or up to the next blank; a quote elsewhere is a plain character.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+)(?:>|(\Z))""", re.S)
+ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+""")
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -50,19 +53,22 @@ NAMED, MARKED = re.compile(rf"(?:{WORDS})\Z", re.I), re.compile(rf"(?:\A|[_-])(?
 READERS = re.compile(r"(?:comments?|commentlist|disqus|respond|replies|discussion)(?:[_-](?:list|area|section|thread|wrap\w*|box|body|container))?\Z", re.I)
 LAYOUT = re.compile(r"(?:has|with|without|no|is|not|hide|show)[_-]", re.I)
 GOOD_NAMES = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
+LEADS = re.compile(r"(?:\A|[_-])(?:lead|lede|intro|standfirst|dek|subtitle|summary|abstract)(?:\Z|[_-])", re.I)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks, and the share of a page's points, with which an element is the page's main part whatever its name.
+MAIN_BLOCKS, MAIN_SHARE = 3, 0.9
 #: How firmly an element is cut: for its whole page's sake only, for what it is, or always.
 OPEN, WEAK, FIRM, ALWAYS = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "inside", "cut", "readers", "near", "all", "chars", "linked", "depth")
+    __slots__ = ("tag", "names", "parent", "inside", "cut", "readers", "near", "all", "chars", "linked", "blocks", "depth")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", cut: int = OPEN):
         self.tag, self.names, self.parent, self.inside, self.cut = tag, names, parent, [], cut
         self.readers = bool(parent and parent.readers) or any(map(READERS.match, names.split()))
-        #: Points of blocks at this element, one and two below it; points, characters and linked characters of all blocks in it.
-        self.near, self.all, self.chars, self.linked = [0.0, 0.0, 0.0], 0.0, 0, 0
+        #: Points of blocks at this element, one and two below it; points, characters, linked characters and number of all blocks in it.
+        self.near, self.all, self.chars, self.linked, self.blocks = [0.0, 0.0, 0.0], 0.0, 0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
     @property
@@ -74,13 +80,17 @@ class Node:
 def _cut(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
     """How firmly an element is cut, and its names."""
     names, role, hidden = "", "", False
+    seen = set()
     for name, value in ATTRIBUTE.findall(attributes):
-        value, name = value.strip("\"'"), name.lower()
+        name, value = name.lower(), value[1:-1] if value[:1] in ("'", '"') else value
+        if name in seen:  # the first of two attributes of a name counts
+            continue
+        seen.add(name)
         if name in ("class", "id"):
             names += " " + value
         elif name == "role":
-            role = value.lower()
-        elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
+            role = value.strip().lower()
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
     if tag in ("html", "body", "article", "main"):
         return OPEN, names
@@ -132,16 +142,16 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if m.start() > at:
             open_.here.inside.append(page[at : m.start()])
         at = m.end()
-        name = m[2] or m[6]
-        if not name or m[4] is not None or m[8] is not None:  # a comment, a declaration, or a tag the end has cut off
+        name = m[2]
+        if not name or m[4] is not None:  # a comment, a declaration, or a tag the end has cut off
             continue
         tag = name.lower()
-        if m[1] or m[5]:
+        if m[1]:
             inner = () if tag in ("table", "article", "body", "html", "main", "div", "section") else ("table", "article")
             if up := open_.find((tag,), inner):
                 open_.leave(up)
             continue
-        attributes = m[3] or m[7] or ""
+        attributes = m[3] or ""
         if tag == "html":
             continue
         if tag in BLOCK and open_.counts.get("p"):
@@ -218,7 +228,7 @@ def _scored(nodes: list[Node], blocks: list[tuple[Node, str, int]], readers: boo
     readers: whether reader comments count."""
     touched = set()
     for n in nodes:
-        n.near, n.all, n.chars, n.linked = [0.0, 0.0, 0.0], 0.0, 0, 0
+        n.near, n.all, n.chars, n.linked, n.blocks = [0.0, 0.0, 0.0], 0.0, 0, 0, 0
     for owner, text, linked in blocks:
         if owner.readers and not readers:
             continue
@@ -227,13 +237,13 @@ def _scored(nodes: list[Node], blocks: list[tuple[Node, str, int]], readers: boo
         inline = owner.tag in ("p", "pre", "blockquote", "td", "dd", "figcaption") or owner.tag[0] == "h"
         n = owner.parent if inline and owner.parent else owner
         n.near[0] += points
-        n.all, n.chars, n.linked = n.all + points, n.chars + len(text), n.linked + linked
+        n.all, n.chars, n.linked, n.blocks = n.all + points, n.chars + len(text), n.linked + linked, n.blocks + (not minor)
         touched.add(id(n))
     for n in reversed(nodes):  # children come after their parents
         if (up := n.parent) and id(n) in touched:
             up.near[1] += n.near[0]
             up.near[2] += n.near[1]
-            up.all, up.chars, up.linked = up.all + n.all, up.chars + n.chars, up.linked + n.linked
+            up.all, up.chars, up.linked, up.blocks = up.all + n.all, up.chars + n.chars, up.linked + n.linked, up.blocks + n.blocks
             touched.add(id(up))
     return touched
 
@@ -244,13 +254,22 @@ def _spare(nodes: list[Node], root: Node) -> None:
     for n in reversed(nodes):
         if n.parent and not n.readers and (n.tag in ("article", "main") or id(n) in holds):
             holds.add(id(n.parent))
-    doubtful = [n for n in nodes if not n.readers and (n.cut == WEAK or n.cut == FIRM and id(n) in holds)]
-    if not doubtful:
-        return
-    _scored(nodes, _blocks(root, ALWAYS), readers=False)
-    for n in doubtful:
-        if root.all and n.all >= root.all / 2:
-            n.cut = OPEN
+    doubtful = [n for n in nodes if not n.readers and n.cut in (WEAK, FIRM)]
+    if doubtful:
+        blocks = _blocks(root, ALWAYS)
+        _scored(nodes, blocks, readers=False)
+        for n in doubtful:
+            share = n.all / root.all if root.all else 0.0
+            whole = share >= MAIN_SHARE and n.blocks >= MAIN_BLOCKS and n.linked < n.chars / 2
+            if share >= 0.5 and (n.cut == WEAK or id(n) in holds) or whole:
+                n.cut = OPEN
+    if any(n.readers and n.cut == FIRM for n in nodes):
+        _scored(nodes, _blocks(root, FIRM), readers=True)
+        if root.all < 1:  # no paragraph lies outside of what is named after readers, so the name is the page's
+            _scored(nodes, _blocks(root, ALWAYS), readers=True)
+            for n in nodes:
+                if n.readers and n.cut == FIRM and n.all >= MAIN_SHARE * root.all and n.blocks >= MAIN_BLOCKS:
+                    n.cut = OPEN
 
 
 def main_text(page: str | None) -> str:
@@ -269,18 +288,22 @@ def main_text(page: str | None) -> str:
     if not touched:
         return ""
     best = max((n for n in nodes if id(n) in touched), key=lambda n: (score(n), -n.depth))
-    up = best
+    enclosing, up = {}, best
     while up:
-        if up.tag == "article":
-            best = up
+        if up.tag in ("article", "main"):
+            enclosing[up.tag] = up
         up = up.parent
-    top, kept = score(best), {id(best)}
+    best = enclosing.get("article") or enclosing.get("main") or best
+    top, kept, before = score(best), {id(best)}, True
     for other in best.parent.inside if best.parent else ():
-        if isinstance(other, Node) and other is not best and id(other) in touched or isinstance(other, Node) and other.tag == "p":
+        if other is best:
+            before = False
+        elif isinstance(other, Node) and not other.cut:
             dense = other.linked / max(other.chars, 1)
-            near = score(other) >= max(10.0, 0.2 * top) and other.tag not in ("ul", "ol")
+            near = id(other) in touched and score(other) >= max(10.0, 0.2 * top) and other.tag not in ("ul", "ol")
             plain = other.tag == "p" and best.tag != "article" and dense < 0.25
-            if not other.cut and (near or plain):
+            opens = before and best.tag not in ("article", "main") and dense < 0.25 and (other.tag in HEADINGS or any(map(LEADS.search, other.names.split())))
+            if near or plain or opens:
                 kept.add(id(other))
     for n in nodes:  # what lies in a kept element is kept
         if n.parent and id(n.parent) in kept:
