@@ -22,7 +22,7 @@ def nndsvd(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return w, h
 
 
-def _sweep(w: np.ndarray, gram: np.ndarray, cross: np.ndarray, l1: float) -> float:
+def sweep(w: np.ndarray, gram: np.ndarray, cross: np.ndarray, l1: float) -> float:
     """One pass of coordinate descent over the columns of ``w``; returns the projected gradient's total."""
     moved = 0.0
     for j in range(w.shape[1]):
@@ -40,9 +40,9 @@ def nmf(x: np.ndarray, k: int, l1: float = 0.0, sweeps: int = 300, tol: float =
     w, h = nndsvd(x, k)
     first = None
     for _ in range(sweeps):
-        moved = _sweep(w, h @ h.T, x @ h.T, l1)
+        moved = sweep(w, h @ h.T, x @ h.T, l1)
         ht = np.ascontiguousarray(h.T)
-        moved += _sweep(ht, w.T @ w, x.T @ w, l1)
+        moved += sweep(ht, w.T @ w, x.T @ w, l1)
         h = ht.T
         first = first or moved
         if not moved or moved <= tol * first:
@@ -55,7 +55,7 @@ def project(x: np.ndarray, h: np.ndarray, l1: float = 0.0, sweeps: int = 200) ->
     w, first = np.zeros((x.shape[0], h.shape[0])), None
     gram, cross = h @ h.T, x @ h.T
     for _ in range(sweeps):
-        moved = _sweep(w, gram, cross, l1)
+        moved = sweep(w, gram, cross, l1)
         first = first or moved
         if not moved or moved <= 1e-4 * first:
             break

@@ -85,9 +85,15 @@ def sequence_lags(slots: int, recent: int = 7, days: int = 6, weeks: int = 3) ->
     return out | {f"week_{k}": k * 7 * slots for k in range(1, weeks + 1)}
 
 
+def within(at: Column, n: int) -> Column:
+    """The position, or an error where it is outside 0..n-1: flow there would be lost without a word."""
+    return F.when(at.between(0, n - 1), at).otherwise(F.raise_error(F.concat(F.lit(f"a position outside 0..{n - 1}: "), at.cast("string"))).cast("int"))
+
+
 def packed_rows(flows: DataFrame, n_slots: int, at: str = "slot_idx") -> DataFrame:
     """One row a pair with its dense series as an array, absent edges zero, pairs numbered in order of (origin, dest)."""
-    m = flows.groupBy("origin", "dest").agg(F.map_from_entries(F.collect_list(F.struct(F.col(at), F.col("flow")))).alias("m"))
+    place = within(F.col(at), n_slots)
+    m = flows.groupBy("origin", "dest").agg(F.map_from_entries(F.collect_list(F.struct(place.alias(at), F.col("flow")))).alias("m"))
     series = F.transform(F.sequence(F.lit(0), F.lit(n_slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     rows = m.select("origin", "dest", series.alias("series"))
     return numbered(rows, ["origin", "dest"], "od_idx").withColumn("od_idx", F.col("od_idx").cast("int"))
@@ -110,8 +116,8 @@ def matrix_diagnostics(flows: DataFrame, n_slots: int) -> DataFrame:
 
 
 def dense_totals(flows: DataFrame, keys: list[str], at: str, n: int) -> DataFrame:
-    """Sums of ``flow`` by ``keys`` and position 0..n-1, with zeros where nothing flowed."""
-    sums = flows.groupBy(*keys, at).agg(F.sum("flow").alias("flow"))
+    """Sums of ``flow`` by ``keys`` and position 0..n-1, with zeros where nothing flowed; other positions raise."""
+    sums = flows.groupBy(*keys, within(F.col(at), n).alias(at)).agg(F.sum("flow").alias("flow"))
     spine = flows.select(*keys).distinct() if keys else flows.sparkSession.range(1).select()
     spine = spine.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return spine.join(sums, [*keys, at], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))

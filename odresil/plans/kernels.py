@@ -10,20 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odresil.config import CATEGORIES, EVENTS
-from odresil.kernels import align, factor, solve, spread
-from odresil.operators import curves, moments
-from odresil.operators.features import flow_context, usable
+from odresil.kernels import backbone, citywide, factor, purpose, shape, solve
+from odresil.operators import curves, factorise, incremental, moments
+from odresil.operators.features import component_filter, flow_context, usable
+from odresil.operators.flows import least_activity
 from odresil.plans import cities
 from odresil.plans.curves import smoothed
 from odresil.plans.registry import query
 from odresil.plans.zones import shares
-from odresil.scratch import written
+from odresil.scratch import folder, written
 from odresil.shipping import ship
 from odresil.sources.testdata import nation_flows
 
 PERIOD, FIT = 42, 45
 NAMES = [*cities.MERGED, "mean_distance", "income", "r0"]
 SWEEPS = 5_000
+#: Rounds of the factorisation in blocks, each a pass over all units; days whose least activity a zone must reach.
+BLOCK_SWEEPS, LEAST_DAYS = 12, 1
 #: Candidate ranks of cross-validation, bounded by a unit's matrix, and its independent masks.
 RANKS, REPEATS = (*range(1, 13), 15, 18, 21, 25, 30, 35, 40), 5
 PENALTIES = np.logspace(-3, 3, 13)
@@ -94,25 +97,90 @@ def nmf_quality(spark, sf_dir):
 
 
 def rank_grid(x: DataFrame) -> DataFrame:
-    """The matrices once for each rank that the unit's allows and each repeat."""
+    """(unit, k, rep): each rank that the unit's matrix allows and each repeat."""
     bound = x.groupBy("unit").agg(F.least(F.count("*"), F.max(F.size("series"))).alias("bound"))
-    ranks = bound.select("unit", "bound", F.explode(F.array(*map(F.lit, RANKS))).alias("k")).where("k <= bound").select("unit", "k")
-    return x.join(ranks, "unit").withColumn("rep", F.explode(F.array(*map(F.lit, range(REPEATS)))))
+    ranks = bound.select("unit", "bound", F.explode(F.array(*map(F.lit, RANKS))).alias("k")).where("k <= bound")
+    return ranks.select("unit", "k", F.explode(F.array(*map(F.lit, range(REPEATS)))).alias("rep"))
+
+
+def rank_errors(x: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """((unit, k, rep, error), how many were fitted): held-out errors, read from the results at ``path`` where these are of
+    the same matrix and settings.  Every missing (unit, k, rep) is a task of its own; the same seeds serve every k."""
+    parallel = 4 * x.sparkSession.sparkContext.defaultParallelism
+    digests = incremental.digest_of(x, ["unit"], ["origin", "dest", "series"], "l1=0.1", "seed=42", "share=0.1", "rounds=12", "sweeps=120")
+    wanted = rank_grid(x).join(digests, "unit")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                _, m = dense(pd.DataFrame([{"origin": p["origin"], "dest": p["dest"], "series": p["series"]} for p in r.rows]))
+                error = factor.masked_error(m, int(r.k), 42 + int(r.rep), l1=0.1)
+                yield pd.DataFrame([(r.unit, r.k, r.rep, r.digest, error)], columns=["unit", "k", "rep", "digest", "error"])
+
+    def fit(missing):
+        packed = x.groupBy("unit").agg(F.collect_list(F.struct("origin", "dest", "series")).alias("rows"))  # a matrix a row
+        return missing.join(packed, "unit").repartition(parallel, "unit", "k", "rep").mapInPandas(run, schema)
+
+    schema = "unit long, k int, rep int, digest string, error double"
+    rows, n = incremental.completed(wanted, ["unit", "k", "rep", "digest"], path, schema, fit)
+    return rows.select("unit", "k", "rep", "error"), n
+
+
+def rank_table(spark, sf_dir) -> DataFrame:
+    """(unit, k, mean, sd) over the repeats; what earlier runs have fitted is read from the shared folder."""
+    x = written(matrices(spark, sf_dir), "matrices")
+    cv, _ = rank_errors(x, f"{folder(spark)}/odresil-rank-errors")
+    return cv.groupBy("unit", "k").agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"))
 
 
 @query()
 def rank_cv(spark, sf_dir):
-    """Every (unit, k, repeat) is a task of its own; the same seeds serve every k."""
-    # dealt out by number, so that small rows of long tasks are not put together again
-    grid = rank_grid(matrices(spark, sf_dir)).repartition(4 * spark.sparkContext.defaultParallelism, "unit", "k", "rep")
+    return rank_table(spark, sf_dir)
+
+
+@query()
+def rank_report(spark, sf_dir):
+    """(unit, best, lo_1se, hi_1se, ...): the rank of least error of each unit, and the ranks that are about as good."""
+    return incremental.bands(rank_table(spark, sf_dir), ["unit"], n=REPEATS)
+
+
+@query()
+def nmf_block_factors(spark, sf_dir):
+    """What ``nmf_cd`` gives, from factors that are never in one task: for units of any number of pairs."""
+    x = written(matrices(spark, sf_dir), "matrices")
+    first = x.select(F.size("series").alias("slots")).limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "unit long, component int, w_sum double, h_sum double")
+    w, h = factorise.nmf_blocks(x, first[0].slots, 3, l1=0.1, sweeps=BLOCK_SWEEPS, buckets=4)
+    sums = factorise.weights(w, 3).groupBy("unit", "component").agg(F.sum("value").alias("w_sum"))
+    return sums.join(factorise.loadings(h, 3).groupBy("unit", "component").agg(F.sum("value").alias("h_sum")), ["unit", "component"])
+
+
+@query()
+def unit_decomposition(spark, sf_dir):
+    """(unit, component, weight, share_k, top_flow, kept, new_component): a unit's zones filtered, its matrix factored, its
+    factors scaled, its components gated."""
+    x = written(matrices(spark, sf_dir), "matrices")
+    total = F.aggregate("series", F.lit(0.0), lambda a, v: a + v)
+    flows = x.select("unit", "origin", "dest", total.alias("flow"))
+    ends = flows.select("unit", F.col("origin").alias("zone"), "flow").unionAll(flows.select("unit", "dest", "flow"))
+    active = ends.groupBy("unit", "zone").agg(F.sum("flow").alias("total")).where(F.col("total") >= least_activity(LEAST_DAYS, 1.0)).select("unit", "zone")
+    kept = x.join(active.withColumnRenamed("zone", "origin"), ["unit", "origin"], "left_semi")
+    kept = kept.join(active.withColumnRenamed("zone", "dest"), ["unit", "dest"], "left_semi").where(total > 0)
 
     def run(pdf):
-        k, rep = int(pdf.k.iloc[0]), int(pdf.rep.iloc[0])
-        pdf, x = dense(pdf)
-        return pd.DataFrame([(int(pdf.unit[0]), k, rep, factor.masked_error(x, k, 42 + rep, l1=0.1))], columns=["unit", "k", "rep", "error"])
+        pdf, m = dense(pdf)
+        k = min(6, *m.shape)
+        w, h = factor.nmf(m, k, l1=0.1, sweeps=SWEEPS)
+        rows = [(int(pdf.unit[0]), -1, -1, j, "w", float((w[:, j] ** 2).sum())) for j in range(k)]
+        rows += [(int(pdf.unit[0]), int(o), int(d), j, "h", float(h[j, i])) for i, (o, d) in enumerate(zip(pdf.origin, pdf.dest)) for j in range(k)]
+        return pd.DataFrame(rows, columns=["unit", "origin", "dest", "component", "part", "value"])
 
-    cv = grid.groupBy("unit", "k", "rep").applyInPandas(run, "unit long, k int, rep int, error double")
-    return cv.groupBy("unit", "k").agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"))
+    parts = written(kept.groupBy("unit").applyInPandas(run, "unit long, origin long, dest long, component int, part string, value double"), "factors")
+    length = parts.where("part = 'w'").select("unit", "component", F.sqrt("value").alias("length"))
+    scaled = parts.where("part = 'h'").join(length, ["unit", "component"]).withColumn("value", F.col("value") * F.when(F.col("length") > 0, F.col("length")).otherwise(1.0))
+    weight = scaled.groupBy("unit", "component").agg(F.sum("value").alias("weight"))
+    return component_filter(scaled.select("unit", "component", "value"), weight, ["unit"])
 
 
 def component_table(spark, sf_dir) -> DataFrame:
@@ -237,6 +305,8 @@ def city_total(spark, sf_dir):
 GRID = np.linspace(0.0005, 0.9995, 2000)
 WIDTHS, WEIGHTS = (0.25, 0.40), (0.0, 1.0, 10.0, 100.0)
 CURVE_DAYS = np.arange(6.0)
+#: Gap in days up to which a city's loss counts as met.
+TOLERANCE = 1e-5
 
 
 def by_unit(pdf: pd.DataFrame) -> dict[int, pd.DataFrame]:
@@ -249,7 +319,7 @@ def pooled_alpha(frames: dict[int, pd.DataFrame], units) -> float:
     r0 = np.concatenate([frames[u].r0 for u in units])
     loss = np.concatenate([frames[u].target for u in units])
     ok = r0 > 1e-6
-    return float(min(rates, key=lambda a: ((spread.backbone_loss(r0[ok], a, CURVE_DAYS) - loss[ok]) ** 2).sum()))
+    return float(min(rates, key=lambda a: ((backbone.losses(r0[ok], a, CURVE_DAYS) - loss[ok]) ** 2).sum()))
 
 
 def spread_scale(pdf: pd.DataFrame) -> tuple[float, float, dict]:
@@ -257,11 +327,11 @@ def spread_scale(pdf: pd.DataFrame) -> tuple[float, float, dict]:
     frames, held = by_unit(pdf), int(pdf.held.iloc[0])
     rest = [u for u in frames if u != held]
     alpha = pooled_alpha(frames, rest)
-    backbone = {u: spread.backbone_spread(p.r0.to_numpy(float), alpha, CURVE_DAYS) for u, p in frames.items()}
-    known = [backbone[u] for u in rest if np.isfinite(backbone[u]) and backbone[u] > 0]
-    base = backbone[held] / np.mean(known) if known and np.isfinite(backbone[held]) else 1.0
-    units = {u: spread.unit(p[cities.MERGED].to_numpy(float), p.target.to_numpy(float) if u != held else None) for u, p in frames.items()}
-    factor, how = spread.multiplier(held, {u: x for u, x in units.items() if x is not None}, backbone, GRID, WIDTHS, WEIGHTS)
+    deviation = {u: backbone.deviation(p.r0.to_numpy(float), alpha, CURVE_DAYS) for u, p in frames.items()}
+    known = [deviation[u] for u in rest if np.isfinite(deviation[u]) and deviation[u] > 0]
+    base = deviation[held] / np.mean(known) if known and np.isfinite(deviation[held]) else 1.0
+    units = {u: (p[cities.MERGED].to_numpy(float), p.target.to_numpy(float) if u != held else None) for u, p in frames.items()}
+    factor, how = purpose.multiplier(held, units, deviation, GRID, WIDTHS, WEIGHTS)
     return float(base), factor, how
 
 
@@ -279,21 +349,21 @@ def predicted_shape(pdf: pd.DataFrame, score: np.ndarray) -> tuple[np.ndarray, s
     frames, held = by_unit(pdf), int(pdf.held.iloc[0])
     losses = {u: p.target.to_numpy(float) for u, p in frames.items() if u != held}
     r0 = {u: p.r0.to_numpy(float) for u, p in frames.items()}
-    out, why = spread.two_mode_shape(losses, r0, lambda units: pooled_alpha(frames, units), CURVE_DAYS, held, score)
-    if out is None:
+    try:
+        return shape.predicted(losses, r0, lambda units: pooled_alpha(frames, units), CURVE_DAYS, held, score), ""
+    except shape.NoShape as why:
         mean = np.mean([np.quantile(v, GRID) - v.mean() for v in losses.values()], axis=0)
         place = np.empty(len(score))
         place[np.argsort(score, kind="stable")] = (np.arange(len(score)) + 0.5) / len(score)
-        out = np.interp(place, GRID, mean)
-    return out, why
+        return np.interp(place, GRID, mean), str(why)
 
 
 @query()
 def shape_modes(spark, sf_dir):
     def run(pdf):
         pdf, held, score = rank_scores(pdf)
-        shape, why = predicted_shape(pdf, score[held])
-        return pd.DataFrame({"held": pdf.held[held], "component": pdf.component[held], "value": shape, "fallback": why})
+        value, why = predicted_shape(pdf, score[held])
+        return pd.DataFrame({"held": pdf.held[held], "component": pdf.component[held], "value": value, "fallback": why})
 
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, component long, value double, fallback string")
 
@@ -331,20 +401,27 @@ def joint_curve(spark, sf_dir):
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, component long, day int, r double")
 
 
-def aligned(m: pd.DataFrame) -> align.Alignment:
-    """One shift of all losses so that the weighted curves lose the unit's total; baselines of one for every period."""
-    w = m.weight.to_numpy() / m.weight.sum()
+def city_of(m: pd.DataFrame) -> citywide.City:
+    """The held unit's baselines: each component's flow in a normal period, and the flow of all its components, those that
+    the gate dropped too."""
+    base = m.weight.to_numpy(float) / cities.NORMAL
+    own = float((m.weight / m.weight_normal).mean()) / cities.NORMAL
+    return citywide.City(np.tile(base, (len(CURVE_DAYS), 1)), np.ones(len(m)), np.full(len(CURVE_DAYS), own))
+
+
+def aligned(m: pd.DataFrame) -> tuple[citywide.City, citywide.Shift, citywide.Shift]:
+    """The city, and its losses before and after the shift that makes its curve lose the unit's predicted total."""
+    city = city_of(m)
     decode = lambda losses: np.array([decoded(v, r) for v, r in zip(losses, m.r0)]).T
-    days = len(CURVE_DAYS)
-    return align.align(m.loss.to_numpy(float), float(m.total.iloc[0]), np.ones((days, len(m))), w, np.ones(days), decode)
+    return city, *citywide.nearest_shift(m.loss.to_numpy(float), float(m.total.iloc[0]), city, decode, TOLERANCE)
 
 
 @query()
 def align_city_loss(spark, sf_dir):
     def run(pdf):
         m = mapped(pdf)
-        a = aligned(m)
-        return pd.DataFrame([(int(m.held[0]), a.shift, a.initial_gap, a.gap, a.aligned)], columns=["held", "shift", "initial_gap", "residual", "ok"])
+        _, still, moved = aligned(m)
+        return pd.DataFrame([(int(m.held[0]), moved.by, still.gap, moved.gap, abs(moved.gap) <= TOLERANCE)], columns=["held", "shift", "initial_gap", "residual", "ok"])
 
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, shift double, initial_gap double, residual double, ok boolean")
 
@@ -355,8 +432,9 @@ def curve_forecast(spark, sf_dir):
 
     def run(pdf):
         m = mapped(pdf)
-        city = aligned(m).curves @ (m.weight.to_numpy() / m.weight.sum())
-        return pd.DataFrame({"held": int(m.held[0]), "day": np.arange(len(city), dtype=np.int32), "r_city": city})
+        city, _, moved = aligned(m)
+        curve = (moved.curves * city.base) @ city.loading / city.own
+        return pd.DataFrame({"held": int(m.held[0]), "day": np.arange(len(curve), dtype=np.int32), "r_city": curve})
 
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, day int, r_city double")
 

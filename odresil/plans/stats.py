@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from odresil.config import EVENTS as W
-from odresil.operators import stats
+from odresil.operators import incremental, stats
 from odresil.operators.curves import comparison, is_weekday
 from odresil.operators.impact import METHODS, impact_period
 from odresil.plans.curves import DAILY, KEYS, SMOOTH, daily, rounded, smoothed
@@ -132,14 +132,17 @@ def weighted_quantile(spark, sf_dir):
 
 @query("""WITH cv AS (SELECT o_orderpriority AS unit, o_custkey % 8 + 2 AS k, (o_orderkey % 5)::INT AS rep, avg(o_totalprice) / 100000 AS err FROM orders GROUP BY 1, 2, 3),
 m AS (SELECT unit, k, avg(err) AS mean, stddev_samp(err) AS sd FROM cv GROUP BY 1, 2),
-b AS (SELECT unit, k AS k_min, mean + sd / sqrt(5) AS tol FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY mean, k) AS i FROM m) WHERE i = 1)
-SELECT unit, k_min::BIGINT AS k_min, min(k) FILTER (mean <= tol) AS k_lo, max(k) FILTER (mean <= tol) AS k_hi FROM m JOIN b USING (unit) GROUP BY 1, 2""")
+b AS (SELECT unit, k AS best, mean AS least, sd AS dev FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY mean, k) AS i FROM m) WHERE i = 1)
+SELECT unit, best::BIGINT AS k_min, min(k) FILTER (mean <= least + dev / sqrt(5)) AS k_lo, max(k) FILTER (mean <= least + dev / sqrt(5)) AS k_hi,
+  min(k) FILTER (mean <= least + 2 * dev / sqrt(5)) AS lo_2se, max(k) FILTER (mean <= least + 2 * dev / sqrt(5)) AS hi_2se,
+  min(k) FILTER (mean <= least + 2 * dev) AS lo_2sd, max(k) FILTER (mean <= least + 2 * dev) AS hi_2sd
+FROM m JOIN b USING (unit) GROUP BY 1, 2""")
 def rank_cv_bands(spark, sf_dir):
+    """Bands around the best k by one and two standard errors and by two deviations."""
     o = table(spark, sf_dir, "orders")
     cv = o.groupBy(F.col("o_orderpriority").alias("unit"), (F.col("o_custkey") % 8 + 2).alias("k"), (F.col("o_orderkey") % 5).alias("rep")).agg((F.avg("o_totalprice") / 100000).alias("err"))
     m = cv.groupBy("unit", "k").agg(F.avg("err").alias("mean"), F.stddev_samp("err").alias("sd"))
-    best = m.groupBy("unit").agg(F.min(F.struct("mean", "k", "sd")).alias("b")).select("unit", F.col("b.k").alias("k_min"), (F.col("b.mean") + F.col("b.sd") / F.sqrt(F.lit(5.0))).alias("tol"))
-    return m.join(best, "unit").where("mean <= tol").groupBy("unit", "k_min").agg(F.min("k").alias("k_lo"), F.max("k").alias("k_hi"))
+    return incremental.bands(m, ["unit"], n=5).withColumnsRenamed({"best": "k_min", "lo_1se": "k_lo", "hi_1se": "k_hi"})
 
 
 @query(f"WITH {CUSTOMERS}, u AS (SELECT unit FROM cu GROUP BY 1 HAVING count(*) >= 2) SELECT id, unit, round(x - avg(x) OVER (PARTITION BY unit), 6) AS centred FROM cu SEMI JOIN u USING (unit)")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from odresil.config import EVENTS as W
-from odresil.kernels import baseline, factor, solve, spread
+from odresil.kernels import baseline, factor, solve
 from odresil.operators.flows import dense_totals
 from odresil.plans import cities
 from odresil.plans.kernels import CURVE_DAYS, NAMES, by_unit, component_table, dense, folds, matrices, pooled_alpha, rho

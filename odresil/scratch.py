@@ -24,7 +24,17 @@ def folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    if not _paths:
+        atexit.register(_clean)
+    path = f"{folder(spark)}/odresil-{name}-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what was written under ``path``."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -32,7 +42,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, path in _paths:
         with contextlib.suppress(Exception):  # the session may be gone already
-            _remove(spark, path)
+            remove(spark, path)
         if path.startswith("file://"):
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
@@ -42,9 +52,6 @@ def written(rows: DataFrame, name: str) -> DataFrame:
 
     The table goes when the driver ends."""
     spark = rows.sparkSession
-    if not _paths:
-        atexit.register(_clean)
-    path = f"{folder(spark)}/odresil-{name}-{uuid.uuid4().hex}"
-    _paths.append((spark, path))
+    path = new_path(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

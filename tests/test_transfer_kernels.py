@@ -1,11 +1,11 @@
-"""Spread, shape and alignment kernels: held-out guards, known answers and failure cases."""
+"""Purpose spread, shape and city-wide shift: held-out guards, known answers and failure cases."""
 
 import math
 
 import numpy as np
 import pytest
 
-from odresil.kernels import align, baseline, factor, solve, spread
+from odresil.kernels import backbone, baseline, citywide, factor, purpose, shape, solve
 
 
 def units(n=6, seed=17, size=(5, 11)):
@@ -15,91 +15,120 @@ def units(n=6, seed=17, size=(5, 11)):
     return shares, losses
 
 
-def test_unit_features():
+def entries(shares, losses):
+    return {k: (shares[k], losses.get(k)) for k in shares}
+
+
+def design(shares, losses):
+    """Centred products and losses of units one after another, with weights by which every unit counts the same."""
+    x, y, w = [], [], []
+    for k in losses:
+        i, j = np.triu_indices(6, 1)
+        p = shares[k][:, i] * shares[k][:, j]
+        x.append(p - p.mean(0))
+        y.append(losses[k] - losses[k].mean())
+        w.append(np.full(len(p), sum(map(len, losses.values())) / len(losses) / len(p)))
+    return map(np.concatenate, (x, y, w))
+
+
+def test_moments():
     shares, losses = units()
-    u = spread.unit(shares[0], losses[0])
-    assert u.products.shape == (len(shares[0]), 15) and np.allclose(u.products.mean(0), 0)
-    assert np.allclose(u.variances, np.log(np.mean((shares[0] - shares[0].mean(0)) ** 2, axis=0) + 1e-12))
-    assert u.losses.mean() == pytest.approx(0)
-    assert spread.unit(shares[0][:2], losses[0][:2]) is None
-    bad = shares[0].copy()
-    bad[1, 2] = np.nan
-    assert spread.unit(bad, losses[0]) is None and spread.unit(shares[0], losses[0] * np.nan).losses is None
-
-
-def test_every_unit_counts_the_same():
-    """A unit written twice as long says nothing more."""
-    shares, losses = units(3)
-    one = [spread.unit(shares[k], losses[k]) for k in range(3)]
-    doubled = [*one[:2], spread.unit(np.tile(shares[2], (2, 1)), np.tile(losses[2], 2))]
-    a, b = spread._paths(one), spread._paths(doubled)
-    rows = [sum(len(u.losses) for u in x) for x in (one, doubled)]
-    assert rows[0] != rows[1] and np.allclose(a[0], b[0], rtol=0.2)  # the least penalty weighs next to nothing
+    bad = {**shares, 7: shares[0][:2], 8: np.where(np.arange(6) == 2, np.nan, shares[0])}
+    m = purpose.moments(entries(bad, {**losses, 1: losses[1] * np.nan, 2: None}))
+    assert m.names == [0, 1, 2, 3, 4, 5] and m.known.tolist() == [True, False, False, True, True, True]
+    assert np.allclose(m.log_variance[0], np.log(np.mean((shares[0] - shares[0].mean(0)) ** 2, axis=0) + 1e-12))
+    assert purpose.moments({}).names == []
+
+
+def test_rules_equal_a_weighted_ridge_over_rows():
+    shares, losses = units(5)
+    m = purpose.moments(entries(shares, losses))
+    got = purpose.rules(m, np.ones(5, bool))
+    x, y, w = design(shares, losses)
+    size = np.sqrt((w[:, None] * x**2).sum(0) / w.sum())
+    for penalty, beta in zip(purpose.PENALTIES, got):
+        z = x / size
+        want = np.linalg.solve((z * w[:, None]).T @ z + penalty * np.eye(15), (z * w[:, None]).T @ y) / size
+        assert np.allclose(beta, want, rtol=1e-6, atol=1e-8)
+
+
+def test_the_penalty_predicts_left_out_units_best():
+    shares, losses = units(5)
+    m = purpose.moments(entries(shares, losses))
+    error = np.zeros(13)
+    for k in range(5):
+        beta = purpose.rules(m, np.arange(5) != k)
+        (x, y, _) = design({k: shares[k]}, {k: losses[k]})
+        error += ((y[:, None] - x @ beta.T) ** 2).mean(0)
+    assert purpose.rule(m, np.ones(5, bool))[1] == purpose.PENALTIES[error.argmin()]
 
 
 def test_inputs_leave_the_unit_out():
     shares, losses = units()
-    full = {k: spread.unit(shares[k], losses[k]) for k in shares}
-    train = {k: u for k, u in full.items() if k != 0}
-    base = spread.inputs(train, 0, full[0])
-    assert all(v.shape == (7,) for v in base.values())
-    other = dict(train)
-    other[3] = spread.unit(shares[3], losses[3][::-1] * 5)
-    moved = spread.inputs(other, 0, full[0])
+    use = np.arange(6) != 0
+    base = purpose.inputs(purpose.moments(entries(shares, losses)), use, 0)
+    assert base.shape == (6, 7) and np.isfinite(base).all()
+    moved = purpose.inputs(purpose.moments(entries(shares, {**losses, 3: losses[3][::-1] * 5})), use, 0)
     assert np.allclose(base[3], moved[3])  # its own losses do not shape its own input
     assert not np.allclose(base[0], moved[0]) and not np.allclose(base[1], moved[1])
-    hidden = spread.inputs(train, 0, spread.unit(shares[0], None))
+    hidden = purpose.inputs(purpose.moments(entries(shares, {k: v for k, v in losses.items() if k})), use, 0)
     assert np.allclose(base[0], hidden[0])
     with pytest.raises(ValueError):
-        spread.inputs(full, 0, full[0])
+        purpose.inputs(purpose.moments(entries(shares, losses)), np.ones(6, bool), 0)
 
 
 def test_multiplier():
     shares, losses = units(5)
     grid = np.linspace(0.01, 0.99, 60)
-    full = {k: spread.unit(shares[k], losses[k] if k else None) for k in shares}
-    backbone = {k: 0.5 + 0.1 * k for k in full}
-    factor, how = spread.multiplier(0, full, backbone, grid, (0.4,), (0.0, 100.0))
+    full = entries(shares, {k: v for k, v in losses.items() if k})
+    deviation = {k: 0.5 + 0.1 * k for k in full}
+    factor, how = purpose.multiplier(0, full, deviation, grid, (0.4,), (0.0, 100.0))
     assert factor > 0 and math.isfinite(factor) and how["penalty"] in (0.0, 100.0) and len(how["effects"]) == 7
-    few = {k: full[k] for k in (0, 1, 2, 3)}
-    assert spread.multiplier(0, few, backbone, grid, (0.4,), (0.0,))[0] == 1.0
-    assert spread.multiplier(9, full, backbone, grid, (0.4,), (0.0,))[0] == 1.0
-    assert spread.multiplier(0, full, {**backbone, 1: float("nan")}, grid, (0.4,), (0.0,))[1]["fallback"]
+    assert purpose.multiplier(0, entries(shares, losses), deviation, grid, (0.4,), (0.0, 100.0)) == (factor, how)  # its losses are never read
+    assert purpose.multiplier(0, {k: full[k] for k in (0, 1, 2, 3)}, deviation, grid, (0.4,), (0.0,))[0] == 1.0
+    assert purpose.multiplier(9, full, deviation, grid, (0.4,), (0.0,))[0] == 1.0
+    assert purpose.multiplier(0, full, {**deviation, 1: float("nan")}, grid, (0.4,), (0.0,))[1]["fallback"]
 
 
-def test_backbone_spread():
+def test_backbone():
     days = np.arange(4.0)
-    loss = spread.backbone_loss(np.array([0.5, np.nan, 1.0, 0.0]), 0.7, days)
-    assert loss[0] == pytest.approx(sum(1 - 1 / (1 + math.exp(-0.7 * d)) for d in range(4))) and loss[1] == pytest.approx(0)
-    assert spread.backbone_spread(np.array([0.5, 1.0]), 0.7, days) == pytest.approx(loss[0] / 2)
-    assert math.isnan(spread.backbone_spread(np.array([0.5]), 0.7, days))
+    loss = backbone.losses(np.array([0.5, np.nan, 1.0, 0.0]), 0.7, days)
+    assert loss[0] == pytest.approx(sum(1 - 1 / (1 + math.exp(-0.7 * d)) for d in range(4))) and loss[1] == pytest.approx(0) and len(loss) == 2
+    assert backbone.deviation(np.array([0.5, 1.0]), 0.7, days) == pytest.approx(loss[0] / 2)
+    assert math.isnan(backbone.deviation(np.array([0.5]), 0.7, days))
 
 
-def test_two_mode_shape():
+def test_predicted_shape():
     rng = np.random.default_rng(5)
     sizes = (5, 6, 7, 8, 6)
     losses = {k: rng.gamma(2, 1, n) for k, n in enumerate(sizes)}
     r0 = {k: rng.uniform(0.2, 0.9, n) for k, n in enumerate(sizes)} | {9: rng.uniform(0.2, 0.9, 4)}
     score = np.array([0.3, -1.0, 2.0, 0.3])
-    shape, why = spread.two_mode_shape(losses, r0, lambda u: 0.4, np.arange(6.0), 9, score)
-    assert why == "" and len(shape) == 4
-    assert shape[1] <= shape[0] <= shape[3] <= shape[2]  # in the order of the scores, ties in their own
-    again, _ = spread.two_mode_shape({**losses, 9: np.full(4, 99.0)}, r0, lambda u: 0.4, np.arange(6.0), 9, score)
-    assert np.array_equal(shape, again)  # the held unit's losses are never read
-    none, why = spread.two_mode_shape({k: losses[k] for k in (0, 1, 2)}, r0, lambda u: 0.4, np.arange(6.0), 9, score)
-    assert none is None and why == "too few training units"
-    flat, why = spread.two_mode_shape({**losses, 2: np.ones(7)}, r0, lambda u: 0.4, np.arange(6.0), 9, score)
-    assert flat is None and "degenerate" in why
+    guess = lambda known: shape.predicted(known, r0, lambda u: 0.4, np.arange(6.0), 9, score)
+    found = guess(losses)
+    assert len(found) == 4 and found[1] <= found[0] <= found[3] <= found[2]  # in the order of the scores, ties in their own
+    assert np.array_equal(found, guess({**losses, 9: np.full(4, 99.0)}))  # the held unit's losses are never read
+    with pytest.raises(shape.NoShape, match="fewer than 4"):
+        guess({k: losses[k] for k in (0, 1, 2)})
+    with pytest.raises(shape.NoShape, match="without spread"):
+        guess({**losses, 2: np.ones(7)})
+    with pytest.raises(shape.NoShape, match="backbone"):
+        shape.predicted(losses, {**r0, 9: np.array([0.0, np.nan])}, lambda u: 0.4, np.arange(6.0), 9, score)
 
 
-def test_shape_grid_and_cells():
-    edges, weights, mid = spread.shape_grid([2, 3])
-    assert edges == pytest.approx([0, 1 / 3, 1 / 2, 2 / 3, 1]) and weights.sum() == pytest.approx(1)
-    assert spread.step_quantile(np.array([5.0, 1.0]), mid).tolist() == [1, 1, 5, 5]
-    assert spread.rank_cells(np.array([3.0, 1.0, 2.0, 2.0]), np.array([0, 0.25, 0.5, 0.75, 1])).tolist() == [3, 0, 1, 2]
+def test_steps_and_cells():
+    edges = shape.partition([2, 3])
+    assert edges == pytest.approx([0, 1 / 3, 1 / 2, 2 / 3, 1])
+    m = shape.overlaps(2, edges)
+    assert m.sum(1) == pytest.approx([0.5, 0.5]) and m.sum(0) == pytest.approx(np.diff(edges))
+    assert np.array([1.0, 5.0]) @ m / np.diff(edges) == pytest.approx([1, 1, 5, 5])
+    other = shape.overlaps(4, edges)  # steps that the partition does not refine
+    assert other.sum(0) == pytest.approx(np.diff(edges)) and other[1] == pytest.approx([1 / 3 - 1 / 4, 1 / 2 - 1 / 3, 0, 0])
+    assert shape.cells(np.array([3.0, 1.0, 2.0, 2.0]), np.array([0, 0.25, 0.5, 0.75, 1])).tolist() == [3, 0, 1, 2]
 
 
-LOSS, BASE, LOADING, CITY = np.array([0.6, 0.2]), np.array([[8.0, 3.0], [7.0, 4.0], [9.0, 2.0]]), np.array([0.7, 1.4]), np.array([11.0, 12.0, 10.0])
+LOSS, BASE, LOADING, OWN = np.array([0.6, 0.2]), np.array([[8.0, 3.0], [7.0, 4.0], [9.0, 2.0]]), np.array([0.7, 1.4]), np.array([11.0, 12.0, 10.0])
+CITY = citywide.City(BASE, LOADING, OWN)
 
 
 def flat(losses):
@@ -107,49 +136,53 @@ def flat(losses):
     return 1 - np.tile(losses / 3, (3, 1))
 
 
-def lost(shift):
-    return float((1 - (flat(LOSS + shift) * BASE) @ LOADING / CITY).sum())
+def lost(by):
+    return float((1 - (flat(LOSS + by) * BASE) @ LOADING / OWN).sum())
 
 
-def test_alignment_reaches_a_feasible_total():
+@pytest.mark.parametrize("by", [0.45, -0.45, 3.0, -90.0, 200.0, 1.0])
+def test_a_feasible_total_is_met(by):
     before = LOSS.copy()
-    a = align.align(LOSS, lost(0.45), BASE, LOADING, CITY, flat)
-    assert a.aligned and a.shift == pytest.approx(0.45, abs=1e-5) and np.array_equal(before, LOSS)
-    assert a.initial_gap == pytest.approx(lost(0) - lost(0.45))
-    far = align.align(LOSS, lost(-90.0), BASE, LOADING, CITY, flat)
-    assert far.aligned and far.shift == pytest.approx(-90, abs=1e-3)  # three digits after several doublings
+    still, moved = citywide.nearest_shift(LOSS, lost(by), CITY, flat)
+    assert abs(moved.gap) <= 1e-5 and moved.by == pytest.approx(by, abs=1e-4) and np.array_equal(before, LOSS)
+    assert still.gap == pytest.approx(lost(0) - lost(by)) and np.allclose(moved.curves, flat(LOSS + moved.by))
 
 
-def test_alignment_leaves_what_fits():
+def test_what_fits_is_left():
     calls = []
-    a = align.align(LOSS, lost(0.0), BASE, LOADING, CITY, lambda x: (calls.append(1), flat(x))[1])
-    assert a.aligned and a.shift == 0 and len(calls) == 1
+    still, moved = citywide.nearest_shift(LOSS, lost(0.0), CITY, lambda x: (calls.append(1), flat(x))[1])
+    assert moved is still and moved.by == 0 and len(calls) == 1
 
 
 def test_infeasible_total_keeps_the_best():
     bounded = lambda x: flat(np.clip(x, 0.1, 0.9))
-    a = align.align(LOSS, 50.0, BASE, LOADING, CITY, bounded)
-    assert not a.aligned and abs(a.gap) <= abs(a.initial_gap)
-    best = float((1 - (flat(np.array([0.9, 0.9])) * BASE) @ LOADING / CITY).sum()) - 50
-    assert a.gap == pytest.approx(best, abs=1e-6)
+    still, moved = citywide.nearest_shift(LOSS, 50.0, CITY, bounded)
+    best = float((1 - (flat(np.array([0.9, 0.9])) * BASE) @ LOADING / OWN).sum()) - 50
+    assert abs(moved.gap) <= abs(still.gap) and moved.gap == pytest.approx(best, abs=1e-6)
+    # a least gap between the points of the grid is found
+    bent = lambda x: flat(np.array([1.0, 1.0]) * (x[0] - 7.3) ** 2)
+    assert citywide.nearest_shift(LOSS, lost(0) - 100, CITY, bent)[1].by == pytest.approx(6.7, abs=1e-3)
 
 
 @pytest.mark.parametrize(
     "change",
     [
         {"wanted": float("nan")},
-        {"city": np.array([11.0, 0.0, 10.0])},
+        {"own": np.array([11.0, 0.0, 10.0])},
         {"loading": -LOADING},
         {"base": BASE[:2]},
         {"losses": np.array([0.6, np.inf])},
+        {"losses": np.array([0.6])},
         {"tolerance": 0.0},
         {"decode": lambda x: np.full((3, 2), np.nan)},
+        {"decode": lambda x: np.ones((2, 2))},
     ],
 )
-def test_alignment_checks_its_inputs(change):
-    given = {"losses": LOSS, "wanted": 1.0, "base": BASE, "loading": LOADING, "city": CITY, "decode": flat} | change
+def test_shifts_check_their_inputs(change):
+    given = {"losses": LOSS, "wanted": 1.0, "base": BASE, "loading": LOADING, "own": OWN, "decode": flat, "tolerance": 1e-5} | change
     with pytest.raises(ValueError):
-        align.align(**given)
+        city = citywide.City(given["base"], given["loading"], given["own"])
+        citywide.nearest_shift(given["losses"], given["wanted"], city, given["decode"], given["tolerance"])
 
 
 @pytest.mark.parametrize("r,n,p", [(0.0, 10, 1.0), (0.5, 12, 0.0978), (-0.8, 8, 0.01713), (0.95, 5, 0.01334), (1.0, 4, 0.0)])
