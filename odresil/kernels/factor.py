@@ -33,7 +33,7 @@ def sweep(w: np.ndarray, gram: np.ndarray, cross: np.ndarray, l1: float) -> floa
     return moved
 
 
-def nmf(x: np.ndarray, k: int, l1: float = 0.0, sweeps: int = 300, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def nmf(x: np.ndarray, k: int, l1: float = 0.0, sweeps: int = 5000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Coordinate descent from ``nndsvd``, until the gradient is ``tol`` of the first one."""
     if k > min(x.shape):
         raise ValueError("more components than rows or columns")
@@ -50,7 +50,7 @@ def nmf(x: np.ndarray, k: int, l1: float = 0.0, sweeps: int = 300, tol: float =
     return w, h
 
 
-def project(x: np.ndarray, h: np.ndarray, l1: float = 0.0, sweeps: int = 200) -> np.ndarray:
+def project(x: np.ndarray, h: np.ndarray, l1: float = 0.0, sweeps: int = 5000) -> np.ndarray:
     """The rows' weights under fixed ``h``, from zero."""
     w, first = np.zeros((x.shape[0], h.shape[0])), None
     gram, cross = h @ h.T, x @ h.T
@@ -77,7 +77,7 @@ def project_multiplicative(x: np.ndarray, h: np.ndarray, l1: float = 0.0, steps:
     return w
 
 
-def nmf_context(x: np.ndarray, y: np.ndarray, mask: np.ndarray, k: int, strength: float = 1.0, l1: float = 0.0, steps: int = 300, seed: int = 42):
+def nmf_context(x: np.ndarray, y: np.ndarray, mask: np.ndarray, k: int, strength: float = 1.0, l1: float = 0.0, steps: int = 5000, seed: int = 42):
     """Multiplicative updates of G, H, W for x ~ WH and, on the masked pairs, y ~ (G'H)'; y: [pairs, context].
 
     The context's weight is scaled to the matrices' sizes; checked every ten steps."""

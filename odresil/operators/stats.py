@@ -76,7 +76,9 @@ PAIRED_ROWS = 5_000
 def cosine_knn(train: DataFrame, test: DataFrame, leave_one_out: bool = False) -> DataFrame:
     """(id, pred): mean of the training labels weighted by clipped cosine; the plain mean where all weights are zero.
 
-    train: (id, v array, y); test: (id, v array).  A training side of more than ``PAIRED_ROWS`` rows goes by blocks."""
+    train: (id, v array, y); test: (id, v array).  Training rows without a label or a vector are left out; a test row without
+    a vector gets the plain mean.  A training side of more than ``PAIRED_ROWS`` rows goes by blocks."""
+    train = train.where(F.col("y").isNotNull() & F.col("v").isNotNull()).select("id", "v", "y")
     if train.limit(PAIRED_ROWS + 1).count() > PAIRED_ROWS:
         return cosine_knn_blocks(train, test, leave_one_out)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

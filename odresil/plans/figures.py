@@ -16,7 +16,7 @@ from odresil.plans.zones import LOADS, SHARES, loads, shares
 from odresil.sources.testdata import table
 
 #: Definitions of exposure, each a column of the feature table.
-EXPOSURES = ("mean_distance", "income_combined", "r0", "pre_cumloss")
+EXPOSURES = ("track_km", "wind", "pre_cumloss", "r0")
 
 
 def exposures(spark, sf_dir):
@@ -98,11 +98,11 @@ CURVES = """cv AS (SELECT unit, component, t - 18 AS day, r FROM pr WHERE t >= 1
 pw0 AS (SELECT unit, component, cat, greatest(s - avg(s) OVER (PARTITION BY unit, cat), 0) AS e FROM fl),
 pw AS (SELECT unit, component, cat, e / nullif(sum(e) OVER (PARTITION BY unit, cat), 0) AS w FROM pw0),
 pc AS (SELECT unit, cat, day, sum(w * r) AS r FROM cv JOIN pw USING (unit, component) WHERE w IS NOT NULL GROUP BY 1, 2, 3),
-pl AS (SELECT unit, cat, sum(1 - r) AS loss FROM pc GROUP BY 1, 2)"""
+lo AS (SELECT unit, cat, sum(1 - r) AS loss FROM pc GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {cities.TABLE}, fl AS ({' UNION ALL '.join(f'''SELECT unit, component, '{c}' AS cat, share_from_{c} + share_to_{c} AS s FROM tb WHERE share_from_{c} IS NOT NULL''' for c in C)}), {CURVES}
-SELECT cat AS purpose, count(*) AS n_units, round(avg(loss), 6) AS cum_loss, round(stddev_samp(loss) / sqrt(count(*)), 6) AS cum_loss_se, row_number() OVER (ORDER BY avg(loss), cat)::INT AS place FROM pl GROUP BY 1""")
+SELECT cat AS purpose, count(*) AS n_units, round(avg(loss), 6) AS cum_loss, round(stddev_samp(loss) / sqrt(count(*)), 6) AS cum_loss_se, row_number() OVER (ORDER BY avg(loss), cat)::INT AS place FROM lo GROUP BY 1""")
 def purpose_summary(spark, sf_dir):
     """Loss by trip purpose: a unit's curve weights its components by their excess share of the purpose; units count the same."""
     loss = purpose_curves(spark, sf_dir).groupBy("unit", "purpose").agg(F.sum(1 - F.col("r")).alias("loss"))
@@ -135,12 +135,12 @@ OUTER = [(a, b) for a in C for b in C]
 
 @query(f"""WITH {SHARES}, {LOADS}, p AS (SELECT origin, dest, sqrt(sum(value * value)) AS scale FROM h GROUP BY 1, 2),
 v AS (SELECT origin, dest, scale, coalesce(o.total > 0 AND d.total > 0, false) AS constrained, {", ".join(f"o.{a} * d.{b} AS {a}_{b}" for a, b in OUTER)} FROM p LEFT JOIN sh o ON o.zone = origin LEFT JOIN sh d ON d.zone = dest)
-SELECT origin, dest, constrained, {", ".join(f"round(CASE WHEN constrained THEN scale * {a}_{b} / sqrt({' + '.join(f'{x}_{y} * {x}_{y}' for x, y in OUTER)}) ELSE 0 END, 6) AS {a}_{b}" for a, b in OUTER[:8])} FROM v""")
+SELECT origin, dest, constrained, {", ".join(f"round(CASE WHEN constrained THEN scale * {a}_{b} / sqrt({' + '.join(f'{x}_{y} * {x}_{y}' for x, y in OUTER)}) ELSE 0 END, 6) AS {a}_{b}" for a, b in OUTER)} FROM v""")
 def flow_context_outer(spark, sf_dir):
-    """Context vectors of the pairs in outer mode, as long as the pair's flow is large; the first eight of 36 cells."""
+    """Context vectors of the pairs in outer mode, as long as the pair's flow is large: 36 cells."""
     scale = loads(spark, sf_dir).groupBy("origin", "dest").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("scale"))
     rows = flow_context(scale, shares(spark, sf_dir), "outer", "scale")
-    return rows.select("origin", "dest", "constrained", *[F.round(F.get("context", F.lit(k)), 6).alias(f"{a}_{b}") for k, (a, b) in enumerate(OUTER[:8])])
+    return rows.select("origin", "dest", "constrained", *[F.round(F.get("context", F.lit(k)), 6).alias(f"{a}_{b}") for k, (a, b) in enumerate(OUTER)])
 
 
 @query("""WITH c AS (SELECT 'US.' || CASE c_nationkey % 2 WHEN 0 THEN 'TX' ELSE 'FL' END || '.' || (c_custkey % 300) || '.' || (c_custkey % 9000) || '.' || (c_custkey % 5) AS id, c_acctbal AS v FROM customer),

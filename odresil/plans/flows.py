@@ -109,7 +109,8 @@ def series_validation(spark, sf_dir):
 @query(f"WITH {TRANSITIONS} SELECT slot_idx, origin, dest, round(flow, 6) AS flow FROM od WHERE slot_idx < {20 * W.slots}")
 def head_days(spark, sf_dir):
     rows = transitions(spark, sf_dir)
-    meta = spark.createDataFrame([(W.days * W.slots, 2)], "n_slots int, interval_hours int")
+    slots = F.max("slot_of_day") + 1  # what the data say, so that the checks can fail
+    meta = rows.agg(((F.max("day_idx") + 1) * slots).alias("n_slots"), (F.lit(24) / slots).alias("interval_hours"))
     return op.head_days(rows, meta, 20, W.slots).select("slot_idx", "origin", "dest", F.round("flow", 6).alias("flow"))
 
 
