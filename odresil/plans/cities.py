@@ -5,6 +5,7 @@ Units are supplier regions and components the nations their goods leave from; pe
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from odresil.config import CATEGORIES as C
@@ -41,17 +42,23 @@ def exposures(spark, sf_dir):
 
 
 def resilience(flows):
-    """(unit, component, base, weight, r0, cum_loss, drop_depth, pre_cumloss) from flows by period."""
+    """(unit, component, base, weight, r0, cum_loss, drop_depth, pre_cumloss) from flows by period.
+
+    Losses are linear in the flows, so sums of flows, divided by the base at the end, give them in one pass."""
     sums = flows.groupBy(*KEYS, "t").agg(F.sum("flow").alias("flow"))
-    base = sums.where(F.col("t") < NORMAL).groupBy(*KEYS).agg(F.avg("flow").alias("base"), F.sum("flow").alias("weight"))
-    r = sums.join(base, KEYS).withColumn("r", F.try_divide("flow", "base"))
+    when = lambda some, value=F.col("flow"): F.when(some, value)
     after, before = F.col("t") >= LANDFALL, F.col("t").between(NORMAL, LANDFALL - 1)
-    return r.groupBy(*KEYS, "weight").agg(
-        F.max(F.when(F.col("t") == LANDFALL, F.col("r"))).alias("r0"),
-        F.sum(F.when(after, 1 - F.col("r"))).alias("cum_loss"),
-        (1 - F.min(F.when(after, F.col("r")))).alias("drop_depth"),
-        F.sum(F.when(before, 1 - F.col("r"))).alias("pre_cumloss"),
+    first = sums.groupBy(*KEYS).agg(
+        F.avg(when(F.col("t") < NORMAL)).alias("base"),
+        F.sum(when(F.col("t") < NORMAL)).alias("weight"),
+        F.max(when(F.col("t") == LANDFALL)).alias("_start"),
+        F.min(when(after)).alias("_least"),
+        *(f.alias(n) for n, some in (("_after", after), ("_before", before)) for f, n in ((F.count(when(some)), n), (F.sum(when(some)), f"{n}_flow"))),
     )
+    loss = lambda n: F.col(n) - F.try_divide(F.col(f"{n}_flow"), F.col("base"))
+    rows = first.where("base is not null")
+    ratio = lambda c: F.try_divide(F.col(c), F.col("base"))
+    return rows.select(*KEYS, "weight", ratio("_start").alias("r0"), loss("_after").alias("cum_loss"), (1 - ratio("_least")).alias("drop_depth"), loss("_before").alias("pre_cumloss"))
 
 
 def disaster_curves(spark, sf_dir):
@@ -62,27 +69,31 @@ def disaster_curves(spark, sf_dir):
     return rows.select(*KEYS, (F.col("t") - LANDFALL).cast("int").alias("day"), "r")
 
 
-def feature_table(spark, sf_dir):
+def feature_table(spark, sf_dir, flows=None):
     """(unit, component, measures, shares at both ends): every component of every unit, with nulls where something is missing.
 
     Nine steps read the flows by period, so these are written first: the large tables are read and joined once."""
-    flows = written(periods(spark, sf_dir), "periods")
-    normal = flows.where(F.col("t") < NORMAL)
-    loads = normal.groupBy(*KEYS, "origin", "dest").agg(F.sum("flow").alias("value"))
+    flows = written(periods(spark, sf_dir), "periods") if flows is None else flows
+    loads = flows.where(F.col("t") < NORMAL).groupBy(*KEYS, "origin", "dest").agg(F.sum("flow").alias("h"))
     km = geo.od_distance(loads.select("origin", "dest").distinct(), centres(spark, sf_dir))
-    values = zone_values(spark, sf_dir)
-    out = resilience(flows)
-    total = out.groupBy("unit").agg(F.sum("weight").alias("_total"))
-    out = out.join(total, "unit").withColumn("weight_normal", F.col("weight") / F.col("_total")).drop("_total")
-    out = out.join(op.spatial_features(loads, km, KEYS), KEYS, "left")
-    for mode in ("combined", "origin"):
-        rows = op.od_values(loads.withColumnRenamed("value", "h"), values, mode)
-        mean = rows.groupBy(*KEYS).agg(op.weighted_mean(F.col("h"), F.col("value")).alias(f"income_{mode}"))
-        out = out.join(mean, KEYS, "left")
-    sides = op.functional_shares(op.od_function_matrix(loads, shares(spark, sf_dir), KEYS), KEYS)
-    side = lambda name, c: F.sum(F.when(F.col("cat") == c, F.col(name))).alias(f"{name}_{c}")
-    wide = sides.groupBy(*KEYS).agg(*[side(f"share_{s}", c) for s in ("from", "to") for c in C])
-    out = out.join(wide, KEYS, "left").join(exposures(spark, sf_dir), "component", "left")
+    rows = op.od_values(op.od_values(loads.join(km, ["origin", "dest"], "left"), zone_values(spark, sf_dir), "combined").withColumnRenamed("value", "_both"), zone_values(spark, sf_dir), "origin")
+    purposes = shares(spark, sf_dir).where(F.aggregate("share", F.lit(0.0), lambda a, x: a + x) > 0)
+    for side, end in (("_from", "origin"), ("_to", "dest")):
+        rows = rows.join(purposes.select(F.col("zone").alias(end), F.col("share").alias(side)), end, "left")
+    load, known = F.col("h"), F.col("_from").isNotNull() & F.col("_to").isNotNull()
+    square = op.weighted_mean(load, F.col("km") * F.col("km"))
+    mean = op.weighted_mean(load, F.col("km"))
+    sides = [F.try_divide(F.sum(F.when(known, load * F.get(f"_{s}", F.lit(k)))), F.sum(F.when(known, load))).alias(f"share_{s}_{c}") for s in ("from", "to") for k, c in enumerate(C)]
+    # every moment of the loadings in one aggregation
+    moments = rows.groupBy(*KEYS).agg(
+        mean.alias("mean_distance"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_distance"),
+        op.weighted_mean(load, F.col("_both")).alias("income_combined"),
+        op.weighted_mean(load, F.col("value")).alias("income_origin"),
+        *sides,
+    )
+    out = resilience(flows).withColumn("weight_normal", F.col("weight") / F.sum("weight").over(Window.partitionBy("unit"))).join(moments, KEYS, "left")
+    out = out.join(exposures(spark, sf_dir), "component", "left")
     return out.select(*KEYS, *MEASURES, *SIDES)
 
 
@@ -118,9 +129,9 @@ MERGED = [f"func_{c}" for c in C]
 PRODUCTS = [(a, b) for i, a in enumerate(MERGED) for b in MERGED[i + 1 :]]
 
 
-def merged_table(spark, sf_dir):
+def merged_table(spark, sf_dir, flows=None):
     """The feature table with merged shares func_<category> and their products, taken before any ranking."""
-    rows = feature_table(spark, sf_dir)
+    rows = feature_table(spark, sf_dir, flows)
     rows = rows.withColumns({f"func_{c}": F.col(f"share_from_{c}") + F.col(f"share_to_{c}") for c in C})
     return op.interactions(rows, MERGED)
 

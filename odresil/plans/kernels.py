@@ -183,12 +183,12 @@ def unit_decomposition(spark, sf_dir):
     return component_filter(scaled.select("unit", "component", "value"), weight, ["unit"])
 
 
-def component_table(spark, sf_dir) -> DataFrame:
+def component_table(spark, sf_dir, flows=None) -> DataFrame:
     """(unit, component, weight, target, ...): the components that pass the gate of the feature table, the loss as target.
 
     It is written, a row a component: what is learned from it reads it many times."""
     ship(spark)
-    rows = usable(cities.merged_table(spark, sf_dir), ["unit"], cities.NEEDED, "cum_loss", 3)
+    rows = usable(cities.merged_table(spark, sf_dir, flows), ["unit"], cities.NEEDED, "cum_loss", 3)
     rows = rows.withColumnsRenamed({"cum_loss": "target", "income_combined": "income"})
     columns = dict.fromkeys([*cities.KEYS, "weight", "weight_normal", "target", *NAMES, *cities.RANK, *cities.SIDES, "wind"])
     return written(rows.select(*columns), "components")
@@ -437,26 +437,3 @@ def curve_forecast(spark, sf_dir):
         return pd.DataFrame({"held": int(m.held[0]), "day": np.arange(len(curve), dtype=np.int32), "r_city": curve})
 
     return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, day int, r_city double")
-
-
-@query()
-def direct_city_curves(spark, sf_dir):
-    """City curves without components: neighbours' curves weighted by a kernel over features, its width chosen inside."""
-
-    def run(pdf):
-        x = pdf.groupby("unit")[NAMES].mean()
-        x = (x - x.mean()) / x.std(ddof=0).replace(0, 1)
-        level = pdf.groupby("unit").target.mean()
-        held = pdf.held.iloc[0]
-        train = [u for u in x.index if u != held]
-
-        def guess(u, pool, width):
-            d = ((x.loc[pool] - x.loc[u]) ** 2).sum(axis=1).to_numpy()
-            k = np.exp(-d / (2 * width**2 * x.shape[1])) + 1e-12
-            return float((k * level.loc[pool]).sum() / k.sum())
-
-        widths = (0.35, 0.5, 0.75, 1, 1.5, 2, 3, 5)
-        best = min(widths, key=lambda b: sum(abs(guess(u, [v for v in train if v != u], b) - level[u]) for u in train))
-        return pd.DataFrame([(int(held), float(best), guess(held, train, best), float(level[held]))], columns=["held", "width", "level", "truth"])
-
-    return folds(spark, sf_dir).groupBy("held").applyInPandas(run, "held long, width double, level double, truth double")

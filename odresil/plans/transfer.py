@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from odresil.config import EVENTS as W
 from odresil.kernels import baseline, factor, solve
+from odresil.kernels.direct import neighbours
 from odresil.operators.flows import dense_totals
 from odresil.plans import cities
 from odresil.plans.kernels import CURVE_DAYS, NAMES, by_unit, component_table, dense, folds, matrices, pooled_alpha, rho
@@ -17,16 +18,6 @@ from odresil.shipping import ship
 from odresil.sources.testdata import transitions
 
 
-def neighbours(train: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """Means of ``y`` by clipped cosine in the training rows' standard scores; the plain mean where no row is near."""
-    mean, sd = train.mean(0), train.std(0)
-    z, v = ((x - mean) / np.where(sd > 0, sd, 1) for x in (train, test))
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    w = np.clip(unit(v) @ unit(z).T, 0, None)
-    total = w.sum(1)
-    return np.where(total > 0, w @ y / np.where(total > 0, total, 1), y.mean())
-
-
 @query()
 def city_alpha_knn(spark, sf_dir):
     """One rate for a whole unit from its neighbours' rates, and the plain logistic from its own first value."""
