@@ -165,7 +165,7 @@ def flow_context(pairs: DataFrame, shares: DataFrame, mode: str, scale: str) ->
     """``context`` and ``constrained`` of each pair (origin, dest, scale): the shares of both ends, as their outer product or
     sum, at unit length times the pair's scale; zeros and not constrained where an end has no shares."""
     if mode not in ("outer", "sum"):
-        raise ValueError(f"mode must be 'outer' or 'sum', got {mode!r}")
+        raise ValueError(f"a context is an outer product or a sum, not {mode!r}")
     some = shares.where(F.aggregate("share", F.lit(0.0), lambda a, x: a + x) > 0)
     o = some.select(F.col("zone").alias("origin"), F.col("share").alias("_a"))
     d = some.select(F.col("zone").alias("dest"), F.col("share").alias("_b"))

@@ -45,7 +45,7 @@ def correlations(long: DataFrame, item: list[str], name: str, value: str, ranks:
 def correlation(rows: DataFrame, by: list[str], x: str, y: str, method: str = "spearman") -> DataFrame:
     """(by, n, rho) over the rows that have both values; null below three of them or where one is constant."""
     if method not in ("spearman", "pearson"):
-        raise ValueError(f"method must be 'spearman' or 'pearson', got {method!r}")
+        raise ValueError(f"no such correlation: {method!r}")
     some = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
     if method == "spearman":
         some = some.withColumns({"_x": average_rank("_x", by), "_y": average_rank("_y", by)})

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from odresil.config import EVENTS as W
 from odresil.operators import flows as op
+from odresil.operators import propagation, sampling
 from odresil.operators.curves import baselines, is_weekday
 from odresil.plans.registry import query
+from odresil.scratch import written
 from odresil.sources.testdata import TRANSITIONS, transitions
 
 ACTIVE = f"act AS (SELECT * FROM od WHERE slot_of_day BETWEEN {W.first_slot} AND {W.last_slot})"
@@ -68,6 +70,62 @@ def matrix_diagnostics(spark, sf_dir):
     return row.withColumns({c: F.round(c, 6) for c in ("min_flow", "median_flow", "mean_flow", "max_flow", "pair_share", "zero_share")})
 
 
+#: Positive flows of a slot of day that are kept as its sample.
+SAMPLE = 40
+
+
+@query(f"""WITH {TRANSITIONS}, h AS (SELECT slot_of_day, origin, dest, slot_idx, flow, md5(origin || ',' || dest || ',' || slot_idx::VARCHAR) AS hash FROM od WHERE flow > 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY slot_of_day ORDER BY hash, origin, dest, slot_idx)::INT AS place FROM h)
+SELECT slot_of_day, origin, dest, slot_idx, place, round(flow, 6) AS flow FROM p WHERE place <= {SAMPLE}""")
+def flow_samples(spark, sf_dir):
+    """Sampled flows of each slot of day, for plots of observed against rebuilt values; the same for any partitioning."""
+    rows = sampling.bottom_k(transitions(spark, sf_dir).where("flow > 0"), ["slot_of_day"], ["origin", "dest", "slot_idx"], SAMPLE)
+    return rows.select("slot_of_day", "origin", "dest", "slot_idx", "place", F.round("flow", 6).alias("flow"))
+
+
+HOP = "h{k} AS (SELECT b AS node, slot_idx, sum(value * w) AS value FROM h{j} JOIN wt ON a = node WHERE w <> 0 GROUP BY 1, 2 HAVING sum(value * w) <> 0)"
+
+
+@query(f"""WITH {TRANSITIONS}, nd AS (SELECT DISTINCT origin, dest FROM od WHERE flow > 0),
+ed AS (SELECT a.origin || '>' || a.dest AS a, b.origin || '>' || b.dest AS b FROM nd a JOIN nd b ON a.dest = b.origin),
+dg AS (SELECT b AS node, count(*) AS n FROM ed GROUP BY 1),
+wt AS (SELECT ed.a, ed.b, coalesce(1 / sqrt(x.n * y.n), 0) AS w FROM ed LEFT JOIN dg x ON x.node = ed.a JOIN dg y ON y.node = ed.b),
+h0 AS (SELECT origin || '>' || dest AS node, slot_idx, sum(flow) AS value FROM od GROUP BY 1, 2 HAVING sum(flow) <> 0),
+{HOP.format(k=1, j=0)}, {HOP.format(k=2, j=1)}
+{" UNION ALL ".join(f"SELECT node, slot_idx, {k} AS hop, round(value, 5) AS value FROM h{k}" for k in range(3))}""")
+def line_graph_hops(spark, sf_dir):
+    """Flows of pairs, and what reaches each pair over one and two steps of the normalised line graph, slot by slot."""
+    flows = transitions(spark, sf_dir)
+    name = lambda o, d: F.concat(F.col(o), F.lit(">"), F.col(d))
+    pairs = flows.where("flow > 0").select("origin", "dest").distinct()
+    edges = op.line_graph(pairs, []).select(name("o1", "d1").alias("a"), name("o2", "d2").alias("b"))
+    values = flows.select(name("origin", "dest").alias("node"), "slot_idx", F.col("flow").alias("value"))
+    rows = propagation.hops(values, written(propagation.normalised(edges), "edges"), 2)
+    return rows.withColumn("value", F.round("value", 5))
+
+
+#: Target slots of the training windows, slots that a window predicts.
+TARGETS, HORIZON = (21 * W.slots, 25 * W.slots - 1), 3
+
+
+@query(f"""WITH {TRANSITIONS}, pr AS (SELECT DISTINCT origin, dest FROM od), sp AS (SELECT origin, dest, unnest(range(0, 360))::INT AS slot_idx FROM pr),
+dn AS (SELECT origin, dest, slot_idx, coalesce(flow, 0.0) AS flow FROM sp LEFT JOIN (SELECT origin, dest, slot_idx, flow FROM od) USING (origin, dest, slot_idx)),
+wn AS (SELECT origin, dest, slot_idx, {", ".join(f"lag(flow, {n}) OVER w AS i{k}" for k, n in enumerate(op.sequence_lags(W.slots).values()))}, {", ".join(f"lead(flow, {n}) OVER w AS t{n}" for n in range(HORIZON))}
+  FROM dn WINDOW w AS (PARTITION BY origin, dest ORDER BY slot_idx))
+SELECT ((slot_idx - {TARGETS[0]}) // 16)::INT AS batch, slot_idx, count(*)::INT AS nodes, round(sum({" + ".join(f"{k + 1} * i{k}" for k in range(16))}), 4) AS input_mix, round(sum({" + ".join(f"{n + 1} * t{n}" for n in range(HORIZON))}), 4) AS target_mix
+FROM wn WHERE slot_idx BETWEEN {TARGETS[0]} AND {TARGETS[1]} GROUP BY 1, 2""")
+def training_windows(spark, sf_dir):
+    """Training samples of all pairs by target slot, in batches: recent, daily and weekly inputs and the targets as arrays; here
+    each array is summed with the numbers of its places as weights."""
+    dense = op.dense_totals(transitions(spark, sf_dir), ["origin", "dest"], "slot_idx", W.days * W.slots)
+    lags = list(op.sequence_lags(W.slots).values())
+    samples = propagation.windows(dense, ["origin", "dest"], "slot_idx", "flow", lags, HORIZON, *TARGETS)
+    out = propagation.batches(samples, "slot_idx", ["origin", "dest"], 16)
+    mixed = lambda v: F.aggregate(F.transform(v, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    mix = lambda c: F.round(F.aggregate(F.transform(c, mixed), F.lit(0.0), lambda a, x: a + x), 4)
+    return out.select("batch", "slot_idx", F.size("nodes").alias("nodes"), mix("inputs").alias("input_mix"), mix("targets").alias("target_mix"))
+
+
 @query(f"WITH {TRANSITIONS}, s AS (SELECT unnest(range(0, 360))::INT AS slot_idx) SELECT slot_idx, round(coalesce(sum(flow), 0.0), 6) AS flow FROM s LEFT JOIN od USING (slot_idx) GROUP BY 1")
 def total_flows(spark, sf_dir):
     return op.dense_totals(transitions(spark, sf_dir), [], "slot_idx", W.days * W.slots).select("slot_idx", F.round("flow", 6).alias("flow"))
