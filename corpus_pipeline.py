@@ -20,10 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null, empty and short texts fail; repeated rows and rows without an id are judged each; without labels only the base
     rules and a ratio of 0 decide; an empty table gives no rows."""
-    weights, threshold = quality.fit(docs, base.table(spark, sf_dir, "labels"))
-    # written first: a filter pushed below the word arrays would compute them anew for each word
-    judged = quality.judge(docs, weights, threshold, quality.FOLDS).select(*COLUMNS, "kept")
-    return base.written(judged, "judged").where("kept").select(*COLUMNS)
+    return quality.fit_and_judge(docs, base.table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

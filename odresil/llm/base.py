@@ -175,3 +175,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def quantiles(rows: DataFrame, share: float, bins: int = 1 << 11) -> dict:
+    """The exact quantile of ``value`` for each ``key`` of a written table (key, value), between two values in proportion.
+
+    The range that holds the wanted rank is cut into bins until it is one value, so no task and not the driver holds more
+    than ``bins`` rows a key.  Null values do not count; a key without any has no quantile."""
+    rows, spark = rows.where("value is not null"), rows.sparkSession
+    kind = rows.schema["key"].dataType.simpleString()
+    ends = rows.groupBy("key").agg(F.count("*"), F.min("value"), F.max("value")).collect()
+    at = {key: share * (n - 1) for key, n, *_ in ends}
+    open_, value = {key: (int(at[key]), lo, hi) for key, _, lo, hi in ends}, {}
+    while open_:
+        value.update({key: lo for key, (_, lo, hi) in open_.items() if lo == hi})
+        open_ = {key: x for key, x in open_.items() if key not in value}
+        if not open_:
+            break
+        bounds = spark.createDataFrame([(key, lo, hi) for key, (_, lo, hi) in open_.items()], f"key {kind}, lo double, hi double")
+        some = rows.join(F.broadcast(bounds), "key").where("value between lo and hi")
+        bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        cut = some.groupBy("key", bin_.alias("bin")).agg(F.count("*"), F.min("value"), F.max("value")).collect()
+        rank = {key: x[0] for key, x in open_.items()}
+        for key, _, n, lo, hi in sorted(cut, key=lambda r: r["bin"]):
+            if 0 <= rank[key] < n:
+                open_[key] = rank[key], lo, hi
+            rank[key] -= n
+    if not value:
+        return {}
+    found = spark.createDataFrame(list(value.items()), f"key {kind}, at double")
+    above = F.min(F.when(F.col("value") > F.col("at"), F.col("value")))
+    for key, upto, more in rows.join(F.broadcast(found), "key").groupBy("key").agg(F.count_if(F.col("value") <= F.col("at")), above).collect():
+        part = at[key] - int(at[key])
+        if part and upto < int(at[key]) + 2:
+            value[key] = (1 - part) * value[key] + part * more
+    return value

@@ -50,8 +50,7 @@ def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights, threshold = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, weights, threshold, quality.FOLDS).drop("text")
+    return quality.fit_and_judge(docs, table(spark, sf_dir, "labels"), without=("text",))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
