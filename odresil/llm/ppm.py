@@ -13,8 +13,8 @@ goes by the code length itself, bits a byte under the best language.  Its limit
 seen: halfway from a language's own median to what texts cost under the best of the languages that are not theirs (8
 bits where one language is learned); and the second language must cost more by ``NARROW`` of that distance.
 
-Training reads a sample of at most about ``ROWS`` labelled rows a language, chosen by hash (a documented bound on a
-fitted classifier); n-grams are counted on the executors and summed before they are collected.
+Training and limits read every labelled row.  N-grams are counted on the executors and summed before they are collected: a
+number for each (language, window of four bytes) seen, which grows with the variety of the texts, not with their number.
 
 Cases: a null text or one without a letter gets ``und`` and score 0; very long texts are coded whole, in chunks; of
 languages with equal code lengths the first by name is predicted; a null language is not learned; without any labelled
@@ -31,35 +31,49 @@ from pyspark.sql import functions as F
 
 from . import base
 
-ROWS, UNKNOWN = 3000, "und"
+UNKNOWN = "und"
 NARROW, RAW = 0.1, 8.0
 PAD = b"\n\n\n"
 CHUNK = 1 << 17
+HELD = 1 << 21  # windows that a counting task holds for a language before it merges them, distinct ones before it hands them on
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
     """(lang, gram, n) over rows (lang, text): each byte with its three predecessors, packed into one number."""
 
     def run(batches):
-        totals: dict[str, tuple] = {}
-
-        def add(lang, grams, n):
-            if lang in totals:
-                grams, n = np.concatenate([totals[lang][0], grams]), np.concatenate([totals[lang][1], n])
-                grams, at = np.unique(grams, return_inverse=True)
-                n = np.bincount(at, n).astype(np.int64)
-            totals[lang] = grams, n
+        counted: dict[str, list] = {}  # pieces (windows, counts) of each language; the first is merged
+        texts: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
+
+        def merge(lang):
+            b = np.frombuffer(PAD + PAD.join(texts.pop(lang)) + PAD, np.uint8).astype(np.uint32)  # pads around each, however they are dealt
+            del size[lang]
+            new = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
+            if lang in counted:
+                grams, at = np.unique(np.concatenate([counted[lang][0], new[0]]), return_inverse=True)
+                new = grams, np.bincount(at, np.concatenate([counted[lang][1], new[1]])).astype(np.int64)
+            counted[lang] = new
+
+        def out(lang):
+            grams, n = counted.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
         for batch in batches:
-            by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append((text or "").encode())
-            for lang, texts in by.items():
-                b = np.frombuffer(PAD + PAD.join(texts), np.uint8).astype(np.int64)
-                if len(b) > 3:
-                    add(lang, *np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True))
-        for lang, (grams, n) in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+                data = (text or "").encode()
+                if not data:
+                    continue
+                texts.setdefault(lang, []).append(data)
+                size[lang] = size.get(lang, 0) + len(data) + len(PAD)
+                if size[lang] >= HELD:
+                    merge(lang)
+                    if len(counted[lang][0]) >= HELD:
+                        yield out(lang)
+        for lang in list(texts):
+            merge(lang)
+        for lang in list(counted):
+            yield out(lang)
 
     return rows.mapInArrow(base.lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -179,27 +193,19 @@ class ByteTrees:
             out += sums[np.maximum(b[1], b[0])] - sums[b[0]]
 
 
-def labelled(docs: DataFrame, learn: Column, rows: int) -> DataFrame | None:
-    """(lang, text) of at most about ``rows`` rows a language for which ``learn`` holds; None if there are none."""
-    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("string").alias("doc_id"))
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, rows / n)).otherwise(share)
-    # a row's place between 0 and 1 is a hash of its id, so the sample is the same at every run
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return usable.where(place < share).select("lang", "text")
+def labelled(docs: DataFrame, learn: Column) -> DataFrame | None:
+    """(lang, text) of all rows with both for which ``learn`` holds; None if there are none."""
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return usable if usable.limit(1).count() else None
 
 
-def train(docs: DataFrame, learn: Column, rows: int = ROWS) -> ByteTrees | None:
-    """Trees from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds."""
+def train(docs: DataFrame, learn: Column) -> ByteTrees | None:
+    """Trees from the rows of ``docs`` (text, lang) for which ``learn`` holds."""
     base.small_batches(docs.sparkSession)
-    sample = labelled(docs, learn, rows)
-    if sample is None:
+    rows = labelled(docs, learn)
+    if rows is None:
         return None
-    table = count_grams(sample).toArrow()
+    table = count_grams(rows).toArrow()
     coded = table["lang"].combine_chunks().dictionary_encode()
     of, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
     grams, n = table["gram"].to_numpy(), table["n"].to_numpy()
@@ -221,7 +227,7 @@ def identify(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
     spark = docs.sparkSession
     base.small_batches(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "bits_per_byte", "margin")])
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
+    shared = spark.sparkContext.broadcast(model)  # an entry for each window seen
     position = [c.lower() for c in docs.columns].index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -248,13 +254,13 @@ def identify(docs: DataFrame, model: ByteTrees | None) -> DataFrame:
     return docs.mapInArrow(base.lean(run), f"{schema}, lang_pred string, score double, bits_per_byte double, margin double")
 
 
-def limits(docs: DataFrame, model: ByteTrees, rows: int = ROWS) -> dict[str, tuple[float, float]]:
-    """The most bits a byte and the least margin of each learned language, from labelled rows that ``model`` has not seen."""
+def limits(docs: DataFrame, model: ByteTrees) -> dict[str, tuple[float, float]]:
+    """The most bits a byte and the least margin of each learned language, from the labelled rows, which ``model`` has not seen."""
     base.small_batches(docs.sparkSession)
-    sample = labelled(docs, F.col("lang").isin(model.langs) & (F.length("text") > 0), rows)
-    if sample is None:
+    rows = labelled(docs, F.col("lang").isin(model.langs) & (F.length("text") > 0))
+    if rows is None:
         return {}
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # an entry for each window seen
 
     def run(batches):
         model = shared.value
@@ -270,8 +276,10 @@ def limits(docs: DataFrame, model: ByteTrees, rows: int = ROWS) -> dict[str, tup
             other = _two_least(bits, data)[0] if len(place) > 1 else np.full(len(data), RAW)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(other)], names=["lang", "own", "other"])
 
-    medians = sample.mapInArrow(run, "lang string, own double, other double").groupBy("lang").agg(F.median("own"), F.median("other"))
-    found = {lang: (own, other) for lang, own, other in medians.collect()}  # a row a language
+    bits = rows.mapInArrow(base.lean(run), "lang string, own double, other double")
+    bits = base.written(bits, "bits")
+    own, other = (base.quantiles(bits.select(F.col("lang").alias("key"), F.col(c).alias("value")), 0.5) for c in ("own", "other"))
+    found = {lang: (own[lang], other[lang]) for lang in own}  # medians of a language
     shared.destroy()
     foreign = float(np.mean([other for _, other in found.values()]))
     usual = float(np.mean([own for own, _ in found.values()]))
