@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odresil.operators.ordering import ranged
+from odresil.scratch import written
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -89,36 +90,72 @@ def cosine_knn(train: DataFrame, test: DataFrame, leave_one_out: bool = False) -
     return rows.withColumn("w", w).groupBy("id").agg(F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")), F.avg("y")).alias("pred"))
 
 
-def cosine_knn_blocks(train: DataFrame, test: DataFrame, leave_one_out: bool = False, size: int = 2000) -> DataFrame:
-    """``cosine_knn`` for a training side of any size: unit vectors in blocks of about ``size`` rows, partial sums a block pair.
+def packed(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """(at, ids, unit, y): rows (id, v, y) as written blocks of at most ``size`` unit vectors of ``width`` numbers; ``at``
+    numbers the blocks.
 
-    Training rows without a label or a vector are left out; a test row without a vector gets the plain mean."""
+    Blocks hold the rows of one partition each; a null vector is all zeros."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    train = train.where(F.col("y").isNotNull() & F.col("v").isNotNull()).select("id", "v", "y")
-    parts = lambda rows: max(1, -(-rows.count() // size))
-    na, nb = parts(test), parts(train)
-    a = test.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(na)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"))
-    b = train.select("id", "v", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("b"))
-
-    def run(left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "w": [], "wy": [], "n": [], "y": []})
-        width = len(right.v.iloc[0])
-
-        def unit(vectors):
-            x = np.array([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors])
+    def run(batches):
+        held, n = [], 0
+
+        def block(part):
+            v = part.column("v").combine_chunks()
+            x = np.zeros((part.num_rows, width))
+            flat = np.asarray(v.flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False), float)
+            there = np.asarray(v.is_valid())
+            x[there] = flat.reshape(int(there.sum()), x.shape[1])
             norm = np.linalg.norm(x, axis=1, keepdims=True)
-            return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            sides = part.column("id").to_numpy().astype(np.int64), unit, part.column("y").to_numpy().astype(float)
+            return pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()) for s in sides], names=["ids", "unit", "y"])
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            while n >= size:
+                whole = pa.concat_tables(held)
+                yield block(whole.slice(0, size))
+                held, n = [whole.slice(size)], n - size
+        if n:
+            yield block(pa.concat_tables(held))
+
+    blocks = rows.select(F.col("id").cast("long").alias("id"), "v", F.col("y").cast("double").alias("y")).mapInArrow(run, "ids binary, unit binary, y binary")
+    return written(blocks.withColumn("at", F.monotonically_increasing_id()), "blocks")
+
 
-        w, y = np.maximum(unit(left.v) @ unit(right.v).T, 0), right.y.to_numpy(float)
-        use = left.id.to_numpy()[:, None] != right.id.to_numpy()[None] if leave_one_out else np.ones(w.shape, bool)
-        w = w * use
-        return pd.DataFrame({"id": left.id, "w": w.sum(1), "wy": w @ y, "n": use.sum(1), "y": use @ y})
+def cosine_knn_blocks(train: DataFrame, test: DataFrame, leave_one_out: bool = False, size: int = 2000) -> DataFrame:
+    """``cosine_knn`` for a training side of any size: every block of ``size`` unit vectors meets every other.
+
+    Blocks are written once and pairs of them are read from the table, so nothing but partial sums is shuffled: those that a
+    task has added up, a row for each test row and partition of the training side.  Training rows without a label or a vector
+    are left out; a test row without a vector gets the plain mean."""
+    import numpy as np
+    import pyarrow as pa
 
-    sums = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(run, "id long, w double, wy double, n long, y double")
-    total = sums.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("w", "wy", "n", "y")])
+    train = train.where(F.col("y").isNotNull() & F.col("v").isNotNull()).select("id", "v", "y")
+    width = max(0, train.select("v").unionAll(test.select("v")).agg(F.max(F.size("v"))).first()[0] or 0)
+    left = packed(test.select("id", "v", F.lit(0.0).alias("y")), size, width).drop("y")
+    right = packed(train, size, width).select(F.col("ids").alias("tids"), F.col("unit").alias("tunit"), "y")
+
+    def run(batches):
+        sums: dict[int, tuple] = {}
+        for batch in batches:
+            for at, ids, unit, tids, tunit, y in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                ids, tids, y = np.frombuffer(ids, np.int64), np.frombuffer(tids, np.int64), np.frombuffer(y)
+                a, b = np.frombuffer(unit).reshape(len(ids), width), np.frombuffer(tunit).reshape(len(tids), width)
+                w = np.maximum(a @ b.T, 0)
+                use = ids[:, None] != tids[None] if leave_one_out else np.ones(w.shape, bool)
+                w = w * use
+                new = np.stack([w.sum(1), w @ y, use.sum(1), use @ y])
+                sums[at] = ids, sums[at][1] + new if at in sums else new
+        for ids, (w, wy, n, total) in sums.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, w, wy, n.astype(np.int64), total)], names=["id", "w", "wy", "n", "y"])
+
+    pairs = left.select("at", "ids", "unit").crossJoin(right)
+    total = pairs.mapInArrow(run, "id long, w double, wy double, n long, y double").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("w", "wy", "n", "y")])
     return total.select("id", F.coalesce(F.try_divide("wy", "w"), F.try_divide("y", "n")).alias("pred"))
 
 
