@@ -293,18 +293,24 @@ def shared_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id per row."""
-    rows = base.written(fingerprinted(docs, width), "prints")
+    spark = docs.sparkSession
+    whole = base.written(fingerprinted(docs, width), "prints")
+    classes = whole.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    banded = base.written(classes, "classes")
+    # a key holds its band; one shuffle by key serves the count and the rows
+    bucket = banded.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key")).repartition("key")
+    crowd = bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    crowded = base.written(bucket.join(crowd.hint("merge"), "key").select("key", "id", F.col("n").cast("long").alias("n"), "m"), "buckets")
+    # what is needed further on has no band keys
+    rows, classes = base.written(whole.drop("bands"), "rows"), base.written(banded.select("print", "id"), "classes")
+    for done in (whole, banded):
+        base.remove_path(spark, done.scratch)
     some = rows.where("print is not null and doc_id is not null")
-    classes = some.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = base.written(classes, "classes")
-    bucket = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    crowd = bucket.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    crowded = base.written(bucket.join(crowd, ["band", "key"]), "buckets")
     # the class that meets most others is the pivot: of edited copies, the text they were made from
     central = crowded.groupBy("id").agg(F.sum("m").alias("met"))
     crowded = crowded.join(central, "id")
-    pivot = crowded.groupBy("band", "key").agg(F.max(F.struct("met", "id", "n")).alias("p")).select("band", "key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
-    members = base.written(crowded.join(pivot, ["band", "key"]).select("id", "n", "p", "pn").distinct(), "pivots")
+    pivot = crowded.groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
+    members = base.written(crowded.join(pivot, "key").select("id", "n", "p", "pn").distinct(), "pivots")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = base.written(sets_of(texts.join(members.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id", "print"]).drop("print"), "sets")
     pairs = members.where(f"id <> p and n * 100 >= {percent} * pn and pn * 100 >= {percent} * n").select(F.col("id").alias("a"), F.col("p").alias("b"))
@@ -315,7 +321,7 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = 80) -> DataFrame:
         labels = components(links.unionByName(more))
     named = classes.select("print", "id").join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component_id"))
     named = base.written(named, "named")
-    out = rows.drop("bands").join(named, "print", "left")
+    out = rows.join(named, "print", "left")
     # a row without shingles has the component of the other rows of its doc_id
     bare = rows.where("print is null and doc_id is not null").select("doc_id").distinct()
     other = some.join(bare, "doc_id", "left_semi").join(named, "print").groupBy("doc_id").agg(F.min("component_id").alias("other"))
